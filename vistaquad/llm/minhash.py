@@ -249,8 +249,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         pairs = placed.groupBy("band", "value", "l", "r").applyInPandas(_proposer(bands, rows, cut, best), "a long, b long").distinct()
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "proposed")
         tested = tested.union(pairs)
-        links = links.union(settle(confirmed(pairs, texts, k, percent), "links"))
-        reached = components(links)
+        new = settle(confirmed(pairs, texts, k, percent), "links")
+        if not new.isEmpty():
+            links = links.union(new)
+            reached = components(links)
 
     by_rep = classes.join(reached, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return signed.join(by_rep, "set_key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
