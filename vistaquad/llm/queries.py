@@ -1,6 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from vistaquad.llm.bpe import bpe_query
 from vistaquad.llm.common import table
+from vistaquad.llm.decontaminate import CONTAMINATION_SQL, contamination_query
 from vistaquad.llm.exact import EXACT_SQL, exact_query
 from vistaquad.llm.minhash import near_duplicate_query
 
@@ -11,9 +13,12 @@ def _documents(query):
 
 QUERIES = {
     "op1_minhash_near_dedup": _documents(near_duplicate_query),
+    "op3_byte_bpe": _documents(bpe_query),
     "op4_exact_dedup": _documents(exact_query),
+    "op8_decontamination": lambda spark, sf_dir: contamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
 ORACLES = {
     "op4_exact_dedup": EXACT_SQL,
+    "op8_decontamination": CONTAMINATION_SQL,
 }
