@@ -5,16 +5,24 @@ from vistaquad.llm.common import table
 from vistaquad.llm.decontaminate import CONTAMINATION_SQL, contamination_query
 from vistaquad.llm.exact import EXACT_SQL, exact_query
 from vistaquad.llm.minhash import near_duplicate_query
+from vistaquad.llm.quality import quality_query
+from vistaquad.llm.toxicity import toxicity_query
 
 
 def _documents(query):
     return lambda spark, sf_dir: query(table(spark, sf_dir, "documents"))
 
 
+def _labelled(query):
+    return lambda spark, sf_dir: query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": _documents(near_duplicate_query),
     "op3_byte_bpe": _documents(bpe_query),
     "op4_exact_dedup": _documents(exact_query),
+    "op5_quality": _labelled(quality_query),
+    "op7_toxicity": _labelled(toxicity_query),
     "op8_decontamination": lambda spark, sf_dir: contamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
