@@ -4,9 +4,11 @@ from vistaquad.llm.bpe import bpe_query
 from vistaquad.llm.common import table
 from vistaquad.llm.decontaminate import CONTAMINATION_SQL, contamination_query
 from vistaquad.llm.exact import EXACT_SQL, exact_query
+from vistaquad.llm.licenses import licence_query
 from vistaquad.llm.minhash import near_duplicate_query
 from vistaquad.llm.quality import quality_query
 from vistaquad.llm.toxicity import toxicity_query
+from vistaquad.llm.warc import WARC_SQL, warc_query
 
 
 def _documents(query):
@@ -22,11 +24,14 @@ QUERIES = {
     "op3_byte_bpe": _documents(bpe_query),
     "op4_exact_dedup": _documents(exact_query),
     "op5_quality": _labelled(quality_query),
+    "op6_warc": lambda spark, sf_dir: warc_query(table(spark, sf_dir, "pages")),
     "op7_toxicity": _labelled(toxicity_query),
     "op8_decontamination": lambda spark, sf_dir: contamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op9_licenses": _documents(licence_query),
 }
 
 ORACLES = {
     "op4_exact_dedup": EXACT_SQL,
+    "op6_warc": WARC_SQL,
     "op8_decontamination": CONTAMINATION_SQL,
 }
