@@ -7,6 +7,7 @@ from vistaquad.llm.exact import EXACT_SQL, exact_query
 from vistaquad.llm.licenses import licence_query
 from vistaquad.llm.minhash import near_duplicate_query
 from vistaquad.llm.quality import quality_query
+from vistaquad.llm.secrets import secret_query
 from vistaquad.llm.toxicity import toxicity_query
 from vistaquad.llm.warc import WARC_SQL, warc_query
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op7_toxicity": _labelled(toxicity_query),
     "op8_decontamination": lambda spark, sf_dir: contamination_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op9_licenses": _documents(licence_query),
+    "op10_secrets": _documents(secret_query),
 }
 
 ORACLES = {
