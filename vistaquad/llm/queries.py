@@ -8,6 +8,7 @@ from vistaquad.llm.licenses import licence_query
 from vistaquad.llm.minhash import near_duplicate_query
 from vistaquad.llm.quality import quality_query
 from vistaquad.llm.secrets import secret_query
+from vistaquad.llm.suffix import passage_query
 from vistaquad.llm.toxicity import toxicity_query
 from vistaquad.llm.warc import WARC_SQL, warc_query
 
@@ -22,6 +23,7 @@ def _labelled(query):
 
 QUERIES = {
     "op1_minhash_near_dedup": _documents(near_duplicate_query),
+    "op2_repeated_passages": _documents(passage_query),
     "op3_byte_bpe": _documents(bpe_query),
     "op4_exact_dedup": _documents(exact_query),
     "op5_quality": _labelled(quality_query),
