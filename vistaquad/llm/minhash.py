@@ -6,7 +6,8 @@ link is needed only where it joins two components, so no step emits all pairs of
 
 1. each bucket's smallest id is compared with its members (as many pairs as rows);
 2. of buckets that still span components, each member outside the largest one proposes its best partners elsewhere;
-3. of buckets that still span components, every pair across components whose signatures agree well enough is confirmed.
+3. of buckets that still span components, every pair across components whose signatures agree well enough is judged on
+   full sets inside the bucket, until its components are joined.
 
 Signatures only rule pairs out, by a margin of MARGIN standard deviations; every link is confirmed on full sets.
 Buckets beyond BLOCK members are dealt out as pairs of blocks, so no task holds an unbounded group.
@@ -26,6 +27,7 @@ from vistaquad.llm.common import WordHashes, settle, shingle_hashes, space_words
 ROWS = 6  # hash minima in a band
 MARGIN = 4.5
 BLOCK = 3000  # members of a bucket that meet in one group
+BLOCK_SHINGLES = 4_000_000  # or their shingles, if those are more
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = 1e-7) -> int:
@@ -159,42 +161,69 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _proposer(bands: int, rows: int, cut: float, best: int | None):
-    """For one bucket's pair of blocks: pairs across components whose signatures agree by cut at least.
+def _proposer(bands: int, rows: int, cut: float, percent: int, best: int):
+    """For one bucket's pair of blocks: the pairs of each member outside the largest component with its `best` likeliest
+    partners in other components."""
 
-    With best, only that many of each member outside the largest component. A pair is left to the first band it shares.
+    def run(key, frame):
+        left, right = int(key[2]), int(key[3])
+        ids, comps, blocks, sizes = (frame[c].to_numpy() for c in ("id", "component", "block", "n"))
+        sig = np.frombuffer(b"".join(frame["signature"]), "<u2").reshape(-1, bands * rows)
+        a_side, b_side = np.flatnonzero(blocks == left), np.flatnonzero(blocks == right)
+        found, count = np.unique(comps, return_counts=True)
+        largest = found[np.argmax(count)]
+        out = []
+        for i in a_side[comps[a_side] != largest]:
+            to = b_side[comps[b_side] != comps[i]]
+            to = to[100 * np.minimum(sizes[to], sizes[i]) >= percent * np.maximum(sizes[to], sizes[i])]
+            share = (sig[to] == sig[i]).mean(axis=1)
+            ok = np.flatnonzero(share >= cut)
+            hit = ids[to[ok[np.argsort(-share[ok], kind="stable")[:best]]]]
+            out.append(np.stack([np.minimum(hit, ids[i]), np.maximum(hit, ids[i])]))
+        a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def _finisher(bands: int, rows: int, cut: float, percent: int, k: int):
+    """For one bucket's pair of blocks: links on full sets that join components; all pairs across components are judged.
+
+    A pair is left to the first band it shares, and passed over once its components are joined here.
     """
 
     def run(key, frame):
         band, left, right = int(key[0]), int(key[2]), int(key[3])
-        ids, comps, blocks, sizes = frame["id"].to_numpy(), frame["component"].to_numpy(), frame["block"].to_numpy(), frame["n"].to_numpy()
+        ids, blocks, sizes = (frame[c].to_numpy() for c in ("id", "block", "n"))
+        found, comps = np.unique(frame["component"].to_numpy(), return_inverse=True)
         sig = np.frombuffer(b"".join(frame["signature"]), "<u2").reshape(-1, bands * rows)
+        words, texts, sets = WordHashes(), frame["text"].to_list(), {}
+
+        def own(i):
+            if i not in sets:
+                sets[i] = np.unique(shingle_hashes(words.of(space_words(texts[i])), k))
+            return sets[i]
+
         a_side, b_side = np.flatnonzero(blocks == left), np.flatnonzero(blocks == right)
-        found, count = np.unique(comps, return_counts=True)
-        largest = found[np.argmax(count)]
         a_out, b_out = [], []
         for i in a_side:
-            if best is not None and comps[i] == largest:
-                continue
             to = b_side[comps[b_side] != comps[i]]
-            if best is None:  # each pair once: from the smaller id where one block meets itself
-                to = to[ids[to] > ids[i]] if left == right else to
-            small, big = np.minimum(sizes[to], sizes[i]), np.maximum(sizes[to], sizes[i])
-            to = to[small >= (cut - 0.001) * big] if len(to) else to
+            if left == right:
+                to = to[ids[to] > ids[i]]
+            to = to[100 * np.minimum(sizes[to], sizes[i]) >= percent * np.maximum(sizes[to], sizes[i])]
             if not len(to):
                 continue
             same = sig[to] == sig[i]
             share = same.mean(axis=1)
-            ok = share >= cut
-            if best is None:
-                ok &= same.reshape(len(to), bands, rows).all(axis=2).argmax(axis=1) == band
-            elif ok.sum() > best:
-                ok &= share >= np.sort(share[ok])[-best]
-                ok[np.flatnonzero(ok)[best:]] = False
-            hit = ids[to[ok]]
-            a_out.append(np.minimum(hit, ids[i])), b_out.append(np.maximum(hit, ids[i]))
-        empty = np.empty(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([empty, *a_out]), "b": np.concatenate([empty, *b_out])})
+            ok = np.flatnonzero((share >= cut) & (same.reshape(len(to), bands, rows).all(axis=2).argmax(axis=1) == band))
+            for j in to[ok[np.argsort(-share[ok], kind="stable")]]:
+                if comps[i] != comps[j]:
+                    x, y = own(i), own(j)
+                    common = len(x) + len(y) - len(np.union1d(x, y))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        comps[comps == comps[j]] = comps[i]
+                        a_out.append(min(ids[i], ids[j])), b_out.append(max(ids[i], ids[j]))
+        return pd.DataFrame({"a": np.array(a_out, np.int64), "b": np.array(b_out, np.int64)})
 
     return run
 
@@ -232,27 +261,29 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = settle(confirmed(tested, texts, k, percent), "links")
     reached = components(links)
 
-    # 2 and 3. What the stars left apart.
-    for best in (4, None):
-        named = buckets.select("band", "value", "members", "id", "n").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        apart = named.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "value")
-        blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-        placed = named.join(apart, ["band", "value"], "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        # Row (block i) goes to the pairs (i, j) and (j, i); with best every order is wanted, else i <= j.
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        placed = placed.withColumn("other", other)
-        pair = [F.struct(F.col("block").alias("l"), F.col("other").alias("r")), F.struct(F.col("other").alias("l"), F.col("block").alias("r"))]
-        placed = placed.withColumn("pair", F.explode(F.array_distinct(F.array(*pair))))
-        if best is None:
-            placed = placed.where("pair.l <= pair.r")
-        placed = placed.join(sigs, "id").select("band", "value", F.col("pair.l").alias("l"), F.col("pair.r").alias("r"), "block", "id", "n", "component", "signature")
-        pairs = placed.groupBy("band", "value", "l", "r").applyInPandas(_proposer(bands, rows, cut, best), "a long, b long").distinct()
-        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "proposed")
-        tested = tested.union(pairs)
-        new = settle(confirmed(pairs, texts, k, percent), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            reached = components(links)
+    # 2 and 3. What the stars left apart; the smallest id has met all the others of its bucket.
+    def apart() -> DataFrame:
+        named = buckets.where("members > 2 and id <> pivot").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_ = named.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n").alias("shingles")).where("lo <> hi")
+        blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+        placed = named.join(open_.select("band", "value", "shingles"), ["band", "value"]).withColumn("blocks", blocks)
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return placed.join(sigs, "id")
+
+    ordered = F.struct(F.col("block").alias("l"), F.col("other").alias("r")), F.struct(F.col("other").alias("l"), F.col("block").alias("r"))
+    both = apart().withColumn("pair", F.explode(F.array_distinct(F.array(*ordered))))  # block i meets j as (i, j) and as (j, i)
+    columns = ["band", "value", F.col("pair.l").alias("l"), F.col("pair.r").alias("r"), "block", "id", "n", "component", "signature"]
+    pairs = both.select(*columns).groupBy("band", "value", "l", "r").applyInPandas(_proposer(bands, rows, cut, percent, 4), "a long, b long").distinct()
+    pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "proposed")
+    new = settle(confirmed(pairs, texts, k, percent), "links")
+    if not new.isEmpty():
+        links = links.union(new)
+        reached = components(links)
+    once = apart().withColumn("pair", F.struct(F.least("block", "other").alias("l"), F.greatest("block", "other").alias("r")))
+    finished = once.join(texts, "id").select(*columns, "text").groupBy("band", "value", "l", "r").applyInPandas(_finisher(bands, rows, cut, percent, k), "a long, b long")
+    new = settle(finished.distinct(), "links")
+    if not new.isEmpty():
+        reached = components(links.union(new))
 
     by_rep = classes.join(reached, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return signed.join(by_rep, "set_key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
