@@ -4,9 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaquad.functions import geometry, quads
-from vistaquad.operators import estimate, points, raster, report, stitch
+from vistaquad.operators import detect, estimate, points, raster, refine, report, search, stitch, warp
 from vistaquad.plans import standins as s
 from vistaquad.plans.sql import ORACLES  # noqa: F401
+from vistaquad.sources.images import pack
 
 V = ["v"]
 
@@ -129,3 +130,51 @@ QUERIES = {
     "q27_similarity_points": similarity_points,
     "q28_dlt_sums": dlt_sums,
 }
+
+
+def _cameras(spark, d):
+    """Twenty cameras with up to eight squares and 24 points each, and a known homography for all."""
+    h = F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(geometry.ENTRIES, s.H_SECOND, strict=True)))
+    rows = s.part_points(spark, d).where("idx < 480").withColumn("camera_id", F.col("idx") % 20)
+    u, v = geometry.project(h, F.col("src_x"), F.col("src_y"))
+    marks = rows.withColumns({"dst_x": u, "dst_y": v})
+    quads_ = s.quads(spark, d).where("quad_id < 160").withColumn("camera_id", F.col("quad_id") % 20)
+    start = marks.select("camera_id").distinct().withColumn("h", geometry.homography([x * 1.02 for x in s.H_SECOND[:8]]))
+    return start, quads_.select("camera_id", "corners"), marks
+
+
+def refined(spark, d):
+    start, corners, marks = _cameras(spark, d)
+    return refine.refine(start, corners, marks, refine.stages(2, methods="L-BFGS-B")).select("camera_id", "h.*", "objective", "error")
+
+
+def searched(spark, d):
+    start, corners, marks = _cameras(spark, d)
+    trials = search.sample(spark, list(range(3)), 6).withColumn("camera_id", F.col("camera_id").cast("long"))
+    found = search.run(trials, start, corners, marks, marks.where("idx < 200"))
+    return found.select("camera_id", "trial_id", "levels", "success", "error", "initial_error", "optimized_error", "squares_count")
+
+
+def _images(spark, d):
+    return pack(s.pixels(spark, d).withColumn("image_id", F.col("image_id").cast("string")), V)
+
+
+def warped(spark, d):
+    shots = _images(spark, d)
+    h = shots.select("image_id", geometry.homography([1.1, 0.05, 3, -0.02, 0.9, 2, 1e-4, 0, 1]).alias("h"))
+    out = warp.warp(shots, h, 80, 240)
+    return out.select("image_id", "height", "width", F.sha2("data", 256).alias("data_sha256"))
+
+
+def detected(spark, d):
+    found = detect.squares(_images(spark, d), min_area=20, level=128)
+    return found.select("image_id", "square_id", F.posexplode("corners").alias("pos", "p")).select("image_id", "square_id", "pos", "p.x", "p.y")
+
+
+QUERIES |= {
+    "q29_refine": refined,
+    "q30_search": searched,
+    "q31_warp": warped,
+    "q32_multiband": lambda spark, d: warp.multiband(_pair(spark, d), V).drop("pair_id"),
+    "q33_detect": detected,
+}
