@@ -167,7 +167,7 @@ def warped(spark, d):
 
 
 def detected(spark, d):
-    found = detect.squares(_images(spark, d), min_area=20, level=128)
+    found = detect.squares(pack(s.pictures(spark, d), V), min_area=200)
     return found.select("image_id", "square_id", F.posexplode("corners").alias("pos", "p")).select("image_id", "square_id", "pos", "p.x", "p.y")
 
 

@@ -42,6 +42,16 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image_id", "y", "x", v.cast("int").alias("v"))
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gray picture of 48 x 64 for each supplier: a bright field in a dark frame, and a dark square on it."""
+    k, x, y = F.col("s_suppkey"), F.col("x"), F.col("y")
+    grid = read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    field = x.between(4, 59) & y.between(4, 43)
+    left, top, size = 10 + k % 20, 8 + k % 7, 18 + k % 5
+    square = x.between(left, left + size) & y.between(top, top + size)
+    return grid.select(k.cast("string").alias("image_id"), "y", "x", F.when(field & ~square, 230).otherwise(30).alias("v"))
+
+
 def image(spark: SparkSession, sf_dir: str, image_id: int, shift: int = 0) -> DataFrame:
     """One of the images as a member of pair 0; with shift, its left columns are black."""
     rows = pixels(spark, sf_dir).where(F.col("image_id") == image_id)
