@@ -6,35 +6,35 @@ from pyspark.sql import functions as F
 PREFIX = 64  # characters under the prefix hash
 
 
-def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of docs: id, keep_id (the largest id among rows of that very text), group_size, kept.
+def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple = ()) -> DataFrame:
+    """One row per row of docs: id, keep_id (the largest id among rows of that very text), group_size, kept, then the
+    columns of docs that carry names.
 
     Rows are grouped by length, those that share it by a hash of their first PREFIX characters, and only those that
     share both by SHA-256 of the full text, for which texts are read again. Null counts as empty. Rows with a null id
     count in group_size and have null in kept; keep_id is null if all of a group's ids are. A repeated row counts and
-    is returned as often as it occurs. Other columns are not looked at. An empty table gives an empty result.
+    is returned as often as it occurs; rows of different texts under one id are judged each by its own text. Other
+    columns are not looked at. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    named = [F.col(id_column).alias("id"), F.octet_length(text).cast("long").alias("len"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("head")]
+    carried = F.struct(F.lit(0).alias("_"), *carry).alias("carried")
+    named = [F.col(id_column).alias("id"), F.octet_length(text).cast("long").alias("len"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("head"), carried]
     rows = docs.select(*named)
     by_len = rows.groupBy("len").agg(F.count("*").alias("n_len"))
     by_head = rows.join(by_len.where("n_len > 1"), "len", "left_semi").groupBy("len", "head").agg(F.count("*").alias("n_head"))
     shared = by_head.where("n_head > 1").select("len", "head")
     key = ["len", "head"]
-    again = docs.select(*named, text.alias("text")).join(shared, key, "left_semi").select("id", *key, F.sha2("text", 256).alias("full"))
+    again = docs.select(*named, text.alias("text")).join(shared, key, "left_semi").select("id", *key, F.sha2("text", 256).alias("full"), "carried")
     groups = again.groupBy(*key, "full").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    # A row repeated or sharing an id is kept apart by its place in (key, full), so each row meets one group.
-    same = again.join(groups, [*key, "full"]).select("id", "keep_id", "group_size")
-    alone = rows.join(shared, key, "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return same.union(alone).withColumn("kept", F.col("id") == F.col("keep_id"))
+    same = again.join(groups, [*key, "full"]).select("id", "keep_id", "group_size", "carried")
+    alone = rows.join(shared, key, "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "carried")
+    return same.union(alone).select("id", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), *(F.col("carried")[c].alias(c) for c in carry))
 
 
 def exact_query(docs: DataFrame) -> DataFrame:
-    """op4: with the digest of every text, which is computed in the scan that the query adds."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    digests = docs.select("doc_id", F.sha2(text, 256).alias("text_sha256")).distinct()
-    found = exact_duplicates(docs).withColumnRenamed("id", "doc_id")
-    return found.join(digests, found.doc_id.eqNullSafe(digests.doc_id)).select(found.doc_id, "keep_id", "group_size", "kept", "text_sha256")
+    """op4: with the digest of every text, computed in the scans and carried along."""
+    digests = docs.select("doc_id", "text", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"))
+    return exact_duplicates(digests, carry=("text_sha256",)).withColumnRenamed("id", "doc_id")
 
 
 EXACT_SQL = """

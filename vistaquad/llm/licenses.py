@@ -30,6 +30,7 @@ TEMPLATES = [
     ("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
+    ("mit", "licensed under the mit license", "mit license"),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "free of charge"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
