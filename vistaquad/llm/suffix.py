@@ -28,8 +28,8 @@ MIN_BYTES = 50
 GRAM = 24
 SHARD_BYTES = 4_000_000
 SHARDS_PER_PART = 4
-BLOCK_BYTES = 6_000_000  # of stretches in one transform; the stretches of one anchor always stay together
-PIECE = 1 << 21  # window starts that are hashed at a time
+BLOCK_BYTES = 2_000_000  # of stretches in one transform; the stretches of one anchor always stay together
+PIECE = 1 << 20  # window starts that are hashed at a time
 END = 255  # no byte of UTF-8 text; stands after each stretch
 
 
@@ -418,7 +418,8 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     sent = with_notes(copies, _send_anchors(parts, min_bytes), "part int, shard int, blob binary")
     again = sent.groupBy("part").applyInArrow(_repeated, "shard int, copy long, blob binary")
-    stretches = with_notes(again.union(copies), _send_stretches(parts, min_bytes), "part int, shard int, blob binary")
+    # A part of stretches is held as Python objects, so there are as many parts as shards.
+    stretches = with_notes(again.union(copies), _send_stretches(shards, min_bytes), "part int, shard int, blob binary")
     decided = stretches.groupBy("part").applyInArrow(_decide(min_bytes), "shard int, copy long, blob binary")
     return with_notes(decided.union(copies), _remove(min_bytes, with_text), "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
 
