@@ -43,7 +43,8 @@ def bounds_of(params: np.ndarray, mode) -> np.ndarray | None:
 
 def quad_metrics(squares: np.ndarray, size: float) -> np.ndarray:
     """The compat square metric (see quads.metric) of each of n x 4 x 2 quads."""
-    start = np.array([np.lexsort((q[:, 0], q[:, 1]))[0] for q in squares], int)
+    x, y = squares[:, :, 0], squares[:, :, 1]
+    start = np.where(y == y.min(axis=1, keepdims=True), x, np.inf).argmin(axis=1)  # the topmost corner, of equals the leftmost
     q = squares[np.arange(len(squares))[:, None], (start[:, None] + np.arange(4)) % 4]
     q = q - q[:, :1]
     t = -np.arctan2(q[:, 1, 1], q[:, 1, 0])

@@ -132,26 +132,33 @@ QUERIES = {
 }
 
 
+POINTS, SQUARES = 24, 8  # of a camera, at least
+
+
 def _cameras(spark, d):
-    """Twenty cameras with up to eight squares and 24 points each, and a known homography for all."""
+    """How many cameras there are, and all rows dealt to them, with a known homography for all.
+
+    A camera has at least POINTS points and SQUARES squares, and fewer than twice as many of one of them.
+    """
     h = F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(geometry.ENTRIES, s.H_SECOND, strict=True)))
-    rows = s.part_points(spark, d).where("idx < 480").withColumn("camera_id", F.col("idx") % 20)
+    rows, squares = s.part_points(spark, d), s.quads(spark, d)
+    n = max(1, min(rows.count() // POINTS, squares.count() // SQUARES))
+    rows = rows.withColumn("camera_id", F.col("idx") % n)
     u, v = geometry.project(h, F.col("src_x"), F.col("src_y"))
     marks = rows.withColumns({"dst_x": u, "dst_y": v})
-    quads_ = s.quads(spark, d).where("quad_id < 160").withColumn("camera_id", F.col("quad_id") % 20)
-    start = marks.select("camera_id").distinct().withColumn("h", geometry.homography([x * 1.02 for x in s.H_SECOND[:8]]))
-    return start, quads_.select("camera_id", "corners"), marks
+    start = spark.range(n).select(F.col("id").alias("camera_id"), geometry.homography([x * 1.02 for x in s.H_SECOND[:8]]).alias("h"))
+    return n, start, squares.select((F.col("quad_id") % n).alias("camera_id"), "corners"), marks
 
 
 def refined(spark, d):
-    start, corners, marks = _cameras(spark, d)
+    _, start, corners, marks = _cameras(spark, d)
     return refine.refine(start, corners, marks, refine.stages(2, methods="L-BFGS-B")).select("camera_id", "h.*", "objective", "error")
 
 
 def searched(spark, d):
-    start, corners, marks = _cameras(spark, d)
-    trials = search.sample(spark, list(range(3)), 6).withColumn("camera_id", F.col("camera_id").cast("long"))
-    found = search.run(trials, start, corners, marks, marks.where("idx < 200"))
+    n, start, corners, marks = _cameras(spark, d)
+    trials = search.sample(spark, list(range(n)), 6).withColumn("camera_id", F.col("camera_id").cast("long"))
+    found = search.run(trials, start, corners, marks, marks)
     return found.select("camera_id", "trial_id", "levels", "success", "error", "initial_error", "optimized_error", "squares_count")
 
 
