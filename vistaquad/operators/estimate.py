@@ -72,29 +72,32 @@ def _exact(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
 def ransac(points: DataFrame, by: tuple = ("camera_id",), samples: int = 200, limit: float = 3.0, seed: int = 1) -> DataFrame:
     """h of each camera, robust: candidates from random fours, inliers counted over all points, refit on the best's.
 
-    Candidates come from at most 64 points of each camera, chosen by a seeded hash, and are `samples` at most; counting
-    is a join on the camera and a sum, whatever number of points it has.
+    Each of the `samples` fours is drawn from all distinct points of the camera, the four least by a hash of seed, trial
+    and point; repeated points count once there. Counting is a join on the camera and a sum, whatever number of points it
+    has. A camera without a result keeps its row, with a null h.
     """
     by = list(by)
-    draw = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), "src_x", "src_y", "dst_x", "dst_y")))
-    chosen = points.withColumn("_r", draw).where("_r <= 64").drop("_r")
-
-    def candidates(key, frame):
-        rng = np.random.default_rng(seed)
-        src, dst = frame[["src_x", "src_y"]].to_numpy(np.float32).astype(float), frame[["dst_x", "dst_y"]].to_numpy(np.float32).astype(float)
-        found = []
-        for _ in range(samples if len(src) >= 4 else 0):
-            pick = rng.choice(len(src), 4, replace=False)
-            h = _exact(src[pick], dst[pick])
-            if h is not None:
-                found.append(dict(zip(ENTRIES, h, strict=True)))
-        return pd.DataFrame({**{k: [v] * len(found) for k, v in zip(by, key, strict=True)}, "trial": np.arange(len(found)), "h": found})
+    sides = ["src_x", "src_y", "dst_x", "dst_y"]
+    distinct = points.select(*by, *(as_float(F.col(c)).alias(c) for c in sides)).dropna().dropDuplicates([*by, *sides])
+    dealt = distinct.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    draw = F.row_number().over(Window.partitionBy(*by, "trial").orderBy(F.xxhash64(F.lit(seed), "trial", *sides), *sides))
+    fours = dealt.withColumn("_r", draw).where("_r <= 4").groupBy(*by, "trial").agg(F.sort_array(F.collect_list(F.struct("_r", *sides))).alias("four"))
+
+    def solve(frames):
+        for frame in frames:
+            found = []
+            for four in frame["four"]:
+                p = np.array([[x[c] for c in sides] for x in four], float)
+                h = _exact(p[:, :2], p[:, 2:])
+                found.append(None if h is None else dict(zip(ENTRIES, h, strict=True)))
+            yield pd.DataFrame({**{k: frame[k] for k in by}, "trial": frame["trial"], "h": pd.Series(found, frame.index, dtype=object)})
 
     types = dict(points.dtypes)
     named = ", ".join(f"{k} {types[k]}" for k in by)
-    tried = chosen.groupBy(*by).applyInPandas(candidates, f"{named}, trial int, h {HOMOGRAPHY}")
+    tried = fours.where(F.size("four") == 4).mapInPandas(solve, f"{named}, trial int, h {HOMOGRAPHY}").where("h is not null")
     u, v = project(F.col("h"), F.col("src_x"), F.col("src_y"))
     near = distance(u, v, as_float(F.col("dst_x")), as_float(F.col("dst_y"))) <= limit
     counted = points.join(tried, by).groupBy(*by, "trial").agg(F.sum(near.cast("long")).alias("inliers"), F.first("h").alias("h"))
     best = counted.groupBy(*by).agg(F.max(F.struct("inliers", (-F.col("trial")).alias("t"), "h")).alias("b")).select(*by, F.col("b.h").alias("h"))
-    return least_squares(points.join(best, by).where(near).drop("h"), tuple(by))
+    found = least_squares(points.join(best, by).where(near).drop("h"), tuple(by))
+    return points.select(*by).distinct().join(found, by, "left")
