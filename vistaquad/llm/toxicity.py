@@ -2,7 +2,8 @@
 
 A word's vector is the mean of the vectors of itself and its character n-grams (hashed into buckets), a document's the
 mean over its words, and a linear softmax on it gives the label. Embeddings and softmax are learned together by Adam.
-A misspelling shares most n-grams with the word it stands for, so it gets a vector near that word's.
+A misspelling shares most n-grams with the word it stands for, so it gets a vector near that word's. Unspaced text is one
+word, whose n-grams all count; in training they are held at once, about 30 bytes for each byte of distinct words.
 """
 
 import pickle
@@ -22,19 +23,28 @@ DIM = 4
 GAIN = 40.0  # of the averaged vector before the softmax: toxic words are a few in a hundred
 SAMPLE = 2500  # labelled documents to learn from, at most
 NGRAMS = (3, 5)
+BLOCK = 1 << 14  # characters of a word whose n-grams are held at once
+KEPT_BYTES = 800  # of a word whose margin is kept, at most: unspaced text is one long word
 DAMP = 0.02  # of the largest gradient, added to each step's scale
 LEAST = 12  # holding documents, summed over a bucket's words, from which it gets a vector
 COMMON = 0.05  # share of documents that halves a word's weight
 SHARE = 0.004  # of a document's words that count in full; what a word has beyond (junk repeats) counts by its root
 
 
+def gram_blocks(word: bytes):
+    """Buckets of a word and of its character n-grams, in UTF-8 characters, with marks for its ends; all of the word,
+    however long, in blocks of at most 3 * BLOCK + 1."""
+    text = f"<{word.decode('utf-8', 'replace')}>"
+    for at in range(0, len(text), BLOCK):
+        found = [] if at else [text]
+        for n in range(NGRAMS[0], NGRAMS[1] + 1):
+            found += [text[i : i + n] for i in range(at, min(at + BLOCK, len(text) - n + 1))]
+        if found:
+            yield np.fromiter((xxhash.xxh3_64_intdigest(g) % BUCKETS for g in found), np.int32, len(found))
+
+
 def grams(word: bytes) -> np.ndarray:
-    """Buckets of a word and of its character n-grams, in UTF-8 characters, with marks for its ends."""
-    text = f"<{word.decode('utf-8', 'replace')[:200]}>"
-    found = [text]
-    for n in range(NGRAMS[0], NGRAMS[1] + 1):
-        found += [text[i : i + n] for i in range(len(text) - n + 1)]
-    return np.fromiter((xxhash.xxh3_64_intdigest(g) % BUCKETS for g in found), np.int32, len(found))
+    return np.concatenate(list(gram_blocks(word)))
 
 
 class Bags:
@@ -117,7 +127,10 @@ class Model:
         return self.seen
 
     def word(self, word: bytes) -> float:
-        return float(self.margin[grams(word)].mean()) * self.common.get(word, 1.0)
+        total, n = 0.0, 0
+        for block in gram_blocks(word):
+            total, n = total + float(self.margin[block].sum(dtype=np.float64)), n + len(block)
+        return total / n * self.common.get(word, 1.0)
 
 
 class Margins(dict):
@@ -129,7 +142,7 @@ class Margins(dict):
 
     def __missing__(self, word: bytes) -> float:
         value = self.model.word(word)
-        if len(self) < 200_000:
+        if len(self) < 200_000 and len(word) <= KEPT_BYTES:
             self[word] = value
         return value
 
