@@ -1,7 +1,9 @@
-"""Whole words: nothing is cut before it is scored."""
+"""Whole words and quoted keys: nothing is cut before it is scored."""
 
 import numpy as np
-from vistaquad.llm import toxicity
+from pyspark.sql import functions as F
+
+from vistaquad.llm import secrets, toxicity
 
 
 def test_grams_cover_the_whole_word():
@@ -32,3 +34,11 @@ def test_toxic_end_of_unspaced_text_counts():
     start = "字" * 250
     plain, toxic = toxicity._score(model, [(start + "ordinary" * 20).encode(), (start + "scoundrelish" * 20).encode()])
     assert toxic > plain
+
+
+def test_secrets_after_quoted_keys_and_all_names(spark):
+    forms = ['{{"{0}": "hunter2xyz"}}', "'{0}' : 'hunter2xyz'", '"{0}":"hunter2xyz"', "{0}: hunter2xyz", "{0} = 'hunter2xyz'", "{0} := hunter2xyz", '"{1}": "hunter2xyz"']
+    texts = [f.format(n, n.upper()) for n in secrets.NAMES for f in forms] + ["Authorization: Bearer hunter2xyz"]
+    found = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    starts = {r.id: r.start for r in found.where(F.col("candidate") == "hunter2xyz").collect()}
+    assert {i: texts[i].index("hunter2xyz") for i in range(len(texts))} == starts

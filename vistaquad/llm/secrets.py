@@ -23,8 +23,11 @@ COMMON = ["the", "and", "for", "with", "from", "this", "that", "key", "name", "f
 FORMATS = ["AKIA[0-9A-Z]{16}", "gh[pousr]_[0-9A-Za-z]{36}", "xox[abpr]-[0-9A-Za-z-]{10,}", "sk_live_[0-9A-Za-z]{16,}", "AIza[0-9A-Za-z_-]{35}", "eyJ[0-9A-Za-z_-]{10,}"]
 
 _RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}+"
-_ASSIGNED = r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key)\s{0,3}[=:]"
-_VALUE = rf"(?<=[=:\s\x22'])(?<=(?i:password|passwd|pwd|secret|token|api_key|api-key|apikey)\s{{0,3}}[=:]\s{{0,3}}[\x22']?)[^\s\x22',;=:]{{6,}}+"
+# A name in code, JSON or YAML may be quoted; a bearer's value follows after spaces, too.
+_NAMED = r"(?i:" + "|".join(NAMES) + r")"
+_SEPARATOR = r"[\x22']?\s{0,3}(?::=|[=:])"
+_ASSIGNED = rf"{_NAMED}{_SEPARATOR}|(?i:\bbearer)\s"
+_VALUE = rf"(?<=[=:\s\x22'])(?:(?<={_NAMED}{_SEPARATOR}\s{{0,3}}[\x22']?)|(?<=\b(?i:bearer)\s{{1,3}}[\x22']?))[^\s\x22',;=:]{{6,}}+"
 _CANDIDATE = f"{_RUN}|{_VALUE}"
 _SPARK_ALL = f"({_CANDIDATE})"
 
