@@ -17,7 +17,7 @@ def test_pipeline_equals_plain_stages(spark):
     docs = table(spark, SF, "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
     model = toxicity.fit_toxicity(docs, table(spark, SF, "labels"))
-    kept = {i: t for i, t in texts.items() if toxicity._score(model, [(t or "").encode()])[0] < 0.5}
+    kept = {i: t for i, t in texts.items() if model.score([(t or "").encode()])[0] < 0.5}
     last = {}
     for i, t in kept.items():
         last[t or ""] = max(i, last.get(t or "", i))

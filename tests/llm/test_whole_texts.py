@@ -6,19 +6,25 @@ from pyspark.sql import functions as F
 from vistaquad.llm import secrets, toxicity
 
 
+def grams(word):
+    found = list(toxicity.gram_blocks([word]))
+    assert not any(w.any() for _, w in found)
+    return np.concatenate([b for b, _ in found])
+
+
 def test_grams_cover_the_whole_word():
-    word = "".join(map(chr, range(0x4E00, 0x4E00 + 300))).encode()
-    assert len(toxicity.grams(word)) == 1 + 300 + 299 + 298
-    assert not np.array_equal(toxicity.grams(word), toxicity.grams(word[:-3] + b"abc"))
+    word = "".join(map(chr, range(0x4E00, 0x4E00 + 298))).encode()
+    assert len(grams(word)) == 1 + 298 + 297 + 296
+    assert not np.array_equal(grams(word), grams(word[:-3] + b"abc"))
 
 
 def test_blocks_change_nothing(monkeypatch):
-    word = b"abcdefghij" * 30
-    whole = np.sort(toxicity.grams(word))
-    model = toxicity.Model(np.random.default_rng(0).normal(0, 1, (toxicity.BUCKETS, toxicity.DIM)), np.eye(toxicity.DIM, 2), np.zeros(2), {})
-    margin = model.word(word)
-    monkeypatch.setattr(toxicity, "BLOCK", 7)
-    assert np.array_equal(np.sort(toxicity.grams(word)), whole) and abs(model.word(word) - margin) < 1e-9
+    text = b"abcdefghij" * 30 + b" some words some " + "Grüße, 東京".encode()
+    whole = toxicity.bag(text)
+    for block in (7, 400):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        found, weights = toxicity.bag(text)
+        assert np.array_equal(found, whole[0]) and np.allclose(weights, whole[1])
 
 
 def test_toxic_end_of_unspaced_text_counts():
@@ -30,9 +36,9 @@ def test_toxic_end_of_unspaced_text_counts():
             own[3] = "scoundrelish"
         texts.append(" ".join(own).encode())
         labels.append(int(i % 4 == 0))
-    model = toxicity.train(texts, np.array(labels))
+    model = toxicity.train([toxicity.bag(t) for t in texts], np.array(labels))
     start = "字" * 250
-    plain, toxic = toxicity._score(model, [(start + "ordinary" * 20).encode(), (start + "scoundrelish" * 20).encode()])
+    plain, toxic = model.score([(start + "ordinary" * 20).encode(), (start + "scoundrelish" * 20).encode()])
     assert toxic > plain
 
 

@@ -1,9 +1,13 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of itself and its character n-grams (hashed into buckets), a document's the
-mean over its words, and a linear softmax on it gives the label. Embeddings and softmax are learned together by Adam.
-A misspelling shares most n-grams with the word it stands for, so it gets a vector near that word's. Unspaced text is one
-word, whose n-grams all count; in training they are held at once, about 30 bytes for each byte of distinct words.
+A word is the mean of the embeddings of itself and its character n-grams (hashed into buckets), a document the weighted
+sum over its distinct words, by rarity of the buckets and scaled to unit weight; a linear softmax on it gives the label.
+Embeddings and softmax are learned together by gradient descent with momentum. A misspelling shares most n-grams with
+the word it stands for, so it gets a vector near that word's, met or not.
+
+The labelled documents are dealt into FOLDS; each fold is scored by a model that has not seen it, and scale and bias of
+the scores are fitted on those margins so that at 0.5 both kinds of error weigh the same. The model returned is the mean
+of the folds' models, which is one softmax over their embeddings side by side.
 """
 
 import pickle
@@ -16,80 +20,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaquad.llm.common import alnum_words, utf8
+from vistaquad.llm.common import MIX, alnum_words, mixed, utf8
 
-BUCKETS = 1 << 18
+BITS = 18  # of a bucket
+BUCKETS = 1 << BITS
 DIM = 4
-GAIN = 40.0  # of the averaged vector before the softmax: toxic words are a few in a hundred
-SAMPLE = 2500  # labelled documents to learn from, at most
+SAMPLE = 4000  # labelled documents to learn from, at most; of each at most BUCKETS weights reach the task that learns
+FOLDS = 3
 NGRAMS = (3, 5)
-BLOCK = 1 << 14  # characters of a word whose n-grams are held at once
-KEPT_BYTES = 800  # of a word whose margin is kept, at most: unspaced text is one long word
-DAMP = 0.02  # of the largest gradient, added to each step's scale
-LEAST = 12  # holding documents, summed over a bucket's words, from which it gets a vector
-COMMON = 0.05  # share of documents that halves a word's weight
-SHARE = 0.004  # of a document's words that count in full; what a word has beyond (junk repeats) counts by its root
-
-
-def gram_blocks(word: bytes):
-    """Buckets of a word and of its character n-grams, in UTF-8 characters, with marks for its ends; all of the word,
-    however long, in blocks of at most 3 * BLOCK + 1."""
-    text = f"<{word.decode('utf-8', 'replace')}>"
-    for at in range(0, len(text), BLOCK):
-        found = [] if at else [text]
-        for n in range(NGRAMS[0], NGRAMS[1] + 1):
-            found += [text[i : i + n] for i in range(at, min(at + BLOCK, len(text) - n + 1))]
-        if found:
-            yield np.fromiter((xxhash.xxh3_64_intdigest(g) % BUCKETS for g in found), np.int32, len(found))
-
-
-def grams(word: bytes) -> np.ndarray:
-    return np.concatenate(list(gram_blocks(word)))
-
-
-class Bags:
-    """Training documents as distinct words with weights, words as n-grams; and the orders that training sums them in.
-
-    Indices are of 32 bits and each is kept in the one order that needs it: the driver holds all of this at once.
-    """
-
-    def __init__(self, texts: list):
-        index: dict = {}
-        words, weights, ends = [], [], []
-        for text in texts:
-            own = alnum_words(text)
-            held, count = np.unique(np.fromiter((index.setdefault(w, len(index)) for w in own), np.int32, len(own)), return_counts=True)
-            words.append(held)
-            weights.append(weight(count, len(own)))
-            ends.append(len(held))
-        self.word, self.weight = np.concatenate([*words, np.empty(0, np.int32)]), np.concatenate([*weights, np.empty(0)]).astype(np.float32)
-        holders = np.bincount(self.word, minlength=len(index)) / max(len(texts), 1)
-        self.common = {w: float(rare(holders[i])) for w, i in index.items() if holders[i] > COMMON / 10}
-        self.weight *= rare(holders)[self.word].astype(np.float32)
-        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), ends)
-        self.n_docs, self.n_words = len(texts), len(index)
-        lists = [grams(w) for w in index]
-        del index, words, weights
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        gram, self.holder = np.concatenate([*lists, np.empty(0, np.int32)]), np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
-        del lists
-        self.share = (1 / np.maximum(sizes, 1)).astype(np.float32)
-        # Buckets that hardly any document holds would only be learned by heart; their vectors stay zero.
-        held = np.bincount(gram, weights=np.bincount(self.word, minlength=self.n_words)[self.holder], minlength=BUCKETS)
-        often = held[gram] >= LEAST
-        gram, self.holder = gram[often], self.holder[often]
-        there = np.bincount(gram, minlength=BUCKETS) > 0
-        self.used = np.flatnonzero(there)
-        self.gram = (np.cumsum(there, dtype=np.int32) - 1)[gram]
-        order = np.argsort(self.gram, kind="stable").astype(np.int32)
-        self.gram_keys, self.gram_holders = self.gram[order], self.holder[order]
-        order = np.argsort(self.word, kind="stable").astype(np.int32)
-        self.word_keys, self.word_docs, self.word_weights = self.word[order], self.doc[order], self.weight[order]
-
-
-def rare(holders):
-    """How much a word counts by the share of documents that hold it."""
-    return COMMON / (COMMON + holders)
+BLOCK = 1 << 20  # characters whose n-grams are held at once
+LEAST = 0.002  # share of the documents (two at least) that must hold a bucket for it to get a vector
+SHARE = 0.004  # of a document's words that counts in full; what a word has beyond (junk repeats) counts by its root
+ROUNDS = 40
+RATE, SOFTMAX_RATE, MOMENTUM = 30.0, 0.6, 0.9
+
+
+def gram_blocks(words: list):
+    """(bucket, index of the word) of each word and of its character n-grams, with marks for its ends; all of every word,
+    however long, a block at a time."""
+    n = len(words)
+    yield np.fromiter((xxhash.xxh3_64_intdigest(w) >> (64 - BITS) for w in words), np.int32, n), np.arange(n, dtype=np.int32)
+    marked = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
+    holder = np.repeat(np.arange(n, dtype=np.int32), list(map(len, marked)))
+    text = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    for lo in range(0, len(text), BLOCK):
+        h = np.zeros(min(BLOCK, len(text) - lo), np.uint64)
+        for j in range(NGRAMS[1]):
+            m = min(len(h), len(text) - lo - j)
+            if m <= 0:
+                break
+            h = h[:m] * np.uint64(MIX) + text[lo + j : lo + j + m]
+            if j + 1 >= NGRAMS[0]:
+                own = holder[lo : lo + m]
+                whole = own == holder[lo + j : lo + j + m]
+                yield (mixed(h[whole] + np.uint64(j)) >> np.uint64(64 - BITS)).astype(np.int32), own[whole]
 
 
 def weight(count: np.ndarray, total: int) -> np.ndarray:
@@ -97,90 +61,136 @@ def weight(count: np.ndarray, total: int) -> np.ndarray:
     return np.where(share <= SHARE, share, np.sqrt(share * SHARE))
 
 
-def _sums(keys: np.ndarray, rows: np.ndarray, index: np.ndarray, n: int, scale: np.ndarray | None = None, block: int = 1 << 18) -> np.ndarray:
-    """Sums of rows[index], scaled, by keys, which ascend; gathered in blocks of whole keys."""
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    if not len(keys):
-        return out
-    starts = np.flatnonzero(np.diff(keys, prepend=-1))
-    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(keys), block)))
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(starts)), strict=True):
-        if lo < hi:
-            first, last = starts[lo], starts[hi] if hi < len(starts) else len(keys)
-            part = rows[index[first:last]]
-            if scale is not None:
-                part *= scale[first:last, None]
-            out[keys[starts[lo:hi]]] = np.add.reduceat(part, starts[lo:hi] - first, axis=0)
-    return out
+def bag(text: bytes) -> tuple:
+    """The buckets of a text, ascending, and the weight of each: that of its words, dealt out among their n-grams."""
+    own = alnum_words(text)
+    counts: dict = {}
+    for w in own:
+        counts[w] = counts.get(w, 0) + 1
+    if not counts:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    words = list(counts)
+    chars = np.fromiter((len(w.decode("utf-8", "replace")) + 2 for w in words), np.int64, len(words))
+    grams = 1 + sum(np.maximum(chars - n + 1, 0) for n in range(NGRAMS[0], NGRAMS[1] + 1))
+    each = weight(np.fromiter(counts.values(), np.float64, len(words)), len(own)) / grams
+    if chars.sum() > BLOCK:
+        total = sum(np.bincount(b, weights=each[w], minlength=BUCKETS) for b, w in gram_blocks(words))
+        found = np.flatnonzero(total)
+        return found.astype(np.int32), total[found].astype(np.float32)
+    buckets, holders = map(np.concatenate, zip(*gram_blocks(words), strict=True))
+    found, place = np.unique(buckets, return_inverse=True)
+    return found, np.bincount(place, weights=each[holders]).astype(np.float32)
 
 
 class Model:
-    def __init__(self, table: np.ndarray, softmax: np.ndarray, bias: np.ndarray, common: dict):
-        self.table, self.softmax, self.bias, self.common = table, softmax, bias, common
+    """table: embeddings of the buckets; rarity: of each bucket, 0 for those without a vector."""
+
+    def __init__(self, table: np.ndarray, softmax: np.ndarray, bias: np.ndarray, rarity: np.ndarray):
+        self.table, self.softmax, self.bias, self.rarity = table, softmax, bias, rarity
         # The softmax is linear, so a bucket's share of the label's margin can be summed instead of its vector.
-        self.margin = (table @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32) * GAIN
+        self.pull = table @ (softmax[:, 1] - softmax[:, 0])
+        self.base = float(bias[1] - bias[0])
 
-    def margins(self) -> "Margins":
-        """Kept with the model, so the tasks of a worker share it."""
-        if not hasattr(self, "seen"):
-            self.seen = Margins(self)
-        return self.seen
+    def margin(self, found: np.ndarray, weights: np.ndarray) -> float:
+        x = scaled(found, weights, self.rarity)
+        return self.base + float(x @ self.pull[found])
 
-    def word(self, word: bytes) -> float:
-        total, n = 0.0, 0
-        for block in gram_blocks(word):
-            total, n = total + float(self.margin[block].sum(dtype=np.float64)), n + len(block)
-        return total / n * self.common.get(word, 1.0)
+    def score(self, texts: list) -> list:
+        return [1 / (1 + np.exp(-np.clip(self.margin(*bag(t)), -40, 40))) for t in texts]
 
 
-class Margins(dict):
-    """Margins of words, kept for those seen first; the bound is on memory only."""
+def scaled(found: np.ndarray, weights: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    x = weights * rarity[found]
+    return x / max(float(np.sqrt(x @ x)), 1e-12)
 
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
 
-    def __missing__(self, word: bytes) -> float:
-        value = self.model.word(word)
-        if len(self) < 200_000 and len(word) <= KEPT_BYTES:
-            self[word] = value
-        return value
+def rarities(bags: list) -> np.ndarray:
+    """The squared inverse document frequency of each bucket; 0 where hardly any document holds it, for its vector would
+    only be learned by heart."""
+    held = np.zeros(BUCKETS, np.int64)
+    for found, _ in bags:
+        held[found] += 1
+    return np.where(held >= max(2, LEAST * len(bags)), np.log((len(bags) + 1) / (held + 0.5)) ** 2, 0).astype(np.float32)
 
 
-def train(texts: list, labels: np.ndarray, rounds: int = 40, rate: float = 0.4, decay: float = 1e-5, seed: int = 7) -> Model:
-    """Embeddings and softmax for binary labels; without both labels, a model that gives every text their share."""
-    labels = np.asarray(labels, np.int64)
+def descend(bags: list, labels: np.ndarray, n_vectors: int, seed: int) -> tuple:
+    """Embeddings of n_vectors buckets, softmax and bias, from documents as (bucket, weight). Labels of both kinds."""
     rng = np.random.default_rng(seed)
-    softmax, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-    table = np.zeros((BUCKETS, DIM), np.float32)
-    positive = labels.mean() if len(labels) else 0.5
-    if not 0 < positive < 1:
-        bias[1] = np.log((positive + 0.01) / (1.01 - positive))
-        return Model(table, softmax, bias, {})
-    bags = Bags(texts)
-    own = rng.normal(0, 0.02, (len(bags.used), DIM)).astype(np.float32)
-    target = np.zeros((len(labels), 2), np.float32)
-    target[np.arange(len(labels)), labels] = 1
-    share = np.where(labels == 1, 0.5 / positive, 0.5 / (1 - positive)).astype(np.float32)[:, None] ** 0.5
+    table = rng.normal(0, 0.01, (n_vectors, DIM))
+    softmax, bias = rng.normal(0, DIM**-0.5, (DIM, 2)), np.zeros(2)
+    ends = np.cumsum([len(found) for found, _ in bags])
+    bucket, weights = (np.concatenate(x) for x in zip(*bags, strict=True))
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20))  # documents in blocks, which bounds what is gathered
+    blocks = [(a, b, slice(ends[a - 1] if a else 0, ends[b - 1])) for a, b in zip(cuts, [*cuts[1:], len(bags)], strict=True) if a < b]
+    doc = np.repeat(np.arange(len(bags), dtype=np.int32), np.diff(ends, prepend=0))
+    share = np.where(labels == 1, 1 / labels.mean(), 1 / (1 - labels.mean())) ** 0.5
     share /= share.sum()
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (own, softmax, bias)]
-    for step in range(1, rounds + 1):
-        vectors = _sums(bags.holder, own, bags.gram, bags.n_words) * bags.share[:, None]
-        means = _sums(bags.doc, vectors, bags.word, bags.n_docs, bags.weight)
-        logits = GAIN * means @ softmax + bias
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = (p - target) * share
-        g_means = GAIN * g @ softmax.T
-        g_words = _sums(bags.word_keys, g_means, bags.word_docs, bags.n_words, bags.word_weights) * bags.share[:, None]
-        g_own = _sums(bags.gram_keys, g_words, bags.gram_holders, len(own)) + decay * own
-        for x, dx, (m, v) in zip((own, softmax, bias), (g_own, GAIN * means.T @ g, g.sum(axis=0)), state, strict=True):
-            m += 0.1 * (dx - m)
-            v += 0.02 * (dx * dx - v)
-            size = np.sqrt(v / (1 - 0.98**step))
-            x -= rate * (m / (1 - 0.9**step)) / (size + DAMP * size.max(initial=0) + 1e-9)  # buckets with little to say move little
-    table[bags.used] = own
-    return Model(table, softmax, bias, bags.common)
+    speed = [np.zeros_like(x) for x in (table, softmax, bias)]
+    for _ in range(ROUNDS):
+        across = softmax[:, 1] - softmax[:, 0]
+        pull, margin = table @ across, np.empty(len(bags))
+        for a, b, s in blocks:
+            margin[a:b] = np.bincount(doc[s] - a, weights=weights[s] * pull[bucket[s]], minlength=b - a)
+        p = 1 / (1 + np.exp(-np.clip(margin + bias[1] - bias[0], -40, 40)))
+        off = (p - labels) * share
+        # Of two classes one loses what the other gains, so gradients need the errors summed by bucket and nothing more.
+        by_bucket = sum(np.bincount(bucket[s], weights=weights[s] * off[doc[s]], minlength=n_vectors) for _, _, s in blocks)
+        turn = by_bucket @ table
+        steps = np.outer(by_bucket, across), np.stack([-turn, turn], axis=1), np.array([-off.sum(), off.sum()])
+        for x, v, d, rate in zip((table, softmax, bias), speed, steps, (RATE, SOFTMAX_RATE, 1.0), strict=True):
+            v *= MOMENTUM
+            v += d
+            x -= rate * v
+    return table, softmax, bias
+
+
+def calibration(margin: np.ndarray, labels: np.ndarray) -> tuple:
+    """Scale and bias of margins by logistic regression in which both labels weigh the same."""
+    w = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(labels)
+    middle, spread = margin.mean(), margin.std() + 1e-9
+    z = np.stack([(margin - middle) / spread, np.ones(len(margin))], axis=1)
+    a = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ a, -30, 30)))
+        slope = z.T @ (w * (p - labels)) + [1e-3 * a[0], 0]
+        bend = (z * (w * p * (1 - p))[:, None]).T @ z + np.diag([1e-3, 1e-6])
+        a -= np.clip(np.linalg.solve(bend, slope), -2, 2)
+    scale = max(a[0], 1e-3) / spread
+    return scale, a[1] - scale * middle
+
+
+def train(bags: list, labels: np.ndarray, seed: int = 7) -> Model:
+    """The mean of FOLDS models, calibrated; without two documents of each label, a model that gives every text the
+    share of label 1."""
+    labels = np.asarray(labels, np.int64)
+    rng = np.random.default_rng(seed)
+    fold = np.zeros(len(labels), np.int64)
+    for kind in (0, 1):  # each fold gets its share of both labels
+        own = rng.permutation(np.flatnonzero(labels == kind))
+        fold[own] = np.arange(len(own)) % FOLDS
+    rarity = rarities(bags)
+    used = np.flatnonzero(rarity)
+    if min((labels == 0).sum(), (labels == 1).sum()) < 2 or not len(used):
+        positive = labels.mean() if len(labels) else 0.5
+        return Model(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2)), np.array([0, np.log((positive + 0.01) / (1.01 - positive))]), np.zeros(BUCKETS, np.float32))
+    number = np.zeros(BUCKETS, np.int32)
+    number[used] = np.arange(len(used))
+    known = []
+    for found, weights in bags:
+        x = scaled(found, weights, rarity)
+        known.append((number[found[x > 0]], x[x > 0].astype(np.float32)))
+    tables, softmaxes, biases, margin = [], [], [], np.zeros(len(labels))
+    for k in np.unique(fold):
+        rest = np.flatnonzero(fold != k)
+        table, softmax, bias = descend([known[i] for i in rest], labels[rest], len(used), seed + int(k))
+        pull = table @ (softmax[:, 1] - softmax[:, 0])
+        for i in np.flatnonzero(fold == k):
+            margin[i] = known[i][1] @ pull[known[i][0]] + bias[1] - bias[0]
+        tables.append(table), softmaxes.append(softmax), biases.append(bias)
+    scale, shift = calibration(margin, labels)
+    whole = np.zeros((BUCKETS, DIM * len(tables)), np.float32)
+    whole[used] = np.concatenate(tables, axis=1)
+    return Model(whole, scale * np.concatenate(softmaxes) / len(tables), scale * np.mean(biases, axis=0) + [-shift / 2, shift / 2], rarity)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -195,55 +205,54 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, id_col
     return texts.join(F.broadcast(chosen), "id").select("id", "text", "label")  # chosen: `sample` rows at most
 
 
+def _bagger(batches):
+    for batch in batches:
+        for i, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found, weights = bag(text)
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([label], pa.int32()), pa.array([found.astype("<i4").tobytes()]), pa.array([weights.astype("<f4").tobytes()])], ["id", "label", "buckets", "weights"])
+
+
 def _trainer(batches):
     rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-    rows.sort(key=itemgetter(0))
-    model = train([text for _, text, _ in rows], np.array([label for _, _, label in rows]))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.table, model.softmax, model.bias, model.common))], pa.binary())], ["model"])
-
-
-def _score(model: Model, texts: list) -> list:
-    margins, base = model.margins(), float(model.bias[1] - model.bias[0])
-    scores = []
-    for text in texts:
-        words = alnum_words(text)
-        counts: dict = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        x = base
-        if counts:
-            values = np.fromiter(map(margins.__getitem__, counts), np.float64, len(counts))
-            x += float(values @ weight(np.fromiter(counts.values(), np.float64, len(counts)), len(words)))
-        scores.append(1 / (1 + np.exp(-np.clip(x, -40, 40))))
-    return scores
+    rows.sort(key=itemgetter(0, 1, 2, 3))
+    labels, bags = np.array([r[1] for r in rows]), [(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<f4")) for r in rows]
+    del rows
+    model = train(bags, labels)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.table, model.softmax, model.bias, model.rarity))], pa.binary())], ["model"])
 
 
 def _scorer(shared):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_score(shared.value, batch.column(1).to_pylist()), pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1).to_pylist()), pa.float64())], ["id", "score"])
 
     return run
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, whose text scores less than threshold; no shuffle."""
+    """The rows of docs, all columns unchanged, whose text scores less than threshold; no shuffle.
+
+    Null and empty texts have no words, so all of them stay or go by the softmax's bias alone, which is below 0.5 where
+    most labelled documents aren't toxic. Repeated rows stay or go together; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(_score(shared.value, texts.tolist()), dtype="float64")
+        return pd.Series(shared.value.score(texts.tolist()), dtype="float64")
 
     return docs.where(score(utf8(text_column)) < threshold)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learn from a bounded sample (`sample` documents) of the labelled rows, whose whole texts go to one task.
+    """Learn from a bounded sample (`sample` documents) of the labelled rows.
 
-    Only the model comes to the driver: BUCKETS x DIM floats and the words that many documents hold.
+    The documents become bags where they lie; at most BUCKETS weights of each reach the one task that learns, and only
+    the model comes to the driver: BUCKETS x DIM x FOLDS floats at most.
     """
-    found = labelled(docs, labels, label, sample).repartition(1).mapInArrow(_trainer, "model binary").first()
-    return Model(*pickle.loads(found["model"])) if found else train([], [])
+    bags = labelled(docs, labels, label, sample).mapInArrow(_bagger, "id long, label int, buckets binary, weights binary")
+    found = bags.repartition(1).mapInArrow(_trainer, "model binary").first()
+    return Model(*pickle.loads(found["model"])) if found else train([], np.empty(0))
 
 
 def toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -252,7 +261,7 @@ def toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     Null and empty texts have no words and get the score of the softmax's bias alone. Null ids, repeated rows and empty
     tables are passed on as they are; other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM floats: 8 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x (DIM x FOLDS + 2) numbers: 15 MB
     return docs.select(F.col(id_column).alias("id"), utf8(text_column).alias("text")).mapInArrow(_scorer(shared), f"id {dict(docs.dtypes)[id_column]}, score double")
 
 
