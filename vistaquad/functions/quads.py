@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 from vistaquad.functions.geometry import distance, project
 
 
+def bound(value: Column, then) -> Column:
+    """then(value) with the value worked out once, however often then names it; Spark shares nothing inside lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
@@ -17,27 +22,38 @@ def centroid(quad: Column) -> tuple[Column, Column]:
 
 def sort_corners(quad: Column) -> Column:
     """Top left, top right, bottom right, bottom left: two by two about the mean x; else by angle about the centroid."""
-    cx, cy = centroid(quad)
-    keyed = F.transform(quad, lambda p, k: F.struct((p["x"] < cx).alias("left"), p["y"].alias("y"), k.alias("k"), p["x"].alias("x"), F.atan2(p["y"] - cy, p["x"] - cx).alias("a")))
 
-    def by_y(left: bool) -> Column:
-        side = F.filter(keyed, lambda p: p["left"] if left else ~p["left"])
-        return F.array_sort(F.transform(side, lambda p: F.struct(p["y"].alias("y"), p["k"].alias("k"), p["x"].alias("x"))))
+    def keyed(q: Column) -> Column:
+        return bound(F.struct(*(m.alias(n) for n, m in zip("xy", centroid(q), strict=True))), lambda m: F.transform(q, lambda p, k: F.struct((p["x"] < m["x"]).alias("left"), p["y"].alias("y"), k.alias("k"), p["x"].alias("x"), F.atan2(p["y"] - m["y"], p["x"] - m["x"]).alias("a"))))
+
+    def side(rows: Column, left: bool) -> Column:
+        own = F.filter(rows, lambda p: p["left"] if left else ~p["left"])
+        return F.array_sort(F.transform(own, lambda p: F.struct(p["y"].alias("y"), p["k"].alias("k"), p["x"].alias("x"))))
 
-    lefts, rights = by_y(True), by_y(False)
-    pick = lambda a, i: _point(F.get(a, F.lit(i))["x"], F.get(a, F.lit(i))["y"])
-    around = F.array_sort(F.transform(keyed, lambda p: F.struct(p["a"].alias("a"), p["k"].alias("k"), p["x"].alias("x"), p["y"].alias("y"))))
-    return F.when(F.size(lefts) == 2, F.array(pick(lefts, 0), pick(rights, 0), pick(rights, 1), pick(lefts, 1))).otherwise(F.transform(around, lambda p: _point(p["x"], p["y"])))
+    def ordered(rows: Column) -> Column:
+        pick = lambda a, i: _point(F.get(a, F.lit(i))["x"], F.get(a, F.lit(i))["y"])
+        square = lambda s: F.array(pick(s["l"], 0), pick(s["r"], 0), pick(s["r"], 1), pick(s["l"], 1))
+        around = F.array_sort(F.transform(rows, lambda p: F.struct(p["a"].alias("a"), p["k"].alias("k"), p["x"].alias("x"), p["y"].alias("y"))))
+        sides = F.struct(side(rows, True).alias("l"), side(rows, False).alias("r"))
+        return bound(sides, lambda s: F.when(F.size(s["l"]) == 2, square(s)).otherwise(F.transform(around, lambda p: _point(p["x"], p["y"]))))
+
+    return bound(quad, lambda q: bound(keyed(q), ordered))
 
 
 def normalize(quad: Column) -> Column:
     """From the vertex of least y, then x, moved to the origin and turned so that the next one lies on the x axis."""
-    start = F.array_min(F.transform(quad, lambda p, k: F.struct(p["y"].alias("y"), p["x"].alias("x"), k.alias("k"))))["k"]
-    rolled = F.concat(F.slice(quad, start + 1, 4 - start), F.slice(quad, F.lit(1), start))
-    first, second = F.get(rolled, F.lit(0)), F.get(rolled, F.lit(1))
-    turn = -F.atan2(second["y"] - first["y"], second["x"] - first["x"])
-    c, s = F.cos(turn), F.sin(turn)
-    return F.transform(rolled, lambda p: _point((p["x"] - first["x"]) * c - (p["y"] - first["y"]) * s, (p["x"] - first["x"]) * s + (p["y"] - first["y"]) * c))
+
+    def rolled(q: Column) -> Column:
+        start = F.array_min(F.transform(q, lambda p, k: F.struct(p["y"].alias("y"), p["x"].alias("x"), k.alias("k"))))["k"]
+        return bound(start, lambda k: F.concat(F.slice(q, k + 1, 4 - k), F.slice(q, F.lit(1), k)))
+
+    def turned(r: Column) -> Column:
+        first, second = F.get(r, F.lit(0)), F.get(r, F.lit(1))
+        turn = -F.atan2(second["y"] - first["y"], second["x"] - first["x"])
+        frame = F.struct(first["x"].alias("x"), first["y"].alias("y"), F.cos(turn).alias("c"), F.sin(turn).alias("s"))
+        return bound(frame, lambda f: F.transform(r, lambda p: _point((p["x"] - f["x"]) * f["c"] - (p["y"] - f["y"]) * f["s"], (p["x"] - f["x"]) * f["s"] + (p["y"] - f["y"]) * f["c"])))
+
+    return bound(quad, lambda q: bound(rolled(q), turned))
 
 
 def project_quad(h: Column, quad: Column) -> Column:
@@ -50,11 +66,14 @@ def metric(quad: Column, size: float = 100, compat: bool = True) -> Column:
     compat compares vertices 0, 1 and 2 with (0, s), (s, s) and (s, 0), so a perfect square gives 3 s. Otherwise
     vertices 1, 2 and 3 are compared with (s, 0), (s, s) and (0, s), and a perfect square gives 0.
     """
-    n, s, zero = normalize(quad), F.lit(float(size)), F.lit(0.0)
-    at = lambda i: (F.get(n, F.lit(i))["x"], F.get(n, F.lit(i))["y"])
-    if compat:
-        return distance(*at(1), s, s) + distance(*at(2), s, zero) + distance(*at(0), zero, s)
-    return distance(*at(1), s, zero) + distance(*at(2), s, s) + distance(*at(3), zero, s)
+    s, zero = F.lit(float(size)), F.lit(0.0)
+    targets = [(1, s, s), (2, s, zero), (0, zero, s)] if compat else [(1, s, zero), (2, s, s), (3, zero, s)]
+
+    def apart(n: Column) -> Column:
+        one, two, three = (distance(F.get(n, F.lit(i))["x"], F.get(n, F.lit(i))["y"], x, y) for i, x, y in targets)
+        return one + two + three
+
+    return bound(normalize(quad), apart)
 
 
 def area(quad: Column) -> Column:
