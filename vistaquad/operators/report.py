@@ -1,6 +1,6 @@
 """Reports and annotations as ordinary tables."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaquad.functions.geometry import distance, project
@@ -8,9 +8,10 @@ from vistaquad.operators.points import in_canvas
 
 
 def best(results: DataFrame, by: tuple = ("camera_id",)) -> DataFrame:
-    """The successful result of least error, the first on a tie; cameras without one have no row."""
-    order = Window.partitionBy(*by).orderBy(F.col("optimized_error").asc_nulls_last(), "trial_id")
-    return results.where("success").withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    """The successful result of least error, the first on a tie; cameras without one have no row. Nulls come last."""
+    order = F.struct(F.isnull("optimized_error"), F.coalesce(F.col("optimized_error"), F.lit(0.0)), "trial_id")
+    least = results.where("success").groupBy(*by).agg(F.min_by(F.struct(*results.columns), order).alias("_best"))
+    return least.select("_best.*")
 
 
 def summary(results: DataFrame, by: tuple = ("camera_id",)) -> DataFrame:

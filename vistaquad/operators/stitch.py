@@ -47,32 +47,30 @@ def blend(rows: DataFrame, channels: list, by: tuple = ("pair_id",), alpha: floa
     return rows.select(*by, "y", "x", *(_byte(F.when(one & two, f(f"{c}1") * a + f(f"{c}2") * rest).when(one, f(f"{c}1") * alone).when(two, f(f"{c}2") * alone).otherwise(0)).alias(c) for c in channels))
 
 
-def seam_rows(rows: DataFrame, channels: list, by: tuple = ("pair_id",)) -> tuple[DataFrame, DataFrame]:
-    """Pairs with masks and blurred difference; and for each row with overlap its span and its first least column."""
+def seam_rows(rows: DataFrame, channels: list, by: tuple = ("pair_id",)) -> DataFrame:
+    """Pairs with masks, blurred difference and, for rows of pixels with overlap, its span (x_start, x_end) and its first
+    least column (best_x); windows by row of pixels in one exchange, no join."""
     marked = blur(difference(rows, channels), "diff", by)
-    span = marked.where("overlap").groupBy(*by, "y").agg(F.min("x").alias("x_start"), F.max("x").alias("x_end"))
-    least = marked.join(span, [*by, "y"]).where("x between x_start and x_end").groupBy(*by, "y").agg(F.first("x_start").alias("x_start"), F.first("x_end").alias("x_end"), F.min(F.struct("blur", "x"))["x"].alias("best_x"))
-    return marked, least
+    row = Window.partitionBy(*by, "y")
+    shared = F.when(F.col("overlap"), F.col("x"))
+    spanned = marked.withColumns({"x_start": F.min(shared).over(row), "x_end": F.max(shared).over(row)})
+    inside = F.when(F.expr("x between x_start and x_end"), F.struct("blur", "x"))
+    return spanned.withColumn("best_x", F.min(inside).over(row)["x"])
 
 
 def seam_mask(rows: DataFrame, channels: list, by: tuple = ("pair_id",)) -> DataFrame:
-    """pairs with seam: 1 where the first image is taken. Rows whose overlap spans 5 columns or less take the second.
+    """seam_rows with seam: 1 where the first image is taken. Rows whose overlap spans 5 columns or less take the second.
 
     Without any overlap the boundary lies halfway between the mean columns, or the mask is the first image's.
     """
-    marked, least = seam_rows(rows, channels, by)
+    marked = seam_rows(rows, channels, by)
+    masked = difference(rows, channels)
     mean = lambda n: F.avg(F.when(F.col(f"mask{n}"), F.col("x")))
-    whole = marked.groupBy(*by).agg(F.max("overlap").alias("_any"), F.floor((mean(1) + mean(2)) / 2).alias("_boundary"))
+    whole = masked.groupBy(*by).agg(F.max("overlap").alias("_any"), F.floor((mean(1) + mean(2)) / 2).alias("_boundary"))
     cut = (F.col("x_end") - F.col("x_start") > 5) & (F.col("x") >= F.col("x_start")) & (F.col("x") < F.col("best_x"))
     apart = F.coalesce(F.col("x") < F.col("_boundary"), F.col("mask1"))
     seam = F.when(F.col("_any"), F.coalesce(cut, F.lit(False)) | (F.col("mask1") & ~F.col("mask2"))).otherwise(apart)
-    return marked.join(least, [*by, "y"], "left").join(whole, list(by)).withColumn("seam", seam.cast("int")).drop("_any", "_boundary")
-
-
-def transitions(rows: DataFrame, by: tuple = ("pair_id",)) -> DataFrame:
-    """For each row of pixels, the first column whose seam differs from the one before."""
-    before = F.lag("seam").over(Window.partitionBy(*by, "y").orderBy("x"))
-    return rows.withColumn("_before", before).where("seam <> _before").groupBy(*by, "y").agg(F.min("x").alias("seam_x"))
+    return marked.join(whole, list(by)).withColumn("seam", seam.cast("int")).drop("_any", "_boundary")
 
 
 def feather(rows: DataFrame, channels: list, by: tuple = ("pair_id",), width: int = 20) -> DataFrame:
@@ -80,8 +78,10 @@ def feather(rows: DataFrame, channels: list, by: tuple = ("pair_id",), width: in
 
     The second image's weight rises to the seam, starts again at 0 there and rises again; weight 0 means no ramp.
     """
-    masked = seam_mask(rows, channels, by)
-    placed = masked.join(transitions(masked, by), [*by, "y"], "left")
+    row = Window.partitionBy(*by, "y")
+    before = F.lag("seam").over(row.orderBy("x"))
+    turned = seam_mask(rows, channels, by).withColumn("_turn", F.when(F.col("seam") != before, F.col("x")))
+    placed = turned.withColumn("seam_x", F.min("_turn").over(row))
     one = F.lit(1.0).cast("float")
     x, s = F.col("x"), F.col("seam_x")
     inside = (x >= F.greatest("x_start", s - width)) & (x < F.least("x_end", s + width))

@@ -16,15 +16,15 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _pair(spark: SparkSession, d: str, how: str = "inner") -> DataFrame:
-    return raster.pairs(s.image(spark, d, 0), s.image(spark, d, 1, shift=12), V, how=how)
-
-
-def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Images 2k and 2k + 1 as pair k; the left columns of the second are black."""
+def _members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Images 2k and 2k + 1 as members of pair k; the left columns of the second are black."""
     rows = s.pixels(spark, d).withColumn("pair_id", F.expr("image_id div 2"))
     shown = lambda odd, shift: rows.where(F.col("image_id") % 2 == odd).select("pair_id", "y", "x", F.when(F.col("x") >= shift, F.col("v")).otherwise(0).alias("v"))
-    return raster.pairs(shown(0, 0), shown(1, 12), V)
+    return shown(0, 0), shown(1, 12)
+
+
+def _pairs(spark: SparkSession, d: str, how: str = "inner") -> DataFrame:
+    return raster.pairs(*_members(spark, d), V, how=how)
 
 
 def project_points(spark, d):
@@ -83,13 +83,13 @@ def threshold_mask(spark, d):
 
 
 def absdiff_overlap(spark, d):
-    rows = raster.difference(_pair(spark, d), V)
-    return rows.select("y", "x", "diff", "overlap", F.expr("mask1 and not mask2").alias("only1"), F.expr("mask2 and not mask1").alias("only2"))
+    rows = raster.difference(_pairs(spark, d), V)
+    return rows.select("pair_id", "y", "x", "diff", "overlap", F.expr("mask1 and not mask2").alias("only1"), F.expr("mask2 and not mask1").alias("only2"))
 
 
 def pooled_error(spark, d):
     left, right = (_errors(spark, d, h).withColumn("pair_id", F.col("camera_id") % 10) for h in (s.H_FIRST, s.H_SECOND))
-    return _rounded(points.pooled_error(left, right.where("l_linenumber = 1")), 6, "mean_error", "left_error", "right_error")
+    return _rounded(points.pooled_error(left, right), 6, "mean_error", "left_error", "right_error")
 
 
 def in_canvas(spark, d):
@@ -123,12 +123,12 @@ QUERIES = {
     "q13_threshold_mask": threshold_mask,
     "q14_blur": lambda spark, d: raster.blur(s.pixels(spark, d), "v").select("image_id", "y", "x", "blur"),
     "q15_absdiff_overlap": absdiff_overlap,
-    "q16_seam": lambda spark, d: stitch.seam_rows(_pair(spark, d), V)[1].select("y", "x_start", "x_end", "best_x"),
-    "q17_seam_mask": lambda spark, d: stitch.seam_mask(_pair(spark, d), V).select("y", "x", "seam"),
-    "q18_blend": lambda spark, d: stitch.blend(_pair(spark, d), V).select("y", "x", "v"),
-    "q19_first_wins": lambda spark, d: stitch.first_wins(_pair(spark, d, "full"), V).select("y", "x", "v"),
-    "q20_fixed_overlap": lambda spark, d: stitch.fixed_overlap(s.image(spark, d, 0), s.image(spark, d, 1, shift=12), V, 64, 20).select("y", "x", "v"),
-    "q21_feather": lambda spark, d: stitch.feather(_pair(spark, d), V).select("y", "x", "v"),
+    "q16_seam": lambda spark, d: stitch.seam_rows(_pairs(spark, d), V).where("x = x_start").select("pair_id", "y", "x_start", "x_end", "best_x"),
+    "q17_seam_mask": lambda spark, d: stitch.seam_mask(_pairs(spark, d), V).select("pair_id", "y", "x", "seam"),
+    "q18_blend": lambda spark, d: stitch.blend(_pairs(spark, d), V).select("pair_id", "y", "x", "v"),
+    "q19_first_wins": lambda spark, d: stitch.first_wins(_pairs(spark, d, "full"), V).select("pair_id", "y", "x", "v"),
+    "q20_fixed_overlap": lambda spark, d: stitch.fixed_overlap(*_members(spark, d), V, 64, 20),
+    "q21_feather": lambda spark, d: stitch.feather(_pairs(spark, d), V).select("pair_id", "y", "x", "v"),
     "q22_bbox_centroid": lambda spark, d: _rounded(raster.boxes(s.pixels(spark, d), F.col("v") > 140), 6, "x_mean", "y_mean"),
     "q23_pooled_error": pooled_error,
     "q24_in_canvas": in_canvas,
@@ -189,6 +189,6 @@ QUERIES |= {
     "q29_refine": refined,
     "q30_search": searched,
     "q31_warp": warped,
-    "q32_multiband": lambda spark, d: warp.multiband(_all_pairs(spark, d), V),
+    "q32_multiband": lambda spark, d: warp.multiband(_pairs(spark, d), V),
     "q33_detect": detected,
 }

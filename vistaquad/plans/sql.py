@@ -14,7 +14,8 @@ def _errors(h: str) -> str:
 
 
 PIXELS = "px as (select vec_id // 250 as image_id, (vec_id % 250)::int as y, i::int as x, floor(least(255, greatest(0, (embedding[i + 1]::double + 0.5) * 255)))::int as v from embeddings, unnest(range(64)) as t(i))"
-PAIR = PIXELS + ", p as (select a.y as y, a.x as x, a.v as v1, case when b.x >= 12 then b.v else 0 end as v2 from px a join px b on a.y = b.y and a.x = b.x where a.image_id = 0 and b.image_id = 1)"
+BOTH = PIXELS + ", f as (select image_id // 2 as pair_id, y, x, coalesce(max(v) filter (where image_id % 2 = 0), 0) as v1, coalesce(max(case when x >= 12 then v else 0 end) filter (where image_id % 2 = 1), 0) as v2, count(*) as n from px group by 1, 2, 3)"
+PAIR = BOTH + ", p as (select pair_id, y, x, v1, v2 from f where n = 2)"
 MASKED = PAIR + ", m as (select *, v1 > 5 as m1, v2 > 5 as m2, abs(v1 - v2) as d from p)"
 
 
@@ -34,11 +35,11 @@ def _blurred(source: str, value: str, image: str = "") -> str:
 SEAM = (
     MASKED
     + ", "
-    + _blurred("m", "d")
-    + """, sp as (select y, min(x) as xs, max(x) as xe from bl where m1 and m2 group by y),
-best as (select y, xs, xe, bx, bd from (select bl.y as y, xs, xe, x as bx, blur as bd, row_number() over (partition by bl.y order by blur, x) as rn from bl join sp on bl.y = sp.y where x between xs and xe) where rn = 1),
-tot as (select count(*) filter (where m1 and m2) as n, (avg(x) filter (where m1) + avg(x) filter (where m2)) / 2 as mid from bl),
-sm as (select bl.*, xs, xe, case when n = 0 then (case when mid is null then m1 else x < floor(mid) end) when xe - xs > 5 and x >= xs and x < bx then true else m1 and not m2 end::int as seam from bl left join best on bl.y = best.y, tot)"""
+    + _blurred("m", "d", "pair_id")
+    + """, sp as (select pair_id, y, min(x) as xs, max(x) as xe from bl where m1 and m2 group by pair_id, y),
+best as (select pair_id, y, xs, xe, bx, bd from (select bl.pair_id as pair_id, bl.y as y, xs, xe, x as bx, blur as bd, row_number() over (partition by bl.pair_id, bl.y order by blur, x) as rn from bl join sp on bl.pair_id = sp.pair_id and bl.y = sp.y where x between xs and xe) where rn = 1),
+tot as (select pair_id, count(*) filter (where m1 and m2) as n, (avg(x) filter (where m1) + avg(x) filter (where m2)) / 2 as mid from bl group by pair_id),
+sm as (select bl.*, xs, xe, case when n = 0 then (case when mid is null then m1 else x < floor(mid) end) when xe - xs > 5 and x >= xs and x < bx then true else m1 and not m2 end::int as seam from bl left join best on bl.pair_id = best.pair_id and bl.y = best.y join tot on bl.pair_id = tot.pair_id)"""
 )
 
 QUADS = """q as (select vec_id * 8 + j as quad_id, vec_id % 10 as camera_id, k, embedding[8 * j + 2 * k + 1]::double * 1000 as x, embedding[8 * j + 2 * k + 2]::double * 1000 as y
@@ -72,17 +73,17 @@ select camera_id, round(sum(e) + 0.3 * any_value(s), 4) as objective from me joi
     "q12_raster": f"with {PIXELS} select image_id::int as image_id, y, x, v from px",
     "q13_threshold_mask": f"with {PIXELS} select image_id::int as image_id, y, x, (case when v > 140 then 0 else 255 end)::int as t, v > 10 as above_10, v > 5 as above_5, v > 0 as above_0 from px",
     "q14_blur": f"with {PIXELS}, {_blurred('px', 'v', 'image_id')} select image_id::int as image_id, y, x, blur from bl",
-    "q15_absdiff_overlap": f"with {MASKED} select y, x, d as diff, m1 and m2 as overlap, m1 and not m2 as only1, m2 and not m1 as only2 from m",
-    "q16_seam": f"with {SEAM} select y, xs as x_start, xe as x_end, bx as best_x from best",
-    "q17_seam_mask": f"with {SEAM} select y, x, seam from sm",
-    "q18_blend": f"with {PAIR} select y, x, floor(least(255, greatest(0, case when v1 > 0 and v2 > 0 then v1::float * 0.5::float + v2::float * 0.5::float when v1 > 0 then v1::float * 0.5::float when v2 > 0 then v2::float * 0.5::float else 0 end)))::int as v from p",
-    "q19_first_wins": f"with {PAIR}, b as (select min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from p where v1 > 10 or v2 > 10) select y - y0 as y, x - x0 as x, case when v1 > 10 then v1 when v2 > 10 then v2 else 0 end as v from p, b where y between y0 and y1 and x between x0 and x1",
-    "q20_fixed_overlap": f"with {PAIR}, g as (select y, x from (select distinct y from p), (select unnest(range(0, 108))::int as x)) select g.y as y, g.x as x, case when coalesce(b.v2, 0) > 0 then b.v2 else coalesce(a.v1, 0) end as v from g left join p a on g.y = a.y and g.x = a.x left join p b on g.y = b.y and g.x - 44 = b.x",
-    "q21_feather": f"""with {SEAM}, tr as (select y, min(x) as sx from (select y, x, seam, lag(seam) over (partition by y order by x) as was from sm) where seam <> was group by y),
-rp as (select sm.*, case when x >= greatest(xs, sx - 20) and x < least(xe, sx + 20) then (case when x < sx then greatest(0, 1 - (sx - x)::double / 20) else least(1, (x - sx)::double / 20) end) else 0 end::float as m from sm left join tr on sm.y = tr.y)
-select y, x, floor(least(255, greatest(0, (case when m > 0 then v1::float * (1::float - m) + v2::float * m when seam = 1 then v1::float else v2::float end)::double)))::int as v from rp""",
+    "q15_absdiff_overlap": f"with {MASKED} select pair_id, y, x, d as diff, m1 and m2 as overlap, m1 and not m2 as only1, m2 and not m1 as only2 from m",
+    "q16_seam": f"with {SEAM} select pair_id, y, xs as x_start, xe as x_end, bx as best_x from best",
+    "q17_seam_mask": f"with {SEAM} select pair_id, y, x, seam from sm",
+    "q18_blend": f"with {PAIR} select pair_id, y, x, floor(least(255, greatest(0, case when v1 > 0 and v2 > 0 then v1::float * 0.5::float + v2::float * 0.5::float when v1 > 0 then v1::float * 0.5::float when v2 > 0 then v2::float * 0.5::float else 0 end)))::int as v from p",
+    "q19_first_wins": f"with {BOTH}, b as (select pair_id, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from f where v1 > 10 or v2 > 10 group by pair_id) select f.pair_id as pair_id, y - y0 as y, x - x0 as x, case when v1 > 10 then v1 when v2 > 10 then v2 else 0 end as v from f join b on f.pair_id = b.pair_id where y between y0 and y1 and x between x0 and x1",
+    "q20_fixed_overlap": f"with {PIXELS}, u as (select image_id // 2 as pair_id, y, x, v as v1, 0 as v2 from px where image_id % 2 = 0 union all select image_id // 2, y, x + 44, 0, case when x >= 12 then v else 0 end from px where image_id % 2 = 1) select pair_id, y, x, case when max(v2) > 0 then max(v2) else max(v1) end as v from u group by 1, 2, 3",
+    "q21_feather": f"""with {SEAM}, tr as (select pair_id, y, min(x) as sx from (select pair_id, y, x, seam, lag(seam) over (partition by pair_id, y order by x) as was from sm) where seam <> was group by pair_id, y),
+rp as (select sm.*, case when x >= greatest(xs, sx - 20) and x < least(xe, sx + 20) then (case when x < sx then greatest(0, 1 - (sx - x)::double / 20) else least(1, (x - sx)::double / 20) end) else 0 end::float as m from sm left join tr on sm.pair_id = tr.pair_id and sm.y = tr.y)
+select pair_id, y, x, floor(least(255, greatest(0, (case when m > 0 then v1::float * (1::float - m) + v2::float * m when seam = 1 then v1::float else v2::float end)::double)))::int as v from rp""",
     "q22_bbox_centroid": f"with {PIXELS} select image_id::int as image_id, min(y) as y_min, max(y) as y_max, min(x) as x_min, max(x) as x_max, round(avg(x), 6) as x_mean, round(avg(y), 6) as y_mean, count(*) as n from px where v > 140 group by 1",
-    "q23_pooled_error": f"with e1 as (select l_suppkey % 10 as pair_id, e from {_errors(H1)}), e2 as (select l_suppkey % 10 as pair_id, e from {_errors(H2)} where l_linenumber = 1), b as (select pair_id, 'l' as s, e from e1 union all select pair_id, 'r', e from e2) select pair_id, round(avg(e), 6) as mean_error, round(avg(e) filter (where s = 'l'), 6) as left_error, round(avg(e) filter (where s = 'r'), 6) as right_error, count(*) as n from b group by 1",
+    "q23_pooled_error": f"with e1 as (select l_suppkey % 10 as pair_id, e from {_errors(H1)}), e2 as (select l_suppkey % 10 as pair_id, e from {_errors(H2)}), b as (select pair_id, 'l' as s, e from e1 union all select pair_id, 'r', e from e2) select pair_id, round(avg(e), 6) as mean_error, round(avg(e) filter (where s = 'l'), 6) as left_error, round(avg(e) filter (where s = 'r'), 6) as right_error, count(*) as n from b group by 1",
     "q24_in_canvas": f"select l_orderkey, l_linenumber, trunc(u)::bigint as u, trunc(v)::bigint as v from {_projected(H1)} where trunc(u) >= 0 and trunc(u) < 40 and trunc(v) >= 0 and trunc(v) < 5",
     "q25_best_trial": f"with {RESULTS} select camera_id, trial_id, optimized_error from (select *, row_number() over (partition by camera_id order by optimized_error, trial_id) as rn from res where success) where rn = 1",
     "q26_summary_pivot": f"with {RESULTS} select camera_id, count(*) as trials, count(*) filter (where not success) as failed, round(avg(initial_error), 6) as initial_error, round(avg(optimized_error), 6) as optimized_error from res group by 1",

@@ -52,12 +52,6 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select(k.cast("string").alias("image_id"), "y", "x", F.when(field & ~square, 230).otherwise(30).alias("v"))
 
 
-def image(spark: SparkSession, sf_dir: str, image_id: int, shift: int = 0) -> DataFrame:
-    """One of the images as a member of pair 0; with shift, its left columns are black."""
-    rows = pixels(spark, sf_dir).where(F.col("image_id") == image_id)
-    return rows.select(F.lit(0).alias("pair_id"), "y", "x", F.when(F.col("x") >= shift, F.col("v")).otherwise(0).alias("v"))
-
-
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight quads for each embedding: quad_id, camera_id, corners."""
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"), "embedding")
