@@ -1,12 +1,11 @@
 """Byte-level BPE with given ranks: encoding and decoding.
 
 The distinct pieces of a block of documents are encoded together: sorted into buckets by length, each a padded numpy
-matrix of ids. In every round each row merges its leftmost pair of least rank; pairs are looked up in a hash table, and
-rows without a pair to merge leave the matrix.
+matrix of ids. In every round each row merges its leftmost pair of least rank (a long piece, which has a matrix of one
+row, all such pairs); pairs are looked up in a hash table, and rows without a pair to merge leave the matrix.
 """
 
 import base64
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from vistaquad.llm.common import MIX, utf8
 
 NONE = np.int32(2**31 - 1)
-LONG = 512  # bytes from which a piece is merged on a heap, for a row costs the square of its length
+LONG = 512  # bytes from which a piece is a matrix of its own, whose rounds merge all pairs of the least rank
 CELLS = 1 << 20  # of a matrix at most
 KEPT = 300_000  # distinct pieces that a task remembers
 
@@ -105,30 +104,30 @@ class Vocabulary:
         return out
 
     def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long piece, next one from a heap of (rank, place)."""
-        ids = self.bytes[np.frombuffer(piece, np.uint8)].tolist()
-        after, prior = list(range(1, len(ids))) + [-1], list(range(-1, len(ids) - 1))
-        first = self.pair_ranks(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32))
-        heap = [(int(k), i, ids[i], ids[i + 1]) for i, k in enumerate(first) if k != NONE]
-        heapq.heapify(heap)
-
-        def push(i, j):
-            k = int(self.pair_ranks(np.array([ids[i]], np.int32), np.array([ids[j]], np.int32))[0])
-            if k != NONE:
-                heapq.heappush(heap, (k, i, ids[i], ids[j]))
-
-        while heap:
-            rank, i, left, right = heapq.heappop(heap)
-            j = after[i] if ids[i] == left else -1
-            if j < 0 or ids[j] != right:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[i] >= 0:
-                prior[after[i]] = i
-                push(i, after[i])
-            if prior[i] >= 0:
-                push(prior[i], i)
-        return np.array([x for x in ids if x >= 0], np.int32)
+        """The same merges for one long piece, a matrix of one row: of the pairs of least rank, all that don't overlap are
+        merged in one round, from the left. That is what so many rounds of one merge would do, unless a merge made a pair
+        of lesser rank, which would come first; then the round merges the leftmost one only.
+        """
+        ids = self.bytes[np.frombuffer(piece, np.uint8)]
+        ranks = np.append(self.pair_ranks(ids[:-1], ids[1:]), NONE)
+        while (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            first = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of runs of pairs that overlap, every second one is merged
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))) % 2 == 0]
+            for chosen in (at, at[:1]):
+                merged, keep = ids.copy(), np.ones(len(ids), bool)
+                merged[chosen], keep[chosen + 1] = best, False
+                merged, place = merged[keep], chosen - np.arange(len(chosen))
+                padded = np.append(merged, np.int32(-1))
+                ahead, before = self.pair_ranks(padded[place], padded[place + 1]), place[place > 0] - 1
+                behind = self.pair_ranks(padded[before], padded[before + 1])
+                between = chosen[chosen + 2 < len(ids)]  # the pair that stands until its right one is merged, too
+                meanwhile = self.pair_ranks(np.full(len(between), best, np.int32), ids[between + 2])
+                if len(chosen) == 1 or min(x.min(initial=NONE) for x in (ahead, behind, meanwhile)) > best:
+                    break
+            ids, ranks = merged, ranks[keep]
+            ranks[before], ranks[place] = behind, ahead
+        return ids
 
     def encode(self, pieces: list) -> list:
         """Ids of each piece of bytes."""
