@@ -1,0 +1,75 @@
+"""Labels, spans and scores of licence scans against a version without an index, on planted texts."""
+
+import math
+
+import brute
+import pytest
+
+from vistaquad.llm import licenses
+
+T = licenses.TEMPLATES
+MIT = next(text for label, text, _ in T if label == "mit" and len(text.split()) > 100)
+ZLIB = next(text for label, text, _ in T if label == "zlib")
+FILLED = MIT.replace("the authors or copyright holders", "Jane Q Doe and the other authors or copyright holders")
+TEXTS = [
+    "Some code. " + MIT.capitalize() + ". More code.",
+    FILLED,
+    MIT[: len(MIT) // 3],
+    MIT + " and again " + MIT,
+    ZLIB.replace("misrepresented", "forgotten"),
+    "filler words " * 40 + ZLIB,
+    "Licensed under the Apache License, Version 2.0 (the License); see LICENSE.",
+    "Licensed under CC BY-NC 4.0. Also licensed under CC BY 4.0!",
+    "the terms of the software of the license under this software as is",
+    "licensed under the mit " * 5,
+    "All rights reserved. Released under the MIT License",
+    "",
+    None,
+    "license",
+    "Neither the name of ACME nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+]
+
+
+def plain(words: list, idf: dict) -> tuple:
+    """Labels, and the best score: every template at every place of the file."""
+    labels, best = set(), 0.0
+    for label, text, key in T:
+        own, key = text.split(), key.split()
+        weight = [max(idf[w], 1e-3) for w in own]
+        total, drift = sum(weight), licenses.DRIFT if len(own) >= licenses.LONG else 0
+        if sum(x for w, x in zip(own, weight) if w in words) < (licenses.ACCEPT - 1e-9) * total:
+            continue
+        for start in range(-len(own) - drift, len(words) + drift + 1):
+            stands = [any(0 <= start + i + d < len(words) and words[start + i + d] == w for d in range(-drift, drift + 1)) for i, w in enumerate(own)]
+            score = sum(x for x, s in zip(weight, stands) if s) / total
+            best = max(best, score)
+            inside = words[max(start, 0) : max(min(start + len(own), len(words)) + drift, 0)]
+            if score >= licenses.ACCEPT and any(inside[i : i + len(key)] == key for i in range(len(inside))):
+                labels.add(label)
+    return labels, best
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    return {r.id: r for r in licenses.licences(docs).collect()}
+
+
+def test_labels_and_scores_equal_the_plain_version(rows):
+    held = [set(brute.alnum_words(t)) for t in TEXTS]
+    idf = {w.decode(): math.log((len(TEXTS) + 1) / (sum(w.decode() in h for h in held) + 0.5)) for w in licenses.VOCABULARY}
+    for i, text in enumerate(TEXTS):
+        labels, best = plain(brute.alnum_words(text), idf)
+        assert {s.label for s in rows[i].spans} == labels, i
+        if best >= licenses.ACCEPT and not rows[i].n_base:
+            assert rows[i].score == pytest.approx(min(best, 1.0)), i
+
+
+def test_planted_labels(rows):
+    found = {i: sorted({s.label for s in r.spans}) for i, r in rows.items()}
+    assert found[0] == found[1] == ["mit"] and found[2] == ["mit"] and found[4] == [] and found[5] == ["zlib"]
+    assert found[6] == ["apache-2.0"] and found[7] == ["cc-by-4.0", "cc-by-nc-4.0"] and found[8] == [] and found[14] == ["bsd-3-clause"] and found[15] == ["gpl-3.0"]
+    long = [s for s in rows[3].spans if s.end - s.start > 100]
+    assert len(long) == 2 and long[0].start == 0 and long[1].start == len(MIT.split()) + 2
+    assert rows[10].base == ["reserved"] and rows[10].score == 1 and rows[11].score == rows[12].score == 0

@@ -1,10 +1,11 @@
 """Licence scans over a positional rare-token index.
 
-The index holds, for each licence template, its rarest words by inverse document frequency over the scanned corpus, with
-their places. A file's own occurrences of those words are looked up; each posting proposes where the template would
-start, and proposals of one template that agree on the start support each other. Supported alignments are scored by the
-share of the template's IDF that stands at the right places, and a label is given if the score suffices and the
-template's mandatory phrases stand inside.
+The index holds the words of licence texts and notices with their places. Of each file, its licence words of highest
+inverse document frequency (over the scanned corpus) are looked up, for each template as many as make up more than the
+share of its weight that a match may lack, so no match can go without all of them. Each posting proposes where the
+template would start, places relative to that start are intersected, and a label is given if the words that stand at
+their places weigh enough and the template's mandatory phrases stand inside. In long templates places may drift by some
+words, for names and years are filled in.
 """
 
 import numpy as np
@@ -14,32 +15,70 @@ from pyspark.sql import functions as F
 
 from vistaquad.llm.common import alnum_words, utf8
 
-# Notices by which licences are granted, as (label, notice, mandatory phrase).
+# Public licence texts and the notices by which licences are granted, as (label, text, mandatory phrase).
 TEMPLATES = [
     ("agpl", "licensed under the gnu affero general public license version 3", "affero general public license"),
+    ("agpl", """this program is free software you can redistribute it and or modify it under the terms of the gnu affero general
+     public license as published by the free software foundation""", "affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
+    ("apache-2.0", """licensed under the apache license version 2 0 the license you may not use this file except in compliance with
+     the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or
+     agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any
+     kind either express or implied see the license for the specific language governing permissions and limitations under the license""", "apache license version 2"),
     ("bsd-2-clause", "licensed under the bsd 2 clause license", "bsd 2 clause"),
+    ("bsd-2-clause", """redistribution and use in source and binary forms with or without modification are permitted provided that the
+     following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the
+     following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the
+     following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the
+     copyright holders and contributors as is""", "redistributions in binary form must reproduce"),
     ("bsd-3-clause", "licensed under the bsd 3 clause license", "bsd 3 clause"),
-    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "endorse or promote products"),
+    ("bsd-3-clause", """neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+     derived from this software without specific prior written permission""", "endorse or promote products"),
+    ("bsl-1.0", """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and
+     accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software
+     and to prepare derivative works of the software""", "any person or organization"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike 4 0"),
     ("cc0-1.0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0"),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "general public license version 2"),
+    ("gpl-2.0", """this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+     license as published by the free software foundation either version 2 of the license or at your option any later version""", "either version 2"),
     ("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("gpl-3.0", """this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+     license as published by the free software foundation either version 3 of the license or at your option any later version""", "either version 3"),
+    ("isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+     provided that the above copyright notice and this permission notice appear in all copies""", "with or without fee"),
     ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
+    ("lgpl", """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public
+     license as published by the free software foundation""", "lesser general public license"),
     ("mit", "licensed under the mit license", "mit license"),
     ("mit", "released under the mit license", "mit license"),
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation
+     files the software to deal in the software without restriction including without limitation the rights to use copy modify merge
+     publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so
+     subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or
+     substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not
+     limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or
+     copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from
+     out of or in connection with the software or the use or other dealings in the software""", "free of charge"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "free of charge"),
+    ("mpl-2.0", """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not
+     distributed with this file you can obtain one at http mozilla org mpl 2 0""", "mozilla public license"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for
+     any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including
+     commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software
+     must not be misrepresented you must not claim that you wrote the original software""", "must not be misrepresented"),
 ]
 # Phrases whose places are counted, and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-RARE = 3  # words of a template in the index
 ACCEPT = 0.75  # of a template's IDF
+LONG, DRIFT = 20, 4  # words from which on a template's places may drift, and by how many words
+BLOCK = 2048  # proposed starts that are compared at a time
 
 
 def _words(text: str) -> list:
@@ -71,19 +110,21 @@ def inverse_frequencies(docs: DataFrame, text_column: str = "text") -> np.ndarra
 
 
 class Index:
-    """Words as numbers; templates with their weights; postings (template, place) of each rare word."""
+    """Words as numbers; templates with the weights of their places; postings: the places of each word in each template."""
 
     def __init__(self, idf: np.ndarray):
         number = {w: i for i, w in enumerate(VOCABULARY)}
         self.number = number
         self.phrases = [(np.array([number[w] for w in _words(p)]), label) for p, label in BASE]
-        self.templates, self.postings = [], {}
+        self.templates, self.postings, self.share = [], [], np.zeros((len(TEMPLATES), len(number)))
         for t, (label, notice, key) in enumerate(TEMPLATES):
             words = np.array([number[w] for w in _words(notice)])
             weights = np.maximum(idf[words], 1e-3)
-            self.templates.append((label, words, weights / weights.sum(), np.array([number[w] for w in _words(key)])))
-            for at in np.argsort(-weights, kind="stable")[:RARE]:
-                self.postings.setdefault(int(words[at]), []).append((t, int(at)))
+            weights /= weights.sum()
+            np.add.at(self.share[t], words, weights)
+            rarest = sorted(set(words.tolist()), key=lambda w: (-idf[w], w))
+            self.postings.append([(w, np.flatnonzero(words == w)) for w in rarest])
+            self.templates.append((label, words, weights, np.array([number[w] for w in _words(key)])))
 
     @staticmethod
     def places(ids: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -95,28 +136,57 @@ class Index:
             ok &= ids[j : n + j] == phrase[j]
         return np.flatnonzero(ok)
 
+    def proposed(self, ids: np.ndarray, t: int, present: np.ndarray) -> np.ndarray:
+        """Starts of template t that its rarest words in the file propose; every match is among them."""
+        starts, weight = [], 0.0
+        lacking = 1 - self.share[t, present].sum()
+        held = set(present.tolist())
+        for w, at in self.postings[t]:
+            if w in held:
+                starts.append((np.flatnonzero(ids == w)[:, None] - at).ravel())
+                weight += self.share[t, w]
+                if lacking + weight > 1 - ACCEPT + 1e-9:
+                    break
+        drift = DRIFT if len(self.templates[t][1]) >= LONG else 0
+        return np.unique((np.concatenate(starts)[:, None] + np.arange(-drift, drift + 1)).ravel())
+
+    def scores(self, ids: np.ndarray, t: int, starts: np.ndarray) -> tuple:
+        """The weight of the words of template t that stand at their places after each start; with drift, and without."""
+        words, weights = self.templates[t][1:3]
+        drift = DRIFT if len(words) >= LONG else 0
+        out = []
+        for lo in range(0, len(starts), BLOCK):
+            at = starts[lo : lo + BLOCK, None] + np.arange(len(words))
+            stands = exact = np.zeros(at.shape, bool)
+            for d in range(-drift, drift + 1):
+                place = at + d
+                own = np.where((place >= 0) & (place < len(ids)), ids[np.clip(place, 0, len(ids) - 1)], -1) == words
+                stands, exact = stands | own, own if d == 0 else exact
+            out.append((stands @ weights, exact @ weights))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
     def scan(self, ids: np.ndarray) -> tuple:
         """ids: of each word, -1 for words of no template. Base places, base labels, spans (label, start, end, score)."""
-        base, labels, spans = [], set(), []
+        base, labels, spans, best = [], set(), [], 0.0
         for phrase, label in self.phrases:
             found = self.places(ids, phrase)
             if len(found):
                 base.append(found)
                 labels.add(label)
-        support: dict = {}
-        for at in np.flatnonzero(ids >= 0):
-            for t, place in self.postings.get(int(ids[at]), ()):
-                support[t, int(at) - place] = support.get((t, int(at) - place), 0) + 1
-        best = 0.0
-        for (t, start), n in support.items():
-            label, words, weights, key = self.templates[t]
-            if n < min(2, len(words)):
-                continue
-            lo, hi = max(start, 0), min(start + len(words), len(ids))
-            score = float(weights[lo - start : hi - start][ids[lo:hi] == words[lo - start : hi - start]].sum())
-            best = max(best, score)
-            if score >= ACCEPT and len(self.places(ids[lo:hi], key)):
-                spans.append((label, lo, hi, min(score, 1.0)))
+        present = np.unique(ids[ids >= 0])
+        for t in np.flatnonzero(self.share[:, present].sum(axis=1) >= ACCEPT - 1e-9):  # others can't match
+            label, words, _, key = self.templates[t]
+            starts = self.proposed(ids, t, present)
+            score, exact = self.scores(ids, t, starts)
+            best, taken = max(best, float(score.max())), np.zeros(len(ids), bool)
+            beyond = DRIFT if len(words) >= LONG else 0
+            for i in np.lexsort((starts, -exact, -np.round(score, 9))):
+                if score[i] < ACCEPT:
+                    break
+                lo, hi = max(int(starts[i]), 0), min(int(starts[i]) + len(words), len(ids))
+                if not taken[lo:hi].any() and len(self.places(ids[lo : hi + beyond], key)):
+                    taken[lo:hi] = True
+                    spans.append((label, lo, hi, min(float(score[i]), 1.0)))
         return (np.sort(np.concatenate(base)) if base else np.empty(0, np.int64)), labels, spans, min(best, 1.0)
 
 
@@ -153,7 +223,8 @@ def _scanner(shared):
 
 def licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base (labels of the phrases found), spans
-    (label, start, end, score of each notice found; words from 0), score (the best alignment's; 1 if a phrase was found).
+    (label, start, end, score of each text or notice found; words from 0; of those of one template that overlap, the best),
+    score (the best alignment's of the templates whose words the file holds enough of, else 0; 1 if a phrase was found).
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null and empty texts have no words, no
     labels and score 0. Null ids, repeated rows and empty tables are passed on; other columns are not looked at.
