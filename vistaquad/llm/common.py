@@ -1,5 +1,6 @@
 """What several operators share: reading tables, settled tables, words and their hashes."""
 
+import re
 import tempfile
 import uuid
 
@@ -20,12 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where it is unset, a temporary one in local mode,
+    in which one process holds driver and executors (tests); an error on a cluster, whose machines see different folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="vistaquad-")
-        shared_dir.own = found
-    return found
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(shared_dir, "own"):
+        shared_dir.own = tempfile.mkdtemp(prefix="vistaquad-")
+    return shared_dir.own
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
@@ -39,6 +44,27 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than 1 in HOT_KEYS of all rows is hot, so at most HOT_KEYS keys are, and no other key can fill a task;
+#: below HOT_LEAST rows no key is.
+HOT_KEYS, HOT_LEAST = 2000, 1000
+
+
+def hot_from(total: int) -> int:
+    """The number of rows beyond which a key is hot, of total rows."""
+    return max(HOT_LEAST, total // HOT_KEYS)
+
+
+def dealt(rows: DataFrame, keyed: DataFrame, key: list, least: int, how: str = "inner", n: str = "n") -> DataFrame:
+    """rows joined with keyed, which has one row for each key and in n how many of rows hold it (how: inner, left, left_semi).
+
+    Hot keys, those of more than `least` rows, are joined by broadcast (see HOT_KEYS), so their rows stay where they are;
+    the others are shuffled by key. keyed is read twice: settle it first.
+    """
+    hot = F.broadcast(keyed.where(F.col(n) > least))
+    cold = rows.join(hot.select(*key), key, "left_anti").join(keyed.where(F.col(n) <= least), key, how)
+    return rows.join(hot, key, "left_semi" if how == "left_semi" else "inner").union(cold)
+
+
 def utf8(column: str):
     """Text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
