@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaquad.functions.geometry import ENTRIES, as_float, distance, project
@@ -72,16 +72,18 @@ def _exact(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
 def ransac(points: DataFrame, by: tuple = ("camera_id",), samples: int = 200, limit: float = 3.0, seed: int = 1) -> DataFrame:
     """h of each camera, robust: candidates from random fours, inliers counted over all points, refit on the best's.
 
-    Each of the `samples` fours is drawn from all distinct points of the camera, the four least by a hash of seed, trial
-    and point; repeated points count once there. Counting is a join on the camera and a sum, whatever number of points it
-    has. A camera without a result keeps its row, with a null h.
+    Each of the `samples` fours is drawn from all points of the camera: a hash of seed, trial and point deals the points
+    into four slots, and in each slot the one of least hash is taken. That is an aggregation, combined before the shuffle,
+    so whatever number of points a camera has, 4 * samples of them travel; repeated points are one, as their hashes are.
+    Counting is a join on the camera and a sum. A camera without a result keeps its row, with a null h.
     """
     by = list(by)
     sides = ["src_x", "src_y", "dst_x", "dst_y"]
-    distinct = points.select(*by, *(as_float(F.col(c)).alias(c) for c in sides)).dropna().dropDuplicates([*by, *sides])
-    dealt = distinct.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    draw = F.row_number().over(Window.partitionBy(*by, "trial").orderBy(F.xxhash64(F.lit(seed), "trial", *sides), *sides))
-    fours = dealt.withColumn("_r", draw).where("_r <= 4").groupBy(*by, "trial").agg(F.sort_array(F.collect_list(F.struct("_r", *sides))).alias("four"))
+    plain = points.select(*by, *((as_float(F.col(c)) + F.lit(0.0)).alias(c) for c in sides)).dropna()
+    dealt = plain.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    slot = F.pmod(F.xxhash64(F.lit(seed), "trial", *sides), F.lit(4)).alias("slot")
+    least = F.min(F.struct(F.xxhash64(F.lit(seed + 1), "trial", *sides).alias("_r"), *sides)).alias("p")
+    fours = dealt.groupBy(*by, "trial", slot).agg(least).groupBy(*by, "trial").agg(F.sort_array(F.collect_list("p")).alias("four"))
 
     def solve(frames):
         for frame in frames:

@@ -1,9 +1,10 @@
 """Reports and annotations as ordinary tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vistaquad.functions.geometry import distance, project
+from vistaquad.functions.nested import merged
 from vistaquad.operators.points import in_canvas
 
 
@@ -30,6 +31,35 @@ def wide_form(rows: DataFrame, keys: list, metrics: list) -> DataFrame:
     return rows.groupBy(*keys).pivot("metric", metrics).agg(F.first("value"))
 
 
+def names(rows: DataFrame, by: tuple, name: str, position: str) -> DataFrame:
+    """How many distinct names a group has, and the list of them by their first position."""
+    first = rows.groupBy(*by, name).agg(F.min(position).alias("_at"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_at", name))), lambda p: p[name])
+    return first.groupBy(*by).agg(F.count("*").alias("total"), listed.alias("names"))
+
+
+def metric_map(rows: DataFrame, by: tuple, name: str, metrics: list) -> DataFrame:
+    """For each group a map {name}_{metric}: value over its rows, one row for each name."""
+    entries = F.array(*(F.struct(F.concat_ws("_", name, F.lit(m)).alias("key"), F.col(m).cast("double").alias("value")) for m in metrics))
+    return rows.groupBy(*by).agg(F.map_from_entries(F.flatten(F.collect_list(entries))).alias("metrics"))
+
+
+def experiment_summary(records: DataFrame, extra: DataFrame | None = None, by: tuple = ("experiment",)) -> DataFrame:
+    """One row for each experiment: total_cameras, camera_names in order of pos, and the metrics of all cameras as one map;
+    extra (experiment, metrics) is merged into it and wins where both have a key."""
+    listed = names(records, by, "camera_id", "pos").withColumnsRenamed({"total": "total_cameras", "names": "camera_names"})
+    found = listed.join(metric_map(records, by, "camera_id", ["initial_error", "optimized_error", "improvement"]), list(by))
+    if extra is None:
+        return found
+    rows = found.join(extra.select(*by, F.col("metrics").alias("_extra")), list(by), "left")
+    return rows.withColumn("metrics", merged(F.col("metrics"), F.col("_extra"))).drop("_extra")
+
+
+def stamps(ts: Column) -> tuple[Column, Column]:
+    """A time as it stands in a summary's table (ISO, microseconds) and in its text."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
 def write(frame: DataFrame, path: str, by: tuple = ("camera_id",), mode: str = "error") -> None:
     """A table partitioned by camera."""
     frame.write.mode(mode).partitionBy(*by).parquet(path)

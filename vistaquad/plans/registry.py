@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaquad.functions import geometry, quads
+from vistaquad.functions import geometry, nested, quads
 from vistaquad.operators import detect, estimate, points, raster, refine, report, search, stitch, warp
 from vistaquad.plans import standins as s
 from vistaquad.plans.sql import ORACLES  # noqa: F401
@@ -107,6 +107,98 @@ def dlt_sums(spark, d):
     return _rounded(_rounded(sums, 4, "xx", "xy", "yy", "xu", "xv", "xxu"), 2, "cross")
 
 
+def _marks(spark, d):
+    """Points of each camera; the seventh of an order is far off."""
+    far = F.when(F.col("l_linenumber") == 7, 500.0).otherwise(0.0)
+    return s.line_points(spark, d).withColumns({"dst_x": F.col("dst_x") + far, "dst_y": F.col("dst_y") - far})
+
+
+METRICS = ["initial_error", "optimized_error"]
+CAMERAS = [f"camera{i}" for i in range(5)]
+
+
+def wide_summary(spark, d):
+    """The best trial of each camera, a column for each camera and metric."""
+    rows = report.long_form(report.best(s.results(spark, d)).select("camera_id", *METRICS), ["camera_id"])
+    keyed = rows.select(F.lit("all").alias("experiment"), F.concat_ws("_", "camera_id", "metric").alias("metric"), F.round("value", 6).alias("value"))
+    return report.wide_form(keyed, ["experiment"], [f"{c}_{m}" for c in CAMERAS for m in METRICS])
+
+
+def _records(spark, d):
+    """Cameras as experiments hold them: the suppliers of a nation, by key."""
+    k = F.col("s_suppkey")
+    initial = (k % 9 + 1).cast("double")
+    rows = s.read(spark, d, "supplier").select(F.col("s_nationkey").alias("experiment"), F.concat(F.lit("camera"), k.cast("string")).alias("camera_id"), k.alias("pos"), initial.alias("initial_error"), (initial * (k % 5) / 4).alias("optimized_error"))
+    return rows.withColumn("improvement", geometry.improvement(F.col("initial_error"), F.col("optimized_error"))[0])
+
+
+def merged_summary(spark, d):
+    """Summaries of experiments with facts that win over a metric of the same key, a row for each key."""
+    extra = s.read(spark, d, "nation").select(F.col("n_nationkey").alias("experiment"), F.create_map(F.concat(F.lit("camera"), F.col("n_nationkey").cast("string"), F.lit("_improvement")), F.lit(-1.0), F.lit("num_images"), F.lit(2.0)).alias("metrics"))
+    found = report.experiment_summary(_records(spark, d), extra)
+    return found.select("experiment", F.explode("metrics").alias("key", "value")).withColumn("value", F.round("value", 6))
+
+
+def camera_names(spark, d):
+    found = report.experiment_summary(_records(spark, d))
+    return found.select("experiment", "total_cameras", nested.joined(F.col("camera_names")).alias("names"))
+
+
+def level_lists(spark, d):
+    """Methods of each level: lists of one to three items, cut or gone on with to the number of levels."""
+    k = F.col("p_partkey")
+    items = F.slice(F.array(*(F.concat(F.lit(x), (k % 7).cast("string")) for x in "abc")), F.lit(1), (k % 3 + 1).cast("int"))
+    levels = nested.levelled(items, (k % 5 + 1).cast("int"))
+    return s.read(spark, d, "part").select("p_partkey", F.posexplode(levels).alias("level", "method"))
+
+
+def annotated(spark, d):
+    rows = s.with_h(s.line_points(spark, d), s.H_FIRST).withColumn("idx", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return _rounded(report.annotations(rows, "L", 40, 5), 6, "error")
+
+
+def drawn(spark, d):
+    """A disc for each supplier on one of eight images."""
+    k = F.col("s_suppkey")
+    dots = s.read(spark, d, "supplier").select((k % 8).cast("int").alias("image_id"), (k * 7 % 64).alias("u"), (k * 13 % 250).alias("v"))
+    return report.draw_points(s.pixels(spark, d), dots, V, [255]).select("image_id", "y", "x", "v")
+
+
+def params(spark, d):
+    """Homographies from eight parameters of each embedding, and the parameters of those."""
+    h = geometry.from_params(F.slice("embedding", 1, 8).cast("array<double>"))
+    rows = s.read(spark, d, "embeddings").select("vec_id", h.alias("h"))
+    return rows.select("vec_id", F.col("h.h22").alias("h22"), F.posexplode(geometry.to_params(F.col("h"))).alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+def quad_filters(spark, d):
+    q = F.col("corners")
+    rows = s.quads(spark, d).select("quad_id", quads.area(q).alias("area"), quads.is_convex(q).alias("convex"), quads.aspect(q).alias("aspect"))
+    return _rounded(rows, 3, "area").withColumn("aspect", F.round("aspect", 6))
+
+
+def grays(spark, d):
+    b, g, r = F.col("v"), F.col("v") * 3 % 256, F.col("v") * 7 % 256
+    return s.pixels(spark, d).select("image_id", "y", "x", raster.gray(b, g, r).alias("gray"), raster.gray(b, g, r, swapped=True).alias("swapped"))
+
+
+def report_lines(spark, d):
+    return report.text_report(report.best(s.results(spark, d))).withColumnRenamed("value", "line")
+
+
+def run_stamps(spark, d):
+    iso, shown = report.stamps(F.col("ts"))
+    return s.read(spark, d, "events").select("event_id", iso.alias("iso"), shown.alias("shown"))
+
+
+def homographies(spark, d):
+    return estimate.least_squares(s.line_points(spark, d)).select("camera_id", "h.*")
+
+
+def robust_homographies(spark, d):
+    return estimate.ransac(_marks(spark, d), samples=50).select("camera_id", "h.*")
+
+
 QUERIES = {
     "q01_project_points": project_points,
     "q02_reprojection_mean": reprojection_mean,
@@ -191,4 +283,17 @@ QUERIES |= {
     "q31_warp": warped,
     "q32_multiband": lambda spark, d: warp.multiband(_pairs(spark, d), V),
     "q33_detect": detected,
+    "q34_homography": homographies,
+    "q35_ransac": robust_homographies,
+    "q36_wide_summary": wide_summary,
+    "q37_merged_summary": merged_summary,
+    "q38_level_lists": level_lists,
+    "q39_annotations": annotated,
+    "q40_draw_points": drawn,
+    "q41_params": params,
+    "q42_quad_filters": quad_filters,
+    "q43_gray": grays,
+    "q44_report_lines": report_lines,
+    "q45_camera_names": camera_names,
+    "q46_run_stamps": run_stamps,
 }

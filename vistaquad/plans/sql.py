@@ -54,6 +54,12 @@ MOVED = f"qh as (select quad_id, camera_id, k, ((h00 * fx + h01 * fy + h02) / w)
 ROLES = "r as (select * from (values ('optimization', [1, 5, 9, 9, 13, 40]), ('anchor', [2, 4, 4, 31]), ('reprojection', [2, 31])) t(role, ids)), rr as (select role, (i - 1)::int as pos, ids[i]::bigint as idx from r, unnest(range(1, len(ids) + 1)) as t(i))"
 RESULTS = "res as (select 'camera' || (p_partkey % 5)::varchar as camera_id, p_partkey as trial_id, p_partkey % 7 <> 0 as success, case when p_partkey % 7 <> 0 then (p_size + 1)::double end as initial_error, case when p_partkey % 7 <> 0 then (p_size + 1)::double * (p_partkey % 11) / 10 end as optimized_error from part)"
 
+BEST = f"{RESULTS}, top as (select * from (select *, row_number() over (partition by camera_id order by optimized_error, trial_id) as rn from res where success) where rn = 1)"
+RECORDS = "rec as (select s_nationkey as experiment, s_suppkey, 'camera' || s_suppkey as camera_id, (s_suppkey % 9 + 1)::double as i, (s_suppkey % 9 + 1)::double * (s_suppkey % 5) / 4 as o from supplier)"
+CORNERS = f"{QUADS}, c as (select quad_id, {', '.join(f'max({a}) filter (where k = {k}) as {a}{k}' for a in 'xy' for k in range(4))} from q group by quad_id)"
+TURNS = [f"(x{(i + 1) % 4} - x{i}) * (y{(i + 2) % 4} - y{(i + 1) % 4}) - (y{(i + 1) % 4} - y{i}) * (x{(i + 2) % 4} - x{(i + 1) % 4})" for i in range(4)]
+HIT = "hit as (select distinct s_suppkey % 8 as image_id, s_suppkey * 13 % 250 + i as y, s_suppkey * 7 % 64 + j as x from supplier, unnest(range(-6, 7)) as a(i), unnest(range(-6, 7)) as b(j) where i * i + j * j <= 36)"
+
 ORACLES = {
     "q01_project_points": f"select l_orderkey, l_linenumber, round(u, 6) + 0.0 as u, round(v, 6) + 0.0 as v from {_projected(H1)}",
     "q02_reprojection_mean": f"select l_suppkey as camera_id, round(avg(e), 6) as mean_error, count(*) as n from {_errors(H1)} group by 1",
@@ -89,4 +95,20 @@ select pair_id, y, x, floor(least(255, greatest(0, (case when m > 0 then v1::flo
     "q26_summary_pivot": f"with {RESULTS} select camera_id, count(*) as trials, count(*) filter (where not success) as failed, round(avg(initial_error), 6) as initial_error, round(avg(optimized_error), 6) as optimized_error from res group by 1",
     "q27_similarity_points": "select l_orderkey, l_linenumber, round(a * x + b * y + (1 - a) * 300 - b * 400 + 12, 6) as u, round(-b * x + a * y + b * 300 + (1 - a) * 400 - 7, 6) as v from (select l_orderkey, l_linenumber, l_quantity::float::double as x, l_discount::float::double as y, 1.5 * cos(radians(30)) as a, 1.5 * sin(radians(30)) as b from lineitem)",
     "q28_dlt_sums": "with p as (select l_suppkey as camera_id, l_quantity::float::double as x, l_discount::float::double as y, (l_quantity + l_tax)::float::double as u, (l_discount * 2)::float::double as v from lineitem) select camera_id, count(*) as n, round(sum(x * x), 4) as xx, round(sum(x * y), 4) as xy, round(sum(y * y), 4) as yy, round(sum(x * u), 4) as xu, round(sum(x * v), 4) as xv, round(sum(x * x * u), 4) as xxu, round(sum((x * x + y * y) * (u * u + v * v)), 2) as cross from p group by 1",
+    "q36_wide_summary": f"with {BEST} select 'all' as experiment, {', '.join(f"round(max({m}) filter (where camera_id = 'camera{i}'), 6) as camera{i}_{m}" for i in range(5) for m in ('initial_error', 'optimized_error'))} from top",
+    "q37_merged_summary": f"""with {RECORDS}, l as (select experiment, unnest([camera_id || '_initial_error', camera_id || '_optimized_error', camera_id || '_improvement']) as key, unnest([i, o, i - o]) as value from rec),
+r as (select n_nationkey as experiment, unnest(['camera' || n_nationkey || '_improvement', 'num_images']) as key, unnest([-1.0, 2.0])::double as value from nation where n_nationkey in (select experiment from rec))
+select experiment, key, round(value, 6) as value from (select * from r union all select * from l anti join r using (experiment, key))""",
+    "q38_level_lists": "select p_partkey, (l - 1)::int as level, chr((97 + least(l - 1, p_partkey % 3))::int) || (p_partkey % 7) as method from part, unnest(range(1, 6)) as t(l) where l <= p_partkey % 5 + 1",
+    "q39_annotations": f"""select l_suppkey as camera_id, l_orderkey * 10 + l_linenumber as idx, trunc(rx)::bigint as real_x, trunc(ry)::bigint as real_y, trunc(u)::bigint as proj_x, trunc(v)::bigint as proj_y,
+round(sqrt((u - rx) * (u - rx) + (v - ry) * (v - ry)), 6) as error, 'L' || (l_orderkey * 10 + l_linenumber) as label
+from (select * replace (u::float::double as u, v::float::double as v) from {_projected(H1).replace('from lineitem', ', l_quantity + l_tax as rx, l_discount * 2 as ry from lineitem')}) where trunc(u) >= 0 and trunc(u) < 40 and trunc(v) >= 0 and trunc(v) < 5""",
+    "q40_draw_points": f"with {PIXELS}, {HIT} select px.image_id::int as image_id, px.y as y, px.x as x, case when hit.y is null then v else 255 end as v from px left join hit on px.image_id = hit.image_id and px.y = hit.y and px.x = hit.x",
+    "q41_params": "select vec_id, 1.0::double as h22, (i - 1)::int as pos, round(embedding[i]::double, 6) as value from embeddings, unnest(range(1, 9)) as t(i)",
+    "q42_quad_filters": f"""with {CORNERS} select quad_id, round(abs({' + '.join(f'(x{i} * y{(i + 1) % 4} - x{(i + 1) % 4} * y{i})' for i in range(4))}) / 2, 3) as area, least({', '.join(TURNS)}) >= 0 or greatest({', '.join(TURNS)}) <= 0 as convex,
+round((floor(greatest(x0, x1, x2, x3)) - floor(least(x0, x1, x2, x3)) + 1)::double / (floor(greatest(y0, y1, y2, y3)) - floor(least(y0, y1, y2, y3)) + 1), 6) as aspect from c""",
+    "q43_gray": f"with {PIXELS} select image_id::int as image_id, y, x, ((v * 1868 + (v * 3 % 256) * 9617 + (v * 7 % 256) * 4899 + 8192) // 16384)::int as gray, ((v * 4899 + (v * 3 % 256) * 9617 + (v * 7 % 256) * 1868 + 8192) // 16384)::int as swapped from px",
+    "q44_report_lines": f"with {BEST} select printf('%s: initial %.4f, optimized %.4f, improvement %.2f%%', camera_id, initial_error, optimized_error, case when initial_error > 0 then (initial_error - optimized_error) / initial_error * 100 else 0.0 end) as line from top",
+    "q45_camera_names": f"with {RECORDS} select experiment, count(*) as total_cameras, string_agg(camera_id, ', ' order by s_suppkey) as names from rec group by 1",
+    "q46_run_stamps": "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as iso, strftime(ts, '%Y-%m-%d %H:%M:%S') as shown from events",
 }

@@ -20,6 +20,32 @@ def inline_points(spark: SparkSession, cameras: dict) -> DataFrame:
     return spark.createDataFrame(rows, schema.POINTS)
 
 
+CONFIG = "map<string,struct<image_path:string,points_file:string,src_points:array<array<double>>,dst_points:array<array<double>>,point_indices:map<string,array<int>>>>"
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each camera of JSON files {camera: {image_path, points_file, src_points, dst_points, point_indices}}.
+
+    One file is one document; keys that are not named here are ignored, and a file that is no such JSON gives no row.
+    """
+    found = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", CONFIG)).alias("camera_id", "c"))
+    return found.select("camera_id", "c.*")
+
+
+def config_points(configs: DataFrame) -> DataFrame:
+    """Points that configurations hold themselves: src_points and dst_points side by side, as far as the shorter one goes."""
+    pairs = F.arrays_zip(F.slice("src_points", F.lit(1), F.size("dst_points")), F.slice("dst_points", F.lit(1), F.size("src_points")))
+    rows = configs.where("src_points is not null and dst_points is not null").select("camera_id", F.posexplode(pairs).alias("idx", "p"))
+    at = lambda side, i: F.get(F.col("p")[side], F.lit(i))
+    return rows.select("camera_id", "idx", at("0", 0).alias("src_x"), at("0", 1).alias("src_y"), at("1", 0).alias("dst_x"), at("1", 1).alias("dst_y"))
+
+
+def config_roles(configs: DataFrame) -> DataFrame:
+    """point_indices as rows in order; a role loses its ending _points."""
+    rows = configs.select("camera_id", F.explode("point_indices").alias("role", "ids"))
+    return rows.select("camera_id", F.regexp_replace("role", "_points$", "").alias("role"), F.posexplode("ids").alias("pos", "idx"))
+
+
 def _arrays(frames):
     for frame in frames:
         rows = []
