@@ -163,3 +163,26 @@ def test_calibration_run(spark):
     seen = views(shots, done, 120, 100).cache()
     for method in ("first_wins", "blend", "feather", "multiband"):
         assert stitched(seen, "i0", "i1", method).count() > 0
+
+
+def test_whole_experiment(spark, tmp_path):
+    from vistaquad.plans.calibrate import multi_camera
+    from vistaquad.sources.points import roles
+
+    p = marks(spark, 20).withColumn("camera_id", F.lit("i0"))
+    p = p.union(p.withColumn("camera_id", F.lit("i1")))
+    r = roles(spark, {c: {"optimization": list(range(9)), "anchor": [3, 5, 3]} for c in ("i0", "i1")})
+    path = str(tmp_path / "run")
+    summary = multi_camera(images(spark, picture(), picture()), p, r, path, "both", "i0", "i1", [("L-BFGS-B", "strict", 0.9)], width=200, height=160).first()
+    assert (summary.experiment, summary.total_cameras, summary.camera_names) == ("both", 2, ["i0", "i1"]) and len(summary.metrics) == 6
+    assert 0 <= summary.metrics["i0_optimized_error"] < 5
+    found = spark.read.parquet(f"{path}/panorama_stitching/images").collect()
+    assert len(found) == 8 and len({x.name for x in found}) == 8 and {x.pair_id for x in found} == {"i0+i1"}
+    done = spark.read.parquet(f"{path}/stitched").where("name = 'stitched_with_anchor_points'").first()
+    pixels = np.frombuffer(done.data, np.uint8).reshape(done.height, done.width, 3)
+    labels = {x.label: (x.x, x.y) for x in spark.read.parquet(f"{path}/labels").collect()}
+    assert set(labels) == {f"{s}{i}" for s in "LR" for i in (1, 2, 3)} and labels["L1"] == labels["L3"]
+    inside = [(x, y) for x, y in labels.values() if 0 <= x < done.width and 0 <= y < done.height]
+    assert all(pixels[y, x].tolist() == [0, 255, 0] for x, y in inside)  # the second camera's discs lie on the first's
+    assert [x.value for x in spark.read.text(f"{path}/cameras/results_text").where("camera_id = 'i1'").collect()][0] == "I1 RESULTS"
+    assert {x.camera_id for x in spark.read.json(f"{path}/configurations/configs").collect()} == {"i0", "i1"}

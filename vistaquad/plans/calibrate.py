@@ -3,8 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaquad.operators import detect, estimate, points, raster, refine, stitch, warp
-from vistaquad.sources.images import explode
+from vistaquad.functions.geometry import improvement
+from vistaquad.operators import detect, estimate, points, raster, refine, report, stitch, warp
+from vistaquad.sources import sinks
+from vistaquad.sources.images import explode, pack
 
 
 def calibrate(images: DataFrame, point_table: DataFrame, roles: DataFrame, steps: list | None = None, min_area: float = 4000, size: float = 100.0) -> DataFrame:
@@ -25,8 +27,6 @@ def calibrate(images: DataFrame, point_table: DataFrame, roles: DataFrame, steps
 
 def evaluate(calibrations: DataFrame, point_table: DataFrame, roles: DataFrame) -> DataFrame:
     """Mean error of the points held out from optimisation, before and after, with what was gained."""
-    from vistaquad.functions.geometry import improvement
-
     held = points.holdout(point_table, roles, "optimization")
     by = [points.mean_error(points.reprojection(held, calibrations.select("camera_id", F.col(h).alias("h")))).select("camera_id", F.col("mean_error").alias(n)) for h, n in (("h_initial", "initial_error"), ("h", "optimized_error"))]
     gain, percent = improvement(F.col("initial_error"), F.col("optimized_error"))
@@ -38,9 +38,67 @@ def views(images: DataFrame, calibrations: DataFrame, width: int = 1600, height:
     return warp.warp(images, calibrations.where("h is not null").select(F.col("camera_id").alias("image_id"), "h"), width, height)
 
 
+CHANNELS = list("bgr")
+ANCHOR_RADIUS, ANCHOR_COLORS = 8, ([255, 0, 0], [0, 255, 0])  # blue for the first camera, green for the second
+
+
+def paired(seen: DataFrame, first: str, second: str, how: str = "inner") -> DataFrame:
+    """Two views as a pair (see raster.pairs) named first+second."""
+    side = lambda name: explode(seen.where(F.col("image_id") == name)).select(F.lit(f"{first}+{second}").alias("pair_id"), "y", "x", *CHANNELS)
+    return raster.pairs(side(first), side(second), CHANNELS, how=how)
+
+
 def stitched(seen: DataFrame, first: str, second: str, method: str) -> DataFrame:
-    """Pixels (pair_id, y, x, b, g, r) of two views: first_wins, blend, feather or multiband."""
-    channels = list("bgr")
-    side = lambda name: explode(seen.where(F.col("image_id") == name)).select(F.lit(f"{first}+{second}").alias("pair_id"), "y", "x", *channels)
-    rows = raster.pairs(side(first), side(second), channels, how="full" if method == "first_wins" else "inner")
-    return {"first_wins": stitch.first_wins, "blend": stitch.blend, "feather": stitch.feather, "multiband": warp.multiband}[method](rows, channels)
+    """Pixels (pair_id, y, x, b, g, r) of two views: first_wins, blend, feather, multiband or seam (white where the first is taken)."""
+    rows = paired(seen, first, second, "full" if method == "first_wins" else "inner")
+    if method == "seam":
+        mask = stitch.seam_mask(rows, CHANNELS)
+        return mask.select("pair_id", "y", "x", *((F.col("seam") * 255).alias(c) for c in CHANNELS))
+    return {"first_wins": stitch.first_wins, "blend": stitch.blend, "feather": stitch.feather, "multiband": warp.multiband}[method](rows, CHANNELS)
+
+
+def anchor_overlay(pixels: DataFrame, calibrations: DataFrame, anchors: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame]:
+    """pixels with a disc at each projected anchor of either camera, and the labels (L1, L2, .. and R1, R2, ..) with their places."""
+    placed = points.project_points(anchors, calibrations.select("camera_id", "h"), mode="cv").where("u is not null and v is not null")
+    labels = []
+    for camera, side, color in ((first, "L", ANCHOR_COLORS[0]), (second, "R", ANCHOR_COLORS[1])):
+        own = placed.where(F.col("camera_id") == camera).select(F.lit(f"{first}+{second}").alias("pair_id"), "u", "v", F.concat(F.lit(side), (F.col("pos") + 1).cast("string")).alias("label"))
+        pixels = report.draw_points(pixels, own, CHANNELS, color, ANCHOR_RADIUS, by=("pair_id",))
+        labels.append(own.select("pair_id", "label", F.col("u").cast("long").alias("x"), F.col("v").cast("long").alias("y")))
+    return pixels, labels[0].union(labels[1])
+
+
+def multi_camera(images: DataFrame, point_table: DataFrame, roles: DataFrame, path: str, experiment: str, first: str, second: str, steps: list | None = None, min_area: float = 2000, size: float = 56.0, width: int = 1600, height: int = 1200) -> DataFrame:
+    """A whole experiment: every camera calibrated and judged, views of first and second stitched in each way, all of it
+    written under path (cameras, configurations, panorama_stitching, labels, summary). Returns the summary.
+
+    What each step writes is read by the next, so nothing is worked out twice and a lost executor repeats one step.
+    """
+    spark = images.sparkSession
+
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{path}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{path}/{name}")
+
+    levels = steps or refine.stages()
+    done = kept(calibrate(images, point_table, roles, levels, min_area, size), "calibrations")
+    records = kept(sinks.camera_records(done, roles, evaluate(done, point_table, roles), size), "records")
+    seen = {kind: kept(views(images, done.select("camera_id", F.col(h).alias("h")), width, height), f"views_{kind}") for kind, h in (("initial", "h_initial"), ("optimized", "h"))}
+    sinks.write_cameras(records, f"{path}/cameras", seen["initial"].withColumn("kind", F.lit("initial")).union(seen["optimized"].withColumn("kind", F.lit("optimized"))))
+    listed = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(b).alias("bounds"), F.lit(float(w)).alias("weight")) for m, b, w in levels))
+    sinks.write_configs(done.select("camera_id", F.lit(f"Levels-{len(levels)}").alias("name"), F.lit(len(levels)).alias("levels"), listed.alias("stages")), f"{path}/configurations")
+
+    shown = {f"{name}_{kind}": stitched(seen[kind], first, second, method) for name, method in (("stitched", "first_wins"), ("blended", "blend")) for kind in seen}
+    shown |= {name: stitched(seen["optimized"], first, second, method) for name, method in (("seam_mask", "seam"), ("stitched_optimal_seam", "feather"), ("stitched_multiband", "multiband"))}
+    marked, labels = anchor_overlay(shown["stitched_optimized"], done, points.select_role(point_table, roles, "anchor"), first, second)
+    shown["stitched_with_anchor_points"] = marked
+    labels.write.parquet(f"{path}/labels")
+    packed = None
+    for name, pixels in shown.items():
+        one = pack(pixels.select(F.col("pair_id").alias("image_id"), "y", "x", *CHANNELS), CHANNELS).withColumnRenamed("image_id", "pair_id").withColumn("name", F.lit(name))
+        packed = one if packed is None else packed.unionByName(one)
+    facts = spark.range(1).select(F.lit(f"{first}+{second}").alias("pair_id"), F.lit(2).alias("num_images"), F.lit("advanced_stitching").alias("method"))
+    sinks.write_stitching(kept(packed, "stitched"), f"{path}/panorama_stitching", facts)
+    iso, _ = report.stamps(F.current_timestamp())
+    order = F.when(F.col("camera_id") == first, 0).when(F.col("camera_id") == second, 1).otherwise(2)
+    return kept(report.experiment_summary(records.withColumns({"experiment": F.lit(experiment), "pos": order})).withColumn("timestamp", iso), "summary")
