@@ -7,6 +7,9 @@ transform, and threshold-bounded interval expansion: from the empty string, brea
 ends of all intervals by increasing length of common prefix and stops at min_bytes. Rows that no end parts share a
 string of min_bytes, and the smallest document id among them decides what is removed.
 
+An anchor that more than HOT occurrences hold (a common phrase) could fill a part by itself, so its windows are dealt
+out one by one, by a hash of the whole window; equal windows meet all the same, and need no transform.
+
 Documents are held in shards (a bucketed table in the shared folder), so their text is shuffled once; anchors,
 stretches and decisions travel between shards and parts in packed form. All counts of shards and parts follow the input.
 """
@@ -29,6 +32,7 @@ GRAM = 24
 SHARD_BYTES = 4_000_000
 SHARDS_PER_PART = 4
 BLOCK_BYTES = 2_000_000  # of stretches in one transform; the stretches of one anchor always stay together
+HOT = 20_000  # occurrences beyond which an anchor's windows are dealt out one by one
 PIECE = 1 << 20  # window starts that are hashed at a time
 END = 255  # no byte of UTF-8 text; stands after each stretch
 
@@ -205,7 +209,7 @@ def _rows(columns: dict) -> pa.Table:
 
 
 def _send_anchors(parts: int, min_bytes: int):
-    """Each shard's distinct anchors by part; the last bit says that two of its documents hold one."""
+    """Each shard's distinct anchors by part, and how often each occurs; the last bit says that two of its documents hold one."""
 
     def run(key, docs, notes):
         shard = Shard(docs, notes, min_bytes)
@@ -214,50 +218,69 @@ def _send_anchors(parts: int, min_bytes: int):
         h, doc = h[order], doc[order]
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
         several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new) if len(h) else np.empty(0, bool)
-        value = h[new] << np.uint64(1) | several.astype(np.uint64)
+        value, count = h[new] << np.uint64(1) | several.astype(np.uint64), np.diff(new, append=len(h)).astype(np.int32)
         split = _split(h[new], parts)
-        return _rows({"part": [p for p, _ in split], "shard": [key[0].as_py()] * len(split), "blob": [packed(value[s]) for _, s in split]})
+        return _rows({"part": [p for p, _ in split], "shard": [key[0].as_py()] * len(split), "blob": [packed(value[s], count[s]) for _, s in split]})
+
+    return run
+
+
+def _repeated(hot: int):
+    """Of a part's anchors, those that two documents hold, back to the shards that hold them; and which of them are hot."""
+
+    def run(key, rows):
+        sent = [unpacked(b) for b in rows["blob"].to_pylist()]
+        value, count = (np.concatenate(x) for x in zip(*sent, strict=True))
+        order = np.argsort(value >> np.uint64(1), kind="stable")
+        h, value, count = (value >> np.uint64(1))[order], value[order], count[order]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        twice = (np.diff(new, append=len(h)) > 1) | (np.maximum.reduceat(value & np.uint64(1), new) == 1)
+        often = np.add.reduceat(count.astype(np.int64), new) > hot
+        h = h[new]
+        out_shard, out = [], []
+        for shard, (v, _) in zip(rows["shard"].to_pylist(), sent, strict=True):
+            own = np.searchsorted(h, v >> np.uint64(1))
+            held = own[twice[own]]
+            if len(held):
+                out_shard.append(shard), out.append(packed(h[held], often[held]))
+        return _rows({"shard": out_shard, "copy": [None] * len(out), "blob": out})
 
     return run
 
 
-def _repeated(key, rows):
-    """Of a part's anchors, those that two documents hold, back to the shards that hold them."""
-    sent = [unpacked(b)[0] for b in rows["blob"].to_pylist()]
-    value = np.concatenate(sent)
-    h = np.sort(value >> np.uint64(1))
-    twice = np.concatenate([h[1:][h[1:] == h[:-1]], value[(value & np.uint64(1)) == 1] >> np.uint64(1)])
-    twice = np.unique(twice)
-    out_shard, out = [], []
-    for shard, v in zip(rows["shard"].to_pylist(), sent, strict=True):
-        own = v >> np.uint64(1)
-        held = own[np.isin(own, twice, assume_unique=True)]
-        if len(held):
-            out_shard.append(shard), out.append(packed(held))
-    return _rows({"shard": out_shard, "copy": [None] * len(out), "blob": out})
+def window_hash(window: bytes) -> int:
+    """Where a window of a hot anchor is dealt to; of 48 bits, as anchors are."""
+    return xxhash.xxh3_64_intdigest(window, seed=1) >> 16
 
 
 def _send_stretches(parts: int, min_bytes: int):
-    """The distinct stretches of each shard's repeated anchors by part, with their smallest document id."""
+    """The distinct stretches of each shard's repeated anchors by part, with their smallest document id; of hot anchors,
+    each window as a stretch of its own, dealt out by its hash."""
 
     def run(key, docs, notes):
         shard = Shard(docs, notes, min_bytes)
         h, first, last, doc = shard.anchors()
-        wanted = np.sort(np.concatenate([np.empty(0, np.uint64), *(n[0] for n in shard.notes)]))
+        wanted = np.concatenate([np.empty(0, np.uint64), *(n[0] for n in shard.notes)])
+        hot = set(np.concatenate([np.empty(0, np.uint64), *(n[0][n[1]] for n in shard.notes)]).tolist())
         pick = np.flatnonzero(np.isin(h, wanted))
-        pick = pick[np.argsort(h[pick], kind="stable")]
-        h, first, last, doc = h[pick], first[pick].tolist(), last[pick].tolist(), doc[pick].tolist()
-        out_part, out = [], []
-        for part, s in _split(h, parts):
-            seen: dict = {}
-            for i in range(s.start, s.stop):
-                k = (int(h[i]), shard.stretch(first[i], last[i]))
-                d = shard.own[doc[i]]
+        seen: dict = {}
+        for a, lo, hi, d in zip(h[pick].tolist(), first[pick].tolist(), last[pick].tolist(), doc[pick].tolist(), strict=True):
+            own = shard.own[d]
+            if a in hot:
+                keys = [(window_hash(w), a, w) for w in (shard.stretch(i, i) for i in range(lo, hi + 1))]
+            else:
+                keys = [(a, a, shard.stretch(lo, hi))]
+            for k in keys:
                 old = seen.get(k)
-                seen[k] = (d, False) if old is None else (min(d, old[0]), old[1] or d != old[0])
-            texts = [t for _, t in seen]
+                seen[k] = (own, False) if old is None else (min(own, old[0]), old[1] or own != old[0])
+        rows = sorted(seen.items())
+        at = np.array([k[0] for k, _ in rows], np.uint64)
+        out_part, out = [], []
+        for part, s in _split(at, parts):
+            own = rows[s]
+            texts = [k[2] for k, _ in own]
             out_part.append(part)
-            out.append(packed(np.array([k for k, _ in seen], np.uint64), np.fromiter(map(len, texts), np.int32, len(texts)), np.array([d for d, _ in seen.values()], np.int64), np.array([m for _, m in seen.values()], np.bool_), np.frombuffer(b"".join(texts), np.uint8)))
+            out.append(packed(at[s], np.array([k[1] for k, _ in own], np.uint64).view(np.int64), np.fromiter(map(len, texts), np.int32, len(texts)), np.array([d for _, (d, _) in own], np.int64), np.array([m for _, (_, m) in own], np.bool_), np.frombuffer(b"".join(texts), np.uint8)))
         return _rows({"part": out_part, "shard": [key[0].as_py()] * len(out), "blob": out})
 
     return run
@@ -292,10 +315,10 @@ def _decide(min_bytes: int):
     def run(key, rows):
         lists, merged = [], {}
         for blob in rows["blob"].to_pylist():
-            h, size, doc, several, raw = unpacked(blob)
+            h, anchor, size, doc, several, raw = unpacked(blob)
             raw, ends = raw.tobytes(), np.cumsum(size)
             keys = [(a, raw[e - n : e]) for a, n, e in zip(h.tolist(), size.tolist(), ends.tolist(), strict=True)]
-            lists.append((keys, doc, several))
+            lists.append((keys, anchor, doc, several))
             for k, d in zip(keys, doc.tolist(), strict=True):
                 if merged.get(k, d) >= d:
                     merged[k] = d
@@ -324,9 +347,9 @@ def _decide(min_bytes: int):
         if block:
             flush()
         out = []
-        for own, doc, several in lists:
-            hashes, names, firsts, lasts, least = [], [], [], [], []
-            for k, d, many in zip(own, doc.tolist(), several.tolist(), strict=True):
+        for own, anchor, doc, several in lists:
+            hashes, names, firsts, lasts, least, alone = [], [], [], [], [], []
+            for k, name, d, many in zip(own, anchor.view(np.uint64).tolist(), doc.tolist(), several.tolist(), strict=True):
                 g = held.get(k)
                 if g is None:
                     runs = [(0, len(k[1]) - min_bytes, merged[k])]
@@ -335,8 +358,9 @@ def _decide(min_bytes: int):
                     runs = [(a, b - 1, int(g[a])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 for a, b, x in runs:
                     if x < d or many:
-                        hashes.append(k[0]), names.append(xxhash.xxh3_64_intdigest(k[1])), firsts.append(a), lasts.append(b), least.append(x)
-            out.append(packed(np.array(hashes, np.uint64), np.array(names, np.uint64).view(np.int64), np.array(firsts, np.int32), np.array(lasts, np.int32), np.array(least, np.int64)))
+                        hashes.append(name), names.append(xxhash.xxh3_64_intdigest(k[1])), firsts.append(a), lasts.append(b), least.append(x), alone.append(name != k[0])
+            order = np.argsort(np.array(hashes, np.uint64), kind="stable")
+            out.append(packed(*(x[order] for x in (np.array(hashes, np.uint64), np.array(names, np.uint64).view(np.int64), np.array(firsts, np.int32), np.array(lasts, np.int32), np.array(least, np.int64), np.array(alone, np.bool_)))))
         return _rows({"shard": rows["shard"].to_pylist(), "copy": [None] * len(out), "blob": out})
 
     return run
@@ -346,20 +370,21 @@ def _remove(min_bytes: int, with_text: bool):
     def run(key, docs, notes):
         shard = Shard(docs, notes, min_bytes)
         runs: dict = {}
-        wanted = []
-        for h, names, firsts, lasts, least in shard.notes:
+        wanted, hot = [], set()
+        for h, names, firsts, lasts, least, alone in shard.notes:
             wanted.append(h)
+            hot.update(h[alone].tolist())
             for k, a, b, x in zip(zip(h.tolist(), names.view(np.uint64).tolist(), strict=True), firsts.tolist(), lasts.tolist(), least.tolist(), strict=True):
                 runs.setdefault(k, []).append((a, b, x))
         h, first, last, doc = shard.anchors() if runs else (np.empty(0, np.uint64),) * 4
         marks: dict = {}
         pick = np.flatnonzero(np.isin(h, np.unique(np.concatenate(wanted)))) if runs else []
         for i in pick:
-            text = shard.stretch(int(first[i]), int(last[i]))
-            d = int(doc[i])
-            for a, b, x in runs.get((int(h[i]), xxhash.xxh3_64_intdigest(text)), ()):
-                if x < shard.own[d]:
-                    marks.setdefault(d, []).append((int(first[i]) + a, int(first[i]) + b + min_bytes))
+            anchor, lo, hi, d = int(h[i]), int(first[i]), int(last[i]), int(doc[i])
+            for at, end in [(lo, hi)] if anchor not in hot else [(w, w) for w in range(lo, hi + 1)]:
+                for a, b, x in runs.get((anchor, xxhash.xxh3_64_intdigest(shard.stretch(at, end))), ()):
+                    if x < shard.own[d]:
+                        marks.setdefault(d, []).append((at + a, at + b + min_bytes))
         place = {i: d for d, i in enumerate(shard.own)}
         columns: dict = {k: [] for k in ("id", "n_bytes", "spans", "kept_sha256", "kept")}
         for i in shard.ids:
@@ -386,7 +411,7 @@ def _remove(min_bytes: int, with_text: bool):
     return run
 
 
-def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = MIN_BYTES, with_text: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = MIN_BYTES, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: id, n_bytes, spans (maximal removed runs: start and end in bytes), kept_sha256, kept (the
     bytes that stay, if with_text).
 
@@ -416,12 +441,15 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     def with_notes(notes: DataFrame, function, schema: str) -> DataFrame:
         return held.groupBy("shard").cogroup(notes.groupBy("shard")).applyInArrow(function, schema)
 
-    sent = with_notes(copies, _send_anchors(parts, min_bytes), "part int, shard int, blob binary")
-    again = sent.groupBy("part").applyInArrow(_repeated, "shard int, copy long, blob binary")
+    # Each step is settled, so a lost executor repeats no step before; then the table leaves the catalogue.
+    sent = settle(with_notes(copies, _send_anchors(parts, min_bytes), "part int, shard int, blob binary"), "anchors")
+    again = settle(sent.groupBy("part").applyInArrow(_repeated(hot), "shard int, copy long, blob binary"), "repeated")
     # A part of stretches is held as Python objects, so there are as many parts as shards.
-    stretches = with_notes(again.union(copies), _send_stretches(shards, min_bytes), "part int, shard int, blob binary")
-    decided = stretches.groupBy("part").applyInArrow(_decide(min_bytes), "shard int, copy long, blob binary")
-    return with_notes(decided.union(copies), _remove(min_bytes, with_text), "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
+    stretches = settle(with_notes(again.union(copies), _send_stretches(shards, min_bytes), "part int, shard int, blob binary"), "stretches")
+    decided = settle(stretches.groupBy("part").applyInArrow(_decide(min_bytes), "shard int, copy long, blob binary"), "decided")
+    found = settle(with_notes(decided.union(copies), _remove(min_bytes, with_text), "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"), "passages")
+    spark.sql(f"drop table {name}")  # external, so its files stay in the shared folder
+    return found
 
 
 def passage_query(docs: DataFrame) -> DataFrame:
