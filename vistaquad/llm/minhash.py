@@ -10,7 +10,8 @@ link is needed only where it joins two components, so no step emits all pairs of
    full sets inside the bucket, until its components are joined.
 
 Signatures only rule pairs out, by a margin of MARGIN standard deviations; every link is confirmed on full sets.
-Buckets beyond BLOCK members are dealt out as pairs of blocks, so no task holds an unbounded group.
+In 2 and 3 the members outside a bucket's largest component meet all its members, both dealt out in blocks of at most
+BLOCK, so no task holds an unbounded group, and a bucket with few stragglers costs little however many it holds.
 """
 
 import math
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaquad.llm.common import WordHashes, settle, shingle_hashes, space_words, utf8
+from vistaquad.llm.common import WordHashes, dealt, hot_from, settle, shingle_hashes, space_words, utf8
 
 ROWS = 6  # hash minima in a band
 MARGIN = 4.5
@@ -74,17 +75,18 @@ def _signer(k: int, bands: int, rows: int):
                     values.append(h.view(np.int64))
                     signatures.append(m.astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
-                    ["id", "n", "set_key", "bands", "signature"],
+                    [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
+                    ["id", "text_key", "n", "set_key", "bands", "signature"],
                 )
 
     return run
 
 
 def signatures(docs: DataFrame, id_column: str, text_column: str, k: int, bands: int, rows: int = ROWS) -> DataFrame:
-    """id, n (distinct shingles), set_key (equal for equal sets; null for none), bands (a hash of each), signature."""
-    rows_in = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text"))
-    return rows_in.mapInArrow(_signer(k, bands, rows), "id long, n long, set_key binary, bands array<long>, signature binary")
+    """id, text_key (a hash of the text), n (distinct shingles), set_key (equal for equal sets; null for none), bands (a
+    hash of each), signature."""
+    rows_in = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text"), F.xxhash64(utf8(text_column)).alias("text_key"))
+    return rows_in.mapInArrow(_signer(k, bands, rows), "id long, text_key long, n long, set_key binary, bands array<long>, signature binary")
 
 
 def _agreement(count: int):
@@ -161,19 +163,23 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _proposer(bands: int, rows: int, cut: float, percent: int, best: int):
-    """For one bucket's pair of blocks: the pairs of each member outside the largest component with its `best` likeliest
-    partners in other components."""
+def _sides(frame: pd.DataFrame, count: int) -> tuple:
+    """Of one bucket's pair of blocks: ids, components, sizes and signatures, which rows are stragglers (those outside the
+    bucket's largest component), and which rows they meet. A straggler may stand in both."""
+    ids, sizes = (frame[c].to_numpy() for c in ("id", "n"))
+    _, comps = np.unique(frame["component"].to_numpy(), return_inverse=True)
+    sig = np.frombuffer(b"".join(frame["signature"]), "<u2").reshape(-1, count)
+    straggler = frame["straggler"].to_numpy()
+    return ids, comps, sizes, sig, np.flatnonzero(straggler), np.flatnonzero(~straggler)
+
+
+def _proposer(count: int, cut: float, percent: int, best: int):
+    """For one bucket's pair of blocks: the pairs of each straggler with its `best` likeliest partners in other components."""
 
     def run(key, frame):
-        left, right = int(key[2]), int(key[3])
-        ids, comps, blocks, sizes = (frame[c].to_numpy() for c in ("id", "component", "block", "n"))
-        sig = np.frombuffer(b"".join(frame["signature"]), "<u2").reshape(-1, bands * rows)
-        a_side, b_side = np.flatnonzero(blocks == left), np.flatnonzero(blocks == right)
-        found, count = np.unique(comps, return_counts=True)
-        largest = found[np.argmax(count)]
+        ids, comps, sizes, sig, a_side, b_side = _sides(frame, count)
         out = []
-        for i in a_side[comps[a_side] != largest]:
+        for i in a_side:
             to = b_side[comps[b_side] != comps[i]]
             to = to[100 * np.minimum(sizes[to], sizes[i]) >= percent * np.maximum(sizes[to], sizes[i])]
             share = (sig[to] == sig[i]).mean(axis=1)
@@ -186,17 +192,16 @@ def _proposer(bands: int, rows: int, cut: float, percent: int, best: int):
     return run
 
 
-def _finisher(bands: int, rows: int, cut: float, percent: int, k: int):
+def _finisher(count: int, cut: float, percent: int, k: int):
     """For one bucket's pair of blocks: links on full sets that join components; all pairs across components are judged.
 
-    A pair is left to the first band it shares, and passed over once its components are joined here.
+    A pair is left to the first band whose bucket it shares, and passed over once its components are joined here.
     """
 
     def run(key, frame):
-        band, left, right = int(key[0]), int(key[2]), int(key[3])
-        ids, blocks, sizes = (frame[c].to_numpy() for c in ("id", "block", "n"))
-        found, comps = np.unique(frame["component"].to_numpy(), return_inverse=True)
-        sig = np.frombuffer(b"".join(frame["signature"]), "<u2").reshape(-1, bands * rows)
+        band = int(key[0])
+        ids, comps, sizes, sig, a_side, b_side = _sides(frame, count)
+        values = np.stack(frame["bands"].to_list())
         words, texts, sets = WordHashes(), frame["text"].to_list(), {}
 
         def own(i):
@@ -204,18 +209,14 @@ def _finisher(bands: int, rows: int, cut: float, percent: int, k: int):
                 sets[i] = np.unique(shingle_hashes(words.of(space_words(texts[i])), k))
             return sets[i]
 
-        a_side, b_side = np.flatnonzero(blocks == left), np.flatnonzero(blocks == right)
         a_out, b_out = [], []
         for i in a_side:
             to = b_side[comps[b_side] != comps[i]]
-            if left == right:
-                to = to[ids[to] > ids[i]]
             to = to[100 * np.minimum(sizes[to], sizes[i]) >= percent * np.maximum(sizes[to], sizes[i])]
             if not len(to):
                 continue
-            same = sig[to] == sig[i]
-            share = same.mean(axis=1)
-            ok = np.flatnonzero((share >= cut) & (same.reshape(len(to), bands, rows).all(axis=2).argmax(axis=1) == band))
+            share = (sig[to] == sig[i]).mean(axis=1)
+            ok = np.flatnonzero((share >= cut) & ((values[to] == values[i]).argmax(axis=1) == band))
             for j in to[ok[np.argsort(-share[ok], kind="stable")]]:
                 if comps[i] != comps[j]:
                     x, y = own(i), own(j)
@@ -233,24 +234,29 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than k words is one shingle. Documents are
     linked if 100 * intersection >= percent * union of their sets. Null or empty texts and texts of white space have no
-    shingles and no links. Rows with a null id are left out; a repeated row gives a repeated result. Other columns are
-    not looked at. An empty table gives an empty result.
+    shingles and no links. Rows with a null id are left out; a repeated row gives a repeated result. Rows of one id are
+    one document, so they count as linked; of different texts, the one of least hash is held against those of other ids.
+    Other columns are not looked at. An empty table gives an empty result.
     """
     similarity, rows = percent / 100, ROWS
     bands = bands_for(similarity)
     cut = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / (bands * rows))
     signed = settle(signatures(docs, id_column, text_column, k, bands), "signed")
     classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
-    reps = settle(signed.join(classes, (F.col("id") == F.col("rep")) & (signed.set_key == classes.set_key), "left_semi").dropDuplicates(["id"]), "reps")
+    own = signed.join(classes, (F.col("id") == F.col("rep")) & (signed.set_key == classes.set_key), "left_semi")
+    least = F.min_by(F.struct("text_key", "n", "bands", "signature"), F.struct("text_key", "set_key")).alias("r")
+    reps = settle(own.groupBy("id").agg(least).select("id", "r.*"), "reps")
 
     # Buckets that hold two classes or more.
     rows_of = reps.select("id", "n", F.posexplode("bands").alias("band", "value"))
-    shared = rows_of.groupBy("band", "value").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("pivot")).where("members > 1")
-    buckets = settle(rows_of.join(shared, ["band", "value"]).select("band", "value", "members", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
-    wanted = buckets.select("id").distinct()
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    texts = settle(texts, "texts")
-    sigs = settle(reps.select("id", "signature").join(wanted, "id", "left_semi"), "signatures")
+    bucket = ["band", "value"]
+    shared = settle(rows_of.groupBy(*bucket).agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("pivot")).where("members > 1"), "shared")
+    hot = hot_from(shared.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
+    buckets = settle(dealt(rows_of, shared, bucket, hot, n="members").select(*bucket, "members", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
+    wanted = reps.select("id", "text_key").join(buckets.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text"), F.xxhash64(utf8(text_column)).alias("text_key"))
+    texts = settle(texts.join(wanted, ["id", "text_key"], "left_semi").select("id", "text").dropDuplicates(["id"]), "texts")
+    sigs = settle(reps.select("id", "signature", "bands").join(wanted, "id", "left_semi"), "signatures")
 
     # 1. Each bucket's smallest id against its members.
     fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
@@ -263,24 +269,29 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     # 2 and 3. What the stars left apart; the smallest id has met all the others of its bucket.
     def apart() -> DataFrame:
-        named = buckets.where("members > 2 and id <> pivot").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = named.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n").alias("shingles")).where("lo <> hi")
-        blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
-        placed = named.join(open_.select("band", "value", "shingles"), ["band", "value"]).withColumn("blocks", blocks)
-        placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return placed.join(sigs, "id")
-
-    ordered = F.struct(F.col("block").alias("l"), F.col("other").alias("r")), F.struct(F.col("other").alias("l"), F.col("block").alias("r"))
-    both = apart().withColumn("pair", F.explode(F.array_distinct(F.array(*ordered))))  # block i meets j as (i, j) and as (j, i)
-    columns = ["band", "value", F.col("pair.l").alias("l"), F.col("pair.r").alias("r"), "block", "id", "n", "component", "signature"]
-    pairs = both.select(*columns).groupBy("band", "value", "l", "r").applyInPandas(_proposer(bands, rows, cut, percent, 4), "a long, b long").distinct()
+        """A row for each pair of blocks (l of stragglers, r of all members) that a member of an open bucket takes part in."""
+        named = buckets.where("members > 2 and id <> pivot").join(reached, "id", "left").select(*bucket, "id", "n", F.coalesce("component", "id").alias("component"))
+        by_component = named.groupBy(*bucket, "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        held = by_component.groupBy(*bucket).agg(F.count("*").alias("k"), F.sum("c").alias("members"), F.sum("s").alias("size"), F.max(F.struct("c", "s", "component")).alias("main"))
+        blocks = lambda c, s: F.ceil(F.greatest(c / F.lit(BLOCK), s / F.lit(BLOCK_SHINGLES))).cast("int")
+        members, size, main = F.col("members"), F.col("size"), F.col("main")
+        open_ = held.where("k > 1").select(*bucket, "members", main["component"].alias("largest"), blocks(members - main["c"], size - main["s"]).alias("l_blocks"), blocks(members, size).alias("r_blocks"))
+        placed = dealt(named, settle(open_, "open"), bucket, hot, n="members")
+        at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        columns = [*bucket, "l", "r", "straggler", "id", "n", "component"]
+        one = placed.where("component <> largest").withColumns({"l": at("l_blocks"), "straggler": F.lit(True)}).withColumn("r", every("r_blocks"))
+        other = placed.withColumns({"r": at("r_blocks"), "straggler": F.lit(False)}).withColumn("l", every("l_blocks"))
+        return one.select(columns).union(other.select(columns)).join(sigs, "id")
+
+    group, count = [*bucket, "l", "r"], bands * rows
+    pairs = apart().drop("bands").groupBy(*group).applyInPandas(_proposer(count, cut, percent, 4), "a long, b long").distinct()
     pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "proposed")
     new = settle(confirmed(pairs, texts, k, percent), "links")
     if not new.isEmpty():
         links = links.union(new)
         reached = components(links)
-    once = apart().withColumn("pair", F.struct(F.least("block", "other").alias("l"), F.greatest("block", "other").alias("r")))
-    finished = once.join(texts, "id").select(*columns, "text").groupBy("band", "value", "l", "r").applyInPandas(_finisher(bands, rows, cut, percent, k), "a long, b long")
+    finished = apart().join(texts, "id").groupBy(*group).applyInPandas(_finisher(count, cut, percent, k), "a long, b long")
     new = settle(finished.distinct(), "links")
     if not new.isEmpty():
         reached = components(links.union(new))
