@@ -1,59 +1,95 @@
-"""Detection of calibration squares: one image at a time in numpy, then filters as column expressions."""
+"""Detection of calibration squares as Spark jobs: runs of dark pixels by windows, parts by joins of runs, borders and
+corners of one part or place at a time in small Python helpers, and filters as column expressions.
+
+No image is held whole: a helper gets the runs of one dark part, or the pixels about one corner.
+"""
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaquad.functions import quads
-from vistaquad.operators.warp import blurred
-from vistaquad.sources.images import array_of
+from vistaquad.operators.raster import blur, gray
+from vistaquad.sources.images import explode
 from vistaquad.sources.schema import QUAD
+from vistaquad.sources.shared import settle
 
 # The eight neighbours of a pixel (down, right), clockwise from the right one.
 AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
 
-def gray_of(pixels: np.ndarray) -> np.ndarray:
-    if pixels.shape[2] == 1:
-        return pixels[:, :, 0]
-    b, g, r = (pixels[:, :, i].astype(np.int64) for i in range(3))
-    return ((b * 1868 + g * 9617 + r * 4899 + 8192) >> 14).astype(np.uint8)
-
-
-def labels(mask: np.ndarray, diagonal: bool) -> np.ndarray:
-    """A number for each connected part of mask, 0 outside: runs of a row are joined with touching runs above."""
-    parent = [0]
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out, above, reach = np.zeros(mask.shape, np.int32), [], int(diagonal)
-    for y, row in enumerate(mask):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
-        runs, k = [], 0
-        for a, b in edge.reshape(-1, 2):
-            while k < len(above) and above[k][1] + reach <= a:
-                k += 1
-            name, j = 0, k
-            while j < len(above) and above[j][0] < b + reach:
-                other = root(above[j][2])
-                if not name:
-                    name = other
-                elif other != name:
-                    low, high = min(name, other), max(name, other)
-                    parent[high] = name = low
-                j += 1
-            if not name:
-                name = len(parent)
-                parent.append(name)
-            out[y, a:b] = name
-            runs.append((a, b, name))
-        above = runs
-    return np.array([root(i) for i in range(len(parent))], np.int32)[out]
+SIDE = 1 << 20  # a pixel's number is y * SIDE + x
+OUTER = -1  # the ground that reaches the border of the image
+HALF = 5  # of the window about a corner, which is also how far the corner may move
+REACH = 2 * HALF + 3  # pixels about a corner that its refinement can look at
+
+
+def gray_pixels(images: DataFrame) -> DataFrame:
+    """image_id, y, x, v"""
+    return explode(images).select("image_id", "y", "x", gray(F.col("b"), F.col("g"), F.col("r")).alias("v"))
+
+
+def dark_runs(pixels: DataFrame, level: int = 140) -> DataFrame:
+    """Runs of pixels of a row on one side of level, after blurring: image_id, y, a and b (first and last x), dark."""
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    sided = blur(pixels, "v").withColumn("dark", F.col("blur") <= level)
+    begins = F.coalesce(F.col("dark") != F.lag("dark").over(row), F.lit(True)).cast("int")
+    numbered = sided.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(row))
+    return numbered.groupBy("image_id", "y", "_run").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.first("dark").alias("dark")).drop("_run")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Connected parts of links (image_id, u, v): image_id, node and part, its smallest node, for every node with a link.
+
+    In turn, each node's larger neighbours are linked with its smallest one, and its smaller ones, until the links no
+    longer change. Both aggregate before they shuffle, and each round is settled.
+    """
+    key = ["image_id", "u"]
+
+    def star(edges: DataFrame, larger: bool) -> DataFrame:
+        if larger:
+            around = edges.union(edges.select("image_id", F.col("v"), F.col("u")))
+        else:
+            around = edges.select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = around.groupBy(*key).agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        joined = around.join(least, key)
+        if larger:
+            return joined.where("v > u").select("image_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        return joined.select("image_id", F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("image_id", "u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+    edges, before = settle(links.select("image_id", "u", "v").where("u <> v").distinct(), "edges"), None
+    while True:
+        edges = settle(star(star(edges, True), False), "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("image_id", "u", "v").cast("decimal(20,0)"))).first()
+        if now == before:
+            return edges.select("image_id", F.col("u").alias("node"), F.col("v").alias("part"))
+        before = now
+
+
+def parts(runs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """runs with part: the number of the first pixel of the connected part that a run belongs to, OUTER for ground that
+    reaches the border. Dark runs touch diagonally, too, those of the ground don't. sizes: image_id, height, width."""
+    named = runs.withColumn("node", F.col("y").cast("long") * SIDE + F.col("a"))
+    above = named.select("image_id", (F.col("y") + 1).alias("y"), "dark", F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("node").alias("v"))
+    reach = F.col("dark").cast("int")
+    touching = named.join(above, ["image_id", "y", "dark"]).where((F.col("a") <= F.col("b0") + reach) & (F.col("a0") <= F.col("b") + reach))
+    edge = named.where("not dark").join(sizes, "image_id").where("y = 0 or y = height - 1 or a = 0 or b = width - 1")
+    links = touching.select("image_id", F.col("node").alias("u"), "v").union(edge.select("image_id", F.col("node").alias("u"), F.lit(OUTER).cast("long").alias("v")))
+    return named.join(components(links), ["image_id", "node"], "left").withColumn("part", F.coalesce("part", "node")).drop("node")
+
+
+def nested_contours(labelled: DataFrame) -> DataFrame:
+    """Contours with a parent: image_id, part (the dark part that is followed), hole, start and outside (numbers of its
+    first pixel and of the neighbour that isn't in it).
+
+    Those are the rims of holes, and parts whose first pixel has ground to its left that doesn't reach the border.
+    """
+    first = labelled.groupBy("image_id", "dark", "part").agg(F.lit(1)).where("part <> -1").select("image_id", "dark", F.floor(F.col("part") / SIDE).cast("int").alias("y"), (F.col("part") % SIDE - 1).cast("int").alias("b"), F.col("part").alias("own"))
+    left = labelled.select("image_id", "y", "b", (~F.col("dark")).alias("dark"), F.col("part").alias("left"))
+    beside = first.join(left, ["image_id", "y", "b", "dark"])
+    hole = ~F.col("dark")
+    return beside.where(hole | (F.col("left") != OUTER)).select("image_id", F.when(hole, F.col("left")).otherwise(F.col("own")).alias("part"), hole.alias("hole"), F.when(hole, F.col("own") - 1).otherwise(F.col("own")).alias("start"), F.when(hole, F.col("own")).otherwise(F.col("own") - 1).alias("outside"))
 
 
 def border(mask: np.ndarray, start: tuple, outside: tuple) -> np.ndarray:
@@ -75,26 +111,6 @@ def border(mask: np.ndarray, start: tuple, outside: tuple) -> np.ndarray:
         here = there
 
 
-def nested_borders(mask: np.ndarray) -> list:
-    """Borders with a parent: of holes, along the pixels around them, and of parts that lie inside holes."""
-    part = labels(mask, True)
-    framed = np.pad(~mask, 1, constant_values=True)
-    ground = labels(framed, False)
-    outer = ground[0, 0]
-    out = []
-    for which, kinds in ((ground, "hole"), (part, "part")):
-        names, places = np.unique(which, return_index=True)
-        for name, at in zip(names, places, strict=True):
-            y, x = divmod(int(at), which.shape[1])
-            if name == 0 or (kinds == "hole" and name == outer):
-                continue
-            if kinds == "hole":  # first pixel of the hole; the one to its left is the mask's
-                out.append(border(mask, (y - 1, x - 2), (y - 1, x - 1)))
-            elif ground[y + 1, x] != outer:
-                out.append(border(mask, (y, x), (y, x - 1)))
-    return out
-
-
 def simplified(points: np.ndarray, share: float = 0.02) -> np.ndarray:
     """Closed polygon whose distance from points is at most share of their length: recursive halving."""
     p = points.astype(float)
@@ -129,24 +145,53 @@ def _off_line(a, b, c, limit) -> bool:
     return abs(d[0] * (b - a)[1] - d[1] * (b - a)[0]) / max(np.hypot(*d), 1e-12) > limit
 
 
-def refined(gray: np.ndarray, corner: np.ndarray, half: int = 5, rounds: int = 30, least: float = 0.001) -> np.ndarray:
-    """The place near corner to which gradients stand at right angles."""
-    g, at = np.pad(gray.astype(float), half + 2, mode="edge"), corner.astype(float)
-    offset = np.arange(-half, half + 1)
+def _followed(frames):
+    """The corners of each contour of a dark part, given by its runs, that has four."""
+    for frame in frames:
+        out = []
+        for r in frame.itertuples():
+            runs = np.array([(p["y"], p["a"], p["b"]) for p in r.runs])
+            top, left = runs[:, 0].min(), runs[:, 1].min()
+            mask = np.zeros((runs[:, 0].max() - top + 1, runs[:, 2].max() - left + 1), bool)
+            for y, a, b in runs:
+                mask[y - top, a - left : b - left + 1] = True
+            at = lambda n: (n // SIDE - top, n % SIDE - left)  # noqa: B023, E731
+            for c in r.contours:
+                corners = simplified(border(mask, at(c["start"]), at(c["outside"])) + [left, top])
+                if len(corners) == 4:
+                    out.append((r.image_id, c["hole"], c["start"], [{"x": float(x), "y": float(y)} for x, y in corners]))
+        yield pd.DataFrame(out, columns=["image_id", "hole", "start", "corners"])
+
+
+def polygons(images: DataFrame, level: int = 140) -> DataFrame:
+    """Simplified nested contours with four corners: image_id, square_id (holes first, then parts, each by their first
+    pixel), corners. A task holds the runs of one dark part at a time."""
+    labelled = settle(parts(settle(dark_runs(gray_pixels(images), level), "runs"), images.select("image_id", "height", "width")), "parts")
+    contours = nested_contours(labelled).groupBy("image_id", "part").agg(F.collect_list(F.struct("hole", "start", "outside")).alias("contours"))
+    own = labelled.where("dark").join(contours.select("image_id", "part"), ["image_id", "part"], "left_semi").groupBy("image_id", "part").agg(F.collect_list(F.struct("y", "a", "b")).alias("runs"))
+    found = own.join(contours, ["image_id", "part"]).select("image_id", "runs", "contours").mapInPandas(_followed, f"image_id string, hole boolean, start long, corners {QUAD}")
+    order = Window.partitionBy("image_id").orderBy(F.col("hole").desc(), "start")
+    return found.withColumn("square_id", (F.row_number().over(order) - 1).cast("int")).select("image_id", "square_id", "corners")
+
+
+def refined(patch: np.ndarray, half: int = HALF, rounds: int = 30, least: float = 0.001) -> np.ndarray:
+    """How far from the middle of patch the place lies to which gradients stand at right angles; nothing beyond half."""
+    g, middle = patch.astype(float), patch.shape[0] // 2
+    at, offset = np.zeros(2), np.arange(-half, half + 1)
     weight = np.exp(-((offset / half) ** 2))
     weight = weight[:, None] * weight[None, :]
     for _ in range(rounds):
-        x, y = at
-        if not (0 <= x < gray.shape[1] and 0 <= y < gray.shape[0]):
-            return corner.astype(float)
-        i, j = int(np.floor(y)), int(np.floor(x))
-        a, b = y - i, x - j
-        w = g[i + 1 : i + 2 * half + 5, j + 1 : j + 2 * half + 5]
+        if np.abs(at).max() > half:
+            return np.zeros(2)
+        j, i = np.floor(at).astype(int)
+        b, a = at - (j, i)
+        low = middle - half - 1
+        w = g[i + low : i + low + 2 * half + 4, j + low : j + low + 2 * half + 4]
         w = (w[:-1, :-1] * (1 - b) + w[:-1, 1:] * b) * (1 - a) + (w[1:, :-1] * (1 - b) + w[1:, 1:] * b) * a
         gx, gy = (w[1:-1, 2:] - w[1:-1, :-2]) / 2, (w[2:, 1:-1] - w[:-2, 1:-1]) / 2
         xx, xy, yy = (weight * gx * gx).sum(), (weight * gx * gy).sum(), (weight * gy * gy).sum()
         det = xx * yy - xy * xy
-        if abs(det) < 1e-12 * max(xx + yy, 1e-300) ** 2:
+        if abs(det) <= 1e-12 * (xx + yy) ** 2:
             break
         px, py = np.meshgrid(offset, offset)
         bx, by = (weight * (gx * gx * px + gx * gy * py)).sum(), (weight * (gx * gy * px + gy * gy * py)).sum()
@@ -154,39 +199,37 @@ def refined(gray: np.ndarray, corner: np.ndarray, half: int = 5, rounds: int = 3
         at = at + move
         if move @ move < least**2:
             break
-    return at if np.abs(at - corner).max() <= half else corner.astype(float)
+    return at if np.abs(at).max() <= half else np.zeros(2)
 
 
-def polygons(images: DataFrame, level: int = 140) -> DataFrame:
-    """Simplified nested borders with four corners: image_id, square_id (order of discovery), corners."""
+def refined_corners(squares: DataFrame, pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """squares (image_id, square_id, corners at whole pixels) with corners moved to where edges cross.
+
+    The pixels about each corner are generated and joined; beyond the image its border goes on.
+    """
+    each = squares.select("image_id", "square_id", F.posexplode("corners").alias("pos", "p")).join(sizes, "image_id")
+    span = F.sequence(F.lit(-REACH), F.lit(REACH))
+    spread = each.withColumn("i", F.explode(span)).withColumn("j", F.explode(span))
+    inside = lambda v, n: F.least(F.greatest(v.cast("int"), F.lit(0)), F.col(n) - 1)
+    placed = spread.select("image_id", "square_id", "pos", "p", "i", "j", inside(F.col("p.y") + F.col("i"), "height").alias("y"), inside(F.col("p.x") + F.col("j"), "width").alias("x"))
+    patches = placed.join(pixels, ["image_id", "y", "x"]).groupBy("image_id", "square_id", "pos").agg(F.first("p").alias("p"), F.array_sort(F.collect_list(F.struct("i", "j", "v"))).alias("patch"))
 
     def run(frames):
         for frame in frames:
             out = []
             for r in frame.itertuples():
-                gray = gray_of(array_of(r))
-                dark = np.floor(blurred(gray.astype(float)) + 0.5) <= level
-                for k, line in enumerate(nested_borders(dark)):
-                    corners = simplified(line)
-                    if len(corners) == 4:
-                        out.append((r.image_id, k, [{"x": float(x), "y": float(y)} for x, y in corners]))
-            yield pd.DataFrame(out, columns=["image_id", "square_id", "corners"])
+                side = 2 * REACH + 1
+                x, y = np.float32(refined(np.array([c["v"] for c in r.patch]).reshape(side, side)) + [r.p["x"], r.p["y"]])
+                out.append((r.image_id, r.square_id, r.pos, float(x), float(y)))
+            yield pd.DataFrame(out, columns=["image_id", "square_id", "pos", "x", "y"])
 
-    return images.mapInPandas(run, f"image_id string, square_id int, corners {QUAD}")
+    moved = patches.mapInPandas(run, "image_id string, square_id int, pos int, x double, y double")
+    corners = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return moved.groupBy("image_id", "square_id").agg(corners.alias("corners"))
 
 
 def squares(images: DataFrame, min_area: float = 2000, level: int = 140) -> DataFrame:
     """Squares of each image: convex, larger than min_area, not too long; corners in order, then refined on the gray image."""
-    found = polygons(images, level).where(quads.is_convex(F.col("corners")) & (quads.area(F.col("corners")) > min_area) & quads.aspect(F.col("corners")).between(0.6, 3))
-    ordered = found.withColumn("corners", quads.sort_corners(F.col("corners"))).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("square_id", "corners"))).alias("found"))
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                gray = gray_of(array_of(r))
-                for q in r.found:
-                    out.append((r.image_id, q["square_id"], [dict(zip("xy", map(float, np.float32(refined(gray, np.array([p["x"], p["y"]])))), strict=True)) for p in q["corners"]]))
-            yield pd.DataFrame(out, columns=["image_id", "square_id", "corners"])
-
-    return images.join(ordered, "image_id").mapInPandas(run, f"image_id string, square_id int, corners {QUAD}")
+    q = F.col("corners")
+    found = polygons(images, level).where(quads.is_convex(q) & (quads.area(q) > min_area) & quads.aspect(q).between(0.6, 3))
+    return refined_corners(found.withColumn("corners", quads.sort_corners(q)), gray_pixels(images), images.select("image_id", "height", "width"))
