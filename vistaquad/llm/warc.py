@@ -136,9 +136,10 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
 
 def warc_query(pages: DataFrame) -> DataFrame:
-    """op6: write, read back, and keep what the archives say."""
-    found = read_warc(write_warc(pages)).where("valid")
-    return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    """op6: write, read back, and keep what the archives say; a record that isn't valid is an error, none is dropped."""
+    found = read_warc(write_warc(pages))
+    known = F.when(F.col("valid"), F.col("record_id").cast("long")).otherwise(F.raise_error(F.concat(F.lit("broken WARC record "), F.coalesce("record_id", F.lit("")))).cast("long"))
+    return found.select(known.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 WARC_SQL = """
