@@ -83,6 +83,21 @@ def test_search_fails_one_level_and_finds_the_best(spark):
     assert report.best(results.where("not success")).count() == 0
 
 
+def test_best_configuration_and_sweep(spark):
+    stages = [("Powell", "strict", 0.5), ("TNC", "none", 0.25)]
+    rows = [("c", 3, 2, stages, True, 2.0), ("c", 5, 2, stages[::-1], True, 1.0), ("c", 6, 2, stages, False, None), ("d", 1, 2, stages, False, None)]
+    results = spark.createDataFrame(rows, f"camera_id string, trial_id int, levels int, stages {schema.STAGES}, success boolean, optimized_error double")
+    configs = search.best_configs(results)
+    r = configs.collect()
+    assert len(r) == 1 and (r[0].name, r[0].levels, r[0].methods, r[0].bounds_modes, r[0].weights, r[0].square_area) == ("Best-5", 2, ["TNC", "Powell"], ["none", "strict"], [0.25, 0.5], 2000)
+    assert [tuple(x) for x in search.of_configs(configs).first().stages] == stages[::-1]
+    start = spark.range(1).select(F.lit("c").alias("camera_id"), homography([*TRUE * 1.01, 1]).alias("h"))
+    square = spark.createDataFrame([("c", [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0)])], f"camera_id string, corners {schema.QUAD}")
+    for searched in (True, False):
+        r = search.sweep(start, square, marks(spark, 12), marks(spark, 12), ["c"], trials=3, searched=searched).first()
+        assert r.success and r.name.startswith("Best-" if searched else "Balanced") and r.optimized_error > 0 and r.squares_count == 1
+
+
 def picture(h=160, w=200):
     a = np.full((h, w, 3), 30, np.uint8)
     a[10:150, 10:190] = 250

@@ -9,6 +9,7 @@ from vistaquad.functions.geometry import ENTRIES
 from vistaquad.operators import report
 from vistaquad.operators.refine import mapped, params_of, run_stages
 from vistaquad.sources.schema import HOMOGRAPHY, STAGES, TRIALS
+from vistaquad.sources.shared import settle
 
 # What a level may be.
 METHODS, MODES, WEIGHT_RANGE, LEVELS = ["Powell", "L-BFGS-B", "TNC"], ["none", "strict", "adaptive"], (0.05, 2.0), (1, 4)
@@ -76,3 +77,28 @@ def run(trials: DataFrame, initial: DataFrame, squares: DataFrame, anchors: Data
 
 
 best = report.best
+
+
+def best_configs(results: DataFrame, square_area: float = 2000) -> DataFrame:
+    """The configuration of each camera's best trial: name, levels, and a list for each setting of a level."""
+    listed = [F.col("stages")[n].alias(c) for n, c in (("method", "methods"), ("bounds", "bounds_modes"), ("weight", "weights"))]
+    return report.best(results).select("camera_id", F.concat(F.lit("Best-"), F.col("trial_id").cast("string")).alias("name"), F.col("levels"), *listed, F.lit(float(square_area)).alias("square_area"))
+
+
+def of_configs(configs: DataFrame) -> DataFrame:
+    """Configurations (see best_configs) as trials, to be run once more; all have trial_id 0."""
+    zipped = F.arrays_zip(F.col("methods").alias("method"), F.col("bounds_modes").alias("bounds"), F.col("weights").alias("weight"))
+    return configs.select("camera_id", F.lit(0).alias("trial_id"), "levels", F.slice(zipped, F.lit(1), F.col("levels")).cast(STAGES).alias("stages"))
+
+
+def sweep(initial: DataFrame, squares: DataFrame, anchors: DataFrame, validation: DataFrame, cameras: list, trials: int = 50, seed: int = 42, searched: bool = True, size: float = 114.0) -> DataFrame:
+    """One row for each camera: its best configuration of a search, run once more, or else the balanced one, and its errors."""
+    spark = initial.sparkSession
+    if searched:
+        found = run(sample(spark, cameras, trials, seed), initial, squares, anchors, validation, size)
+        configs = best_configs(found)
+    else:
+        listed = [F.array(*(F.lit(s[i]) for s in BALANCED)).alias(c) for i, c in enumerate(("methods", "bounds_modes", "weights"))]
+        configs = initial.select("camera_id", F.lit("Balanced-Powell").alias("name"), F.lit(len(BALANCED)).alias("levels"), *listed, F.lit(2000.0).alias("square_area"))
+    configs = settle(configs, "configs")
+    return configs.drop("levels").join(run(of_configs(configs), initial, squares, anchors, validation, size).drop("stages", "trial_id"), "camera_id")
