@@ -27,7 +27,7 @@ from vistaquad.llm.common import WordHashes, dealt, hot_from, settle, shingle_ha
 
 ROWS = 6  # hash minima in a band
 MARGIN = 4.5
-BLOCK = 3000  # members of a bucket that meet in one group
+BLOCK = 1000  # members of a bucket that meet as many stragglers in one group
 BLOCK_SHINGLES = 4_000_000  # or their shingles, if those are more
 
 
@@ -268,15 +268,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     reached = components(links)
 
     # 2 and 3. What the stars left apart; the smallest id has met all the others of its bucket.
-    def apart() -> DataFrame:
-        """A row for each pair of blocks (l of stragglers, r of all members) that a member of an open bucket takes part in."""
-        named = buckets.where("members > 2 and id <> pivot").join(reached, "id", "left").select(*bucket, "id", "n", F.coalesce("component", "id").alias("component"))
+    def apart(among: DataFrame) -> DataFrame:
+        """The rows of among (band, value, id, n) in buckets that still span components, settled, with the number of
+        blocks of stragglers and of all members."""
+        named = settle(among.select(*bucket, "id", "n").join(reached, "id", "left").select(*bucket, "id", "n", F.coalesce("component", "id").alias("component")), "named")
         by_component = named.groupBy(*bucket, "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
         held = by_component.groupBy(*bucket).agg(F.count("*").alias("k"), F.sum("c").alias("members"), F.sum("s").alias("size"), F.max(F.struct("c", "s", "component")).alias("main"))
         blocks = lambda c, s: F.ceil(F.greatest(c / F.lit(BLOCK), s / F.lit(BLOCK_SHINGLES))).cast("int")
         members, size, main = F.col("members"), F.col("size"), F.col("main")
         open_ = held.where("k > 1").select(*bucket, "members", main["component"].alias("largest"), blocks(members - main["c"], size - main["s"]).alias("l_blocks"), blocks(members, size).alias("r_blocks"))
-        placed = dealt(named, settle(open_, "open"), bucket, hot, n="members")
+        return settle(dealt(named, settle(open_, "open"), bucket, hot, n="members"), "apart")
+
+    def meetings(placed: DataFrame) -> DataFrame:
+        """A row for each pair of blocks (l of stragglers, r of all members) that a member takes part in."""
         at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         columns = [*bucket, "l", "r", "straggler", "id", "n", "component"]
@@ -285,13 +289,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return one.select(columns).union(other.select(columns)).join(sigs, "id")
 
     group, count = [*bucket, "l", "r"], bands * rows
-    pairs = apart().drop("bands").groupBy(*group).applyInPandas(_proposer(count, cut, percent, 4), "a long, b long").distinct()
+    left = apart(buckets.where("members > 2 and id <> pivot"))
+    pairs = meetings(left).drop("bands").groupBy(*group).applyInPandas(_proposer(count, cut, percent, 4), "a long, b long").distinct()
     pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "proposed")
     new = settle(confirmed(pairs, texts, k, percent), "links")
     if not new.isEmpty():
         links = links.union(new)
         reached = components(links)
-    finished = apart().join(texts, "id").groupBy(*group).applyInPandas(_finisher(count, cut, percent, k), "a long, b long")
+        left = apart(left)  # components only grow, so no other bucket spans several
+    finished = meetings(left).join(texts, "id").groupBy(*group).applyInPandas(_finisher(count, cut, percent, k), "a long, b long")
     new = settle(finished.distinct(), "links")
     if not new.isEmpty():
         reached = components(links.union(new))
