@@ -21,19 +21,13 @@ NAMES = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "a
 OTHERS = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "revision", "uuid", "guid", "etag", "order", "invoice", "card", "phone", "tracking", "version", "build"]
 PLACEHOLDERS = ["example", "changeme", "your", "xxxx", "dummy", "sample", "test", "placeholder", "todo", "none", "null", "0000", "1234"]
 COMMON = (
-    "about account action active address after again agent alert alias align alpha always amount analysis answer api app archive area array article asset assign async audio author avatar back backup"
-    " badge banner base batch before begin best beta between binary block board body book border bottom branch browser bucket buffer build bundle button bytes cache call camera card category center"
-    " chain change channel chapter check child class client clock close cloud code collection color column command comment common company compare component config connect console contact content"
-    " context control cookie copy core count country cover create custom daily dark data database date debug default delete demo deploy design detail device dialog digest direct disk display document"
-    " domain down draft drive edit editor email empty enable engine entry error event example export factory feature field file filter final first float folder font footer form format frame from front"
-    " full function game gateway general global graph green grid group guide handler hash header height hello help home host hour icon image import index info input insert item java job keyboard label"
-    " language large last latest layer layout left legal letter level library light limit line link list local location login logo machine main manager master media member menu message method middle"
-    " minor mobile model module month mouse name network next node note number object offset online open option order output page panel parent part path payment person phone photo player plugin point"
-    " policy popup port post power preview price print private process product profile program project proxy public query queue quick random range read record red region release remote render report"
-    " request reset response result review right role root route row rule sample save scale schema screen script scroll search section select sender server service session setting share shop short"
-    " sidebar sign simple single site size slider small social source space split stack stage start state static status step stop storage store story stream string style submit support switch system"
-    " table target task team template text theme this time title toggle tool top total track type unit update upload url user valid value version video view visual wave week weight white widget width"
-    " window word work world write year zone"
+    "about abstract account action admin after agent alert amount archive array article asset audio author avatar backup banner base batch block body book border branch browser bucket buffer build"
+    " button bytes cache camera card center chain change channel chapter check class client code color column command common company config connect content context control core count cover custom"
+    " daily data date default delete design detail device display document domain down draft edit email engine error event example factory field file filter final first folder font footer format"
+    " frame from full game global graph green group guide handler header hello home host icon image index info input item java label language large last layer layout library light link list local"
+    " main master media member menu message method model module month name network node note number object online open option order output page panel part path phone photo player point policy"
+    " product profile program project public query report request response result section server service session source static status story string style summary system table target task team"
+    " template text theme this time title tool"
 ).split()
 FORMATS = ["AKIA[0-9A-Z]{16}", "gh[pousr]_[0-9A-Za-z]{36}", "xox[abpr]-[0-9A-Za-z-]{10,}", "sk_live_[0-9A-Za-z]{16,}", "AIza[0-9A-Za-z_-]{35}", "eyJ[0-9A-Za-z_-]{10,}"]
 
