@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     bands = bands_for(similarity)
     cut = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / (bands * rows))
     signed = settle(signatures(docs, id_column, text_column, k, bands), "signed")
-    classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
+    classes = settle(signed.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     own = signed.join(classes, (F.col("id") == F.col("rep")) & (signed.set_key == classes.set_key), "left_semi")
     least = F.min_by(F.struct("text_key", "n", "bands", "signature"), F.struct("text_key", "set_key")).alias("r")
     reps = settle(own.groupBy("id").agg(least).select("id", "r.*"), "reps")
@@ -302,8 +302,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if not new.isEmpty():
         reached = components(links.union(new))
 
-    by_rep = classes.join(reached, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    return signed.join(by_rep, "set_key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    by_rep = settle(classes.join(reached, F.col("rep") == F.col("id"), "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component")), "by_rep")
+    rows_in = by_rep.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    return dealt(signed.select("id", "n", "set_key"), by_rep, ["set_key"], hot_from(rows_in), "left", n="copies").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def near_duplicate_query(docs: DataFrame) -> DataFrame:
