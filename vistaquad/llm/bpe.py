@@ -17,7 +17,7 @@ from vistaquad.llm.common import MIX, utf8
 NONE = np.int32(2**31 - 1)
 LONG = 512  # bytes from which a piece is a matrix of its own, whose rounds merge all pairs of the least rank
 CELLS = 1 << 20  # of a matrix at most
-KEPT = 300_000  # distinct pieces that a task remembers
+KEPT = 150_000  # distinct pieces that a task remembers
 
 
 class Vocabulary:
@@ -186,7 +186,7 @@ def _encoder(shared, pattern: str):
             at = 0
             while at < batch.num_rows:
                 parts, size, first = [], 0, at
-                while at < batch.num_rows and size < 4_000_000:  # a block of documents, never part of one
+                while at < batch.num_rows and size < 2_000_000:  # a block of documents, never part of one
                     text = batch.column(1)[at].as_py().decode()
                     found = split.findall(text)
                     parts.append(np.fromiter(map(pieces.__getitem__, found), np.int64, len(found)))

@@ -49,7 +49,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 

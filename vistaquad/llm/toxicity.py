@@ -224,7 +224,9 @@ def _trainer(batches):
 def _scorer(shared):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1).to_pylist()), pa.float64())], ["id", "score"])
+            for at in range(0, batch.num_rows, 500):  # texts that are Python objects at a time
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(part.column(1).to_pylist()), pa.float64())], ["id", "score"])
 
     return run
 
@@ -239,7 +241,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_co
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts.tolist()), dtype="float64")
+        return pd.Series(shared.value.score(texts), dtype="float64")
 
     return docs.where(score(utf8(text_column)) < threshold)
 
