@@ -15,7 +15,7 @@ def near_rows(df):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block", [3, 3000])
+@pytest.mark.parametrize("block", [3, minhash.BLOCK])
 def test_near_duplicates_in_blocks(spark, monkeypatch, block):
     """Buckets of several components, which meet in blocks of three, and hot ones."""
     monkeypatch.setattr(minhash, "BLOCK", block)
@@ -32,6 +32,21 @@ def test_near_duplicates_in_blocks(spark, monkeypatch, block):
     assert near_rows(minhash.near_duplicate_query(spark.createDataFrame(list(texts.items()), SCHEMA))) == brute.near(texts, 3, 85)
 
 
+def test_stragglers_that_only_meet_each_other(spark):
+    """The smallest text shares buckets with all, but links with few; the others link in a chain that takes every step."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(40):
+        own = list(words)
+        own[5 * (i % 8) : 5 * (i % 8) + 6] = [f"z{i % 8}{j}" for j in range(6)]
+        if i % 5 == 0:
+            own[100 + rng.integers(50)] = f"y{i}"
+        texts[i] = " ".join(own)
+    texts[0] = " ".join(words[:170])
+    assert near_rows(minhash.near_duplicate_query(spark.createDataFrame(list(texts.items()), SCHEMA))) == brute.near(texts, 3, 85)
+
+
 def test_texts_under_one_id(spark):
     """Rows of one id count as linked, the same way every time."""
     rows = [(1, brute.BODY), (1, brute.PASSAGE), (2, brute.BODY + " tail"), (3, brute.PASSAGE), (4, "something else altogether")]
@@ -90,3 +105,17 @@ def test_passages_of_hot_anchors(spark, hot):
     got = {r.id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in found.collect()}
     assert got == brute.passages(texts, 50)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("vistaquad_")]
+
+
+def test_contamination_by_a_hot_passage(spark, monkeypatch):
+    from vistaquad.llm import decontaminate
+
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    docs = spark.createDataFrame([(i, f"{i} {brute.PASSAGE}" if i % 4 else f"text {i}" if i % 8 else brute.PASSAGE) for i in range(40)], SCHEMA)
+    items = spark.createDataFrame([("i1", brute.PASSAGE), ("i2", "text 4")], "item_id string, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("benchmark", items.toArrow())
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = con.sql(decontaminate.CONTAMINATION_SQL).select(*columns).fetchall()
+    assert sorted(map(tuple, decontaminate.contamination_query(docs, items).select(columns).collect())) == sorted(want)

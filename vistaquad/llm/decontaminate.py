@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaquad.llm.common import WordHashes, alnum_words, settle, shingle_hashes, utf8
+from vistaquad.llm.common import dealt, hot_from, WordHashes, alnum_words, settle, shingle_hashes, utf8
 
 WINDOW = 10
 SHINGLE = 5
@@ -157,12 +157,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     ranked = shingled(texts, "window", "m").join(rarity, ["m", "shingle"], "left")
     prefix = ranked.groupBy("window", "size", "m").agg(F.min(F.struct("holders", "shingle", "place")).alias("first"), F.count("holders").alias("there"), F.count("*").alias("all"))
     prefix = prefix.where("there = all").select("window", "size", "m", "first.shingle", F.col("first.place").alias("offset"))
-    candidates = held.select("words", "m", "shingle", "place").join(prefix, ["m", "shingle"]).withColumn("at", F.col("place") - F.col("offset"))
+    candidates = held.select("words", "holders", "m", "shingle", "place").join(prefix, ["m", "shingle"]).withColumn("at", F.col("place") - F.col("offset"))
     inside = candidates.withColumn("w", F.split("words", " ")).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.size("w")))
     exact = inside.where(F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("size"))) == F.col("window"))
-    found = exact.select("words", "window", "at", "size").join(windows.select("window", "item"), "window")
-    per_run = found.groupBy("words").agg(F.collect_set(F.struct(F.col("at").cast("long").alias("at"), F.col("size").cast("long").alias("size"))).alias("spans"), F.collect_set("item").alias("items"))
-    per_doc = by_doc.join(per_run, "words").select("id", F.transform("spans", lambda s: F.struct((F.col("start") + s["at"]).alias("start"), s["size"].alias("size"))).alias("spans"), "items")
+    found = exact.select("words", "holders", "window", "at", "size").join(windows.select("window", "item"), "window")
+    per_run = found.groupBy("words").agg(F.collect_set(F.struct(F.col("at").cast("long").alias("at"), F.col("size").cast("long").alias("size"))).alias("spans"), F.collect_set("item").alias("items"), F.max("holders").alias("n"))
+    # A passage that very many documents hold is sent to them, not they to it.
+    total = runs.agg(F.coalesce(F.sum("holders"), F.lit(0))).first()[0]
+    per_doc = dealt(by_doc, settle(per_run, "per_run"), ["words"], hot_from(total)).select("id", F.transform("spans", lambda s: F.struct((F.col("start") + s["at"]).alias("start"), s["size"].alias("size"))).alias("spans"), "items")
     per_doc = per_doc.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return reduced.select("id", "n_words").join(per_doc, "id", "left").select(
         "id", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,size:bigint>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
