@@ -4,9 +4,10 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from plain import mapped
 
 from vistaquad.functions.geometry import ENTRIES
-from vistaquad.operators import estimate, refine
+from vistaquad.operators import estimate
 from vistaquad.plans import registry
 from vistaquad.sources import schema
 
@@ -46,7 +47,7 @@ def test_least_squares_of_every_camera(spark, marks):
         rows[rows[:, 4] == 7, 2:4] -= [500, -500]
         want = plain(rows[:, :2], rows[:, 2:4])
         mine = np.array([got[c][e] for e in ENTRIES])
-        a, b = (refine.mapped(h[:8], rows[:, :2]) for h in (mine, want.ravel()))
+        a, b = (mapped(h[:8], rows[:, :2]) for h in (mine, want.ravel()))
         assert (np.abs(a - b) / (1 + np.abs(b))).max() < 1e-3, c
 
 
@@ -57,7 +58,7 @@ def test_robust_homographies_leave_far_points_out(spark, marks):
     for c, rows in marks.items():
         near = rows[rows[:, 4] != 7]
         h = np.array([got[c][e] for e in ENTRIES[:8]], float)
-        off = np.linalg.norm(refine.mapped(h, near[:, :2]) - near[:, 2:4], axis=1)
+        off = np.linalg.norm(mapped(h, near[:, :2]) - near[:, 2:4], axis=1)
         assert np.median(off) < 1, (c, np.median(off))
 
 
@@ -65,9 +66,9 @@ def test_thousands_of_points_with_outliers(spark):
     """A camera of 5,000 points of which 40 in 100 are off; every one counts."""
     true, rng = np.array([1.1, 0.05, 12, -0.03, 0.95, 7, 1e-4, -5e-5]), np.random.default_rng(5)
     src = rng.uniform(0, 400, (5000, 2))
-    dst = refine.mapped(true, src) + rng.normal(0, 0.2, (5000, 2))
+    dst = mapped(true, src) + rng.normal(0, 0.2, (5000, 2))
     dst[::5] += rng.uniform(50, 300, (1000, 2))
     dst[1::5] -= rng.uniform(50, 300, (1000, 2))
     rows = [("c", i, *map(float, (*s, *d))) for i, (s, d) in enumerate(zip(src, dst, strict=True))]
     h = estimate.ransac(spark.createDataFrame(rows, schema.POINTS), samples=100).first().h
-    assert np.abs(refine.mapped(np.array([h[e] for e in ENTRIES[:8]]), src) - refine.mapped(true, src)).max() < 0.5
+    assert np.abs(mapped(np.array([h[e] for e in ENTRIES[:8]]), src) - mapped(true, src)).max() < 0.5

@@ -1,9 +1,10 @@
 """Robust estimation where one point is repeated, and for cameras without a result."""
 
 import numpy as np
+from plain import mapped
 
 from vistaquad.functions.geometry import ENTRIES
-from vistaquad.operators import estimate, refine
+from vistaquad.operators import estimate
 from vistaquad.sources import schema
 
 TRUE = np.array([1.1, 0.05, 12, -0.03, 0.95, 7, 1e-4, -5e-5])
@@ -11,11 +12,11 @@ TRUE = np.array([1.1, 0.05, 12, -0.03, 0.95, 7, 1e-4, -5e-5])
 
 def test_every_point_repeated_and_a_camera_without_a_result(spark):
     src = np.random.default_rng(3).uniform(0, 400, (40, 2))
-    dst = refine.mapped(TRUE, src)
+    dst = mapped(TRUE, src)
     # Whichever point has the least hash, its copies alone are more than 64.
     rows = [("c", i, *map(float, (*s, *d))) for i, (s, d) in enumerate(zip(src, dst, strict=True)) for _ in range(80)]
     rows += [("few", i, float(i), 0.0, float(i), 0.0) for i in range(3)]
     found = {r.camera_id: r.h for r in estimate.ransac(spark.createDataFrame(rows, schema.POINTS), samples=60).collect()}
     assert set(found) == {"c", "few"} and found["few"] is None and found["c"] is not None
     grid = np.stack(np.meshgrid(np.arange(0, 400, 40), np.arange(0, 400, 40)), -1).reshape(-1, 2).astype(float)
-    assert np.abs(refine.mapped(np.array([found["c"][n] for n in ENTRIES[:8]]), grid) - refine.mapped(TRUE, grid)).max() < 0.1
+    assert np.abs(mapped(np.array([found["c"][n] for n in ENTRIES[:8]]), grid) - mapped(TRUE, grid)).max() < 0.1

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from plain import mapped
 from pyspark.sql import functions as F
 
 from vistaquad.functions.geometry import ENTRIES, homography, similarity
-from vistaquad.operators import detect, estimate, refine, report, search, warp
+from vistaquad.operators import detect, estimate, refine, report, rules, search, warp
 from vistaquad.sources import schema
 from vistaquad.sources.images import encode_png, explode, pack, read_images, row_of
 
@@ -15,7 +16,7 @@ TRUE = np.array([1.1, 0.05, 12, -0.03, 0.95, 7, 1e-4, -5e-5])
 def marks(spark, n=41, noise=0.0, outliers=0, seed=3):
     rng = np.random.default_rng(seed)
     src = rng.uniform(0, 400, (n, 2))
-    dst = refine.mapped(TRUE, src) + rng.normal(0, noise, (n, 2))
+    dst = mapped(TRUE, src) + rng.normal(0, noise, (n, 2))
     dst[:outliers] += 80
     return spark.createDataFrame([("c", i, *map(float, (*s, *d))) for i, (s, d) in enumerate(zip(src, dst, strict=True))], schema.POINTS)
 
@@ -26,7 +27,7 @@ def params(row):
 
 def error(p):
     grid = np.stack(np.meshgrid(np.arange(0, 400, 40), np.arange(0, 400, 40)), -1).reshape(-1, 2).astype(float)
-    return np.linalg.norm(refine.mapped(p, grid) - refine.mapped(TRUE, grid), axis=1).max()
+    return np.linalg.norm(mapped(p, grid) - mapped(TRUE, grid), axis=1).max()
 
 
 def test_least_squares_recovers(spark):
@@ -40,25 +41,28 @@ def test_ransac_leaves_outliers(spark):
 
 def test_bounds_and_stages():
     p = np.array([1, 0, 10, 0, 1, 20, 0, 0], float)
-    b = refine.bounds_of(p, "strict")
+    b = rules.bounds_of(p, "strict")
     assert b == pytest.approx(np.array([[0.9, 1.1], [-0.1, 0.1], [-40, 60], [-0.1, 0.1], [0.9, 1.1], [-30, 70], [-0.001, 0.001], [-0.001, 0.001]]))
     for mode in ("foo", ["strict"]):
         with pytest.raises(ValueError):
-            refine.bounds_of(p, mode)
+            rules.bounds_of(p, mode)
     steps = refine.stages(5)
     assert [s[2] for s in steps] == [0.9, 0.5, 0.4, 0.4, 0.4] and [s[1] for s in steps] == ["adaptive", "strict", "none", "none", "none"]
 
 
 @pytest.mark.parametrize("method", ["Powell", "L-BFGS-B", "BFGS", "TNC"])
-def test_refinement_lowers_the_objective(method):
-    rng = np.random.default_rng(1)
-    src = rng.uniform(0, 400, (20, 2))
-    dst = refine.mapped(TRUE, src)
-    f = lambda p: refine.objective(p, np.empty((0, 4, 2)), src, dst, 1.0, 100)
-    start = TRUE * 1.02
-    x, best = refine.minimise(f, start, "adaptive", method)
-    b = refine.bounds_of(start, "adaptive")
-    assert best < f(start) / 2 and (x >= b[:, 0] - 1e-9).all() and (x <= b[:, 1] + 1e-9).all()
+@pytest.mark.parametrize("mode", ["adaptive", "strict"])
+def test_refinement_finds_the_least_objective(spark, method, mode):
+    """Exact anchors: the least objective is 0, and it lies within the bounds."""
+    start = spark.range(1).select(F.lit("c").alias("camera_id"), homography([*TRUE * 1.02, 1]).alias("h"))
+    none = spark.createDataFrame([], f"camera_id string, corners {schema.QUAD}")
+    src = np.array([[r.src_x, r.src_y, r.dst_x, r.dst_y] for r in marks(spark, 20).collect()])
+    before = np.linalg.norm(mapped(TRUE * 1.02, src[:, :2]) - src[:, 2:], axis=1).sum()
+    done = refine.refine(start, none, marks(spark, 20), [(method, mode, 1.0)], turns=12).first()
+    b = rules.bounds_of(TRUE * 1.02, mode)
+    x = params(done)
+    assert done.objective < 0.05 * before and (x >= b[:, 0] - 1e-9).all() and (x <= b[:, 1] + 1e-9).all()
+    assert done.objective == pytest.approx(np.linalg.norm(mapped(x, src[:, :2]) - src[:, 2:], axis=1).sum(), rel=1e-9)
 
 
 def test_refine_reports_failures(spark):
@@ -66,17 +70,22 @@ def test_refine_reports_failures(spark):
     none = spark.createDataFrame([], f"camera_id string, corners {schema.QUAD}")
     done = refine.refine(start, none, marks(spark), [("Powell", "adaptive", 1.0)]).first()
     assert done.error is None and error(params(done)) < error(TRUE * 1.02)
-    bad = refine.refine(start, none, marks(spark), [("Powell", "foo", 1.0)]).first()
-    assert bad.h is None and "ValueError" in bad.error
+    for step in (("Powell", "foo", 1.0), ("foo", "none", 1.0)):
+        bad = refine.refine(start, none, marks(spark), [step]).first()
+        assert bad.h is None and "ValueError" in bad.error
+    lost = refine.refine(start.withColumn("h", F.when(F.col("camera_id") != "c", F.col("h"))), none, marks(spark), [("TNC", "none", 1.0)]).first()
+    assert lost.h is None and "no first homography" in lost.error
+    alone = refine.refine(start, none, marks(spark).limit(0), [("TNC", "none", 1.0)], turns=1).first()
+    assert params(alone) == pytest.approx(TRUE * 1.02) and alone.objective == 0
 
 
 def test_search_fails_one_level_and_finds_the_best(spark):
     start = spark.range(1).select(F.lit("c").alias("camera_id"), homography([*TRUE * 1.01, 1]).alias("h"))
     square = spark.createDataFrame([("c", [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0)])], f"camera_id string, corners {schema.QUAD}")
-    trials = search.sample(spark, ["c"], 6)
-    assert trials.collect() == search.sample(spark, ["c"], 6).collect()
+    trials = search.sample(start, 6)
+    assert trials.collect() == search.sample(start.repartition(3), 6).collect()
     one = spark.createDataFrame([("c", 99, 1, [("Powell", "strict", 0.5)])], schema.TRIALS)
-    results = search.run(search.balanced(spark, ["c"]).union(one), start, square, marks(spark, 12), marks(spark, 12)).cache()
+    results = search.run(search.balanced(start).union(one), start, square, marks(spark, 12), marks(spark, 12), turns=3).cache()
     by = {r.trial_id: r for r in results.collect()}
     assert by[0].success and not by[99].success and by[99].error
     assert report.best(results).first().trial_id == 0
@@ -94,7 +103,7 @@ def test_best_configuration_and_sweep(spark):
     start = spark.range(1).select(F.lit("c").alias("camera_id"), homography([*TRUE * 1.01, 1]).alias("h"))
     square = spark.createDataFrame([("c", [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0)])], f"camera_id string, corners {schema.QUAD}")
     for searched in (True, False):
-        r = search.sweep(start, square, marks(spark, 12), marks(spark, 12), ["c"], trials=3, searched=searched).first()
+        r = search.sweep(start, square, marks(spark, 12), marks(spark, 12), trials=3, searched=searched, turns=2).first()
         assert r.success and r.name.startswith("Best-" if searched else "Balanced") and r.optimized_error > 0 and r.squares_count == 1
 
 

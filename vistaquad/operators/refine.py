@@ -1,21 +1,18 @@
-"""Refinement of homographies under bounds: one group a camera, its few squares and anchors in numpy.
+"""Refinement of homographies under bounds, level by level (see population).
 
-Each step lowers sum of square metrics + weight * sum of anchor distances. Methods: Powell (line searches along a set of
-directions), BFGS and L-BFGS-B (quasi-Newton steps, cut to the bounds), TNC (Newton steps by conjugate gradients).
+Each round lowers sum of square metrics + weight * sum of anchor distances. Methods: Powell (throws along a set of
+directions); BFGS, L-BFGS-B and TNC (damped Newton steps from differences, all three by one rule).
 """
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaquad.functions.geometry import ENTRIES
-from vistaquad.sources.schema import HOMOGRAPHY
+from vistaquad.functions.geometry import from_params
+from vistaquad.operators.population import TURNS, marks_of, optimised, params_of, wrong_stages
+from vistaquad.sources.schema import STAGES
 
-# Defaults of the levels, and the widths of the bounds by mode: factor on h00 and h11, width on h01 and
-# h10, width on h02 and h12, and absolute limits of h20 and h21.
+# Defaults of the levels.
 WEIGHTS, MODES, METHODS = [0.9, 0.5, 0.4], ["adaptive", "strict", "none"], ["Powell"] * 3
-WIDTHS = {"strict": (0.1, 0.1, 50.0, 0.001), "adaptive": (0.3, 0.3, 150.0, 0.01)}
 
 
 def stages(levels: int = 3, weights=None, modes=None, methods=None) -> list:
@@ -29,191 +26,19 @@ def stages(levels: int = 3, weights=None, modes=None, methods=None) -> list:
     return list(zip(*full, strict=True))
 
 
-def bounds_of(params: np.ndarray, mode) -> np.ndarray | None:
-    """Low and high of the eight parameters about params; ends are ordered where a negative entry would swap them."""
-    if mode == "none":
-        return None
-    if not isinstance(mode, str) or mode not in WIDTHS:
-        raise ValueError(f"bounds must be none, strict or adaptive, not {mode!r}")
-    factor, turn, shift, tilt = WIDTHS[mode]
-    reach = np.array([abs(params[0]) * factor, turn, shift, turn, abs(params[4]) * factor, shift])
-    low, high = np.append(params[:6] - reach, [-tilt, -tilt]), np.append(params[:6] + reach, [tilt, tilt])
-    return np.stack([low, high], axis=1)
+def as_stages(steps: list):
+    """Levels as a column."""
+    return F.array(*(F.struct(F.lit(m).alias("method"), F.lit(b).alias("bounds"), F.lit(float(w)).alias("weight")) for m, b, w in steps)).cast(STAGES)
 
 
-def quad_metrics(squares: np.ndarray, size: float) -> np.ndarray:
-    """The compat square metric (see quads.metric) of each of n x 4 x 2 quads."""
-    x, y = squares[:, :, 0], squares[:, :, 1]
-    start = np.where(y == y.min(axis=1, keepdims=True), x, np.inf).argmin(axis=1)  # the topmost corner, of equals the leftmost
-    q = squares[np.arange(len(squares))[:, None], (start[:, None] + np.arange(4)) % 4]
-    q = q - q[:, :1]
-    t = -np.arctan2(q[:, 1, 1], q[:, 1, 0])
-    c, s = np.cos(t)[:, None], np.sin(t)[:, None]
-    x, y = q[:, :, 0] * c - q[:, :, 1] * s, q[:, :, 0] * s + q[:, :, 1] * c
-    return np.hypot(x[:, 1] - size, y[:, 1] - size) + np.hypot(x[:, 2] - size, y[:, 2]) + size
-
-
-def mapped(params: np.ndarray, points: np.ndarray) -> np.ndarray:
-    h = np.append(params, 1.0).reshape(3, 3)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = points @ h[:, :2].T + h[:, 2]
-        return p[..., :2] / p[..., 2:]
-
-
-def objective(params, squares, anchors, targets, weight: float, size: float) -> float:
-    total = 0.0
-    if len(squares):
-        moved = np.nan_to_num(mapped(params, squares).astype(np.float32), nan=0.0, posinf=0.0, neginf=0.0).astype(float)
-        total += quad_metrics(moved, size).sum()
-    if len(anchors):
-        total += weight * np.linalg.norm(mapped(params, anchors) - targets, axis=1).sum()
-    return float(total) if np.isfinite(total) else 1e300
-
-
-def _line(f, x, d, bounds, best):
-    """Lower f along x + t d: the interval that bounds allow, or one that grows, then golden sections."""
-    low, high = -np.inf, np.inf
-    if bounds is not None:
-        for xi, di, (lo, hi) in zip(x, d, bounds, strict=True):
-            if di:
-                a, b = sorted(((lo - xi) / di, (hi - xi) / di))
-                low, high = max(low, a), min(high, b)
-    low, high = max(low, -1e3), min(high, 1e3)
-    steps = [0.0, *(s * 10.0**-k for k in range(5) for s in (1, -1)), *([low, high] if bounds is not None else [])]
-    tried = sorted((best if t == 0 else f(x + t * d), t) for t in steps if low <= t <= high or t == 0)
-    centre = tried[0][1]
-    around = sorted(t for _, t in tried)
-    at = around.index(centre)
-    a, b = around[max(at - 1, 0)], around[min(at + 1, len(around) - 1)]
-    g = (5**0.5 - 1) / 2
-    c, e = b - g * (b - a), a + g * (b - a)
-    fc, fe = f(x + c * d), f(x + e * d)
-    for _ in range(40):
-        if fc < fe:
-            b, e, fe = e, c, fc
-            c = b - g * (b - a)
-            fc = f(x + c * d)
-        else:
-            a, c, fc = c, e, fe
-            e = a + g * (b - a)
-            fe = f(x + e * d)
-    return min([tried[0], (fc, c), (fe, e)])
-
-
-def _powell(f, x, bounds, rounds: int = 30):
-    scale = np.maximum(np.abs(x), [1e-2, 1e-2, 1, 1e-2, 1e-2, 1, 1e-5, 1e-5])
-    directions, best = list(np.diag(scale)), f(x)
-    for _ in range(rounds):
-        begin, before, drop, where = x.copy(), best, 0.0, 0
-        for i, d in enumerate(directions):
-            value, t = _line(f, x, d, bounds, best)
-            if best - value > drop:
-                drop, where = best - value, i
-            if value < best:
-                x, best = x + t * d, value
-        if before - best <= 1e-8 * (abs(before) + 1e-12):
-            break
-        along = x - begin
-        value, t = _line(f, x, along, bounds, best)
-        if value < best:
-            x, best = x + t * along, value
-            directions[where] = along
-    return x, best
-
-
-def _newton(f, x, bounds, by_cg: bool, rounds: int = 60):
-    """Steps in scaled parameters with difference gradients; cut to the bounds, halved until they lower f."""
-    scale = np.maximum(np.abs(x), [1e-2, 1e-2, 1, 1e-2, 1e-2, 1, 1e-5, 1e-5])
-    clip = (lambda z: z) if bounds is None else (lambda z: np.clip(z, bounds[:, 0], bounds[:, 1]))
-    grad = lambda z: np.array([(f(z + 1e-4 * scale * e) - f(z - 1e-4 * scale * e)) / 2e-4 for e in np.eye(8)])
-    x = clip(x)
-    best, inverse, g = f(x), np.eye(8), grad(x)
-    for _ in range(rounds):
-        if by_cg:
-            step, r = np.zeros(8), -g
-            p, rr = r.copy(), r @ r
-            for _ in range(8):
-                curve = (grad(x + 1e-3 * scale * p / (np.linalg.norm(p) + 1e-300)) - g) * (np.linalg.norm(p) / 1e-3)
-                if p @ curve <= 1e-12 or rr < 1e-16:
-                    break
-                a = rr / (p @ curve)
-                step, r = step + a * p, r - a * curve
-                p, rr = r + (r @ r) / rr * p, r @ r
-            step = step if step.any() else -g
-        else:
-            step = -inverse @ g
-            step = step if step @ g < 0 else -g
-        t, moved = min(1.0, 0.5 / (np.abs(step).max() + 1e-300)), None
-        for _ in range(40):
-            z = clip(x + t * scale * step)
-            value = f(z)
-            if value < best:
-                moved = z
-                break
-            t /= 2
-        if moved is None:
-            break
-        new = grad(moved)
-        s, y = (moved - x) / scale, new - g
-        if s @ y > 1e-12:
-            rho = 1 / (s @ y)
-            left = np.eye(8) - rho * np.outer(s, y)
-            inverse = left @ inverse @ left.T + rho * np.outer(s, s)
-        done = best - value <= 1e-10 * (abs(best) + 1e-12)
-        x, best, g = moved, value, new
-        if done:
-            break
-    return x, best
-
-
-def minimise(f, params: np.ndarray, mode, method: str) -> tuple[np.ndarray, float]:
-    bounds = bounds_of(params, mode)
-    start = params if bounds is None else np.clip(params, bounds[:, 0], bounds[:, 1])
-    if method == "Powell":
-        x, best = _powell(f, start, bounds)
-    elif method in ("L-BFGS-B", "BFGS", "TNC"):
-        x, best = _newton(f, start, bounds, method == "TNC")
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    return x, best
-
-
-def run_stages(params, squares, anchors, targets, steps: list, size: float) -> tuple[np.ndarray, float]:
-    """The levels in turn, each from where the one before ended."""
-    best = float("nan")
-    for method, mode, weight in steps:
-        params, best = minimise(lambda p, w=weight: objective(p, squares, anchors, targets, w, size), params, mode, method)
-    return params, best
-
-
-def params_of(h) -> np.ndarray:
-    """The eight parameters of a homography as a mapping, divided by h22 where that isn't 1."""
-    values = np.array([h[n] for n in ENTRIES], float)
-    return values[:8] / values[8]
-
-
-def refine(initial: DataFrame, squares: DataFrame, anchors: DataFrame, steps: list, size: float = 100.0) -> DataFrame:
+def refine(initial: DataFrame, squares: DataFrame, anchors: DataFrame, steps: list, size: float = 100.0, turns: int = TURNS, compat: bool = True) -> DataFrame:
     """camera_id, h, objective, error: the refined homography of each camera of initial (camera_id, h).
 
-    squares: camera_id, corners; anchors: camera_id, src_x.. dst_y. A camera without either keeps its h; a failure gives
-    its message in error and a null h. A group is one camera's marks, which are few by nature.
+    squares: camera_id, corners; anchors: camera_id, src_x.. dst_y. A camera without either keeps its h, moved into its
+    bounds; a level that isn't known, or a camera without a first homography, gives a message in error and a null h.
     """
-    side = squares.groupBy("camera_id").agg(F.collect_list("corners").alias("quads"))
-    marks = anchors.groupBy("camera_id").agg(F.collect_list(F.struct("src_x", "src_y", "dst_x", "dst_y")).alias("anchors"))
-    rows = initial.select("camera_id", "h").join(side, "camera_id", "left").join(marks, "camera_id", "left")
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                try:
-                    quads, anchor = (x if x is not None else [] for x in (r.quads, r.anchors))
-                    squares_ = np.array([[(p["x"], p["y"]) for p in q] for q in quads], np.float32).reshape(-1, 4, 2).astype(float)
-                    pairs = np.array([[a["src_x"], a["src_y"], a["dst_x"], a["dst_y"]] for a in anchor], float).reshape(-1, 4)
-                    p, best = run_stages(params_of(r.h), squares_, pairs[:, :2], pairs[:, 2:], steps, size)
-                    out.append((r.camera_id, dict(zip(ENTRIES, [*map(float, p), 1.0], strict=True)), best, None))
-                except Exception as e:  # the row tells what went wrong
-                    out.append((r.camera_id, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["camera_id", "h", "objective", "error"])
-
-    return rows.mapInPandas(run, f"camera_id {dict(initial.dtypes)['camera_id']}, h {HOMOGRAPHY}, objective double, error string")
+    runs = initial.select("camera_id", params_of(F.col("h")).alias("x"), as_stages(steps).alias("stages"))
+    runs = runs.withColumn("error", F.coalesce(wrong_stages(F.col("stages")), F.when(F.col("x").isNull(), F.lit("ValueError: no first homography"))))
+    done = optimised(runs.where("error is null"), marks_of(squares, anchors), size, ["camera_id"], turns, compat)
+    found = runs.select("camera_id", "error").join(done, "camera_id", "left")
+    return found.select("camera_id", F.when(F.col("x").isNotNull(), from_params(F.col("x"))).alias("h"), F.col("value").alias("objective"), "error")

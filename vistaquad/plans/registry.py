@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaquad.functions import geometry, nested, quads
-from vistaquad.operators import detect, estimate, points, raster, refine, report, search, stitch, warp
+from vistaquad.operators import detect, estimate, points, population, raster, refine, report, search, stitch, warp
 from vistaquad.plans import standins as s
 from vistaquad.plans.sql import ORACLES  # noqa: F401
 from vistaquad.sources.images import pack
@@ -255,12 +255,27 @@ def refined(spark, d):
 
 
 def searched(spark, d):
-    n, start, corners, marks = _cameras(spark, d)
-    trials = search.sample(spark, list(range(n)), 6).withColumn("camera_id", F.col("camera_id").cast("long"))
-    found = search.run(trials, start, corners, marks, marks)
+    _, start, corners, marks = _cameras(spark, d)
+    found = search.run(search.sample(start, 6), start, corners, marks, marks, turns=4)
     return found.select("camera_id", "trial_id", "levels", "success", "error", "initial_error", "optimized_error", "squares_count")
 
 
+def candidate_objectives(spark, d):
+    """One round of a refinement: every camera's objective under each of five candidates, over all its quads and points."""
+    params = lambda c: F.array(*(F.lit(float(v)) * (1 + c * 0.004 * (i + 1)) for i, v in enumerate(s.H_SECOND[:8])))
+    asked = spark.range(10).select(F.col("id").alias("camera_id"), F.lit(0.3).alias("weight"), F.transform(F.sequence(F.lit(-2), F.lit(2)), params).alias("candidates"))
+    anchors = s.part_points(spark, d).withColumn("camera_id", F.col("idx") % 10)
+    found = population.objectives(asked, population.marks_of(s.quads(spark, d), anchors), ["camera_id"], 100.0)
+    return found.withColumn("value", F.round("value", 4))
+
+
+def trials(spark, d):
+    """The trials of each supplier's camera, level by level."""
+    drawn = search.sample(s.read(spark, d, "supplier").select(F.col("s_suppkey").alias("camera_id")), 10)
+    rows = drawn.select("camera_id", "trial_id", "levels", F.posexplode("stages").alias("level", "stage")).select("camera_id", "trial_id", "levels", "level", "stage.*")
+    return rows.withColumn("weight", F.round("weight", 9))
+
+
 def _images(spark, d):
     return pack(s.pixels(spark, d).withColumn("image_id", F.col("image_id").cast("string")), V)
 
@@ -296,4 +311,6 @@ QUERIES |= {
     "q44_report_lines": report_lines,
     "q45_camera_names": camera_names,
     "q46_run_stamps": run_stamps,
+    "q47_candidate_objectives": candidate_objectives,
+    "q48_trials": trials,
 }

@@ -60,6 +60,13 @@ CORNERS = f"{QUADS}, c as (select quad_id, {', '.join(f'max({a}) filter (where k
 TURNS = [f"(x{(i + 1) % 4} - x{i}) * (y{(i + 2) % 4} - y{(i + 1) % 4}) - (y{(i + 1) % 4} - y{i}) * (x{(i + 2) % 4} - x{(i + 1) % 4})" for i in range(4)]
 HIT = "hit as (select distinct s_suppkey % 8 as image_id, s_suppkey * 13 % 250 + i as y, s_suppkey * 7 % 64 + j as x from supplier, unnest(range(-6, 7)) as a(i), unnest(range(-6, 7)) as b(j) where i * i + j * j <= 36)"
 
+CANDIDATES = f"cd as (select c + 2 as candidate, {', '.join(f'{n} * (1 + c * 0.004 * {i + 1}) as p{i}' for i, n in enumerate(('h00', 'h01', 'h02', 'h10', 'h11', 'h12', 'h20', 'h21')))} from unnest(range(-2, 3)) as t(c), (select {H2}))"
+
+
+def _drawn(key: str) -> str:
+    return f"(('0x' || substr(md5('42:' || {key}), 1, 8))::bigint / 4294967296.0::double)"
+
+
 ORACLES = {
     "q01_project_points": f"select l_orderkey, l_linenumber, round(u, 6) + 0.0 as u, round(v, 6) + 0.0 as v from {_projected(H1)}",
     "q02_reprojection_mean": f"select l_suppkey as camera_id, round(avg(e), 6) as mean_error, count(*) as n from {_errors(H1)} group by 1",
@@ -111,4 +118,15 @@ round((floor(greatest(x0, x1, x2, x3)) - floor(least(x0, x1, x2, x3)) + 1)::doub
     "q44_report_lines": f"with {BEST} select printf('%s: initial %.4f, optimized %.4f, improvement %.2f%%', camera_id, initial_error, optimized_error, case when initial_error > 0 then (initial_error - optimized_error) / initial_error * 100 else 0.0 end) as line from top",
     "q45_camera_names": f"with {RECORDS} select experiment, count(*) as total_cameras, string_agg(camera_id, ', ' order by s_suppkey) as names from rec group by 1",
     "q46_run_stamps": "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as iso, strftime(ts, '%Y-%m-%d %H:%M:%S') as shown from events",
+    "q47_candidate_objectives": f"""with {CANDIDATES}, {QUADS.replace('quad_id, vec_id % 10 as camera_id', 'square_id, vec_id % 10 as camera_id')},
+qh as (select square_id * 5 + candidate as quad_id, camera_id, candidate, k, ((p0 * fx + p1 * fy + p2) / w)::float::double as x, ((p3 * fx + p4 * fy + p5) / w)::float::double as y
+  from (select *, p6 * fx + p7 * fy + 1 as w from (select *, x::float::double as fx, y::float::double as fy from q, cd))),
+{NORMAL.replace('from q)', 'from qh)')}, {METRIC}, sq as (select camera_id, quad_id % 5 as candidate, sum(e) as e from me group by 1, 2),
+an as (select p_partkey % 10 as camera_id, candidate, sum(sqrt(pow((p0 * p_size + p1 * p_retailprice + p2) / w - p_size * 2, 2) + pow((p3 * p_size + p4 * p_retailprice + p5) / w - p_retailprice, 2))) as s
+  from (select *, p6 * p_size + p7 * p_retailprice + 1 as w from part, cd) group by 1, 2)
+select camera_id, candidate::int as candidate, round(e + 0.3 * s, 4) as value from sq join an using (camera_id, candidate)""",
+    "q48_trials": f"""with u as (select s_suppkey as camera_id, t::int as trial_id, floor({_drawn("s_suppkey || ':' || t || ':levels'")} * 4)::int + 1 as levels from supplier, unnest(range(10)) as a(t)),
+l as (select camera_id, trial_id, levels, (i - 1)::int as level, camera_id || ':' || trial_id || ':' || i || ':' as k from u, unnest(range(1, 5)) as b(i) where i <= levels)
+select camera_id, trial_id, levels, level, ['Powell', 'L-BFGS-B', 'TNC'][floor({_drawn("k || 'method'")} * 3)::int + 1] as method, ['none', 'strict', 'adaptive'][floor({_drawn("k || 'bounds'")} * 3)::int + 1] as bounds,
+round(0.05 * pow(40, {_drawn("k || 'weight'")}), 9) as weight from l""",
 }
