@@ -30,13 +30,9 @@ def test_query_equals_sql(spark, name):
     assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
 
 
-def test_every_query_has_sql_or_a_test_here():
-    assert set(QUERIES) - set(ORACLES) <= {"q29_refine", "q30_search", "q31_warp", "q32_multiband", "q33_detect", "q34_homography", "q35_ransac"}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_raster_tier_queries_run(spark, name):
-    assert QUERIES[name](spark, str(SF)).count() > 0
+def test_every_query_has_sql_or_a_plain_version():
+    """The others are held against plain versions: test_whole_jobs, test_detection, test_homographies."""
+    assert set(QUERIES) - set(ORACLES) <= {"q29_refine", "q30_search", "q33_detect", "q34_homography", "q35_ransac"}
 
 
 def test_entry(spark):

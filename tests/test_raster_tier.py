@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from plain import mapped
+from plain import mapped, multiband_blended, warped
 from pyspark.sql import functions as F
 
 from vistaquad.functions.geometry import ENTRIES, homography, similarity
@@ -142,14 +142,66 @@ def test_warps(spark):
     assert bytes(turned.data) == a.tobytes()
 
 
+HOMOGRAPHIES = {
+    "turned": [0.8, -0.6, 60, 0.6, 0.8, -30, 0, 0, 1],
+    "tilted": [1.1, 0.3, -20, 0.1, 0.9, 5, 2e-3, 1e-3, 1],
+    "horizon": [1, 0.2, 0, 0.1, 1, 0, -1.3e-2, 4e-3, 1],  # the denominator changes its sign inside the output
+    "enlarged": [40, 0, -3000, 0, 40, -2000, 0, 0, 1],
+    "shrunk": [0.05, 0, 3, 0, 0.05, 4, 0, 0, 1],
+    "far": [1, 0, 1e7, 0, 1, 1e7, 0, 0, 1],
+    "mirrored": [-1, 0, 190, 0, -1, 150, 0, 0, 1],
+}
+
+
+def test_warps_of_any_kind(spark):
+    """Sides that are no multiple of a tile, places beyond every border, rows of the horizon: each pixel as in plain numpy."""
+    a = np.random.default_rng(9).integers(0, 256, (133, 197, 3)).astype(np.uint8)
+    a[40:90, 50:130] = 0
+    rows = explode(images(spark, a)).drop("image_id")
+    names = spark.createDataFrame([(n, i) for i, n in enumerate(HOMOGRAPHIES)], "image_id string, pos int")
+    h = F.element_at(F.array(*(homography(v) for v in HOMOGRAPHIES.values())), F.col("pos") + 1)
+    views = names.select("image_id", h.alias("h"), F.lit(140).alias("height"), (F.lit(200) + F.col("pos")).alias("width"))
+    got = warp.warp_pixels(rows.crossJoin(names.select("image_id")), views, list("bgr")).toPandas()
+    assert not got.duplicated(["image_id", "y", "x"]).any()
+    for i, (name, h) in enumerate(HOMOGRAPHIES.items()):
+        own, out = got[got.image_id == name], np.zeros((140, 200 + i, 3), int)
+        assert len(own) == 140 * (200 + i), name
+        out[own.y, own.x] = own[list("bgr")]
+        want = warped(a, np.array(h, float).reshape(3, 3), 200 + i, 140).astype(int)
+        off = np.abs(out - want).max(axis=2)
+        assert (off > 1).mean() < 1e-3 and (off > 0).mean() < 0.02, (name, off.max(), (off > 0).mean())
+
+
+def test_warps_of_awkward_views(spark):
+    a = picture(30, 20)
+    rows = explode(images(spark, a, np.zeros((30, 20, 3), np.uint8)))
+    views = spark.createDataFrame([("i0", 5, 7), ("i1", 5, 7), ("gone", 5, 7)], "image_id string, height int, width int")
+    flat = views.withColumn("h", homography([0, 0, 0, 0, 0, 0, 0, 0, 1]))
+    black = warp.warp_pixels(rows, flat, list("bgr")).groupBy("image_id").agg(F.count("*").alias("n"), F.max("b").alias("b")).collect()
+    assert {(r.image_id, r.n, r.b) for r in black} == {("i0", 35, 0), ("i1", 35, 0), ("gone", 35, 0)}
+    assert warp.warp_pixels(rows, flat.withColumn("h", F.when(F.lit(False), F.col("h"))), list("bgr")).count() == 0
+    same = flat.withColumn("h", homography([1, 0, 0, 0, 1, 0, 0, 0, 1]))
+    holes = rows.where("image_id = 'i0' and (x + y) % 3 > 0")
+    got = {(r.y, r.x): r.g for r in warp.warp_pixels(holes.union(holes), same, list("bgr")).where("image_id = 'i0'").collect()}
+    assert all(v == (a[y, x, 1] if (x + y) % 3 else 0) for (y, x), v in got.items()) and len(got) == 35
+
+
+def test_a_warp_deals_output_tiles_out(spark):
+    """No exchange by image alone: tiles meet by (image, tile), pixels are made after a deal by output tile."""
+    rows = explode(images(spark, picture()))
+    views = spark.range(1).select(F.lit("i0").alias("image_id"), homography([1, 0, 0, 0, 1, 0, 0, 0, 1]).alias("h"), F.lit(64).alias("height"), F.lit(64).alias("width"))
+    plan = warp.warp_pixels(rows, views, list("bgr"))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "oy" in plan.split("REPARTITION_BY_NUM")[0].rsplit("hashpartitioning", 1)[1]
+
+
 def test_multiband_of_equal_images(spark):
     a = np.random.default_rng(2).integers(60, 200, (64, 64, 3)).astype(np.uint8)
     seam = np.zeros((64, 64), np.uint8)
     seam[:, :32] = 1
-    out = warp.multiband_blended(a, a, seam)
+    out = multiband_blended(a, a, seam)
     assert np.abs(out.astype(int) - a).max() <= 1
     b = np.zeros_like(a)
-    assert (warp.multiband_blended(a, b, seam) == a).all()
+    assert (multiband_blended(a, b, seam) == a).all()
 
 
 def test_explode_pack_and_png(spark, tmp_path):

@@ -43,6 +43,25 @@ def similarity(angle: float, dx: float, dy: float, scale: float, width: int, hei
     return [a, b, (1 - a) * cx - b * cy + dx, -b, a, b * cx + (1 - a) * cy + dy, 0.0, 0.0, 1.0]
 
 
+def similarity_of(angle: float, dx: float, dy: float, scale: float, width: Column, height: Column, compat: bool = True) -> Column:
+    """similarity for sizes that are columns."""
+    import math
+
+    cx, cy = (F.floor(v / 2).cast("double") for v in ((height, width) if compat else (width, height)))
+    a, b = scale * math.cos(math.radians(angle)), scale * math.sin(math.radians(angle))
+    values = [F.lit(a), F.lit(b), (1 - a) * cx - b * cy + dx, F.lit(-b), F.lit(a), b * cx + (1 - a) * cy + dy, F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    return F.struct(*(v.cast("double").alias(n) for n, v in zip(ENTRIES, values, strict=True)))
+
+
+def adjugate(h: Column) -> tuple[Column, Column]:
+    """The inverse of h up to a factor, which points don't notice, and whether there is none."""
+    minor = lambda a, b, c, d: h[a] * h[d] - h[b] * h[c]
+    rows = [("h11", "h12", "h21", "h22"), ("h02", "h01", "h22", "h21"), ("h01", "h02", "h11", "h12"), ("h12", "h10", "h22", "h20"), ("h00", "h02", "h20", "h22"), ("h02", "h00", "h12", "h10"), ("h10", "h11", "h20", "h21"), ("h01", "h00", "h21", "h20"), ("h00", "h01", "h10", "h11")]
+    entries = [minor(*r) for r in rows]
+    total = h["h00"] * entries[0] + h["h01"] * entries[3] + h["h02"] * entries[6]
+    return F.struct(*(e.alias(n) for n, e in zip(ENTRIES, entries, strict=True))), total == 0
+
+
 def as_float(x: Column) -> Column:
     return x.cast("float").cast("double")
 

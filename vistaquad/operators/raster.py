@@ -20,19 +20,19 @@ def non_black(channels: list, level: int) -> Column:
     return (cols[0] if len(cols) == 1 else F.greatest(*cols)) > level
 
 
-def _taps(v: Column, along: str, window) -> Column:
+def taps(v: Column, along: str, window) -> Column:
     """Weights 1 4 6 4 1 along an axis; the border is mirrored about its last pixel."""
     before, after = F.lag(v, 1).over(window), F.lead(v, 1).over(window)
     before2, after2 = F.lag(v, 2).over(window), F.lead(v, 2).over(window)
-    one = F.coalesce(before, after) + F.coalesce(after, before)
-    two = F.coalesce(before2, F.when(before.isNull(), after2).otherwise(v)) + F.coalesce(after2, F.when(after.isNull(), before2).otherwise(v))
+    one = F.coalesce(before, after, v) + F.coalesce(after, before, v)
+    two = F.coalesce(before2, F.when(before.isNull(), after2), v) + F.coalesce(after2, F.when(after.isNull(), before2), v)
     return v * 6 + one * 4 + two
 
 
 def blur(pixels: DataFrame, value: str, by: tuple = ("image_id",), name: str = "blur") -> DataFrame:
-    """5 x 5 Gaussian blur of an integer column, rounded once at the end; images of at least 3 x 3 without gaps."""
-    rows = pixels.withColumn("_h", _taps(F.col(value), "x", Window.partitionBy(*by, "y").orderBy("x")))
-    rows = rows.withColumn("_v", _taps(F.col("_h"), "y", Window.partitionBy(*by, "x").orderBy("y")))
+    """5 x 5 Gaussian blur of an integer column, rounded once at the end; images without gaps."""
+    rows = pixels.withColumn("_h", taps(F.col(value), "x", Window.partitionBy(*by, "y").orderBy("x")))
+    rows = rows.withColumn("_v", taps(F.col("_h"), "y", Window.partitionBy(*by, "x").orderBy("y")))
     return rows.withColumn(name, F.floor((F.col("_v") + 128) / 256).cast("int")).drop("_h", "_v")
 
 

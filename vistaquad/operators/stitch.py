@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vistaquad.operators.raster import blur, difference, non_black
 
 
-def _byte(x):
+def byte(x):
     """Clipped to 0..255 and cut off, as a byte image stores it."""
     return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), x.cast("double")))).cast("int")
 
@@ -44,7 +44,7 @@ def blend(rows: DataFrame, channels: list, by: tuple = ("pair_id",), alpha: floa
     rest = a if compat else F.lit(1 - alpha).cast("float")
     alone = a if compat else F.lit(1.0).cast("float")
     f = lambda name: F.col(name).cast("float")
-    return rows.select(*by, "y", "x", *(_byte(F.when(one & two, f(f"{c}1") * a + f(f"{c}2") * rest).when(one, f(f"{c}1") * alone).when(two, f(f"{c}2") * alone).otherwise(0)).alias(c) for c in channels))
+    return rows.select(*by, "y", "x", *(byte(F.when(one & two, f(f"{c}1") * a + f(f"{c}2") * rest).when(one, f(f"{c}1") * alone).when(two, f(f"{c}2") * alone).otherwise(0)).alias(c) for c in channels))
 
 
 def seam_rows(rows: DataFrame, channels: list, by: tuple = ("pair_id",)) -> DataFrame:
@@ -88,4 +88,4 @@ def feather(rows: DataFrame, channels: list, by: tuple = ("pair_id",), width: in
     ramp = F.when(x < s, F.greatest(F.lit(0.0), 1 - (s - x) / F.lit(float(width)))).otherwise(F.least(F.lit(1.0), (x - s) / F.lit(float(width))))
     m = F.when(inside, ramp).otherwise(F.lit(0.0)).cast("float")
     f = lambda name: F.col(name).cast("float")
-    return placed.withColumn("_m", m).select(*by, "y", "x", *(_byte(F.when(F.col("_m") > 0, f(f"{c}1") * (one - F.col("_m")) + f(f"{c}2") * F.col("_m")).when(F.col("seam") == 1, f(f"{c}1")).otherwise(f(f"{c}2"))).alias(c) for c in channels))
+    return placed.withColumn("_m", m).select(*by, "y", "x", *(byte(F.when(F.col("_m") > 0, f(f"{c}1") * (one - F.col("_m")) + f(f"{c}2") * F.col("_m")).when(F.col("seam") == 1, f(f"{c}1")).otherwise(f(f"{c}2"))).alias(c) for c in channels))

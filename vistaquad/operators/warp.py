@@ -1,122 +1,121 @@
-"""The raster tier: whole packed images in numpy, one at a time, in Arrow batches. No shuffle but the join with h."""
+"""Warps as a gather over tiles: an index of source tiles with a halo, output tiles mapped back to the tiles they touch.
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+Pixels are relations (keys, y, x, channels) of bytes. A source tile holds TILE x TILE pixels and, as its halo, the next row
+and column, so the four neighbours of any place lie in one tile; black pixels and black tiles aren't stored. An output tile
+meets the source tiles that its outline encloses by a join on (image, tile), is dealt out by its own key, and only then
+becomes pixels, so neither a large image nor a strongly enlarged tile fills a task.
+"""
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vistaquad.functions.geometry import ENTRIES
-from vistaquad.operators.stitch import seam_mask
-from vistaquad.sources.images import array_of, row_of
-from vistaquad.sources.schema import IMAGES
-
-
-def warped(pixels: np.ndarray, h: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Inverse-mapped, bilinear, black outside; rows of the result in bands, so memory follows the band."""
-    inverse, out = np.linalg.inv(h), np.zeros((height, width, pixels.shape[2]), np.uint8)
-    padded = np.pad(pixels.astype(np.float32), ((1, 2), (1, 2), (0, 0)))
-    for top in range(0, height, 128):
-        y, x = np.mgrid[top : min(top + 128, height), :width].astype(float)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            w = inverse[2, 0] * x + inverse[2, 1] * y + inverse[2, 2]
-            u, v = ((inverse[i, 0] * x + inverse[i, 1] * y + inverse[i, 2]) / w for i in range(2))
-        u, v = (np.clip(np.where(np.isfinite(a), a, -9), -1, n) for a, n in ((u, pixels.shape[1]), (v, pixels.shape[0])))
-        i, j = np.floor(v).astype(int), np.floor(u).astype(int)
-        a, b = (v - i)[..., None], (u - j)[..., None]
-        i, j = i + 1, j + 1
-        value = (padded[i, j] * (1 - b) + padded[i, j + 1] * b) * (1 - a) + (padded[i + 1, j] * (1 - b) + padded[i + 1, j + 1] * b) * a
-        out[top : top + len(y)] = np.clip(np.rint(value), 0, 255)
-    return out
+from vistaquad.functions.geometry import adjugate, similarity_of
+from vistaquad.sources.images import explode, pack
+from vistaquad.sources.shared import settle
+
+TILE = 64
+SIDE = TILE + 1  # with its halo
+MARGIN = 1e-6  # by which an outline is widened against rounding
+
+
+def tile_index(pixels: DataFrame, channels: list, by: tuple = ("image_id",)) -> DataFrame:
+    """by, ty, tx and, for each channel, an array of SIDE x SIDE values: each tile that isn't all black.
+
+    Tile (ty, tx) begins at row ty * TILE; tiles of index -1 hold what neighbours of places just outside need. Gaps are
+    black; of several rows of one pixel the least counts.
+    """
+
+    def placed(axis: str) -> Column:
+        own, at = F.floor(F.col(axis) / TILE).cast("int"), F.pmod(F.col(axis), F.lit(TILE)).cast("int")
+        one = lambda t, i: F.struct(t.alias("t"), i.alias("i"))
+        return F.when(at == 0, F.array(one(own, at), one(own - 1, F.lit(TILE)))).otherwise(F.array(one(own, at)))
+
+    lit = pixels.where(" or ".join(f"{c} <> 0" for c in channels)).select(*by, *(F.col(c).cast("short").alias(c) for c in channels), "x", F.explode(placed("y")).alias("_y"))
+    cells = lit.withColumn("_x", F.explode(placed("x")))
+    entry = F.struct((F.col("_y.i") * SIDE + F.col("_x.i")).alias("at"), *channels)
+    tiles = cells.groupBy(*by, F.col("_y.t").alias("ty"), F.col("_x.t").alias("tx")).agg(F.array_sort(F.collect_set(entry)).alias("entries"))  # SIDE * SIDE at most
+    first = F.filter("entries", lambda e, i: (i == 0) | (e["at"] != F.get("entries", i - 1)["at"]))
+    tiles = tiles.withColumn("entries", first)
+
+    def dense(c: str) -> Column:
+        zero = F.lit(0).cast("short")
+        before = lambda i: F.when(i == 0, -1).otherwise(F.get("entries", i - 1)["at"])
+        filled = F.flatten(F.transform("entries", lambda e, i: F.concat(F.array_repeat(zero, e["at"] - before(i) - 1), F.array(e[c]))))
+        return F.concat(filled, F.array_repeat(zero, SIDE * SIDE - 1 - F.element_at("entries", -1)["at"]))
+
+    return tiles.select(*by, "ty", "tx", *(dense(c).alias(f"tile_{c}") for c in channels))
+
+
+def _source(g: str, x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """Column and row of the source, and the denominator, of an output place under the adjugate g."""
+    row = lambda i: F.col(f"{g}.h{i}0") * x + F.col(f"{g}.h{i}1") * y + F.col(f"{g}.h{i}2")
+    w = row(2)
+    return row(0) / F.nullif(w, F.lit(0.0)), row(1) / F.nullif(w, F.lit(0.0)), w
+
+
+def warp_pixels(pixels: DataFrame, views: DataFrame, channels: list, by: tuple = ("image_id",)) -> DataFrame:
+    """by, y, x and channels of every pixel of each view of views (by, h, height, width): inverse-mapped, bilinear, rounded
+    to the nearest (ties to even), black outside of the source.
+
+    A view of an image without lit pixels is black, as is one whose h is singular; one whose h is null has no rows. Images
+    without a view have none.
+    """
+    keys = list(by)
+    tiles = settle(tile_index(pixels, channels, by), "tiles")
+    reach = tiles.groupBy(*keys).agg(*(f(c).alias(f"_{c}{n}") for c in ("ty", "tx") for f, n in ((F.min, 0), (F.max, 1))))
+    g, singular = adjugate(F.col("h"))
+    seen = views.where("h is not null").select(*keys, g.alias("g"), singular.alias("singular"), "height", "width").join(reach, keys, "left")
+    count = lambda size: F.ceil(F.col(size) / TILE).cast("int") - 1
+    out = seen.where("height > 0 and width > 0").withColumn("oy", F.explode(F.sequence(F.lit(0), count("height")))).withColumn("ox", F.explode(F.sequence(F.lit(0), count("width"))))
+
+    # The outline of an output tile in the source: where the denominator keeps its sign, its corners enclose it.
+    begins = {"x": F.col("ox") * TILE, "y": F.col("oy") * TILE}
+    ends = {"x": F.least((F.col("ox") + 1) * TILE, F.col("width")) - 1, "y": F.least((F.col("oy") + 1) * TILE, F.col("height")) - 1}
+    corners = [_source("g", x, y) for x in (begins["x"], ends["x"]) for y in (begins["y"], ends["y"])]
+    out = out.withColumns({f"_{n}{k}": c for k, corner in enumerate(corners) for n, c in zip("uvw", corner, strict=True)})
+    tame = (F.least(*(f"_w{k}" for k in range(4))) > 0) | (F.greatest(*(f"_w{k}" for k in range(4))) < 0)
+    tile = lambda value, low, high: F.greatest(F.least(F.floor(value / TILE), F.col(high) + 1), F.col(low) - 1).cast("int")
+    for axis, name in (("v", "ty"), ("u", "tx")):
+        values = [F.col(f"_{axis}{k}") for k in range(4)]
+        out = out.withColumns({
+            f"_from_{name}": F.when(tame, F.greatest(tile(F.floor(F.least(*values) - MARGIN), f"_{name}0", f"_{name}1"), F.col(f"_{name}0"))).otherwise(F.col(f"_{name}0")),
+            f"_to_{name}": F.when(tame, F.least(tile(F.floor(F.greatest(*values) + MARGIN), f"_{name}0", f"_{name}1"), F.col(f"_{name}1"))).otherwise(F.col(f"_{name}1")),
+        })
+    span = lambda name: F.when(F.col(f"_from_{name}") <= F.col(f"_to_{name}"), F.sequence(f"_from_{name}", f"_to_{name}")).otherwise(F.array().cast("array<int>"))
+    met = F.flatten(F.transform(span("ty"), lambda ty: F.transform(span("tx"), lambda tx: F.struct(ty.alias("ty"), tx.alias("tx")))))
+    nowhere = F.array(F.struct(F.lit(None).cast("int").alias("ty"), F.lit(None).cast("int").alias("tx")))  # for what lies beyond all tiles
+    kept = [*keys, "g", "singular", "height", "width", "oy", "ox", "_ty0", "_ty1", "_tx0", "_tx1"]
+    pairs = out.select(*kept, F.explode(F.concat(F.coalesce(met, F.array().cast("array<struct<ty:int,tx:int>>")), nowhere)).alias("t")).select(*kept, "t.ty", "t.tx")
+    parts = max(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), pixels.sparkSession.sparkContext.defaultParallelism)
+    joined = pairs.join(tiles, [*keys, "ty", "tx"], "left").repartition(parts, *keys, "oy", "ox")
+
+    spots = joined.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(TILE * TILE - 1))))
+    spots = spots.withColumns({"y": F.col("oy") * TILE + F.floor(F.col("_k") / TILE).cast("int"), "x": F.col("ox") * TILE + F.pmod("_k", F.lit(TILE))}).where("y < height and x < width")
+    u, v, _ = _source("g", F.col("x"), F.col("y"))
+    spots = spots.withColumns({"_u": F.when(~F.col("singular"), u), "_v": F.when(~F.col("singular"), v)})
+    spots = spots.withColumns({"_j": F.floor("_u"), "_i": F.floor("_v")})
+    spots = spots.withColumns({"_ti": F.floor(F.col("_i") / TILE), "_tj": F.floor(F.col("_j") / TILE)})
+    inside = F.coalesce(F.expr("_ti between _ty0 and _ty1 and _tj between _tx0 and _tx1"), F.lit(False))
+    spots = spots.where(F.when(F.col("ty").isNull(), ~inside).otherwise(F.expr("_ti = ty and _tj = tx")))
+    spots = spots.withColumns({"_a": F.col("_v") - F.col("_i"), "_b": F.col("_u") - F.col("_j"), "_at": ((F.col("_i") - F.col("ty") * TILE) * SIDE + F.col("_j") - F.col("tx") * TILE).cast("int")})
+
+    def value(c: str) -> Column:
+        at = lambda d: F.get(f"tile_{c}", F.col("_at") + d).cast("double")
+        a, b = F.col("_a"), F.col("_b")
+        mixed = (at(0) * (1 - b) + at(1) * b) * (1 - a) + (at(SIDE) * (1 - b) + at(SIDE + 1) * b) * a
+        return F.coalesce(F.rint(mixed).cast("int"), F.lit(0)).alias(c)
+
+    return spots.select(*keys, "y", "x", *(value(c) for c in channels))
 
 
 def warp(images: DataFrame, homographies: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
-    """Each image under the homography h of its image_id; the size stays unless given."""
-    rows = images.join(homographies.select("image_id", "h"), "image_id")
-
-    def run(frames):
-        for frame in frames:
-            out = [row_of(r.image_id, warped(array_of(r), np.array([r.h[n] for n in ENTRIES], float).reshape(3, 3), width or r.width, height or r.height)) for r in frame.itertuples()]
-            yield pd.DataFrame(out, columns=["image_id", "height", "width", "channels", "data"])
-
-    return rows.mapInPandas(run, IMAGES)
+    """Packed images under the homography h of their image_id; the size stays unless given."""
+    size = lambda name, given: (F.col(name) if given is None else F.lit(given)).alias(name)
+    views = images.select("image_id", "height", "width").join(homographies.select("image_id", "h"), "image_id").select("image_id", "h", size("height", height), size("width", width))
+    return pack(warp_pixels(explode(images), views, list("bgr")), list("bgr"))
 
 
 def rotate_and_translate(images: DataFrame, angle: float, dx: float, dy: float, scale: float = 1.0, shape: tuple = (800, 600), compat: bool = True) -> DataFrame:
     """Every image turned and scaled about its middle (see geometry.similarity), then moved."""
-    from vistaquad.functions.geometry import similarity
-
-    def run(frames):
-        for frame in frames:
-            out = [row_of(r.image_id, warped(array_of(r), np.array(similarity(angle, dx, dy, scale, r.width, r.height, compat)).reshape(3, 3), *shape)) for r in frame.itertuples()]
-            yield pd.DataFrame(out, columns=["image_id", "height", "width", "channels", "data"])
-
-    return images.mapInPandas(run, IMAGES)
-
-
-def blurred(a: np.ndarray) -> np.ndarray:
-    """Weights 1 4 6 4 1 along both axes, mirrored about the last pixel."""
-    for axis in (0, 1):
-        pad = [(0, 0)] * a.ndim
-        pad[axis] = (2, 2)
-        p = np.pad(a, pad, mode="reflect" if a.shape[axis] > 2 else "edge")
-        part = lambda i: np.take(p, range(i, i + a.shape[axis]), axis=axis)  # noqa: B023, E731
-        a = (part(0) + 4 * part(1) + 6 * part(2) + 4 * part(3) + part(4)) / 16
-    return a
-
-
-def resized(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear with half-pixel centres."""
-    for axis, n in ((0, height), (1, width)):
-        m = a.shape[axis]
-        at = np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
-        i = np.minimum(at.astype(int), max(m - 2, 0))
-        t = (at - i).reshape([-1 if k == axis else 1 for k in range(a.ndim)]).astype(np.float32)
-        a = np.take(a, i, axis) * (1 - t) + np.take(a, np.minimum(i + 1, m - 1), axis) * t
-    return a
-
-
-def gaussian_pyramid(a: np.ndarray, levels: int) -> list:
-    out = [a.astype(np.float32)]
-    while len(out) < levels and min(out[-1].shape[:2]) > 1:
-        out.append(resized(blurred(out[-1]), out[-1].shape[0] // 2, out[-1].shape[1] // 2))
-    return out
-
-
-def laplacian_pyramid(a: np.ndarray, levels: int) -> list:
-    g = gaussian_pyramid(a, levels)
-    return [x - resized(y, *x.shape[:2]) for x, y in zip(g, g[1:], strict=False)] + g[-1:]
-
-
-def multiband_blended(one: np.ndarray, two: np.ndarray, seam: np.ndarray, levels: int = 5, compat: bool = True) -> np.ndarray:
-    """Bands of both images by the smoothed seam; compat gives seam 1 to the second image, else to the first."""
-    mask = [m[..., None] for m in gaussian_pyramid(seam, levels)]
-    mask = mask if compat else [1 - m for m in mask]
-    bands = [a * (1 - m) + b * m for a, b, m in zip(laplacian_pyramid(one, levels), laplacian_pyramid(two, levels), mask, strict=True)]
-    out = bands[-1]
-    for band in bands[-2::-1]:
-        out = resized(out, *band.shape[:2]) + band
-    out = np.clip(out, 0, 255).astype(np.uint8)
-    m1, m2 = (one > 10).any(axis=2), (two > 10).any(axis=2)
-    out[~m1 & ~m2] = 0
-    out[m1 & ~m2], out[m2 & ~m1] = one[m1 & ~m2], two[m2 & ~m1]
-    return out
-
-
-def multiband(rows: DataFrame, channels: list, levels: int = 5, compat: bool = True) -> DataFrame:
-    """pairs (see raster.pairs) to pixels pair_id, y, x and channels: the seam comes from the relational tier, the bands
-    are blended for one pair at a time, for which a pair's pixels meet in one task."""
-    masked = seam_mask(rows, channels)
-    columns = [f"{c}{n}" for n in (1, 2) for c in channels]
-
-    def run(key, frame):
-        h, w = frame["y"].max() + 1, frame["x"].max() + 1
-        full = np.zeros((h, w, len(columns) + 1), np.uint8)
-        full[frame["y"], frame["x"]] = frame[[*columns, "seam"]]
-        k = len(channels)
-        out = multiband_blended(full[:, :, :k], full[:, :, k : 2 * k], full[:, :, 2 * k], levels, compat)
-        y, x = np.mgrid[:h, :w]
-        return pd.DataFrame({"pair_id": key[0], "y": y.ravel(), "x": x.ravel(), **{c: out[:, :, i].ravel() for i, c in enumerate(channels)}})
-
-    kind = dict(rows.dtypes)["pair_id"]
-    chosen = masked.select("pair_id", "y", "x", *(F.col(c).cast("int").alias(c) for c in columns), "seam")
-    return chosen.groupBy("pair_id").applyInPandas(run, ", ".join([f"pair_id {kind}, y int, x int", *(f"{c} int" for c in channels)]))
+    h = similarity_of(angle, dx, dy, scale, F.col("width"), F.col("height"), compat)
+    return warp(images, images.select("image_id", h.alias("h")), *shape)

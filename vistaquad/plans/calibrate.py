@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaquad.functions.geometry import improvement
-from vistaquad.operators import detect, estimate, points, raster, refine, report, stitch, warp
+from vistaquad.operators import detect, estimate, points, pyramid, raster, refine, report, stitch, warp
 from vistaquad.sources import sinks
 from vistaquad.sources.images import explode, pack
 
@@ -54,7 +54,7 @@ def stitched(seen: DataFrame, first: str, second: str, method: str) -> DataFrame
     if method == "seam":
         mask = stitch.seam_mask(rows, CHANNELS)
         return mask.select("pair_id", "y", "x", *((F.col("seam") * 255).alias(c) for c in CHANNELS))
-    return {"first_wins": stitch.first_wins, "blend": stitch.blend, "feather": stitch.feather, "multiband": warp.multiband}[method](rows, CHANNELS)
+    return {"first_wins": stitch.first_wins, "blend": stitch.blend, "feather": stitch.feather, "multiband": pyramid.multiband}[method](rows, CHANNELS)
 
 
 def anchor_overlay(pixels: DataFrame, calibrations: DataFrame, anchors: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame]:

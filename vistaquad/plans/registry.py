@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaquad.functions import geometry, nested, quads
-from vistaquad.operators import detect, estimate, points, population, raster, refine, report, search, stitch, warp
+from vistaquad.operators import detect, estimate, points, population, pyramid, raster, refine, report, search, stitch, warp
 from vistaquad.plans import standins as s
 from vistaquad.plans.sql import ORACLES  # noqa: F401
 from vistaquad.sources.images import pack
@@ -276,15 +276,10 @@ def trials(spark, d):
     return rows.withColumn("weight", F.round("weight", 9))
 
 
-def _images(spark, d):
-    return pack(s.pixels(spark, d).withColumn("image_id", F.col("image_id").cast("string")), V)
-
-
 def warped(spark, d):
-    shots = _images(spark, d)
-    h = shots.select("image_id", geometry.homography([1.1, 0.05, 3, -0.02, 0.9, 2, 1e-4, 0, 1]).alias("h"))
-    out = warp.warp(shots, h, 80, 240)
-    return out.select("image_id", "height", "width", F.sha2("data", 256).alias("data_sha256"))
+    rows = s.pixels(spark, d)
+    views = rows.select("image_id").distinct().select("image_id", geometry.homography([1.1, 0.05, 3, -0.02, 0.9, 2, 1e-4, 0, 1]).alias("h"), F.lit(240).alias("height"), F.lit(80).alias("width"))
+    return warp.warp_pixels(rows, views, V)
 
 
 def detected(spark, d):
@@ -296,7 +291,7 @@ QUERIES |= {
     "q29_refine": refined,
     "q30_search": searched,
     "q31_warp": warped,
-    "q32_multiband": lambda spark, d: warp.multiband(_pairs(spark, d), V),
+    "q32_multiband": lambda spark, d: pyramid.multiband(_pairs(spark, d), V),
     "q33_detect": detected,
     "q34_homography": homographies,
     "q35_ransac": robust_homographies,

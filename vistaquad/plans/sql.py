@@ -67,6 +67,46 @@ def _drawn(key: str) -> str:
     return f"(('0x' || substr(md5('42:' || {key}), 1, 8))::bigint / 4294967296.0::double)"
 
 
+# The homography of q31 has 1.1, 0.05, 3, -0.02, 0.9, 2, 0.0001, 0, 1; places are told by the minors of that matrix.
+WARPED = """src as (select image_id, y, x, (0.9 * x - 0.05 * y + (0.05 * 2 - 3 * 0.9)) as nu, ((0.02 + 2 * 0.0001) * x + (1.1 - 3 * 0.0001) * y + (3 * -0.02 - 1.1 * 2)) as nv, ((-0.02 * 0 - 0.9 * 0.0001) * x + 0.05 * 0.0001 * y + (1.1 * 0.9 + 0.05 * 0.02)) as w
+  from (select distinct image_id from px), unnest(range(240)) as a(y), unnest(range(80)) as b(x)),
+o as (select image_id, y::int as y, x::int as x, floor(nv / w)::bigint as i, floor(nu / w)::bigint as j, nv / w - floor(nv / w) as a, nu / w - floor(nu / w) as b from src)""".replace("select image_id, y, x, (", "select image_id, y::double as y, x::double as x, (")
+
+
+def _multiband(levels: int = 5) -> str:
+    """Levels g0 to g4 by joins of each output place with its two neighbours, then the bands from the last to the first."""
+    values = ["v1", "v2", "m"]
+    steps = [SEAM, "s0 as (select pair_id, max(y) + 1 as h, max(x) + 1 as w from sm group by 1)", "g0 as materialized (select pair_id, y, x, v1::double as v1, v2::double as v2, seam::double as m from sm)"]
+
+    def resized(name: str, source: str, axis: str, other: str, size: str, to: str, at: str, cols: list) -> str:
+        """size and to: columns of the table `at` with the lengths along the axis before and after."""
+        mixed = ", ".join(f"a.{c} * (1 - t) + b.{c} * t as {c}" for c in cols)
+        grid = f"(select pair_id, k, least(floor(p), greatest(m - 2, 0))::bigint as i, p - least(floor(p), greatest(m - 2, 0)) as t, m from (select pair_id, k, m, greatest(0.0::double, least(m - 1.0::double, (k + 0.5::double) * m / n - 0.5::double)) as p from (select pair_id, {size} as m, {to} as n, unnest(range({to})) as k from {at})))"
+        return f"{name} as materialized (select a.pair_id as pair_id, k as {axis}, a.{other} as {other}, {mixed} from {grid} g join {source} a on a.pair_id = g.pair_id and a.{axis} = i join {source} b on b.pair_id = g.pair_id and b.{axis} = least(i + 1, g.m - 1) and b.{other} = a.{other})"
+
+    def blurred(name: str, source: str, axis: str, other: str) -> str:
+        w = f"over (partition by pair_id, {other} order by {axis})"
+
+        def tap(c: str) -> str:
+            at = lambda f, n: f"{f}({c}, {n}) {w}"
+            one = f"coalesce({at('lag', 1)}, {at('lead', 1)}, {c}) + coalesce({at('lead', 1)}, {at('lag', 1)}, {c})"
+            two = f"coalesce({at('lag', 2)}, case when {at('lag', 1)} is null then {at('lead', 2)} end, {c}) + coalesce({at('lead', 2)}, case when {at('lead', 1)} is null then {at('lag', 2)} end, {c})"
+            return f"({c} * 6 + ({one}) * 4 + ({two})) / 16 as {c}"
+
+        return f"{name} as (select pair_id, y, x, {', '.join(map(tap, values))} from {source})"
+
+    for i in range(levels - 1):
+        steps.append(f"s{i + 1} as (select pair_id, h // 2 as h, w // 2 as w, h as ph, w as pw from s{i} where h > 1 and w > 1)")
+        steps += [blurred(f"bx{i}", f"g{i}", "x", "y"), resized(f"rx{i}", f"bx{i}", "x", "y", "pw", "w", f"s{i + 1}", values)]
+        steps += [blurred(f"by{i}", f"rx{i}", "y", "x"), resized(f"g{i + 1}", f"by{i}", "y", "x", "ph", "h", f"s{i + 1}", values)]
+    last = levels - 1
+    steps.append(f"o{last} as (select *, v1 * (1 - m) + v2 * m as o from g{last})")
+    for i in range(last - 1, -1, -1):
+        steps += [resized(f"ux{i}", f"o{i + 1}", "x", "y", "w", "pw", f"s{i + 1}", ["v1", "v2", "o"]), resized(f"u{i}", f"ux{i}", "y", "x", "h", "ph", f"s{i + 1}", ["v1", "v2", "o"])]
+        steps.append(f"o{i} as materialized (select g.*, coalesce(u.o, 0) + ((g.v1 - coalesce(u.v1, 0)) * (1 - m) + (g.v2 - coalesce(u.v2, 0)) * m) as o from g{i} g left join u{i} u on g.pair_id = u.pair_id and g.y = u.y and g.x = u.x)")
+    return f"with {', '.join(steps)} select pair_id, y::int as y, x::int as x, (case when v1 > 10 and v2 > 10 then floor(least(255, greatest(0, o))) when v1 > 10 then v1 when v2 > 10 then v2 else 0 end)::int as v from o0"
+
+
 ORACLES = {
     "q01_project_points": f"select l_orderkey, l_linenumber, round(u, 6) + 0.0 as u, round(v, 6) + 0.0 as v from {_projected(H1)}",
     "q02_reprojection_mean": f"select l_suppkey as camera_id, round(avg(e), 6) as mean_error, count(*) as n from {_errors(H1)} group by 1",
@@ -129,4 +169,9 @@ select camera_id, candidate::int as candidate, round(e + 0.3 * s, 4) as value fr
 l as (select camera_id, trial_id, levels, (i - 1)::int as level, camera_id || ':' || trial_id || ':' || i || ':' as k from u, unnest(range(1, 5)) as b(i) where i <= levels)
 select camera_id, trial_id, levels, level, ['Powell', 'L-BFGS-B', 'TNC'][floor({_drawn("k || 'method'")} * 3)::int + 1] as method, ['none', 'strict', 'adaptive'][floor({_drawn("k || 'bounds'")} * 3)::int + 1] as bounds,
 round(0.05 * pow(40, {_drawn("k || 'weight'")}), 9) as weight from l""",
+    "q31_warp": f"""with {PIXELS}, {WARPED} select o.image_id::int as image_id, o.y as y, o.x as x,
+  round_even((coalesce(p.v, 0) * (1 - b) + coalesce(q.v, 0) * b) * (1 - a) + (coalesce(r.v, 0) * (1 - b) + coalesce(s.v, 0) * b) * a, 0)::int as v
+from o left join px p on p.image_id = o.image_id and p.y = i and p.x = j left join px q on q.image_id = o.image_id and q.y = i and q.x = j + 1
+  left join px r on r.image_id = o.image_id and r.y = i + 1 and r.x = j left join px s on s.image_id = o.image_id and s.y = i + 1 and s.x = j + 1""",
+    "q32_multiband": _multiband(),
 }
