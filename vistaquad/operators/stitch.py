@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaquad.operators.raster import blur, difference, non_black
+from vistaquad.sources.shared import settle
 
 
 def byte(x):
@@ -63,10 +64,9 @@ def seam_mask(rows: DataFrame, channels: list, by: tuple = ("pair_id",)) -> Data
 
     Without any overlap the boundary lies halfway between the mean columns, or the mask is the first image's.
     """
-    marked = seam_rows(rows, channels, by)
-    masked = difference(rows, channels)
+    marked = settle(seam_rows(rows, channels, by), "seam")  # read twice: by pixel, and for the whole of a pair
     mean = lambda n: F.avg(F.when(F.col(f"mask{n}"), F.col("x")))
-    whole = masked.groupBy(*by).agg(F.max("overlap").alias("_any"), F.floor((mean(1) + mean(2)) / 2).alias("_boundary"))
+    whole = marked.groupBy(*by).agg(F.max("overlap").alias("_any"), F.floor((mean(1) + mean(2)) / 2).alias("_boundary"))
     cut = (F.col("x_end") - F.col("x_start") > 5) & (F.col("x") >= F.col("x_start")) & (F.col("x") < F.col("best_x"))
     apart = F.coalesce(F.col("x") < F.col("_boundary"), F.col("mask1"))
     seam = F.when(F.col("_any"), F.coalesce(cut, F.lit(False)) | (F.col("mask1") & ~F.col("mask2"))).otherwise(apart)

@@ -1,13 +1,16 @@
 """The registered queries: each operator over its stand-in tables."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaquad.functions import geometry, nested, quads
-from vistaquad.operators import detect, estimate, points, population, pyramid, raster, refine, report, search, stitch, warp
+from vistaquad.operators import detect, estimate, points, population, pyramid, raster, refine, report, runs, search, stitch, warp
 from vistaquad.plans import standins as s
 from vistaquad.plans.sql import ORACLES  # noqa: F401
 from vistaquad.sources.images import pack
+from vistaquad.sources.shared import settle
 
 V = ["v"]
 
@@ -269,6 +272,29 @@ def candidate_objectives(spark, d):
     return found.withColumn("value", F.round("value", 4))
 
 
+def mask_runs(spark, d):
+    """Bright runs of every image."""
+    return runs.runs_of(s.pixels(spark, d), F.col("v") > 140)
+
+
+def mask_algebra(spark, d):
+    """Number, box and centroid of what the masks of a pair have in common, together, and each alone, all from runs."""
+    one, two = (settle(runs.runs_of(side, F.col("v") > 130, ("pair_id",)), "runs") for side in _members(spark, d))
+    by = ("pair_id",)
+    found = [("both", runs.intersection(one, two, by)), ("either", runs.union(one, two, by)), ("first", runs.difference(one, two, by)), ("one", runs.combined([one, two], lambda a, b: a != b, by))]
+    made = [_rounded(runs.boxes(r, by), 6, "x_mean", "y_mean").select("pair_id", F.lit(n).alias("kind"), "y_min", "y_max", "x_min", "x_max", "x_mean", "y_mean", "n") for n, r in found]
+    return reduce(DataFrame.unionAll, made)
+
+
+def seam_runs(spark, d):
+    """The seam mask of every pair as runs."""
+    by = ("pair_id",)
+    rows = settle(raster.blur(raster.difference(_pairs(spark, d), V), "diff", by), "costs")
+    masks = [settle(runs.runs_of(rows, F.col(f"mask{n}"), by), "runs") for n in (1, 2)]
+    extent = rows.groupBy("pair_id", "y").agg(F.min("x").alias("start"), (F.max("x") + 1).alias("end"))
+    return runs.seam_runs(*masks, rows, settle(extent, "rows"), by)
+
+
 def trials(spark, d):
     """The trials of each supplier's camera, level by level."""
     drawn = search.sample(s.read(spark, d, "supplier").select(F.col("s_suppkey").alias("camera_id")), 10)
@@ -308,4 +334,7 @@ QUERIES |= {
     "q46_run_stamps": run_stamps,
     "q47_candidate_objectives": candidate_objectives,
     "q48_trials": trials,
+    "q49_mask_runs": mask_runs,
+    "q50_mask_algebra": mask_algebra,
+    "q51_seam_runs": seam_runs,
 }

@@ -174,4 +174,8 @@ round(0.05 * pow(40, {_drawn("k || 'weight'")}), 9) as weight from l""",
 from o left join px p on p.image_id = o.image_id and p.y = i and p.x = j left join px q on q.image_id = o.image_id and q.y = i and q.x = j + 1
   left join px r on r.image_id = o.image_id and r.y = i + 1 and r.x = j left join px s on s.image_id = o.image_id and s.y = i + 1 and s.x = j + 1""",
     "q32_multiband": _multiband(),
+    "q49_mask_runs": f"with {PIXELS}, l as (select image_id, y, x, x - row_number() over (partition by image_id, y order by x) as r from px where v > 140) select image_id::int as image_id, y, min(x) as start, max(x) + 1 as \"end\" from l group by image_id, y, r",
+    "q50_mask_algebra": f"""with {BOTH}, k as (select pair_id, y, x, unnest([case when v1 > 130 and v2 > 130 then 'both' end, case when v1 > 130 or v2 > 130 then 'either' end, case when v1 > 130 and v2 <= 130 then 'first' end, case when (v1 > 130) <> (v2 > 130) then 'one' end]) as kind from f)
+select pair_id, kind, min(y) as y_min, max(y) as y_max, min(x) as x_min, max(x) as x_max, round(avg(x), 6) as x_mean, round(avg(y), 6) as y_mean, count(*) as n from k where kind is not null group by 1, 2""",
+    "q51_seam_runs": f"with {SEAM}, l as (select pair_id, y, x, x - row_number() over (partition by pair_id, y order by x) as r from sm where seam = 1) select pair_id, y, min(x) as start, max(x) + 1 as \"end\" from l group by pair_id, y, r",
 }
