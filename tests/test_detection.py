@@ -2,10 +2,10 @@
 
 import numpy as np
 import pytest
+from plain import blurred
 
 from vistaquad.operators import detect
-from vistaquad.operators.detect import border
-from vistaquad.operators.warp import blurred
+from vistaquad.operators.detect import Part, border
 from vistaquad.sources import schema
 from vistaquad.sources.images import row_of
 
@@ -45,9 +45,14 @@ def labels(mask: np.ndarray, diagonal: bool) -> np.ndarray:
     return np.array([root(i) for i in range(len(parent))], np.int32)[out]
 
 
+def runs_of(mask: np.ndarray) -> list:
+    edges = [np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]]))).reshape(-1, 2) for row in mask]
+    return [(y, int(a), int(b) - 1) for y, row in enumerate(edges) for a, b in row]
+
+
 def nested_borders(mask: np.ndarray) -> list:
     """Borders with a parent: of holes, along the pixels around them, and of parts that lie inside holes."""
-    part = labels(mask, True)
+    part, held = labels(mask, True), Part(runs_of(mask))
     framed = np.pad(~mask, 1, constant_values=True)
     ground = labels(framed, False)
     outer = ground[0, 0]
@@ -59,9 +64,9 @@ def nested_borders(mask: np.ndarray) -> list:
             if name == 0 or (kinds == "hole" and name == outer):
                 continue
             if kinds == "hole":  # first pixel of the hole; the one to its left is the mask's
-                out.append(border(mask, (y - 1, x - 2), (y - 1, x - 1)))
+                out.append(border(held, (y - 1, x - 2), (y - 1, x - 1)))
             elif ground[y + 1, x] != outer:
-                out.append(border(mask, (y, x), (y, x - 1)))
+                out.append(border(held, (y, x), (y, x - 1)))
     return out
 
 

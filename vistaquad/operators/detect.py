@@ -4,6 +4,8 @@ corners of one part or place at a time in small Python helpers, and filters as c
 No image is held whole: a helper gets the runs of one dark part, or the pixels about one corner.
 """
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -92,9 +94,25 @@ def nested_contours(labelled: DataFrame) -> DataFrame:
     return beside.where(hole | (F.col("left") != OUTER)).select("image_id", F.when(hole, F.col("left")).otherwise(F.col("own")).alias("part"), hole.alias("hole"), F.when(hole, F.col("own") - 1).otherwise(F.col("own")).alias("start"), F.when(hole, F.col("own")).otherwise(F.col("own") - 1).alias("outside"))
 
 
-def border(mask: np.ndarray, start: tuple, outside: tuple) -> np.ndarray:
-    """Border of mask from start, whose neighbour outside isn't in it, by following neighbours; (x, y) in order."""
-    inside = lambda p: 0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1] and mask[p]
+class Part:
+    """A connected part as its runs (y, a, b), first and last column: whether it holds a pixel is looked up in its row."""
+
+    def __init__(self, runs: list):
+        self.rows: dict = {}
+        for y, a, b in sorted(runs):
+            firsts, lasts = self.rows.setdefault(y, ([], []))
+            firsts.append(a)
+            lasts.append(b)
+
+    def __contains__(self, place: tuple) -> bool:
+        firsts, lasts = self.rows.get(place[0], ((), ()))
+        at = bisect_right(firsts, place[1]) - 1
+        return at >= 0 and place[1] <= lasts[at]
+
+
+def border(part: Part, start: tuple, outside: tuple) -> np.ndarray:
+    """Border of a part from start, whose neighbour outside isn't in it, by following neighbours; (x, y) in order."""
+    inside = part.__contains__
     step = lambda p, d: (p[0] + AROUND[d % 8][0], p[1] + AROUND[d % 8][1])
     toward = AROUND.index((outside[0] - start[0], outside[1] - start[1]))
     first = next((d for d in range(toward, toward + 8) if inside(step(start, d))), None)
@@ -150,14 +168,10 @@ def _followed(frames):
     for frame in frames:
         out = []
         for r in frame.itertuples():
-            runs = np.array([(p["y"], p["a"], p["b"]) for p in r.runs])
-            top, left = runs[:, 0].min(), runs[:, 1].min()
-            mask = np.zeros((runs[:, 0].max() - top + 1, runs[:, 2].max() - left + 1), bool)
-            for y, a, b in runs:
-                mask[y - top, a - left : b - left + 1] = True
-            at = lambda n: (n // SIDE - top, n % SIDE - left)  # noqa: B023, E731
+            own = Part([(p["y"], p["a"], p["b"]) for p in r.runs])
+            at = lambda n: (n // SIDE, n % SIDE)
             for c in r.contours:
-                corners = simplified(border(mask, at(c["start"]), at(c["outside"])) + [left, top])
+                corners = simplified(border(own, at(c["start"]), at(c["outside"])))
                 if len(corners) == 4:
                     out.append((r.image_id, c["hole"], c["start"], [{"x": float(x), "y": float(y)} for x, y in corners]))
         yield pd.DataFrame(out, columns=["image_id", "hole", "start", "corners"])

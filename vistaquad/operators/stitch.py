@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vistaquad.operators.raster import blur, difference, non_black
 from vistaquad.sources.shared import settle
+from vistaquad.sources.store import is_owned
 
 
 def byte(x):
@@ -59,28 +60,34 @@ def seam_rows(rows: DataFrame, channels: list, by: tuple = ("pair_id",)) -> Data
     return spanned.withColumn("best_x", F.min(inside).over(row)["x"])
 
 
-def seam_mask(rows: DataFrame, channels: list, by: tuple = ("pair_id",)) -> DataFrame:
+def seam_mask(rows: DataFrame, channels: list, by: tuple = ("pair_id",), image: tuple | None = None) -> DataFrame:
     """seam_rows with seam: 1 where the first image is taken. Rows whose overlap spans 5 columns or less take the second.
 
-    Without any overlap the boundary lies halfway between the mean columns, or the mask is the first image's.
+    Without any overlap the boundary lies halfway between the mean columns, or the mask is the first image's. Of rows in
+    bands (see sources.store; by has band), image names the keys without it; rows of halos come out, too.
     """
-    marked = settle(seam_rows(rows, channels, by), "seam")  # read twice: by pixel, and for the whole of a pair
+    if image is None:
+        image, marked = by, settle(seam_rows(rows, channels, by), "seam")  # read twice: by pixel, and for the whole of a pair
+        once = marked
+    else:  # stored tables are joined again instead, without an exchange
+        marked = seam_rows(rows, channels, by)
+        once = difference(rows, channels).where(is_owned())
     mean = lambda n: F.avg(F.when(F.col(f"mask{n}"), F.col("x")))
-    whole = marked.groupBy(*by).agg(F.max("overlap").alias("_any"), F.floor((mean(1) + mean(2)) / 2).alias("_boundary"))
+    whole = once.groupBy(*image).agg(F.max("overlap").alias("_any"), F.floor((mean(1) + mean(2)) / 2).alias("_boundary"))
     cut = (F.col("x_end") - F.col("x_start") > 5) & (F.col("x") >= F.col("x_start")) & (F.col("x") < F.col("best_x"))
     apart = F.coalesce(F.col("x") < F.col("_boundary"), F.col("mask1"))
     seam = F.when(F.col("_any"), F.coalesce(cut, F.lit(False)) | (F.col("mask1") & ~F.col("mask2"))).otherwise(apart)
-    return marked.join(whole, list(by)).withColumn("seam", seam.cast("int")).drop("_any", "_boundary")
+    return marked.join(whole, list(image)).withColumn("seam", seam.cast("int")).drop("_any", "_boundary")
 
 
-def feather(rows: DataFrame, channels: list, by: tuple = ("pair_id",), width: int = 20) -> DataFrame:
+def feather(rows: DataFrame, channels: list, by: tuple = ("pair_id",), width: int = 20, image: tuple | None = None) -> DataFrame:
     """Seam stitch with a ramp of the given width about the row's first transition, within the overlap's span.
 
-    The second image's weight rises to the seam, starts again at 0 there and rises again; weight 0 means no ramp.
+    The second image's weight rises to the seam, starts again at 0 there and rises again; weight 0 means no ramp. image: see seam_mask.
     """
     row = Window.partitionBy(*by, "y")
     before = F.lag("seam").over(row.orderBy("x"))
-    turned = seam_mask(rows, channels, by).withColumn("_turn", F.when(F.col("seam") != before, F.col("x")))
+    turned = seam_mask(rows, channels, by, image).withColumn("_turn", F.when(F.col("seam") != before, F.col("x")))
     placed = turned.withColumn("seam_x", F.min("_turn").over(row))
     one = F.lit(1.0).cast("float")
     x, s = F.col("x"), F.col("seam_x")

@@ -9,6 +9,7 @@ from vistaquad.functions import geometry, nested, quads
 from vistaquad.operators import detect, estimate, points, population, pyramid, raster, refine, report, runs, search, stitch, warp
 from vistaquad.plans import standins as s
 from vistaquad.plans.sql import ORACLES  # noqa: F401
+from vistaquad.sources import store
 from vistaquad.sources.images import pack
 from vistaquad.sources.shared import settle
 
@@ -295,6 +296,24 @@ def seam_runs(spark, d):
     return runs.seam_runs(*masks, rows, settle(extent, "rows"), by)
 
 
+BANDS = ("pair_id", "band")
+
+
+def _stored_pairs(spark, d):
+    """Pairs as _pairs gives them, joined from two tables stored in bands."""
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    one, two = (store.stored(side, "member", buckets) for side in _members(spark, d))
+    return raster.pairs(one, two, V, BANDS)
+
+
+def stored_seam(spark, d):
+    return store.owned(stitch.seam_mask(_stored_pairs(spark, d), V, BANDS, ("pair_id",))).select("pair_id", "y", "x", "seam")
+
+
+def stored_feather(spark, d):
+    return store.owned(stitch.feather(_stored_pairs(spark, d), V, BANDS, image=("pair_id",))).select("pair_id", "y", "x", "v")
+
+
 def trials(spark, d):
     """The trials of each supplier's camera, level by level."""
     drawn = search.sample(s.read(spark, d, "supplier").select(F.col("s_suppkey").alias("camera_id")), 10)
@@ -337,4 +356,6 @@ QUERIES |= {
     "q49_mask_runs": mask_runs,
     "q50_mask_algebra": mask_algebra,
     "q51_seam_runs": seam_runs,
+    "q52_stored_seam": stored_seam,
+    "q53_stored_feather": stored_feather,
 }

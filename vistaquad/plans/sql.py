@@ -179,3 +179,6 @@ from o left join px p on p.image_id = o.image_id and p.y = i and p.x = j left jo
 select pair_id, kind, min(y) as y_min, max(y) as y_max, min(x) as x_min, max(x) as x_max, round(avg(x), 6) as x_mean, round(avg(y), 6) as y_mean, count(*) as n from k where kind is not null group by 1, 2""",
     "q51_seam_runs": f"with {SEAM}, l as (select pair_id, y, x, x - row_number() over (partition by pair_id, y order by x) as r from sm where seam = 1) select pair_id, y, min(x) as start, max(x) + 1 as \"end\" from l group by pair_id, y, r",
 }
+
+# The same pixels, whatever tables they are read from.
+ORACLES |= {"q52_stored_seam": ORACLES["q17_seam_mask"], "q53_stored_feather": ORACLES["q21_feather"]}
