@@ -68,9 +68,10 @@ def anchor_overlay(pixels: DataFrame, calibrations: DataFrame, anchors: DataFram
     return pixels, labels[0].union(labels[1])
 
 
-def multi_camera(images: DataFrame, point_table: DataFrame, roles: DataFrame, path: str, experiment: str, first: str, second: str, steps: list | None = None, min_area: float = 2000, size: float = 56.0, width: int = 1600, height: int = 1200) -> DataFrame:
+def multi_camera(images: DataFrame, point_table: DataFrame, roles: DataFrame, path: str, experiment: str, first: str, second: str, steps: list | None = None, min_area: float = 2000, size: float = 56.0, width: int = 1600, height: int = 1200, files: str | None = None) -> DataFrame:
     """A whole experiment: every camera calibrated and judged, views of first and second stitched in each way, all of it
-    written under path (cameras, configurations, panorama_stitching, labels, summary). Returns the summary.
+    written under path (cameras, configurations, panorama_stitching, labels, summary). Returns the summary. files: a folder
+    that gets images, matrices and texts as single files, too (see sinks.write_experiment).
 
     What each step writes is read by the next, so nothing is worked out twice and a lost executor repeats one step.
     """
@@ -98,7 +99,12 @@ def multi_camera(images: DataFrame, point_table: DataFrame, roles: DataFrame, pa
         one = pack(pixels.select(F.col("pair_id").alias("image_id"), "y", "x", *CHANNELS), CHANNELS).withColumnRenamed("image_id", "pair_id").withColumn("name", F.lit(name))
         packed = one if packed is None else packed.unionByName(one)
     facts = spark.range(1).select(F.lit(f"{first}+{second}").alias("pair_id"), F.lit(2).alias("num_images"), F.lit("advanced_stitching").alias("method"))
-    sinks.write_stitching(kept(packed, "stitched"), f"{path}/panorama_stitching", facts)
+    packed = kept(packed, "stitched")
+    sinks.write_stitching(packed, f"{path}/panorama_stitching", facts)
     iso, _ = report.stamps(F.current_timestamp())
     order = F.when(F.col("camera_id") == first, 0).when(F.col("camera_id") == second, 1).otherwise(2)
-    return kept(report.experiment_summary(records.withColumns({"experiment": F.lit(experiment), "pos": order})).withColumn("timestamp", iso), "summary")
+    summary = kept(report.experiment_summary(records.withColumns({"experiment": F.lit(experiment), "pos": order})).withColumn("timestamp", iso), "summary")
+    if files is not None:
+        both = seen["initial"].withColumn("kind", F.lit("initial")).union(seen["optimized"].withColumn("kind", F.lit("optimized")))
+        sinks.write_experiment(records, both, packed, summary, files)
+    return summary

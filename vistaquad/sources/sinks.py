@@ -1,12 +1,18 @@
-"""What a run leaves behind, as tables and text under a folder of any store that Spark writes to.
+"""What a run leaves behind, as tables and text under a folder of any store that Spark writes to, and as single files.
 
-Nothing here gathers rows on the driver: each table is one write, partitioned by camera or pair.
+Nothing here gathers rows on the driver: each table is one write, partitioned by camera or pair. The lines of texts and the
+names of files are fixed values.
 """
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaquad.functions.geometry import ENTRIES, improvement
+from vistaquad.sources.files import write_files
 from vistaquad.sources.images import encode_png
 
 
@@ -95,3 +101,61 @@ def write_stitching(images: DataFrame, path: str, facts: DataFrame | None = None
     summary.write.mode(mode).parquet(f"{path}/summary")
     lines = F.concat_ws("\n", F.lit("STITCHING SUMMARY"), F.lit("=" * 17), F.concat(F.lit("Number of images: "), "num_images"), F.concat(F.lit("Method: "), "method"), F.lit("Generated files:"), F.transform("generated", lambda n: F.concat(F.lit("  - "), n)))
     summary.select(F.col("pair_id").cast("string").alias("pair_id"), lines.alias("value")).write.mode(mode).partitionBy("pair_id").text(f"{path}/summary_text")
+
+
+def _npy(frames):
+    """(path, numbers) of 3 x 3 matrices to (path, content), as .npy files."""
+    for frame in frames:
+        out = []
+        for numbers in frame["numbers"]:
+            file = io.BytesIO()
+            np.save(file, np.asarray(numbers, float).reshape(3, 3))
+            out.append(file.getvalue())
+        yield pd.DataFrame({"path": frame["path"], "content": out})
+
+
+def camera_files(records: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(path, content) of each camera's files, in a folder of its name: {camera}_homography_initial.npy and _optimized.npy,
+    {camera}_results.txt, {camera}_initial.png and _optimized.png. Names are URL-encoded; a null matrix gives no file.
+
+    records: see camera_records; images: image_id (the camera's), kind (initial, optimized) and the packed columns.
+    """
+    name = F.url_encode(F.col("camera_id").cast("string"))
+    place = lambda *end: F.concat(name, F.lit("/"), name, *(F.lit(e) if isinstance(e, str) else e for e in end)).alias("path")
+    made = []
+    for kind, h in (("initial", "h_initial"), ("optimized", "h")):
+        rows = records.where(F.col(h).isNotNull()).select(place(f"_homography_{kind}.npy"), F.array(*(F.col(h)[e] for e in ENTRIES)).alias("numbers"))
+        made.append(rows.mapInPandas(_npy, "path string, content binary"))
+    made.append(result_lines(records).select(place("_results.txt"), F.concat("value", F.lit("\n")).cast("binary").alias("content")))
+    if images is not None:
+        named = images.withColumn("camera_id", F.col("image_id")).withColumn("image_id", place("_", F.col("kind"), ".png"))
+        made.append(encode_png(named.drop("kind", "camera_id")).select(F.col("image_id").alias("path"), "content"))
+    found = made[0]
+    for rows in made[1:]:
+        found = found.unionByName(rows)
+    return found
+
+
+def summary_text(summary: DataFrame) -> DataFrame:
+    """experiment and value: the summary (see report.experiment_summary, with timestamp) as a text of lines."""
+    metric = lambda c, m: F.try_element_at("metrics", F.concat(c, F.lit(f"_{m}")))
+    line = lambda c: F.format_string("%s: %.4f -> %.4f px (improvement: %.4f px)", c, metric(c, "initial_error"), metric(c, "optimized_error"), metric(c, "improvement"))
+    names = F.concat(F.lit("["), F.array_join(F.transform("camera_names", lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", "), F.lit("]"))
+    when = F.date_format(F.to_timestamp("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    head = [F.lit("EXPERIMENT SUMMARY"), F.lit("=" * 18), F.concat(F.lit("Experiment: "), F.col("experiment").cast("string")), F.concat(F.lit("Total cameras: "), F.col("total_cameras").cast("string")), F.concat(F.lit("Camera names: "), names), F.concat(F.lit("Date: "), when)]
+    lines = F.concat(F.array(*head, F.lit(""), F.lit("REPROJECTION ERRORS:")), F.transform("camera_names", line))
+    return summary.select("experiment", F.array_join(lines, "\n").alias("value"))
+
+
+def stitching_files(images: DataFrame, folder: str = "panorama_stitching") -> DataFrame:
+    """(path, content) of each pair's images: {folder}/{pair}/{name}.png. images: see write_stitching."""
+    path = F.concat_ws("/", F.lit(folder), F.url_encode(F.col("pair_id").cast("string")), F.concat(F.url_encode("name"), F.lit(".png")))
+    return encode_png(images.withColumn("image_id", path).drop("pair_id", "name")).select(F.col("image_id").alias("path"), "content")
+
+
+def write_experiment(records: DataFrame, views: DataFrame, images: DataFrame, summary: DataFrame, folder: str, mode: str = "append") -> None:
+    """Every file of an experiment in one write that leaves all of them or none before its commit: cameras/, the stitched
+    images, and experiment_summary.txt in the folder of the experiment."""
+    cameras = camera_files(records, views).withColumn("path", F.concat(F.lit("cameras/"), "path"))
+    text = summary_text(summary).select(F.concat(F.url_encode(F.col("experiment").cast("string")), F.lit("/experiment_summary.txt")).alias("path"), F.concat("value", F.lit("\n")).cast("binary").alias("content"))
+    write_files(cameras.unionByName(stitching_files(images)).unionByName(text), folder, mode)
