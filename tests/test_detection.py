@@ -102,6 +102,47 @@ def test_polygons_equal_the_plain_version(spark):
     assert {k: sorted(v) for k, v in found.items()} == {k: v for k, v in want.items() if v} and sum(map(len, want.values())) > 8
 
 
+def plain_tree(mask: np.ndarray) -> dict:
+    """{(first pixel, hole): (parent's first pixel, depth, place)}: parts and holes by flood, parents by what is left of them."""
+    dark, framed = labels(mask, True), labels(np.pad(~mask, 1, constant_values=True), False)
+    ground = framed[1:-1, 1:-1]
+    name = lambda y, x: None if x < 0 or ground[y, x] == framed[0, 0] else ("d", dark[y, x]) if mask[y, x] else ("g", ground[y, x])
+    firsts: dict = {}
+    for y, x in np.ndindex(mask.shape):
+        if name(y, x) is not None:
+            firsts.setdefault(name(y, x), (y, x))
+    parents = {n: name(y, x - 1) for n, (y, x) in firsts.items()}
+    number = lambda n: None if n is None else firsts[n][0] * detect.SIDE + firsts[n][1]
+    out, children = {}, {}
+    for n in sorted(firsts, key=number):
+        depth, p = 0, parents[n]
+        while p is not None:
+            depth, p = depth + 1, parents[p]
+        place = children[parents[n]] = children.get(parents[n], -1) + 1
+        out[number(n), n[0] == "g"] = (number(parents[n]), depth, place)
+    return out
+
+
+def test_contour_tree_equals_the_plain_nest(spark):
+    """Squares in squares seven levels deep with several on a level, and noise: parent, depth and order of each contour."""
+    nest = np.full((64, 64), 250, np.uint8)
+    for level in range(7):
+        nest[4 * level + 2 : 62 - 4 * level, 4 * level + 2 : 62 - 4 * level] = 20 if level % 2 == 0 else 250
+    wide = np.full((50, 90), 240, np.uint8)
+    wide[3:47, 3:87] = 20
+    for k in range(4):
+        wide[8:42, 8 + 20 * k : 22 + 20 * k] = 240
+        wide[14 : 20 + 5 * k, 11 + 20 * k : 19 + 20 * k] = 20
+    shots = [*pictures(), nest, wide]
+    images = spark.createDataFrame([row_of(f"i{k}", a) for k, a in enumerate(shots)], schema.IMAGES)
+    got: dict = {}
+    for r in detect.contour_tree(detect.labelled_runs(images)).collect():
+        got.setdefault(r.image_id, {})[r.contour, r.hole] = (r.parent, r.depth, r.place)
+    want = {f"i{k}": plain_tree(np.floor(blurred(a.astype(float)) + 0.5) <= 140) for k, a in enumerate(shots)}
+    assert got == {k: v for k, v in want.items() if v}
+    assert max(d for v in want.values() for _, d, _ in v.values()) >= 5
+
+
 def test_corners_are_found_between_pixels(spark):
     """A square whose edges lie at fractions of pixels, drawn by how much of each pixel it covers."""
     left, top, size = 20.3, 15.7, 40.0

@@ -249,7 +249,9 @@ def test_whole_experiment(spark, tmp_path):
     p = p.union(p.withColumn("camera_id", F.lit("i1")))
     r = roles(spark, {c: {"optimization": list(range(9)), "anchor": [3, 5, 3]} for c in ("i0", "i1")})
     path = str(tmp_path / "run")
-    summary = multi_camera(images(spark, picture(), picture()), p, r, path, "both", "i0", "i1", [("L-BFGS-B", "strict", 0.9)], width=200, height=160).first()
+    summary = multi_camera(images(spark, picture(), picture()), p, r, path, "both", "i0", "i1", [("L-BFGS-B", "strict", 0.9)], width=200, height=160, files=str(tmp_path / "files")).first()
+    names = {str(f.relative_to(tmp_path / "files")) for f in (tmp_path / "files").rglob("*.*")}
+    assert len(names) == 2 * 5 + 8 + 1 and {"cameras/i1/i1_optimized.png", "panorama_stitching/i0%2Bi1/stitched_multiband.png", "both/experiment_summary.txt"} <= names
     assert (summary.experiment, summary.total_cameras, summary.camera_names) == ("both", 2, ["i0", "i1"]) and len(summary.metrics) == 6
     assert 0 <= summary.metrics["i0_optimized_error"] < 5
     found = spark.read.parquet(f"{path}/panorama_stitching/images").collect()

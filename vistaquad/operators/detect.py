@@ -110,6 +110,27 @@ class Part:
         return at >= 0 and place[1] <= lasts[at]
 
 
+def contour_tree(labelled: DataFrame) -> DataFrame:
+    """Every contour of labelled runs (see parts): image_id, contour (the part's number), hole, parent, depth and place.
+
+    A dark part's contour has as its parent the hole that it lies in, a hole's the part around it: whatever lies left of
+    its first pixel. The outermost have no parent and depth 0. place counts the contours of one parent from 0 by their
+    first pixel. Depths come from pointers that are doubled, so a nest of n levels takes log n rounds, each settled.
+    """
+    own = labelled.groupBy("image_id", "dark", "part").agg(F.lit(1)).where(F.col("part") != OUTER).select("image_id", "dark", F.col("part").alias("contour"))
+    first = own.withColumns({"y": F.floor(F.col("contour") / SIDE).cast("int"), "b": (F.col("contour") % SIDE - 1).cast("int")})
+    left = labelled.select("image_id", "y", "b", (~F.col("dark")).alias("dark"), F.col("part").alias("parent"))
+    told = first.join(left, ["image_id", "y", "b", "dark"], "left").select("image_id", "contour", (~F.col("dark")).alias("hole"), F.when(F.col("parent") != OUTER, F.col("parent")).alias("parent"))
+    rows = settle(told.withColumns({"above": F.col("parent"), "depth": F.col("parent").isNotNull().cast("int")}), "tree")
+    while rows.where("above is not null").take(1):
+        upper = rows.select("image_id", F.col("contour").alias("above"), F.col("above").alias("_next"), F.col("depth").alias("_more"))
+        open_, done = rows.where("above is not null"), rows.where("above is null")
+        moved = open_.join(upper, ["image_id", "above"]).select("image_id", "contour", "hole", "parent", F.col("_next").alias("above"), (F.col("depth") + F.col("_more")).alias("depth"))
+        rows = settle(moved.unionByName(done), "tree")
+    place = F.row_number().over(Window.partitionBy("image_id", "parent").orderBy("contour")) - 1
+    return rows.drop("above").withColumn("place", place)
+
+
 def border(part: Part, start: tuple, outside: tuple) -> np.ndarray:
     """Border of a part from start, whose neighbour outside isn't in it, by following neighbours; (x, y) in order."""
     inside = part.__contains__
@@ -177,10 +198,15 @@ def _followed(frames):
         yield pd.DataFrame(out, columns=["image_id", "hole", "start", "corners"])
 
 
+def labelled_runs(images: DataFrame, level: int = 140) -> DataFrame:
+    """Runs of every image with their connected parts, settled."""
+    return settle(parts(settle(dark_runs(gray_pixels(images), level), "runs"), images.select("image_id", "height", "width")), "parts")
+
+
 def polygons(images: DataFrame, level: int = 140) -> DataFrame:
     """Simplified nested contours with four corners: image_id, square_id (holes first, then parts, each by their first
     pixel), corners. A task holds the runs of one dark part at a time."""
-    labelled = settle(parts(settle(dark_runs(gray_pixels(images), level), "runs"), images.select("image_id", "height", "width")), "parts")
+    labelled = labelled_runs(images, level)
     contours = nested_contours(labelled).groupBy("image_id", "part").agg(F.collect_list(F.struct("hole", "start", "outside")).alias("contours"))
     own = labelled.where("dark").join(contours.select("image_id", "part"), ["image_id", "part"], "left_semi").groupBy("image_id", "part").agg(F.collect_list(F.struct("y", "a", "b")).alias("runs"))
     found = own.join(contours, ["image_id", "part"]).select("image_id", "runs", "contours").mapInPandas(_followed, f"image_id string, hole boolean, start long, corners {QUAD}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaquad.functions import geometry, nested, quads
-from vistaquad.operators import detect, estimate, points, population, pyramid, raster, refine, report, runs, search, stitch, warp
+from vistaquad.operators import detect, estimate, paint, points, population, pyramid, raster, refine, report, runs, search, stitch, warp
 from vistaquad.plans import standins as s
 from vistaquad.plans.sql import ORACLES  # noqa: F401
 from vistaquad.sources import store
@@ -314,6 +314,21 @@ def stored_feather(spark, d):
     return store.owned(stitch.feather(_stored_pairs(spark, d), V, BANDS, image=("pair_id",))).select("pair_id", "y", "x", "v")
 
 
+def reprojections(spark, d):
+    """A real and a projected place for each supplier on one of eight images, and the line between them."""
+    k = F.col("s_suppkey")
+    x, y = k * 7 % 64, k * 13 % 250
+    side = F.when(k % 3 == 0, "R").otherwise("L")
+    notes = s.read(spark, d, "supplier").select((k % 8).cast("int").alias("image_id"), side.alias("side"), k.alias("idx"), x.alias("real_x"), y.alias("real_y"), (x + k % 23 - 11).alias("proj_x"), (y + k % 17 - 8).alias("proj_y"))
+    return paint.draw_reprojections(s.pixels(spark, d), notes, (s.IMAGE_ROWS, 64), V, radii=(4, 2), colors=([256], [257], [258], [259])).select("image_id", "y", "x", "v")
+
+
+def contour_trees(spark, d):
+    """The nest of contours in each picture."""
+    tree = detect.contour_tree(detect.labelled_runs(pack(s.pictures(spark, d), V)))
+    return tree.select("image_id", "contour", "hole", "parent", "depth", "place")
+
+
 def trials(spark, d):
     """The trials of each supplier's camera, level by level."""
     drawn = search.sample(s.read(spark, d, "supplier").select(F.col("s_suppkey").alias("camera_id")), 10)
@@ -358,4 +373,6 @@ QUERIES |= {
     "q51_seam_runs": seam_runs,
     "q52_stored_seam": stored_seam,
     "q53_stored_feather": stored_feather,
+    "q54_draw_reprojections": reprojections,
+    "q55_contour_tree": contour_trees,
 }

@@ -180,5 +180,13 @@ select pair_id, kind, min(y) as y_min, max(y) as y_max, min(x) as x_min, max(x)
     "q51_seam_runs": f"with {SEAM}, l as (select pair_id, y, x, x - row_number() over (partition by pair_id, y order by x) as r from sm where seam = 1) select pair_id, y, min(x) as start, max(x) + 1 as \"end\" from l group by pair_id, y, r",
 }
 
+ORACLES["q54_draw_reprojections"] = f"""with {PIXELS}, n as (select s_suppkey as k, s_suppkey % 8 as image_id, s_suppkey % 3 = 0 as r, s_suppkey * 13 % 250 as y0, s_suppkey * 7 % 64 as x0, s_suppkey * 13 % 250 + s_suppkey % 17 - 8 as y1, s_suppkey * 7 % 64 + s_suppkey % 23 - 11 as x1 from supplier),
+d as (select image_id, r, k, 0 as part, y0 + i as y, x0 + j as x, 256 as c from n, unnest(range(-4, 5)) as a(i), unnest(range(-4, 5)) as b(j) where i * i + j * j <= 16
+  union all select image_id, r, k, 1, y1 + i, x1 + j, 257 from n, unnest(range(-2, 3)) as a(i), unnest(range(-2, 3)) as b(j) where i * i + j * j <= 4
+  union all select image_id, r, k, 2, y0 + floor((y1 - y0) * s / m + 0.5)::bigint + i, x0 + floor((x1 - x0) * s / m + 0.5)::bigint + j, case when r then 259 else 258 end
+    from (select *, greatest(abs(y1 - y0), abs(x1 - x0), 1)::double as m, unnest(range(greatest(abs(y1 - y0), abs(x1 - x0), 1) + 1)) as s from n), unnest(range(-1, 2)) as a(i), unnest(range(-1, 2)) as b(j)),
+t as (select image_id, y, x, c from d qualify row_number() over (partition by image_id, y, x order by r desc, k desc, part desc) = 1)
+select px.image_id::int as image_id, px.y as y, px.x as x, coalesce(t.c, v)::int as v from px left join t on px.image_id = t.image_id and px.y = t.y and px.x = t.x"""
+
 # The same pixels, whatever tables they are read from.
 ORACLES |= {"q52_stored_seam": ORACLES["q17_seam_mask"], "q53_stored_feather": ORACLES["q21_feather"]}
