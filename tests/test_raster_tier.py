@@ -226,7 +226,7 @@ def test_stream_projection(spark, tmp_path):
 
 
 def test_calibration_run(spark):
-    from vistaquad.plans.calibrate import calibrate, evaluate, stitched, views
+    from vistaquad.plans.calibrate import calibrate, evaluate, found_pairs, stitched, views
     from vistaquad.sources.points import roles
 
     p = marks(spark, 20).withColumn("camera_id", F.lit("i0"))
@@ -237,8 +237,10 @@ def test_calibration_run(spark):
     assert {x.n_squares for x in done.collect()} == {2}  # the bright field is nested in its frame, too
     assert evaluate(done, p, r).count() == 2
     seen = views(shots, done, 120, 100).cache()
+    pairs = found_pairs(shots, done, 120, 100)
+    assert [tuple(r) for r in pairs.collect()] == [("i0", "i1")]
     for method in ("first_wins", "blend", "feather", "multiband"):
-        assert stitched(seen, "i0", "i1", method).count() > 0
+        assert stitched(seen, pairs, method).count() > 0
 
 
 def test_whole_experiment(spark, tmp_path):

@@ -53,24 +53,25 @@ def _packed(kind: str):
     return run
 
 
-def marks_of(squares: DataFrame, anchors: DataFrame) -> Marks:
+def marks_of(squares: DataFrame | None, anchors: DataFrame) -> Marks:
     """squares: camera_id, corners; anchors: camera_id, src_x.. dst_y. Marks with a null or no number in them count nothing.
 
     Marks are dealt out by ranges of camera and row, so a small camera's stay together and a large one's are spread.
     """
-    spark = squares.sparkSession
+    spark = anchors.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     corner = lambda k, f: as_float(F.get("corners", F.lit(k))[f])
-    quads = squares.where(F.size("corners") == 4).select("camera_id", F.array(*(corner(k, f) for k in range(4) for f in "xy")).alias("numbers"))
+    quads = None if squares is None else squares.where(F.size("corners") == 4).select("camera_id", F.array(*(corner(k, f) for k in range(4) for f in "xy")).alias("numbers"))
     pairs = anchors.select("camera_id", F.array(*(F.col(c).cast("double") for c in ("src_x", "src_y", "dst_x", "dst_y"))).alias("numbers"))
-    kinds = [dict(squares.dtypes)["camera_id"], "array<double>"]
+    kinds = [dict(anchors.dtypes)["camera_id"], "array<double>"]
 
     def blocks(rows: DataFrame, kind: str) -> DataFrame:
         whole = rows.where(F.forall("numbers", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
         spread = whole.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, "camera_id", "row").sortWithinPartitions("camera_id")
         return spread.drop("row").mapInPandas(_packed(kind), f"camera_id {kinds[0]}, squares {kinds[1]}, anchors {kinds[1]}")
 
-    found = blocks(quads, "squares").unionAll(blocks(pairs, "anchors"))
+    found = blocks(pairs, "anchors")
+    found = found if quads is None else blocks(quads, "squares").unionAll(found)
     found = settle(found.withColumn("block", F.monotonically_increasing_id()), "blocks")
     n = settle(found.groupBy("camera_id").agg(F.count("*").alias("n")), "cameras")
     total = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -111,22 +112,27 @@ def anchor_values(params: np.ndarray, anchors: np.ndarray) -> np.ndarray:
         return np.sqrt(((moved[..., :2] / moved[..., 2:] - anchors[None, :, 2:]) ** 2).sum(axis=2)).sum(axis=1)
 
 
+def met(asked: DataFrame, marks: Marks, runs: int | None = None) -> DataFrame:
+    """Every block with the rows of asked (camera_id and more) of its camera.
+
+    runs: how many rows asked has at most; where that keeps all of them below BROADCAST_BYTES they go to the blocks, else
+    both are dealt out by camera and slot.
+    """
+    if runs is not None and runs * RUN_BYTES <= BROADCAST_BYTES:
+        return marks.blocks.join(F.broadcast(asked), "camera_id")
+    slots, heavy = F.coalesce("slots", F.lit(1).cast("long")), F.broadcast(marks.slots)
+    spread = asked.join(heavy, "camera_id", "left").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))).drop("slots")
+    blocks = marks.blocks.join(heavy, "camera_id", "left").withColumn("slot", F.pmod("block", slots)).drop("slots")
+    key = ["camera_id", "slot"]
+    return blocks.repartition(marks.parts, *key).join(spread.repartition(marks.parts, *key), key)
+
+
 def objectives(asked: DataFrame, marks: Marks, by: list, size: float, compat: bool = True, runs: int | None = None) -> DataFrame:
     """by, candidate and value: sum of square metrics + weight * sum of anchor distances, for each candidate.
 
-    asked: by (camera_id among them), weight, candidates (array of eight parameters each). A value that isn't a number
-    counts as infinite; candidates of a camera without marks have no row. runs: how many rows asked has at most; where
-    that keeps all candidates below BROADCAST_BYTES they go to the blocks, else both are dealt out by camera and slot.
+    asked: by (camera_id among them), weight, candidates (array of eight parameters each); runs: see met. A value that
+    isn't a number counts as infinite; candidates of a camera without marks have no row.
     """
-    slots = F.coalesce("slots", F.lit(1).cast("long"))
-    heavy = F.broadcast(marks.slots)
-    small = runs is not None and runs * RUN_BYTES <= BROADCAST_BYTES
-    if small:
-        met = marks.blocks.join(F.broadcast(asked), "camera_id")
-    else:
-        spread = asked.join(heavy, "camera_id", "left").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))).drop("slots")
-        blocks = marks.blocks.join(heavy, "camera_id", "left").withColumn("slot", F.pmod("block", slots)).drop("slots")
-        met = blocks.repartition(marks.parts, "camera_id", "slot").join(spread.repartition(marks.parts, "camera_id", "slot"), ["camera_id", "slot"])
 
     def valued(frames):
         for frame in frames:
@@ -142,7 +148,7 @@ def objectives(asked: DataFrame, marks: Marks, by: list, size: float, compat: bo
             yield pd.DataFrame({**{k: frame[k] for k in by}, "values": sums})
 
     kinds = dict(asked.dtypes)
-    parts = met.select(*by, "weight", "candidates", "squares", "anchors").mapInPandas(valued, ", ".join([*(f"{k} {kinds[k]}" for k in by), "values array<double>"]))
+    parts = met(asked, marks, runs).select(*by, "weight", "candidates", "squares", "anchors").mapInPandas(valued, ", ".join([*(f"{k} {kinds[k]}" for k in by), "values array<double>"]))
     return parts.select(*by, F.posexplode("values").alias("candidate", "value")).groupBy(*by, "candidate").agg(F.sum("value").alias("value"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaquad.functions.geometry import improvement
-from vistaquad.operators import detect, estimate, points, pyramid, raster, refine, report, stitch, warp
+from vistaquad.operators import detect, estimate, footprints, points, pyramid, raster, refine, report, stitch, warp
 from vistaquad.sources import sinks
 from vistaquad.sources.images import explode, pack
 
@@ -42,37 +42,60 @@ CHANNELS = list("bgr")
 ANCHOR_RADIUS, ANCHOR_COLORS = 8, ([255, 0, 0], [0, 255, 0])  # blue for the first camera, green for the second
 
 
-def paired(seen: DataFrame, first: str, second: str, how: str = "inner") -> DataFrame:
-    """Two views as a pair (see raster.pairs) named first+second."""
-    side = lambda name: explode(seen.where(F.col("image_id") == name)).select(F.lit(f"{first}+{second}").alias("pair_id"), "y", "x", *CHANNELS)
-    return raster.pairs(side(first), side(second), CHANNELS, how=how)
+def named_pair(spark, first: str, second: str) -> DataFrame:
+    """The one pair of two cameras that are known by name."""
+    return spark.createDataFrame([(first, second)], "first string, second string")
 
 
-def stitched(seen: DataFrame, first: str, second: str, method: str) -> DataFrame:
-    """Pixels (pair_id, y, x, b, g, r) of two views: first_wins, blend, feather, multiband or seam (white where the first is taken)."""
-    rows = paired(seen, first, second, "full" if method == "first_wins" else "inner")
+def found_pairs(images: DataFrame, calibrations: DataFrame, width: int, height: int) -> DataFrame:
+    """first and second of all cameras whose views overlap on the canvas."""
+    return footprints.overlapping(footprints.footprints(images, calibrations), width, height)
+
+
+def paired(seen: DataFrame, pairs: DataFrame, how: str = "inner") -> DataFrame:
+    """The views of every pair of pairs (first, second), pixel by pixel (see raster.pairs), named first+second."""
+    pixels = explode(seen)
+    named = pairs.select(F.concat("first", F.lit("+"), "second").alias("pair_id"), "first", "second")
+    side = lambda which: pixels.join(named.select("pair_id", F.col(which).alias("image_id")), "image_id").select("pair_id", "y", "x", *CHANNELS)
+    return raster.pairs(side("first"), side("second"), CHANNELS, how=how)
+
+
+def stitched(seen: DataFrame, pairs: DataFrame, method: str) -> DataFrame:
+    """Pixels (pair_id, y, x, b, g, r) of the views of every pair: first_wins, blend, feather, multiband or seam (white where
+    the first is taken)."""
+    rows = paired(seen, pairs, "full" if method == "first_wins" else "inner")
     if method == "seam":
         mask = stitch.seam_mask(rows, CHANNELS)
         return mask.select("pair_id", "y", "x", *((F.col("seam") * 255).alias(c) for c in CHANNELS))
     return {"first_wins": stitch.first_wins, "blend": stitch.blend, "feather": stitch.feather, "multiband": pyramid.multiband}[method](rows, CHANNELS)
 
 
-def anchor_overlay(pixels: DataFrame, calibrations: DataFrame, anchors: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame]:
-    """pixels with a disc at each projected anchor of either camera, and the labels (L1, L2, .. and R1, R2, ..) with their places."""
+def mosaic(seen: DataFrame, order: DataFrame) -> DataFrame:
+    """Pixels (y, x, b, g, r) of all views in one picture; order: image_id, pos (the least is uppermost)."""
+    return footprints.mosaic(explode(seen).join(order.select("image_id", "pos"), "image_id"), CHANNELS)
+
+
+def anchor_overlay(pixels: DataFrame, calibrations: DataFrame, anchors: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pixels with a disc at each projected anchor of either camera of a pair, and the labels (L1, L2, .. and R1, R2, ..) with
+    their places."""
     placed = points.project_points(anchors, calibrations.select("camera_id", "h"), mode="cv").where("u is not null and v is not null")
     labels = []
-    for camera, side, color in ((first, "L", ANCHOR_COLORS[0]), (second, "R", ANCHOR_COLORS[1])):
-        own = placed.where(F.col("camera_id") == camera).select(F.lit(f"{first}+{second}").alias("pair_id"), "u", "v", F.concat(F.lit(side), (F.col("pos") + 1).cast("string")).alias("label"))
+    for which, side, color in (("first", "L", ANCHOR_COLORS[0]), ("second", "R", ANCHOR_COLORS[1])):
+        named = pairs.select(F.concat("first", F.lit("+"), "second").alias("pair_id"), F.col(which).alias("camera_id"))
+        own = placed.join(named, "camera_id").select("pair_id", "u", "v", F.concat(F.lit(side), (F.col("pos") + 1).cast("string")).alias("label"))
         pixels = report.draw_points(pixels, own, CHANNELS, color, ANCHOR_RADIUS, by=("pair_id",))
         labels.append(own.select("pair_id", "label", F.col("u").cast("long").alias("x"), F.col("v").cast("long").alias("y")))
     return pixels, labels[0].union(labels[1])
 
 
-def multi_camera(images: DataFrame, point_table: DataFrame, roles: DataFrame, path: str, experiment: str, first: str, second: str, steps: list | None = None, min_area: float = 2000, size: float = 56.0, width: int = 1600, height: int = 1200, files: str | None = None) -> DataFrame:
-    """A whole experiment: every camera calibrated and judged, views of first and second stitched in each way, all of it
+def multi_camera(images: DataFrame, point_table: DataFrame, roles: DataFrame, path: str, experiment: str, first: str | None = None, second: str | None = None, steps: list | None = None, min_area: float = 2000, size: float = 56.0, width: int = 1600, height: int = 1200, files: str | None = None) -> DataFrame:
+    """A whole experiment: every camera calibrated and judged, the views of every pair stitched in each way, all of it
     written under path (cameras, configurations, panorama_stitching, labels, summary). Returns the summary. files: a folder
     that gets images, matrices and texts as single files, too (see sinks.write_experiment).
 
+    first and second name the one pair to stitch; without them all pairs are stitched whose views overlap on the canvas, and
+    a mosaic of all cameras, in the order of their names, is written.
+
     What each step writes is read by the next, so nothing is worked out twice and a lost executor repeats one step.
     """
     spark = images.sparkSession
@@ -89,20 +112,25 @@ def multi_camera(images: DataFrame, point_table: DataFrame, roles: DataFrame, pa
     listed = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(b).alias("bounds"), F.lit(float(w)).alias("weight")) for m, b, w in levels))
     sinks.write_configs(done.select("camera_id", F.lit(f"Levels-{len(levels)}").alias("name"), F.lit(len(levels)).alias("levels"), listed.alias("stages")), f"{path}/configurations")
 
-    shown = {f"{name}_{kind}": stitched(seen[kind], first, second, method) for name, method in (("stitched", "first_wins"), ("blended", "blend")) for kind in seen}
-    shown |= {name: stitched(seen["optimized"], first, second, method) for name, method in (("seam_mask", "seam"), ("stitched_optimal_seam", "feather"), ("stitched_multiband", "multiband"))}
-    marked, labels = anchor_overlay(shown["stitched_optimized"], done, points.select_role(point_table, roles, "anchor"), first, second)
+    pairs = kept(found_pairs(images, done, width, height) if first is None else named_pair(spark, first, second), "pairs")
+    shown = {f"{name}_{kind}": stitched(seen[kind], pairs, method) for name, method in (("stitched", "first_wins"), ("blended", "blend")) for kind in seen}
+    shown |= {name: stitched(seen["optimized"], pairs, method) for name, method in (("seam_mask", "seam"), ("stitched_optimal_seam", "feather"), ("stitched_multiband", "multiband"))}
+    marked, labels = anchor_overlay(shown["stitched_optimized"], done, points.select_role(point_table, roles, "anchor"), pairs)
     shown["stitched_with_anchor_points"] = marked
     labels.write.parquet(f"{path}/labels")
     packed = None
     for name, pixels in shown.items():
         one = pack(pixels.select(F.col("pair_id").alias("image_id"), "y", "x", *CHANNELS), CHANNELS).withColumnRenamed("image_id", "pair_id").withColumn("name", F.lit(name))
         packed = one if packed is None else packed.unionByName(one)
-    facts = spark.range(1).select(F.lit(f"{first}+{second}").alias("pair_id"), F.lit(2).alias("num_images"), F.lit("advanced_stitching").alias("method"))
+    facts = pairs.select(F.concat("first", F.lit("+"), "second").alias("pair_id"), F.lit(2).alias("num_images"), F.lit("advanced_stitching").alias("method"))
     packed = kept(packed, "stitched")
     sinks.write_stitching(packed, f"{path}/panorama_stitching", facts)
     iso, _ = report.stamps(F.current_timestamp())
-    order = F.when(F.col("camera_id") == first, 0).when(F.col("camera_id") == second, 1).otherwise(2)
+    if first is None:
+        order = done.where("h is not null").select(F.col("camera_id").alias("image_id"), F.col("camera_id").alias("pos"))
+        whole = mosaic(seen["optimized"], order)
+        packed = packed.unionByName(kept(pack(whole.withColumn("image_id", F.lit("all")), CHANNELS).withColumnRenamed("image_id", "pair_id").withColumn("name", F.lit("mosaic")), "mosaic"))
+    order = F.struct(F.when(F.col("camera_id") == F.lit(first), 0).when(F.col("camera_id") == F.lit(second), 1).otherwise(2), "camera_id")
     summary = kept(report.experiment_summary(records.withColumns({"experiment": F.lit(experiment), "pos": order})).withColumn("timestamp", iso), "summary")
     if files is not None:
         both = seen["initial"].withColumn("kind", F.lit("initial")).union(seen["optimized"].withColumn("kind", F.lit("optimized")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaquad.functions import geometry, nested, quads
-from vistaquad.operators import detect, estimate, paint, points, population, pyramid, raster, refine, report, runs, search, stitch, warp
+from vistaquad.operators import detect, estimate, footprints, paint, points, population, pyramid, raster, refine, report, runs, search, stitch, warp
 from vistaquad.plans import standins as s
 from vistaquad.plans.sql import ORACLES  # noqa: F401
 from vistaquad.sources import store
@@ -329,6 +329,23 @@ def contour_trees(spark, d):
     return tree.select("image_id", "contour", "hole", "parent", "depth", "place")
 
 
+def overlapping_views(spark, d):
+    """Views of 64 x 48 pixels, one for each supplier, tilted and moved by its key: all pairs that overlap."""
+    k = F.col("s_suppkey")
+    x, y, a = (k * 37 % 601 + 0.25).cast("double"), (k * 53 % 433 + 0.5).cast("double"), (k % 12).cast("double") / 8
+    turned = [F.cos(a), -F.sin(a), x, F.sin(a), F.cos(a), y, F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    rows = s.read(spark, d, "supplier").select(k.alias("camera_id"), F.struct(*(v.alias(n) for n, v in zip(geometry.ENTRIES, turned, strict=True))).alias("h"))
+    images = rows.select(F.col("camera_id").alias("image_id"), F.lit(48).alias("height"), F.lit(64).alias("width"))
+    return footprints.overlapping(footprints.footprints(images, rows), 640, 480)
+
+
+def mosaics(spark, d):
+    """All images as views of one picture, each 20 columns and 9 rows further on, of which the first that is lit counts."""
+    k = F.col("image_id")
+    views = s.pixels(spark, d).select(k.alias("pos"), (F.col("y") + k * 9).alias("y"), (F.col("x") + k * 20).alias("x"), F.when((F.col("x") + F.col("y")) % 3 > 0, F.col("v")).otherwise(0).alias("v"))
+    return footprints.mosaic(views, V, level=100)
+
+
 def trials(spark, d):
     """The trials of each supplier's camera, level by level."""
     drawn = search.sample(s.read(spark, d, "supplier").select(F.col("s_suppkey").alias("camera_id")), 10)
@@ -375,4 +392,6 @@ QUERIES |= {
     "q53_stored_feather": stored_feather,
     "q54_draw_reprojections": reprojections,
     "q55_contour_tree": contour_trees,
+    "q56_overlapping_views": overlapping_views,
+    "q57_mosaic": mosaics,
 }

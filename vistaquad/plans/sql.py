@@ -188,5 +188,19 @@ d as (select image_id, r, k, 0 as part, y0 + i as y, x0 + j as x, 256 as c from
 t as (select image_id, y, x, c from d qualify row_number() over (partition by image_id, y, x order by r desc, k desc, part desc) = 1)
 select px.image_id::int as image_id, px.y as y, px.x as x, coalesce(t.c, v)::int as v from px left join t on px.image_id = t.image_id and px.y = t.y and px.x = t.x"""
 
+# All pairs of quads, compared by the sides of both; sides from 32-bit corners as the points of images are.
+ORACLES["q56_overlapping_views"] = """with f as (select s_suppkey as k, (s_suppkey * 37 % 601 + 0.25)::double as tx, (s_suppkey * 53 % 433 + 0.5)::double as ty, (s_suppkey % 12)::double / 8 as a from supplier),
+c as (select k, i, cos(a) * px - sin(a) * py + tx as x, sin(a) * px + cos(a) * py + ty as y from f, (values (0, 0.0::double, 0.0::double), (1, 63.0, 0.0), (2, 63.0, 47.0), (3, 0.0, 47.0)) as t(i, px, py)),
+s as (select a.k as k, a.i as i, b.y - a.y as nx, a.x - b.x as ny from c a join c b on a.k = b.k and b.i = (a.i + 1) % 4),
+box as (select k from c group by k having max(x) >= 0 and min(x) <= 639 and max(y) >= 0 and min(y) <= 479),
+p as (select a.k as one, b.k as two from box a, box b where a.k < b.k),
+ax as (select one, two, s.k as owner, s.i as i, nx, ny from p join s on s.k = p.one or s.k = p.two),
+pr as (select one, two, owner, ax.i as i, min(case when c.k = one then x * nx + y * ny end) as lo1, max(case when c.k = one then x * nx + y * ny end) as hi1, min(case when c.k = two then x * nx + y * ny end) as lo2, max(case when c.k = two then x * nx + y * ny end) as hi2 from ax join c on c.k = one or c.k = two group by all)
+select one as first, two as second from pr group by one, two having not bool_or(hi1 < lo2 or hi2 < lo1)"""
+ORACLES["q57_mosaic"] = f"""with {PIXELS}, w as (select image_id as pos, y + image_id * 9 as y, x + image_id * 20 as x, v from px where (x + y) % 3 > 0 and v > 100),
+t as (select y, x, v from w qualify row_number() over (partition by y, x order by pos) = 1), b as (select min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from w),
+g as (select y0, x0, y, x from b, unnest(range(y0, y1 + 1)) as a(y), unnest(range(x0, x1 + 1)) as e(x))
+select (g.y - y0)::int as y, (g.x - x0)::int as x, coalesce(v, 0)::int as v from g left join t on g.y = t.y and g.x = t.x"""
+
 # The same pixels, whatever tables they are read from.
 ORACLES |= {"q52_stored_seam": ORACLES["q17_seam_mask"], "q53_stored_feather": ORACLES["q21_feather"]}
