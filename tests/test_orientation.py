@@ -1,0 +1,59 @@
+"""JPEG files with each EXIF orientation are read as the same picture."""
+
+import struct
+
+import numpy as np
+import pytest
+
+from vistaquad.sources.images import array_of, encode_png, orientation_of, read_images, row_of, upright
+from vistaquad.sources.schema import IMAGES
+
+
+def exif(value, order):
+    e = "<" if order == b"II" else ">"
+    entries = [(0x010F, 2, 4, b"abc\0"), (0x0112, 3, 1, struct.pack(e + "HH", value, 0)), (0x0128, 3, 1, struct.pack(e + "HH", 2, 0))]
+    tiff = order + struct.pack(e + "HI", 42, 8) + struct.pack(e + "H", len(entries)) + b"".join(struct.pack(e + "HHI", t, k, n) + v for t, k, n, v in entries) + b"\0" * 4
+    return b"\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff
+
+
+def jpeg(spark, a):
+    """A JPEG file by the JVM's own writer."""
+    jvm = spark._jvm
+    shot = jvm.java.awt.image.BufferedImage(a.shape[1], a.shape[0], 1)
+    for y, x in np.ndindex(a.shape[:2]):
+        b, g, r = map(int, a[y, x])
+        shot.setRGB(x, y, (r << 16) | (g << 8) | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(shot, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+BACK = {6: 8, 8: 6}  # the orientation that undoes another; the others undo themselves
+
+
+def test_eight_orientations(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    picture = np.kron(rng.integers(30, 220, (2, 3, 1)).repeat(3, 2), np.ones((16, 16, 1))).astype(np.uint8)
+    for o in range(1, 9):
+        stored = jpeg(spark, upright(picture, BACK.get(o, o)))
+        app0 = 4 + int.from_bytes(stored[4:6], "big")  # the JFIF segment stays before
+        (tmp_path / f"o{o}.{'JPG' if o == 3 else 'jpg'}").write_bytes(stored[:app0] + exif(o, b"II" if o % 2 else b"MM") + stored[app0:])
+    (tmp_path / "plain.jpeg").write_bytes(jpeg(spark, picture))
+    (tmp_path / "p.png").write_bytes(bytes(encode_png(spark.createDataFrame([row_of("p", picture)], IMAGES)).first().content))
+    (tmp_path / "broken.jpg").write_bytes(b"\xff\xd8\xff\xe1")
+    rows = {r.image_id.rsplit("/", 1)[1].split(".")[0]: array_of(r) for r in read_images(spark, str(tmp_path)).collect()}
+    assert set(rows) == {f"o{o}" for o in range(1, 9)} | {"plain", "p"}
+    for name, a in rows.items():
+        assert a.shape == picture.shape and np.abs(a.astype(int) - picture).max() <= 6, name
+    raw = {r.image_id.rsplit("/", 1)[1]: (r.height, r.width) for r in read_images(spark, str(tmp_path), oriented=False).collect()}
+    assert raw["o6.jpg"] == (48, 32) and raw["o2.jpg"] == (32, 48)
+
+
+@pytest.mark.parametrize("head", [b"", b"\xff\xd8", b"\x89PNG\r\n", b"\xff\xd8\xff\xe1\0\x20Exif\0\0XX" + bytes(30), b"\xff\xd8" + exif(9, b"MM"), b"\xff\xd8" + exif(0, b"II"), b"\xff\xd8" + exif(6, b"II")[:30], b"\xff\xd8\xff\xe0\0\0\0\0", b"\xff\xd8\xff\xe1\0\x10Exif\0\0II*\0\xff\xff\xff\xff"])
+def test_broken_segments(head):
+    assert orientation_of(head) == 1
+
+
+def test_segments_before():
+    head = b"\xff\xd8\xff\xe0\0\x10" + bytes(14) + b"\xff\xe1\0\x08http:/" + exif(5, b"MM")
+    assert orientation_of(head) == 5

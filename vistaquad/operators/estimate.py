@@ -11,11 +11,12 @@ from vistaquad.sources.schema import HOMOGRAPHY
 from vistaquad.sources.shared import settle
 
 
-def dlt_sums(points: DataFrame, by: tuple = ("camera_id",)) -> DataFrame:
-    """Normal equations of the direct linear transform, as sums of products that Spark combines before the shuffle."""
+def dlt_sums(points: DataFrame, by: tuple = ("camera_id",), add=F.sum) -> DataFrame:
+    """Normal equations of the direct linear transform, as sums of products that Spark combines before the shuffle; add: the
+    aggregate, such as functions.sums.fixed_sum."""
     x, y, u, v = (as_float(F.col(c)) for c in ("src_x", "src_y", "dst_x", "dst_y"))
     sums = {"xx": x * x, "xy": x * y, "yy": y * y, "xu": x * u, "xv": x * v, "xxu": x * x * u, "cross": (x * x + y * y) * (u * u + v * v)}
-    return points.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(e).alias(n) for n, e in sums.items()))
+    return points.groupBy(*by).agg(F.count("*").alias("n"), *(add(e).alias(n) for n, e in sums.items()))
 
 
 SIDES = ["src_x", "src_y", "dst_x", "dst_y"]

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaquad.functions import geometry, nested, quads
+from vistaquad.functions import geometry, nested, quads, sums
 from vistaquad.operators import detect, estimate, footprints, paint, points, population, pyramid, raster, refine, report, runs, search, stitch, warp
 from vistaquad.plans import standins as s
 from vistaquad.plans.sql import ORACLES  # noqa: F401
@@ -107,8 +107,8 @@ def similarity_points(spark, d):
 
 
 def dlt_sums(spark, d):
-    sums = estimate.dlt_sums(s.line_points(spark, d))
-    return _rounded(_rounded(sums, 4, "xx", "xy", "yy", "xu", "xv", "xxu"), 2, "cross")
+    found = estimate.dlt_sums(s.line_points(spark, d))
+    return _rounded(_rounded(found, 4, "xx", "xy", "yy", "xu", "xv", "xxu"), 2, "cross")
 
 
 def _marks(spark, d):
@@ -346,6 +346,17 @@ def mosaics(spark, d):
     return footprints.mosaic(views, V, level=100)
 
 
+def exact_means(spark, d):
+    """The mean errors of q02 and their sums, unrounded: the same bits however the rows are dealt out."""
+    errors = _errors(spark, d, s.H_FIRST)
+    return errors.groupBy("camera_id").agg(sums.fixed_sum(F.col("error")).alias("total"), sums.fixed_mean(F.col("error")).alias("mean_error"), F.count("error").alias("n"))
+
+
+def exact_dlt_sums(spark, d):
+    """Sums of products of q28, unrounded."""
+    return estimate.dlt_sums(s.line_points(spark, d), add=sums.fixed_sum)
+
+
 def trials(spark, d):
     """The trials of each supplier's camera, level by level."""
     drawn = search.sample(s.read(spark, d, "supplier").select(F.col("s_suppkey").alias("camera_id")), 10)
@@ -394,4 +405,6 @@ QUERIES |= {
     "q55_contour_tree": contour_trees,
     "q56_overlapping_views": overlapping_views,
     "q57_mosaic": mosaics,
+    "q58_exact_means": exact_means,
+    "q59_exact_dlt_sums": exact_dlt_sums,
 }

@@ -202,5 +202,11 @@ t as (select y, x, v from w qualify row_number() over (partition by y, x order b
 g as (select y0, x0, y, x from b, unnest(range(y0, y1 + 1)) as a(y), unnest(range(x0, x1 + 1)) as e(x))
 select (g.y - y0)::int as y, (g.x - x0)::int as x, coalesce(v, 0)::int as v from g left join t on g.y = t.y and g.x = t.x"""
 
+# Sums in whole steps of 2^-40; nothing is rounded in the result.
+FIXED = "(sum(floor({0} * 1099511627776.0::double)::hugeint)::double / 1099511627776.0::double)"
+ORACLES["q58_exact_means"] = f"select l_suppkey as camera_id, {FIXED.format('e')} as total, {FIXED.format('e')} / count(*) as mean_error, count(*) as n from {_errors(H1)} group by 1"
+ORACLES["q59_exact_dlt_sums"] = f"""with p as (select l_suppkey as camera_id, l_quantity::float::double as x, l_discount::float::double as y, (l_quantity + l_tax)::float::double as u, (l_discount * 2)::float::double as v from lineitem)
+select camera_id, count(*) as n, {', '.join(f"{FIXED.format('(' + e + ')')} as {n}" for n, e in (('xx', 'x * x'), ('xy', 'x * y'), ('yy', 'y * y'), ('xu', 'x * u'), ('xv', 'x * v'), ('xxu', 'x * x * u'), ('cross', '(x * x + y * y) * (u * u + v * v)')))} from p group by 1"""
+
 # The same pixels, whatever tables they are read from.
 ORACLES |= {"q52_stored_seam": ORACLES["q17_seam_mask"], "q53_stored_feather": ORACLES["q21_feather"]}

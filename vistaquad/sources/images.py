@@ -11,10 +11,53 @@ from pyspark.sql import functions as F
 from vistaquad.sources import schema
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Images by Spark's image source; files that can't be decoded are left out."""
+HEAD = 1 << 17  # bytes of a file in which its orientation is looked for; the segment that holds it comes first
+
+
+def orientation_of(head: bytes) -> int:
+    """The orientation (1 to 8) that a JPEG file's EXIF segment tells; 1 where there is none or it is broken."""
+    at = 2
+    while head[:2] == b"\xff\xd8" and at + 4 <= len(head) and head[at] == 0xFF and head[at + 1] != 0xDA:
+        size = int.from_bytes(head[at + 2 : at + 4], "big")
+        if head[at + 1] == 0xE1 and head[at + 4 : at + 10] == b"Exif\0\0":
+            tiff = head[at + 10 : at + 2 + size]
+            order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+            number = lambda i, n: int.from_bytes(tiff[i : i + n], order)  # noqa: B023, E731
+            first = number(4, 4) if order else len(tiff)
+            for k in range(number(first, 2) if order else 0):
+                entry = first + 2 + 12 * k
+                if number(entry, 2) == 0x0112 and entry + 12 <= len(tiff):
+                    return number(entry + 8, 2) if 1 <= number(entry + 8, 2) <= 8 else 1
+        at += 2 + max(size, 2)
+    return 1
+
+
+def upright(pixels: np.ndarray, orientation: int) -> np.ndarray:
+    """The array as it is to be seen: 5 to 8 swap the axes; then columns and rows are mirrored."""
+    pixels = pixels.swapaxes(0, 1) if orientation >= 5 else pixels
+    pixels = pixels[:, ::-1] if orientation in (2, 3, 6, 7) else pixels
+    return pixels[::-1] if orientation in (3, 4, 7, 8) else pixels
+
+
+def _turned(frames):
+    for frame in frames:
+        yield pd.DataFrame([row_of(r.image_id, upright(array_of(r), int(r.orientation))) for r in frame.itertuples()], columns=["image_id", "height", "width", "channels", "data"])
+
+
+def read_images(spark: SparkSession, path: str, oriented: bool = True) -> DataFrame:
+    """Images by Spark's image source; files that can't be decoded are left out. oriented turns JPEG files as their EXIF
+    segment tells; files without one stay as they are and take no detour through Python."""
     found = spark.read.format("image").option("dropInvalid", True).load(path)
-    return found.select(F.col("image.origin").alias("image_id"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    packed = found.select(F.col("image.origin").alias("image_id"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    if not oriented:
+        return packed
+    same = lambda column: F.regexp_replace(column, "^([a-z0-9]+):/+", "$1:/")
+    told = F.pandas_udf(lambda heads: heads.map(orientation_of), "int")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[jJ][pP]*").load(path)
+    turned = files.select(same("path").alias("_file"), told(F.substring("content", 1, HEAD)).alias("orientation")).where("orientation > 1")
+    rows = packed.withColumn("_file", same("image_id"))
+    names = packed.columns
+    return rows.join(turned, "_file", "left_anti").select(names).unionAll(rows.join(turned, "_file").select(*names, "orientation").mapInPandas(_turned, schema.IMAGES))
 
 
 def array_of(row) -> np.ndarray:
