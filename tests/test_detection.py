@@ -123,6 +123,26 @@ def plain_tree(mask: np.ndarray) -> dict:
     return out
 
 
+def test_parts_across_bands(spark, monkeypatch):
+    """Bands of any height give the same parts as whole images."""
+    rng = np.random.default_rng(8)
+    shots = [*pictures()[-4:], np.kron(rng.choice([10, 240], (20, 9)), np.ones((5, 5))).astype(np.uint8), np.kron(rng.choice([10, 240], (30, 30)), np.ones((2, 2))).astype(np.uint8)]
+    images = spark.createDataFrame([row_of(f"i{k}", a) for k, a in enumerate(shots)], schema.IMAGES)
+    runs, sizes = detect.dark_runs(detect.gray_pixels(images)).cache(), images.select("image_id", "height", "width")
+    seen = []
+    for band in (1, 2, 7, 64):
+        monkeypatch.setattr(detect, "BAND", band)
+        seen.append(sorted(map(tuple, detect.parts(runs, sizes).select("image_id", "y", "a", "b", "dark", "part").collect())))
+    assert all(s == seen[0] for s in seen)
+    for k, a in enumerate(shots):
+        dark = np.floor(blurred(a.astype(float)) + 0.5) <= 140
+        part = labels(dark, True)
+        for name in np.unique(part[part > 0]):
+            y, x = map(int, np.argwhere(part == name)[0])
+            got = {(r[1], r[2], r[3]) for r in seen[0] if r[0] == f"i{k}" and r[4] and r[5] == y * detect.SIDE + x}
+            assert got == set(runs_of(part == name))
+
+
 def test_contour_tree_equals_the_plain_nest(spark):
     """Squares in squares seven levels deep with several on a level, and noise: parent, depth and order of each contour."""
     nest = np.full((64, 64), 250, np.uint8)

@@ -1,7 +1,7 @@
 """Detection of calibration squares as Spark jobs: runs of dark pixels by windows, parts by joins of runs, borders and
 corners of one part or place at a time in small Python helpers, and filters as column expressions.
 
-No image is held whole: a helper gets the runs of one dark part, or the pixels about one corner.
+No image is held whole: a helper gets the runs of a band of rows or of one dark part, or the pixels about one corner.
 """
 
 from bisect import bisect_right
@@ -22,6 +22,7 @@ AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
 
 SIDE = 1 << 20  # a pixel's number is y * SIDE + x
+BAND = 64  # rows of an image whose runs are merged in one task
 OUTER = -1  # the ground that reaches the border of the image
 HALF = 5  # of the window about a corner, which is also how far the corner may move
 REACH = 2 * HALF + 3  # pixels about a corner that its refinement can look at
@@ -69,16 +70,65 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _joined(y: np.ndarray, a: np.ndarray, b: np.ndarray, dark: np.ndarray) -> np.ndarray:
+    """For runs sorted by row and column, the first run of the connected part of each: touching runs of neighbouring rows
+    are merged, later ones into earlier ones."""
+    first = list(range(len(y)))
+
+    def root(i: int) -> int:
+        while first[i] != i:
+            first[i] = first[first[i]]
+            i = first[i]
+        return i
+
+    begins = {int(row): i for i, row in reversed(list(enumerate(y)))}
+    for row, i in begins.items():
+        j = begins.get(row - 1)
+        while j is not None and i < len(y) and j < len(y) and y[i] == row and y[j] == row - 1:
+            if dark[i] == dark[j] and a[i] <= b[j] + dark[i] and a[j] <= b[i] + dark[i]:
+                low, high = sorted((root(i), root(j)))
+                first[high] = low
+            if b[i] + dark[i] < b[j] + dark[j] or (b[i] == b[j] and dark[i] < dark[j]):
+                i += 1
+            else:
+                j += 1
+    return np.array([root(i) for i in range(len(y))], np.int64)
+
+
+def _banded(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values(["y", "a"], ignore_index=True)
+    # Of one kind at a time: runs of the other side between them touch nothing.
+    out = np.empty(len(frame), np.int64)
+    for kind in (False, True):
+        own = np.flatnonzero(frame["dark"].to_numpy() == kind)
+        if len(own):
+            rows = frame.iloc[own]
+            out[own] = own[_joined(*(rows[c].to_numpy() for c in ("y", "a", "b")), rows["dark"].to_numpy().astype(int))]
+    return frame.assign(root=frame["node"].to_numpy()[out]).drop(columns="band")
+
+
 def parts(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """runs with part: the number of the first pixel of the connected part that a run belongs to, OUTER for ground that
-    reaches the border. Dark runs touch diagonally, too, those of the ground don't. sizes: image_id, height, width."""
-    named = runs.withColumn("node", F.col("y").cast("long") * SIDE + F.col("a"))
-    above = named.select("image_id", (F.col("y") + 1).alias("y"), "dark", F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("node").alias("v"))
+    reaches the border. Dark runs touch diagonally, too, those of the ground don't. sizes: image_id, height, width.
+
+    Runs of a band of BAND rows of an image are merged in one task; only what touches across bands, and the border, is left
+    to rounds of joins, and those links are between parts of bands.
+    """
+    named = runs.withColumn("node", F.col("y").cast("long") * SIDE + F.col("a")).withColumn("band", F.floor(F.col("y") / BAND))
+    kinds = dict(named.dtypes)
+    rooted = settle(named.groupBy("image_id", "band").applyInPandas(_banded, ", ".join([*(f"{c} {kinds[c]}" for c in named.columns if c != "band"), "root long"])), "bands")
+    lower = rooted.where(F.col("y") % BAND == 0)
+    above = rooted.where(F.col("y") % BAND == BAND - 1).select("image_id", (F.col("y") + 1).alias("y"), "dark", F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("root").alias("v"))
     reach = F.col("dark").cast("int")
-    touching = named.join(above, ["image_id", "y", "dark"]).where((F.col("a") <= F.col("b0") + reach) & (F.col("a0") <= F.col("b") + reach))
-    edge = named.where("not dark").join(sizes, "image_id").where("y = 0 or y = height - 1 or a = 0 or b = width - 1")
-    links = touching.select("image_id", F.col("node").alias("u"), "v").union(edge.select("image_id", F.col("node").alias("u"), F.lit(OUTER).cast("long").alias("v")))
-    return named.join(components(links), ["image_id", "node"], "left").withColumn("part", F.coalesce("part", "node")).drop("node")
+    touching = lower.join(above, ["image_id", "y", "dark"]).where((F.col("a") <= F.col("b0") + reach) & (F.col("a0") <= F.col("b") + reach))
+    across = settle(touching.select("image_id", F.col("root").alias("u"), "v").distinct(), "links")
+    edge = rooted.where("not dark").join(sizes, "image_id").where("y = 0 or y = height - 1 or a = 0 or b = width - 1")
+    outer = edge.select("image_id", F.col("root").alias("u"), F.lit(OUTER).cast("long").alias("v")).distinct()
+    if across.take(1):
+        found = components(across.union(outer))
+    else:
+        found = outer.select("image_id", F.col("u").alias("node"), F.col("v").alias("part"))
+    return rooted.join(found.withColumnRenamed("node", "root"), ["image_id", "root"], "left").withColumn("part", F.coalesce("part", "root")).drop("node", "root")
 
 
 def nested_contours(labelled: DataFrame) -> DataFrame:
