@@ -76,6 +76,6 @@ def test_secret_candidates(spark):
         share = [c.count(x) / len(c) for x in set(c)]
         assert r.length == pytest.approx(math.log1p(len(c))) and r.entropy == pytest.approx(-sum(p * math.log2(p) for p in share))
         assert r.digits == pytest.approx(sum(x in "0123456789" for x in c) / len(c)) and r.distinct == pytest.approx(len(share) / len(c))
-        covered = regex.sub("|".join(sorted(secrets.COMMON, key=lambda w: (-len(w), w))), "", c.lower())
+        covered = regex.sub("|".join(sorted(secrets.dictionary(), key=lambda w: (-len(w), w))), "", c.lower())
         assert r.coverage == pytest.approx(1 - len(covered) / len(c))
         assert texts[r.id][: r.start].endswith(r.before) and texts[r.id][r.start + len(c) :].startswith(r.after)

@@ -44,7 +44,8 @@ def test_toxic_end_of_unspaced_text_counts():
 
 def test_secrets_after_quoted_keys_and_all_names(spark):
     forms = ['{{"{0}": "hunter2xyz"}}', "'{0}' : 'hunter2xyz'", '"{0}":"hunter2xyz"', "{0}: hunter2xyz", "{0} = 'hunter2xyz'", "{0} := hunter2xyz", '"{1}": "hunter2xyz"']
-    texts = [f.format(n, n.upper()) for n in secrets.NAMES for f in forms] + ["Authorization: Bearer hunter2xyz"]
+    names = [n.replace("[_-]?", mark) for n in secrets.NAMES for mark in ("_", "-", "")]
+    texts = [f.format(n, n.upper()) for n in names for f in forms] + ["Authorization: Bearer hunter2xyz"]
     found = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     starts = {r.id: r.start for r in found.where(F.col("candidate") == "hunter2xyz").collect()}
     assert {i: texts[i].index("hunter2xyz") for i in range(len(texts))} == starts

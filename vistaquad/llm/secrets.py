@@ -1,10 +1,16 @@
 """Secret scans with a random forest against false positives, in DataFrame operations only.
 
-Candidates are runs of token characters that hold a digit, and values assigned to names that tell of secrets. A forest
+Candidates are runs of token characters that hold a digit, signed tokens, passwords in URLs, and values assigned to names
+that tell of secrets or given to options of such names. A forest
 on their length, character transitions, dictionary coverage, path and neighbouring words, learned from labelled
 findings, says which are secrets.
 """
 
+import base64
+import re
+from functools import lru_cache
+from itertools import islice
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,29 +21,26 @@ from pyspark.sql import functions as F
 MIN_LENGTH = 16
 CONTEXT = 48  # characters before and after a candidate that features look at
 
-# Names of secrets, words that say what else a value is, words of placeholders, common words (the
-# dictionary), formats.
-NAMES = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private_key"]
+# Names of secrets, words that say what else a value is, words of placeholders, formats.
+NAMES = ["password", "passwd", "passphrase", "pass", "pwd", "secret", "token", "api[_-]?key", "access[_-]?key", "private[_-]?key", "signing[_-]?key", "encryption[_-]?key", "secret[_-]?key", "stripe[_-]?key", "auth", "bearer", "credential", "webhook"]
 OTHERS = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "revision", "uuid", "guid", "etag", "order", "invoice", "card", "phone", "tracking", "version", "build"]
 PLACEHOLDERS = ["example", "changeme", "your", "xxxx", "dummy", "sample", "test", "placeholder", "todo", "none", "null", "0000", "1234"]
-COMMON = (
-    "about abstract account action admin after agent alert amount archive array article asset audio author avatar backup banner base batch block body book border branch browser bucket buffer build"
-    " button bytes cache camera card center chain change channel chapter check class client code color column command common company config connect content context control core count cover custom"
-    " daily data date default delete design detail device display document domain down draft edit email engine error event example factory field file filter final first folder font footer format"
-    " frame from full game global graph green group guide handler header hello home host icon image index info input item java label language large last layer layout library light link list local"
-    " main master media member menu message method model module month name network node note number object online open option order output page panel part path phone photo player point policy"
-    " product profile program project public query report request response result section server service session source static status story string style summary system table target task team"
-    " template text theme this time title tool"
-).split()
 FORMATS = ["AKIA[0-9A-Z]{16}", "gh[pousr]_[0-9A-Za-z]{36}", "xox[abpr]-[0-9A-Za-z-]{10,}", "sk_live_[0-9A-Za-z]{16,}", "AIza[0-9A-Za-z_-]{35}", "eyJ[0-9A-Za-z_-]{10,}"]
 
-_RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}+"
-# A name in code, JSON or YAML may be quoted; a bearer's value follows after spaces, too.
+DICTIONARY = 2000  # words
+
+# Signed tokens of three parts, as one candidate.
+_SIGNED = r"\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+_RUN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+={{0,2}}+"
+# The password of a URL's user.
+_URL = r"(?<=://[^\s:/@]{1,64}:)[^\s:/@]{4,}+(?=@)"
+# A name in code, JSON or YAML may be quoted; a bearer's value and that of a command's option follow after spaces, too.
 _NAMED = r"(?i:" + "|".join(NAMES) + r")"
 _SEPARATOR = r"[\x22']?\s{0,3}(?::=|[=:])"
-_ASSIGNED = rf"{_NAMED}{_SEPARATOR}|(?i:\bbearer)\s"
-_VALUE = rf"(?<=[=:\s\x22'])(?:(?<={_NAMED}{_SEPARATOR}\s{{0,3}}[\x22']?)|(?<=\b(?i:bearer)\s{{1,3}}[\x22']?))[^\s\x22',;=:]{{6,}}+"
-_CANDIDATE = f"{_RUN}|{_VALUE}"
+_OPTION = rf"(?i:\bbearer|\bsshpass -p|--(?:[a-z0-9]{{1,16}}-)?{_NAMED})"
+_ASSIGNED = rf"{_NAMED}{_SEPARATOR}|{_OPTION}\s|://[^\s:/@]{{1,64}}:[^\s:/@]{{4,}}+@"
+_VALUE = rf"(?<=[=:\s\x22'])(?:(?<={_NAMED}{_SEPARATOR}\s{{0,3}}[\x22']?)|(?<={_OPTION}\s{{1,3}}[\x22']?))[^\s\x22',;=:]{{6,}}+"
+_CANDIDATE = f"{_SIGNED}|{_URL}|{_RUN}|{_VALUE}"
 _SPARK_ALL = f"({_CANDIDATE})"
 
 FEATURES = ["length", "digits", "upper", "lower", "hexadecimal", "other", "distinct", "transitions", "switches", "vowels", "coverage", "entropy", "placeholder", "format", "named", "assigned", "quoted", "another", "uuid", "path_test", "path_config"]
@@ -46,7 +49,7 @@ FEATURES = ["length", "digits", "upper", "lower", "hexadecimal", "other", "disti
 def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path_column: str | None = None) -> DataFrame:
     """Each candidate of each text: id, start (characters from 0), candidate, before, after, path."""
     path = F.coalesce(F.col(path_column).cast("string"), F.lit("")) if path_column else F.lit("")
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), path.alias("path")).where(F.col("text").rlike(_RUN) | F.col("text").rlike(_ASSIGNED))
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), path.alias("path")).where(F.col("text").rlike(_RUN) | F.col("text").rlike(_ASSIGNED) | F.col("text").rlike(_SIGNED))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "path", F.expr(f"regexp_extract_all(text, {_quoted(_SPARK_ALL)}, 1)").alias("found"), F.split("text", _CANDIDATE, -1).alias("between"))
     around = F.transform("found", lambda c, i: F.struct(i.alias("i"), c.alias("candidate"), F.get("between", i).alias("left"), F.substring(F.coalesce(F.get("between", i + 1), F.lit("")), 1, CONTEXT).alias("after")))
     each = rows.select("row", "id", "path", F.explode(around).alias("c")).select("row", "id", "path", "c.i", "c.candidate", "c.after", F.expr(f"right(c.left, {CONTEXT})").alias("before"), F.length("c.left").cast("long").alias("gap"))
@@ -59,8 +62,41 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
-def featured(found: DataFrame) -> DataFrame:
-    """The columns FEATURES of candidate, before, after and path."""
+@lru_cache
+def dictionary(path: str | None = None, size: int = DICTIONARY) -> tuple:
+    """The first `size` words of four letters and more of a public vocabulary (a rank file; the English one unless given),
+    which lists frequent words first."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as lines:
+        tokens = (base64.b64decode(line.split()[0]) for line in lines)
+        words = (t[1:].decode() for t in tokens if re.fullmatch(rb" [a-z]{4,}", t))
+        return tuple(islice(words, size))
+
+
+def pattern_of(words) -> str:
+    """A pattern that matches the longest of words, with their common beginnings written once."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def shown(node: dict) -> str:
+        parts = [c + shown(below) for c, below in sorted(node.items()) if c]
+        if not parts:
+            return ""
+        text = parts[0] if len(parts) == 1 and "" not in node else f"(?:{'|'.join(parts)})"
+        return f"{text}?" if "" in node else text
+
+    return shown(tree)
+
+
+def featured(found: DataFrame, words: tuple | None = None) -> DataFrame:
+    """The columns FEATURES of candidate, before, after and path; words: the dictionary."""
     c, low = F.col("candidate"), F.lower("candidate")
     size = F.greatest(F.length(c), F.lit(1)).cast("double")
     share = lambda kind: F.length(F.regexp_replace(c, f"[^{kind}]", "")) / size
@@ -83,7 +119,7 @@ def featured(found: DataFrame) -> DataFrame:
             "transitions": runs / size,
             "switches": F.length(F.regexp_replace(c, "[a-zA-Z][0-9]", "")) / size,
             "vowels": share("aeiouAEIOU"),
-            "coverage": 1 - F.length(F.regexp_replace(low, any_of(sorted(COMMON, key=lambda w: (-len(w), w))), "")) / size,
+            "coverage": 1 - F.length(F.regexp_replace(low, pattern_of(words or dictionary()), "")) / size,
             "entropy": entropy,
             "placeholder": flag(low.rlike(any_of(PLACEHOLDERS)) | c.rlike(r"(.)\1{5}")),
             "format": flag(c.rlike("(?:" + "|".join(FORMATS) + ")")),
@@ -98,7 +134,7 @@ def featured(found: DataFrame) -> DataFrame:
     )
 
 
-# Fixed values of the findings; none is taken from the lists above, which the features look at.
+# Fixed values of the findings. The names are found by NAMES; some stand-ins hold a word of PLACEHOLDERS, as real ones do.
 _SECRET_NAMES = ["db_pass", "DB_PASSWORD", "aws_secret_access_key", "client_secret", "stripe_key", "smtp_password", "auth_token", "X-Api-Key", "signing_key", "webhook_secret", "refresh_token", "encryption_key", "sshpass", "slack_webhook", "jwt_secret", "SENDGRID_API_KEY"]
 _PLAIN_NAMES = ["commit", "rev", "sha", "md5sum", "etag", "request_id", "trace", "isbn", "serial", "sku", "iban", "ticket", "session started", "build id", "image", "asset", "href", "see", "checksum of", "file", "font", "from page", "opened", "named", "device", "layout", "node", "at"]
 _PARTS = ["Report", "invoice", "header", "thumb", "Http", "Servlet", "Factory", "quarter", "summary", "sprite", "vendor", "chunk", "polyfill", "userAgent", "kubernetes", "terraform", "madrid", "autumn", "grenoble", "wordpress", "tutorial", "lecture", "homework", "readme"]

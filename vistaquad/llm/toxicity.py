@@ -194,7 +194,8 @@ def train(bags: list, labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Text and label of at most `sample` labelled documents, those first by a hash of their id.
+    """id, text and label of at most `sample` labelled documents, those first by a hash of their id; of several rows of one
+    id the text of least hash, so there is one row for each id whatever number of rows share it.
 
     Rows whose crc32(id as text) mod 5 is 0 are held out and never learned from; nor are rows with a null id or label.
     """
@@ -202,7 +203,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, id_col
     own = own.select(F.col(id_column).cast("long").alias("id"), F.col(label).cast("int").alias("label")).groupBy("id").agg(F.max("label").alias("label"))
     chosen = own.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "label")  # chosen: `sample` rows at most
+    found = texts.join(F.broadcast(chosen), "id")  # chosen: `sample` rows at most
+    least = F.min(F.struct(F.xxhash64("text"), "text"))["text"]  # combined where the rows are read
+    return found.groupBy("id", "label").agg(least.alias("text")).select("id", "text", "label")
 
 
 def _bagger(batches):
