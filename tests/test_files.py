@@ -76,6 +76,8 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     assert not [f for _, _, names in os.walk(tmp_path) for f in names]
     files.write_files(rows, str(tmp_path / "out"))
     assert sorted(os.listdir(tmp_path / "out")) == ["x"] and len(os.listdir(tmp_path / "out/x")) == 40
+    files.write_files(rows.limit(1).withColumn("path", F.lit("plain.gz")), str(tmp_path / "raw"))
+    assert (tmp_path / "raw/plain.gz").read_bytes() == b"0"  # bytes as they are, whatever the name
     assert (tmp_path / "out/x/17.txt").read_bytes() == b"17"
     for again in (rows.limit(1), rows.withColumn("path", F.lit("new.txt"))):  # there already; written twice
         with pytest.raises(Exception, match="FileExistsError"):

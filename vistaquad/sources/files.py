@@ -129,7 +129,7 @@ class _FileWriter(DataSourceWriter):
             if name.startswith(("..", "/")) or name == ".":
                 raise ValueError(f"{row['path']!r} is no path below the folder")
             system.create_dir(f"{folder}/{posixpath.dirname(name)}", recursive=True)
-            with system.open_output_stream(f"{folder}/{name}") as file:
+            with system.open_output_stream(f"{folder}/{name}", compression=None) as file:
                 file.write(bytes(row["content"] or b""))
             files.append(name)
         return _Written(folder, files)
