@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaquad.llm.common import settle, utf8
+from vistaquad.sources.files import write_files
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 4_000_000
 CHUNK = 65_536
+MAGIC = b"\x1f\x8b\x08"  # with which a gzip member begins
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:record:"
 
@@ -46,19 +48,38 @@ def record(record_id: str, url: str, payload: bytes, refers_to: str | None) -> b
     return gz.compress(head.encode()) + gz.compress(block + b"\r\n\r\n") + gz.flush()
 
 
+def _member(content: bytes, at: int) -> tuple[bytes, int]:
+    """The bytes of the gzip member that begins there, inflated chunk by chunk, and where the next one begins; -1 if it is
+    damaged."""
+    inflate, out = zlib.decompressobj(31), []
+    try:
+        while not inflate.eof and at < len(content):
+            out.append(inflate.decompress(content[at : at + CHUNK]))
+            at = at + CHUNK if not inflate.eof else min(at + CHUNK, len(content)) - len(inflate.unused_data)
+    except zlib.error:
+        return b"".join(out), -1
+    return b"".join(out), at if inflate.eof else -1
+
+
+def _resumed(content: bytes, at: int) -> int:
+    """Where the next whole record begins: the first place from which a member inflates to one."""
+    while (at := content.find(MAGIC, at)) >= 0:
+        try:
+            if zlib.decompressobj(31).decompress(content[at : at + CHUNK], 5) == b"WARC/":
+                return at
+        except zlib.error:
+            pass
+        at += 1
+    return len(content)
+
+
 def members(content: bytes):
-    """Each gzip member's bytes, inflated chunk by chunk; ends at the first byte that begins none."""
+    """Each gzip member's bytes, inflated; of a damaged one, what could be read. Reading goes on at the next record after it."""
     at = 0
     while at < len(content):
-        inflate, out = zlib.decompressobj(31), []
-        try:
-            while not inflate.eof and at < len(content):
-                out.append(inflate.decompress(content[at : at + CHUNK]))
-                at = at + CHUNK if not inflate.eof else min(at + CHUNK, len(content)) - len(inflate.unused_data)
-        except zlib.error:
-            yield b"".join(out)
-            return
-        yield b"".join(out)
+        out, end = _member(content, at)
+        yield out
+        at = end if end >= 0 else _resumed(content, at + 1)
 
 
 def parsed(member: bytes) -> dict:
@@ -129,9 +150,16 @@ def write_warc(pages: DataFrame, id_column: str = "page_id", url_column: str = "
     return settle(chosen.select(F.coalesce(F.col("id").cast("string"), F.lit("")), "url", "payload", F.col("refers_to").cast("string")).mapInArrow(_writer, "path string, content binary"), "warc")
 
 
+def write_warc_files(pages: DataFrame, folder: str, mode: str = "append", **columns) -> None:
+    """The archives of write_warc as files {digest}.warc.gz in a folder that driver and executors reach; all of them come to
+    their places when the job is through, none before. read_warc reads them by spark.read.format("binaryFile")."""
+    write_files(write_warc(pages, **columns), folder, mode)
+
+
 def read_warc(archives: DataFrame) -> DataFrame:
     """The records of archives (content): record_id, record_type, url, payload_bytes, payload_digest (hex), refers_to,
-    payload (null for revisits) and valid. Null or empty content has no records; a broken one ends its archive."""
+    payload (null for revisits) and valid. Null or empty content has no records; a damaged one comes out as a record that isn't
+    valid, with what could be read of it, and the records after it as they are."""
     return archives.select("content").mapInArrow(_reader, "record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary, valid boolean")
 
 
