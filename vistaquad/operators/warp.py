@@ -9,11 +9,12 @@ becomes pixels, so neither a large image nor a strongly enlarged tile fills a ta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vistaquad.functions.geometry import adjugate, similarity_of
+from vistaquad.functions.geometry import ENTRIES, adjugate, similarity_of
 from vistaquad.sources.images import explode, pack
 from vistaquad.sources.shared import settle
 
-TILE = 64
+BITS = 6
+TILE = 1 << BITS
 SIDE = TILE + 1  # with its halo
 MARGIN = 1e-6  # by which an outline is widened against rounding
 
@@ -83,29 +84,37 @@ def warp_pixels(pixels: DataFrame, views: DataFrame, channels: list, by: tuple =
         })
     span = lambda name: F.when(F.col(f"_from_{name}") <= F.col(f"_to_{name}"), F.sequence(f"_from_{name}", f"_to_{name}")).otherwise(F.array().cast("array<int>"))
     met = F.flatten(F.transform(span("ty"), lambda ty: F.transform(span("tx"), lambda tx: F.struct(ty.alias("ty"), tx.alias("tx")))))
-    nowhere = F.array(F.struct(F.lit(None).cast("int").alias("ty"), F.lit(None).cast("int").alias("tx")))  # for what lies beyond all tiles
-    kept = [*keys, "g", "singular", "height", "width", "oy", "ox", "_ty0", "_ty1", "_tx0", "_tx1"]
-    pairs = out.select(*kept, F.explode(F.concat(F.coalesce(met, F.array().cast("array<struct<ty:int,tx:int>>")), nowhere)).alias("t")).select(*kept, "t.ty", "t.tx")
+    flat = [F.col(f"g.{n}").alias(n) for n in ENTRIES]
     parts = max(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), pixels.sparkSession.sparkContext.defaultParallelism)
+    pairs = out.where("not singular").select(*keys, *flat, "height", "width", "oy", "ox", F.explode(met).alias("t")).select("*", "t.ty", "t.tx").drop("t")
     joined = pairs.join(tiles, [*keys, "ty", "tx"], "left").repartition(parts, *keys, "oy", "ox")
 
-    spots = joined.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(TILE * TILE - 1))))
-    spots = spots.withColumns({"y": F.col("oy") * TILE + F.floor(F.col("_k") / TILE).cast("int"), "x": F.col("ox") * TILE + F.pmod("_k", F.lit(TILE))}).where("y < height and x < width")
-    u, v, _ = _source("g", F.col("x"), F.col("y"))
-    spots = spots.withColumns({"_u": F.when(~F.col("singular"), u), "_v": F.when(~F.col("singular"), v)})
-    spots = spots.withColumns({"_j": F.floor("_u"), "_i": F.floor("_v")})
-    spots = spots.withColumns({"_ti": F.floor(F.col("_i") / TILE), "_tj": F.floor(F.col("_j") / TILE)})
-    inside = F.coalesce(F.expr("_ti between _ty0 and _ty1 and _tj between _tx0 and _tx1"), F.lit(False))
-    spots = spots.where(F.when(F.col("ty").isNull(), ~inside).otherwise(F.expr("_ti = ty and _tj = tx")))
-    spots = spots.withColumns({"_a": F.col("_v") - F.col("_i"), "_b": F.col("_u") - F.col("_j"), "_at": ((F.col("_i") - F.col("ty") * TILE) * SIDE + F.col("_j") - F.col("tx") * TILE).cast("int")})
+    def spots(rows: DataFrame) -> DataFrame:
+        """A row for each pixel of an output tile, with its place in the source; steps are kept apart, so that the code Spark
+        makes of them stays small enough to be compiled."""
+        made = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(TILE * TILE - 1))))
+        made = made.withColumns({"y": F.col("oy") * TILE + F.shiftright("_k", BITS), "x": F.col("ox") * TILE + F.col("_k").bitwiseAND(TILE - 1)}).where("y < height and x < width").drop("_k", "height", "width")
+        row = lambda i: F.col(f"h{i}0") * F.col("x") + F.col(f"h{i}1") * F.col("y") + F.col(f"h{i}2")
+        made = made.withColumn("_sw", row(2)).withColumns({"_sx": row(0), "_sy": row(1)}).drop(*ENTRIES)
+        lands = F.col("_sw") != 0
+        made = made.withColumns({c: F.when(lands, F.col(c) / F.col("_sw")) for c in ("_sx", "_sy")}).drop("_sw")
+        made = made.withColumns({"_j": F.floor("_sx"), "_i": F.floor("_sy")})
+        return made.withColumns({"_ti": F.shiftright("_i", BITS), "_tj": F.shiftright("_j", BITS)})
+
+    inside = spots(joined).where("_ti = ty and _tj = tx")
+    at = ((F.col("_i") - F.col("ty") * TILE) * SIDE + F.col("_j") - F.col("tx") * TILE).cast("int")
+    inside = inside.select(*keys, "y", "x", (F.col("_sy") - F.col("_i")).alias("_a"), (F.col("_sx") - F.col("_j")).alias("_b"), at.alias("_at"), *(f"tile_{c}" for c in channels))
 
     def value(c: str) -> Column:
-        at = lambda d: F.get(f"tile_{c}", F.col("_at") + d).cast("double")
+        tap = lambda d: F.get(f"tile_{c}", F.col("_at") + d).cast("double")
         a, b = F.col("_a"), F.col("_b")
-        mixed = (at(0) * (1 - b) + at(1) * b) * (1 - a) + (at(SIDE) * (1 - b) + at(SIDE + 1) * b) * a
+        mixed = (tap(0) * (1 - b) + tap(1) * b) * (1 - a) + (tap(SIDE) * (1 - b) + tap(SIDE + 1) * b) * a
         return F.coalesce(F.rint(mixed).cast("int"), F.lit(0)).alias(c)
 
-    return spots.select(*keys, "y", "x", *(value(c) for c in channels))
+    # What lies beyond all tiles that hold anything is black and meets none of them.
+    beyond = spots(out.select(*keys, *(F.when(~F.col("singular"), F.col(f"g.{n}")).alias(n) for n in ENTRIES), "height", "width", "oy", "ox", "_ty0", "_ty1", "_tx0", "_tx1").repartition(parts, *keys, "oy", "ox"))
+    beyond = beyond.where(~F.coalesce(F.expr("_ti between _ty0 and _ty1 and _tj between _tx0 and _tx1"), F.lit(False)))
+    return inside.select(*keys, "y", "x", *(value(c) for c in channels)).unionAll(beyond.select(*keys, "y", "x", *(F.lit(0).alias(c) for c in channels)))
 
 
 def warp(images: DataFrame, homographies: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
