@@ -9,14 +9,16 @@ import hashlib
 import zlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaquad.llm.common import settle, utf8
+from vistaquad.llm.common import dealt, hot_from, settle, utf8
 from vistaquad.sources.files import write_files
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 4_000_000
+PAYLOADS = 500_000  # payloads that several rows hold and that are broadcast at most (100 bytes each)
 CHUNK = 65_536
 MAGIC = b"\x1f\x8b\x08"  # with which a gzip member begins
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,17 +105,23 @@ def parsed(member: bytes) -> dict:
 
 
 def _writer(batches):
-    pending, size, first = [], 0, None
+    """Archives named by the task that wrote them, their number in it, and their first record."""
+    task, made = TaskContext.get().partitionId(), 0
+
+    def archive(records):
+        name = f"{task:06d}-{made:06d}-{hashlib.sha1(records[0]).hexdigest()}.warc.gz"
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(records)], pa.binary())], ["path", "content"])
+
+    pending, size = [], 0
     for batch in batches:
         for key, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            made = record(key, url, payload, refers_to)
-            pending.append(made)
-            size, first = size + len(made), first or hashlib.sha1(made).hexdigest()
+            pending.append(record(key, url, payload, refers_to))
+            size += len(pending[-1])
             if size >= ARCHIVE_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array([f"{first}.warc.gz"]), pa.array([b"".join(pending)], pa.binary())], ["path", "content"])
-                pending, size, first = [], 0, None
+                yield archive(pending)
+                pending, size, made = [], 0, made + 1
     if pending:
-        yield pa.RecordBatch.from_arrays([pa.array([f"{first}.warc.gz"]), pa.array([b"".join(pending)], pa.binary())], ["path", "content"])
+        yield archive(pending)
 
 
 _FIELDS = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("valid", pa.bool_())])
@@ -142,12 +150,18 @@ def write_warc(pages: DataFrame, id_column: str = "page_id", url_column: str = "
     are not looked at; no rows give no archives.
     """
     rows = pages.select(F.col(id_column).alias("id"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), utf8(html_column).alias("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.col("id").isNotNull() & (F.col("size") >= revisit_bytes)).select("id", "size", "digest")
-    firsts = large.groupBy("size", "digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = large.join(firsts, ["size", "digest"]).where("id <> refers_to").distinct()
-    chosen = rows.join(again, ["id", "size", "digest"], "left")
-    return settle(chosen.select(F.coalesce(F.col("id").cast("string"), F.lit("")), "url", "payload", F.col("refers_to").cast("string")).mapInArrow(_writer, "path string, content binary"), "warc")
+    rows = rows.withColumn("size", F.octet_length("payload"))
+    rows = rows.withColumn("same", F.when(F.col("size") >= revisit_bytes, F.sha2("payload", 256)))  # SHA-1 has collisions
+    large = rows.where("id is not null and same is not null")
+    firsts = settle(large.groupBy("same").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    several, copies = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if several <= PAYLOADS:
+        chosen = rows.join(F.broadcast(firsts), "same", "left")  # its size is checked; no payload is shuffled
+    else:
+        chosen = dealt(rows.where("same is not null"), firsts, ["same"], hot_from(copies), "left")
+        chosen = chosen.unionByName(rows.where("same is null"), allowMissingColumns=True)
+    revisited = F.when(F.col("id") != F.col("refers_to"), F.col("refers_to").cast("string"))
+    return settle(chosen.select(F.coalesce(F.col("id").cast("string"), F.lit("")), "url", "payload", revisited).mapInArrow(_writer, "path string, content binary"), "warc")
 
 
 def write_warc_files(pages: DataFrame, folder: str, mode: str = "append", **columns) -> None:
@@ -163,6 +177,15 @@ def read_warc(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(_reader, "record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary, valid boolean")
 
 
+def unresolved_revisits(records: DataFrame) -> DataFrame:
+    """Of the records of read_warc, the pairs (refers_to, payload_digest) that revisits name and no valid response has: the
+    response is lacking or damaged, or holds another payload. n says how many revisits name the pair. Revisits are counted by
+    pair before anything is joined, so a response that very many of them name is one row."""
+    named = records.where("record_type = 'revisit'").groupBy("refers_to", "payload_digest").agg(F.count("*").alias("n"))
+    held = records.where("record_type = 'response' and valid").select(F.col("record_id").alias("refers_to"), "payload_digest")
+    return named.join(held, ["refers_to", "payload_digest"], "left_anti")
+
+
 def warc_query(pages: DataFrame) -> DataFrame:
     """op6: write, read back, and keep what the archives say; a record that isn't valid is an error, none is dropped."""
     found = read_warc(write_warc(pages))
