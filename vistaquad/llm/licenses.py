@@ -1,11 +1,11 @@
 """Licence scans over a positional rare-token index.
 
 The index holds the words of licence texts and notices with their places. Of each file, its licence words of highest
-inverse document frequency (over the scanned corpus) are looked up, for each template as many as make up more than the
-share of its weight that a match may lack, so no match can go without all of them. Each posting proposes where the
-template would start, places relative to that start are intersected, and a label is given if the words that stand at
-their places weigh enough and the template's mandatory phrases stand inside. In long templates places may drift by some
-words, for names and years are filled in.
+inverse document frequency (over the scanned corpus) are looked up, for each template so many that the postings of a match
+must agree on half its weight whatever the other words are. Each posting proposes where the template would start; the
+postings are intersected by that start, and only starts on which enough of them agree are verified word by word. A label is
+given if the words that stand at their places weigh enough and the template's mandatory phrases stand inside. In long
+templates places may drift by some words, for names and years are filled in.
 """
 
 import numpy as np
@@ -78,7 +78,9 @@ TEMPLATES = [
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 ACCEPT = 0.75  # of a template's IDF
 LONG, DRIFT = 20, 4  # words from which on a template's places may drift, and by how many words
-BLOCK = 2048  # proposed starts that are compared at a time
+AGREE = 0.5  # of a template's IDF: words are looked up until the postings of a match must agree on that much, or all are
+SEGMENT = 8192  # starts whose postings are intersected at a time
+BLOCK = 2048  # starts that are verified at a time
 
 
 def _words(text: str) -> list:
@@ -136,19 +138,55 @@ class Index:
             ok &= ids[j : n + j] == phrase[j]
         return np.flatnonzero(ok)
 
-    def proposed(self, ids: np.ndarray, t: int, present: np.ndarray) -> np.ndarray:
-        """Starts of template t that its rarest words in the file propose; every match is among them."""
-        starts, weight = [], 0.0
-        lacking = 1 - self.share[t, present].sum()
+    def looked_up(self, t: int, present: np.ndarray) -> tuple:
+        """The rarest words of template t that a file holds, as many as no match can lack, with their places; and what of
+        their weight an alignment needs at least, if all the other words stood right."""
+        words, weight = [], 0.0
         held = set(present.tolist())
+        lacking = 1 - self.share[t, present].sum()
         for w, at in self.postings[t]:
             if w in held:
-                starts.append((np.flatnonzero(ids == w)[:, None] - at).ravel())
+                words.append((w, at))
                 weight += self.share[t, w]
-                if lacking + weight > 1 - ACCEPT + 1e-9:
+                if lacking + weight - (1 - ACCEPT) >= AGREE:
                     break
-        drift = DRIFT if len(self.templates[t][1]) >= LONG else 0
-        return np.unique((np.concatenate(starts)[:, None] + np.arange(-drift, drift + 1)).ravel())
+        return words, max(lacking + weight - (1 - ACCEPT), 0.0)
+
+    def agreed(self, ids: np.ndarray, t: int, present: np.ndarray) -> tuple:
+        """Starts of template t on which postings agree, and the weight of those that do. Each posting of a word proposes
+        the start that it has relative to its place; postings that propose one start are added up, and a start stays if
+        they weigh what every match needs. Of no such start, that on which most weight agrees (the first of equals).
+
+        Starts are taken SEGMENT at a time, so what is held at once doesn't grow with the file.
+        """
+        looked, need = self.looked_up(t, present)
+        words, weights = self.templates[t][1:3]
+        drift = DRIFT if len(words) >= LONG else 0
+        shifts = np.arange(-drift, drift + 1)
+        near = [(np.unique((np.flatnonzero(ids == w)[:, None] + shifts).ravel()), at) for w, at in looked]
+        out, sums, most = [], [], (0.0, 0)
+        for lo in range(-len(words) - drift, len(ids) + drift + 1, SEGMENT):
+            starts, weighs = [], []
+            for stands, at in near:
+                for place in at.tolist():
+                    a, b = np.searchsorted(stands, (lo + place, lo + place + SEGMENT))
+                    if a < b:
+                        starts.append(stands[a:b] - place)
+                        weighs.append(np.full(b - a, weights[place]))
+            if not starts:
+                continue
+            start, weigh = np.concatenate(starts), np.concatenate(weighs)
+            order = np.argsort(start, kind="stable")
+            start, weigh = start[order], weigh[order]
+            first = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
+            total, start = np.add.reduceat(weigh, first), start[first]
+            keep = total >= need - 1e-9
+            out.append(start[keep]), sums.append(total[keep])
+            top = int(total.argmax())
+            if total[top] > most[0]:
+                most = (float(total[top]), int(start[top]))
+        out, sums = np.concatenate(out), np.concatenate(sums)
+        return (out, sums) if len(out) else (np.array([most[1]]), np.array([most[0]]))
 
     def scores(self, ids: np.ndarray, t: int, starts: np.ndarray) -> tuple:
         """The weight of the words of template t that stand at their places after each start; with drift, and without."""
@@ -176,7 +214,7 @@ class Index:
         present = np.unique(ids[ids >= 0])
         for t in np.flatnonzero(self.share[:, present].sum(axis=1) >= ACCEPT - 1e-9):  # others can't match
             label, words, _, key = self.templates[t]
-            starts = self.proposed(ids, t, present)
+            starts = self.agreed(ids, t, present)[0]
             score, exact = self.scores(ids, t, starts)
             best, taken = max(best, float(score.max())), np.zeros(len(ids), bool)
             beyond = DRIFT if len(words) >= LONG else 0
@@ -224,7 +262,8 @@ def _scanner(shared):
 def licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base (labels of the phrases found), spans
     (label, start, end, score of each text or notice found; words from 0; of those of one template that overlap, the best),
-    score (the best alignment's of the templates whose words the file holds enough of, else 0; 1 if a phrase was found).
+    score (of the templates whose words the file holds enough of, the best alignment's among those on which enough postings
+    agree, else the one's on which most do; without such templates 0; 1 if a phrase was found).
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null and empty texts have no words, no
     labels and score 0. Null ids, repeated rows and empty tables are passed on; other columns are not looked at.
