@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from vistaquad.llm import common, exact, licenses, warc
+from vistaquad.llm import common, exact, licenses, minhash, warc
 
 
 def test_full_hash_only_where_length_and_prefix_are_shared(spark):
@@ -84,3 +84,18 @@ def test_revisits_are_held_against_their_response(spark):
     records = warc.read_warc(spark.createDataFrame([("a", b"".join(made))], "path string, content binary"))
     assert sorted((r.refers_to, r.n) for r in warc.unresolved_revisits(records).collect()) == [("1", 1), ("9", 1)]
     assert warc.unresolved_revisits(records.where("record_id < '6'")).isEmpty()
+
+
+def test_pairs_of_a_busy_id_are_dealt_in_blocks(spark, monkeypatch):
+    """A third of all pairs on one id: its text comes once for each block, and every pair meets it once."""
+    monkeypatch.setattr(common, "HOT_LEAST", 50)
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    made = [(0, i) for i in range(1, 301)] + [(1, i) for i in range(2, 40)] + [(i, i + 1) for i in range(50, 600)]
+    pairs, busy = minhash.spread(spark.createDataFrame(made, "a long, b long"))
+    assert {r.a: (r.n, r.blocks) for r in busy.collect()} == {0: (300, 15), 1: (38, 2)}
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(700)], "a long, x string")
+    met = minhash.with_first(pairs, busy, rows).collect()
+    assert sorted((r.a, r.b) for r in met) == sorted(made) and all(r.x == f"t{r.a}" for r in met)
+    blocks = [r.block for r in met if r.a == 0]
+    assert set(blocks) == set(range(15)) and max(map(blocks.count, range(15))) <= 40
+    assert all(r.block == 0 for r in met if r.a > 1)

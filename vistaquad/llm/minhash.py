@@ -129,10 +129,26 @@ def _confirmer(k: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold on full sets. texts: id, text."""
+def spread(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (a, b), settled, with a block (by b) of the pairs of one a; and busy: of each a of more than BLOCK pairs, n (how
+    many) and blocks, of about BLOCK pairs. So no task has to hold all pairs of an id that very many others meet."""
+    count = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    busy = settle(count.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "busy")
+    hot = hot_from(busy.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    block = F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")
+    return dealt(pairs.select("a", "b"), busy, ["a"], hot, "left").select("a", "b", block), busy
+
+
+def with_first(pairs: DataFrame, busy: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs (a, b, block) joined with what rows (a, more) hold of a, of which there is a copy for each block."""
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
+    return pairs.join(rows.join(busy.select("a", "blocks"), "a", "left").select(*rows.columns, copies), ["a", "block"])
+
+
+def confirmed(pairs: DataFrame, busy: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that hold on full sets. pairs, busy: see spread; texts: id, text."""
     one, other = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(other, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(_confirmer(k, percent), "a long, b long")
+    return with_first(pairs.join(other, "b"), busy, one).select("a", "b", "ta", "tb").mapInArrow(_confirmer(k, percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -260,11 +276,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     # 1. Each bucket's smallest id against its members.
     fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
-    stars = buckets.where((F.col("id") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    stars, busy = spread(settle(buckets.where((F.col("id") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "met"))
     agreement = _agreement(bands * rows)
-    stars = stars.join(sigs.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a")
-    tested = settle(stars.where(agreement("sa", "sb") >= cut).select("a", "b"), "stars")
-    links = settle(confirmed(tested, texts, k, percent), "links")
+    stars = with_first(stars.join(sigs.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b"), busy, sigs.select(F.col("id").alias("a"), F.col("signature").alias("sa")))
+    tested = settle(stars.where(agreement("sa", "sb") >= cut).select("a", "b", "block"), "stars")
+    links = settle(confirmed(tested, busy, texts, k, percent), "links")
     reached = components(links)
 
     # 2 and 3. What the stars left apart; the smallest id has met all the others of its bucket.
@@ -292,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     left = apart(buckets.where("members > 2 and id <> pivot"))
     pairs = meetings(left).drop("bands").groupBy(*group).applyInPandas(_proposer(count, cut, percent, 4), "a long, b long").distinct()
     pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "proposed")
-    new = settle(confirmed(pairs, texts, k, percent), "links")
+    new = settle(confirmed(*spread(pairs), texts, k, percent), "links")
     if not new.isEmpty():
         links = links.union(new)
         reached = components(links)
