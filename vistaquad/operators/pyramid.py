@@ -58,13 +58,14 @@ def gaussian(rows: DataFrame, values: list, levels: int, by: tuple) -> list:
     return found
 
 
-def multiband(rows: DataFrame, channels: list, levels: int = 5, compat: bool = True, by: tuple = ("pair_id",)) -> DataFrame:
+def multiband(rows: DataFrame, channels: list, levels: int = 5, compat: bool = True, by: tuple = ("pair_id",), size: tuple | None = None) -> DataFrame:
     """pairs (see raster.pairs) to pixels by, y, x and channels, blended band by band along the smoothed seam.
 
     compat gives what the seam says is the first image's to the second, else to the first. Where only one image is lit
     (above 10) it is taken as it is; where neither is, the result is black. A pair too small for all levels has fewer.
+    size: see stitch.seam_mask.
     """
-    masked = seam_mask(rows, channels, by)
+    masked = seam_mask(rows, channels, by, size=size)
     share = F.col("seam") if compat else 1 - F.col("seam")
     ones, twos, values = [f"{c}1" for c in channels], [f"{c}2" for c in channels], [*(f"{c}{n}" for n in (1, 2) for c in channels), "_m"]
     pyramid = gaussian(masked.withColumn("_m", share), values, levels, by)

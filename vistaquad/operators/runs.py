@@ -70,7 +70,7 @@ def spans(runs: DataFrame, by: tuple = ("image_id",)) -> DataFrame:
 def seam_runs(mask1: DataFrame, mask2: DataFrame, costs: DataFrame, rows: DataFrame, by: tuple = ("pair_id",)) -> DataFrame:
     """The seam mask (see stitch.seam_mask) as runs: where the first image is taken.
 
-    mask1 and mask2: runs of what is lit in either image; costs: by, y, x and blur, the blurred difference of each pixel;
+    mask1 and mask2: runs of what is lit in either image; costs: by, y, x and blur, the blurred difference of each pixel, nulls last;
     rows: by, y, start and end, the extent of each image row. Masks, overlap, spans and the boundary of pairs without any
     overlap come from runs; only the least column of a span is looked for among pixels.
     """
@@ -78,7 +78,7 @@ def seam_runs(mask1: DataFrame, mask2: DataFrame, costs: DataFrame, rows: DataFr
     shared = intersection(mask1, mask2, by)
     span = spans(shared, by).where("x_end - x_start > 5")
     inside = costs.join(span, [*keys, "y"]).where("x between x_start and x_end")
-    least = inside.groupBy(*keys, "y").agg(F.first("x_start").alias("start"), F.min(F.struct("blur", "x"))["x"].alias("end"))
+    least = inside.groupBy(*keys, "y").agg(F.first("x_start").alias("start"), F.min(F.struct(F.col("blur").isNull(), "blur", "x"))["x"].alias("end"))
     cut = union(difference(mask1, mask2, by), least, by)
     apart = rows.select(*keys).distinct().join(shared.select(*keys).distinct(), keys, "left_anti")
     middles = [boxes(m, by).select(*keys, F.col("x_mean").alias(f"m{i}")) for i, m in enumerate((mask1, mask2))]

@@ -49,28 +49,29 @@ def blend(rows: DataFrame, channels: list, by: tuple = ("pair_id",), alpha: floa
     return rows.select(*by, "y", "x", *(byte(F.when(one & two, f(f"{c}1") * a + f(f"{c}2") * rest).when(one, f(f"{c}1") * alone).when(two, f(f"{c}2") * alone).otherwise(0)).alias(c) for c in channels))
 
 
-def seam_rows(rows: DataFrame, channels: list, by: tuple = ("pair_id",)) -> DataFrame:
+def seam_rows(rows: DataFrame, channels: list, by: tuple = ("pair_id",), size: tuple | None = None) -> DataFrame:
     """Pairs with masks, blurred difference and, for rows of pixels with overlap, its span (x_start, x_end) and its first
-    least column (best_x); windows by row of pixels in one exchange, no join."""
-    marked = blur(difference(rows, channels), "diff", by)
+    least column (best_x); windows by row of pixels in one exchange, no join. size: see raster.blur; columns without a
+    blurred difference come last."""
+    marked = blur(difference(rows, channels), "diff", by, size=size)
     row = Window.partitionBy(*by, "y")
     shared = F.when(F.col("overlap"), F.col("x"))
     spanned = marked.withColumns({"x_start": F.min(shared).over(row), "x_end": F.max(shared).over(row)})
-    inside = F.when(F.expr("x between x_start and x_end"), F.struct("blur", "x"))
+    inside = F.when(F.expr("x between x_start and x_end"), F.struct(F.col("blur").isNull(), "blur", "x"))
     return spanned.withColumn("best_x", F.min(inside).over(row)["x"])
 
 
-def seam_mask(rows: DataFrame, channels: list, by: tuple = ("pair_id",), image: tuple | None = None) -> DataFrame:
+def seam_mask(rows: DataFrame, channels: list, by: tuple = ("pair_id",), image: tuple | None = None, size: tuple | None = None) -> DataFrame:
     """seam_rows with seam: 1 where the first image is taken. Rows whose overlap spans 5 columns or less take the second.
 
     Without any overlap the boundary lies halfway between the mean columns, or the mask is the first image's. Of rows in
-    bands (see sources.store; by has band), image names the keys without it; rows of halos come out, too.
+    bands (see sources.store; by has band), image names the keys without it; rows of halos come out, too. size: see seam_rows.
     """
     if image is None:
-        image, marked = by, settle(seam_rows(rows, channels, by), "seam")  # read twice: by pixel, and for the whole of a pair
+        image, marked = by, settle(seam_rows(rows, channels, by, size), "seam")  # read twice: by pixel, and for the whole of a pair
         once = marked
     else:  # stored tables are joined again instead, without an exchange
-        marked = seam_rows(rows, channels, by)
+        marked = seam_rows(rows, channels, by, size)
         once = difference(rows, channels).where(is_owned())
     mean = lambda n: F.avg(F.when(F.col(f"mask{n}"), F.col("x")))
     whole = once.groupBy(*image).agg(F.max("overlap").alias("_any"), F.floor((mean(1) + mean(2)) / 2).alias("_boundary"))
@@ -80,14 +81,14 @@ def seam_mask(rows: DataFrame, channels: list, by: tuple = ("pair_id",), image:
     return marked.join(whole, list(image)).withColumn("seam", seam.cast("int")).drop("_any", "_boundary")
 
 
-def feather(rows: DataFrame, channels: list, by: tuple = ("pair_id",), width: int = 20, image: tuple | None = None) -> DataFrame:
+def feather(rows: DataFrame, channels: list, by: tuple = ("pair_id",), width: int = 20, image: tuple | None = None, size: tuple | None = None) -> DataFrame:
     """Seam stitch with a ramp of the given width about the row's first transition, within the overlap's span.
 
-    The second image's weight rises to the seam, starts again at 0 there and rises again; weight 0 means no ramp. image: see seam_mask.
+    The second image's weight rises to the seam, starts again at 0 there and rises again; weight 0 means no ramp. image and size: see seam_mask.
     """
     row = Window.partitionBy(*by, "y")
     before = F.lag("seam").over(row.orderBy("x"))
-    turned = seam_mask(rows, channels, by, image).withColumn("_turn", F.when(F.col("seam") != before, F.col("x")))
+    turned = seam_mask(rows, channels, by, image, size).withColumn("_turn", F.when(F.col("seam") != before, F.col("x")))
     placed = turned.withColumn("seam_x", F.min("_turn").over(row))
     one = F.lit(1.0).cast("float")
     x, s = F.col("x"), F.col("seam_x")
