@@ -187,3 +187,24 @@ def test_refinement_stays_near(shift):
     patch[side // 2 + shift :, side // 2 + shift :] = 20
     assert np.abs(detect.refined(patch) - (shift - 0.5)).max() < 0.3
     assert not detect.refined(np.full((side, side), 7)).any()
+
+
+def _broadcasts(spark, run):
+    """Rows of run(), and how many of the plans that Spark executed meanwhile have a broadcast."""
+    seen, status = [], spark._jsparkSession.sharedState().statusStore()
+    before = status.executionsCount()
+    rows = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for i in range(before, status.executionsCount()):
+        seen.append(status.executionsList(i, 1).head().physicalPlanDescription())
+    return rows, sum("BroadcastExchange" in plan for plan in seen)
+
+
+@pytest.mark.parametrize("name", ["q33_detect", "q55_contour_tree"])
+def test_nothing_that_grows_with_images_is_broadcast(spark, tmp_path, name):
+    from vistaquad.plans.registry import QUERIES
+
+    spark.range(6).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    rows, broadcasts = _broadcasts(spark, lambda: QUERIES[name](spark, str(tmp_path)).collect())
+    assert len(rows) == {"q33_detect": 6 * 8, "q55_contour_tree": 6 * 3}[name]
+    assert broadcasts == 0

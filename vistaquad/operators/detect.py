@@ -2,6 +2,9 @@
 corners of one part or place at a time in small Python helpers, and filters as column expressions.
 
 No image is held whole: a helper gets the runs of a band of rows or of one dark part, or the pixels about one corner.
+
+Pixels, runs, links and sizes grow with the number of images, and their sizes on disk tell little of that in memory, so joins
+between them are merged (see _merged): none of them goes through the driver to be broadcast.
 """
 
 from bisect import bisect_right
@@ -28,6 +31,11 @@ HALF = 5  # of the window about a corner, which is also how far the corner may m
 REACH = 2 * HALF + 3  # pixels about a corner that its refinement can look at
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """rows, to be joined by sorting both sides, whatever their size is believed to be."""
+    return rows.hint("merge")
+
+
 def gray_pixels(images: DataFrame) -> DataFrame:
     """image_id, y, x, v"""
     return explode(images).select("image_id", "y", "x", gray(F.col("b"), F.col("g"), F.col("r")).alias("v"))
@@ -56,7 +64,7 @@ def components(links: DataFrame) -> DataFrame:
         else:
             around = edges.select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = around.groupBy(*key).agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = around.join(least, key)
+        joined = around.join(_merged(least), key)
         if larger:
             return joined.where("v > u").select("image_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return joined.select("image_id", F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("image_id", "u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -120,15 +128,15 @@ def parts(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     lower = rooted.where(F.col("y") % BAND == 0)
     above = rooted.where(F.col("y") % BAND == BAND - 1).select("image_id", (F.col("y") + 1).alias("y"), "dark", F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("root").alias("v"))
     reach = F.col("dark").cast("int")
-    touching = lower.join(above, ["image_id", "y", "dark"]).where((F.col("a") <= F.col("b0") + reach) & (F.col("a0") <= F.col("b") + reach))
+    touching = lower.join(_merged(above), ["image_id", "y", "dark"]).where((F.col("a") <= F.col("b0") + reach) & (F.col("a0") <= F.col("b") + reach))
     across = settle(touching.select("image_id", F.col("root").alias("u"), "v").distinct(), "links")
-    edge = rooted.where("not dark").join(sizes, "image_id").where("y = 0 or y = height - 1 or a = 0 or b = width - 1")
+    edge = rooted.where("not dark").join(_merged(sizes), "image_id").where("y = 0 or y = height - 1 or a = 0 or b = width - 1")
     outer = edge.select("image_id", F.col("root").alias("u"), F.lit(OUTER).cast("long").alias("v")).distinct()
     if across.take(1):
         found = components(across.union(outer))
     else:
         found = outer.select("image_id", F.col("u").alias("node"), F.col("v").alias("part"))
-    return rooted.join(found.withColumnRenamed("node", "root"), ["image_id", "root"], "left").withColumn("part", F.coalesce("part", "root")).drop("node", "root")
+    return rooted.join(_merged(found.withColumnRenamed("node", "root")), ["image_id", "root"], "left").withColumn("part", F.coalesce("part", "root")).drop("node", "root")
 
 
 def nested_contours(labelled: DataFrame) -> DataFrame:
@@ -139,7 +147,7 @@ def nested_contours(labelled: DataFrame) -> DataFrame:
     """
     first = labelled.groupBy("image_id", "dark", "part").agg(F.lit(1)).where("part <> -1").select("image_id", "dark", F.floor(F.col("part") / SIDE).cast("int").alias("y"), (F.col("part") % SIDE - 1).cast("int").alias("b"), F.col("part").alias("own"))
     left = labelled.select("image_id", "y", "b", (~F.col("dark")).alias("dark"), F.col("part").alias("left"))
-    beside = first.join(left, ["image_id", "y", "b", "dark"])
+    beside = first.join(_merged(left), ["image_id", "y", "b", "dark"])
     hole = ~F.col("dark")
     return beside.where(hole | (F.col("left") != OUTER)).select("image_id", F.when(hole, F.col("left")).otherwise(F.col("own")).alias("part"), hole.alias("hole"), F.when(hole, F.col("own") - 1).otherwise(F.col("own")).alias("start"), F.when(hole, F.col("own")).otherwise(F.col("own") - 1).alias("outside"))
 
@@ -170,12 +178,12 @@ def contour_tree(labelled: DataFrame) -> DataFrame:
     own = labelled.groupBy("image_id", "dark", "part").agg(F.lit(1)).where(F.col("part") != OUTER).select("image_id", "dark", F.col("part").alias("contour"))
     first = own.withColumns({"y": F.floor(F.col("contour") / SIDE).cast("int"), "b": (F.col("contour") % SIDE - 1).cast("int")})
     left = labelled.select("image_id", "y", "b", (~F.col("dark")).alias("dark"), F.col("part").alias("parent"))
-    told = first.join(left, ["image_id", "y", "b", "dark"], "left").select("image_id", "contour", (~F.col("dark")).alias("hole"), F.when(F.col("parent") != OUTER, F.col("parent")).alias("parent"))
+    told = first.join(_merged(left), ["image_id", "y", "b", "dark"], "left").select("image_id", "contour", (~F.col("dark")).alias("hole"), F.when(F.col("parent") != OUTER, F.col("parent")).alias("parent"))
     rows = settle(told.withColumns({"above": F.col("parent"), "depth": F.col("parent").isNotNull().cast("int")}), "tree")
     while rows.where("above is not null").take(1):
         upper = rows.select("image_id", F.col("contour").alias("above"), F.col("above").alias("_next"), F.col("depth").alias("_more"))
         open_, done = rows.where("above is not null"), rows.where("above is null")
-        moved = open_.join(upper, ["image_id", "above"]).select("image_id", "contour", "hole", "parent", F.col("_next").alias("above"), (F.col("depth") + F.col("_more")).alias("depth"))
+        moved = open_.join(_merged(upper), ["image_id", "above"]).select("image_id", "contour", "hole", "parent", F.col("_next").alias("above"), (F.col("depth") + F.col("_more")).alias("depth"))
         rows = settle(moved.unionByName(done), "tree")
     place = F.row_number().over(Window.partitionBy("image_id", "parent").orderBy("contour")) - 1
     return rows.drop("above").withColumn("place", place)
@@ -249,17 +257,21 @@ def _followed(frames):
 
 
 def labelled_runs(images: DataFrame, level: int = 140) -> DataFrame:
-    """Runs of every image with their connected parts, settled."""
+    """Runs of every image with their connected parts, settled. images are settled first, for they are read twice."""
+    return _labelled(settle(images, "images"), level)
+
+
+def _labelled(images: DataFrame, level: int) -> DataFrame:
     return settle(parts(settle(dark_runs(gray_pixels(images), level), "runs"), images.select("image_id", "height", "width")), "parts")
 
 
 def polygons(images: DataFrame, level: int = 140) -> DataFrame:
     """Simplified nested contours with four corners: image_id, square_id (holes first, then parts, each by their first
     pixel), corners. A task holds the runs of one dark part at a time."""
-    labelled = labelled_runs(images, level)
+    labelled = _labelled(images, level)
     contours = nested_contours(labelled).groupBy("image_id", "part").agg(F.collect_list(F.struct("hole", "start", "outside")).alias("contours"))
-    own = labelled.where("dark").join(contours.select("image_id", "part"), ["image_id", "part"], "left_semi").groupBy("image_id", "part").agg(F.collect_list(F.struct("y", "a", "b")).alias("runs"))
-    found = own.join(contours, ["image_id", "part"]).select("image_id", "runs", "contours").mapInPandas(_followed, f"image_id string, hole boolean, start long, corners {QUAD}")
+    own = labelled.where("dark").join(_merged(contours.select("image_id", "part")), ["image_id", "part"], "left_semi").groupBy("image_id", "part").agg(F.collect_list(F.struct("y", "a", "b")).alias("runs"))
+    found = own.join(_merged(contours), ["image_id", "part"]).select("image_id", "runs", "contours").mapInPandas(_followed, f"image_id string, hole boolean, start long, corners {QUAD}")
     order = Window.partitionBy("image_id").orderBy(F.col("hole").desc(), "start")
     return found.withColumn("square_id", (F.row_number().over(order) - 1).cast("int")).select("image_id", "square_id", "corners")
 
@@ -297,19 +309,19 @@ def refined_corners(squares: DataFrame, pixels: DataFrame, sizes: DataFrame) ->
 
     The pixels about each corner are generated and joined; beyond the image its border goes on.
     """
-    each = squares.select("image_id", "square_id", F.posexplode("corners").alias("pos", "p")).join(sizes, "image_id")
-    span = F.sequence(F.lit(-REACH), F.lit(REACH))
+    each = squares.select("image_id", "square_id", F.posexplode("corners").alias("pos", "p")).join(_merged(sizes), "image_id")
+    span, side = F.sequence(F.lit(-REACH), F.lit(REACH)), 2 * REACH + 1
     spread = each.withColumn("i", F.explode(span)).withColumn("j", F.explode(span))
     inside = lambda v, n: F.least(F.greatest(v.cast("int"), F.lit(0)), F.col(n) - 1)
-    placed = spread.select("image_id", "square_id", "pos", "p", "i", "j", inside(F.col("p.y") + F.col("i"), "height").alias("y"), inside(F.col("p.x") + F.col("j"), "width").alias("x"))
-    patches = placed.join(pixels, ["image_id", "y", "x"]).groupBy("image_id", "square_id", "pos").agg(F.first("p").alias("p"), F.array_sort(F.collect_list(F.struct("i", "j", "v"))).alias("patch"))
+    placed = spread.select("image_id", "square_id", "pos", "p", ((F.col("i") + REACH) * side + F.col("j") + REACH).alias("k"), inside(F.col("p.y") + F.col("i"), "height").alias("y"), inside(F.col("p.x") + F.col("j"), "width").alias("x"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda c: c["v"])  # plain numbers: Python gets no object for each pixel
+    patches = placed.join(_merged(pixels), ["image_id", "y", "x"]).groupBy("image_id", "square_id", "pos").agg(F.first("p").alias("p"), values.alias("patch"))
 
     def run(frames):
         for frame in frames:
             out = []
             for r in frame.itertuples():
-                side = 2 * REACH + 1
-                x, y = np.float32(refined(np.array([c["v"] for c in r.patch]).reshape(side, side)) + [r.p["x"], r.p["y"]])
+                x, y = np.float32(refined(np.asarray(r.patch).reshape(side, side)) + [r.p["x"], r.p["y"]])
                 out.append((r.image_id, r.square_id, r.pos, float(x), float(y)))
             yield pd.DataFrame(out, columns=["image_id", "square_id", "pos", "x", "y"])
 
@@ -321,5 +333,6 @@ def refined_corners(squares: DataFrame, pixels: DataFrame, sizes: DataFrame) ->
 def squares(images: DataFrame, min_area: float = 2000, level: int = 140) -> DataFrame:
     """Squares of each image: convex, larger than min_area, not too long; corners in order, then refined on the gray image."""
     q = F.col("corners")
+    images = settle(images, "images")  # read four times
     found = polygons(images, level).where(quads.is_convex(q) & (quads.area(q) > min_area) & quads.aspect(q).between(0.6, 3))
     return refined_corners(found.withColumn("corners", quads.sort_corners(q)), gray_pixels(images), images.select("image_id", "height", "width"))
