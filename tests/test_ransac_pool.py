@@ -38,3 +38,14 @@ def test_a_hot_camera_and_one_hot_point(spark):
         assert np.abs(mapped(np.array([h[n] for n in ENTRIES[:8]]), src[:300]) - mapped(TRUE, src[:300])).max() < 1
     first = estimate.ransac(points, samples=80).where("camera_id = 'hot'").first().h
     assert np.allclose([first[n] for n in ENTRIES], [found["hot"][n] for n in ENTRIES], rtol=1e-9)
+
+
+def test_python_gets_plain_numbers(spark, monkeypatch):
+    """Pools and candidates reach Python as arrays of doubles, whose size is known, not as an object for each point."""
+    frame, seen = type(spark.range(0)), []
+    plain = frame.mapInPandas
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, *a, **b: seen.append(dict(self.dtypes)) or plain(self, *a, **b))
+    rows = spark.range(200).selectExpr("id % 2 as camera_id", "id * 7 % 31 * 1.0d as src_x", "id * 11 % 37 * 1.0d as src_y", "id * 7 % 31 + 3.0d as dst_x", "id * 11 % 37 - 2.0d as dst_y")
+    found = estimate.ransac(rows, samples=20).collect()
+    assert len(found) == 2 and all(abs(r.h.h02 - 3) < 1e-6 and abs(r.h.h12 + 2) < 1e-6 for r in found)
+    assert {kind for kinds in seen for c, kind in kinds.items() if c in ("pool", "tried", "keep")} == {"array<double>"}

@@ -131,27 +131,29 @@ def ransac(points: DataFrame, samples: int = 200, limit: float = 3.0, seed: int
     passed = hashed.join(F.broadcast(thresholds) if cameras * 32 <= BROADCAST_BYTES else thresholds, "camera_id").where("_r <= _highest")
     distinct = passed.groupBy("camera_id", "_r", *SIDES).agg(F.lit(1)).select("camera_id", "_r", *SIDES)
     ranked = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("camera_id").orderBy("_r", *SIDES))).where(F.col("_n") <= pool)
-    pools = ranked.groupBy("camera_id").agg(F.array_sort(F.collect_list(F.struct("_n", *SIDES))).alias("pool"))  # 4 * samples at most
+    # Pools and candidates travel as plain numbers, one after the other: Python gets no object for each point.
+    numbers = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", *SIDES))), lambda p: F.array(*(p[c] for c in SIDES))))
+    pools = ranked.groupBy("camera_id").agg(numbers.alias("pool"))  # of 4 * samples points at most
 
     def propose(frames):
         for frame in frames:
             found = []
             for rows in frame["pool"]:
-                p = np.array([[x[c] for c in SIDES] for x in rows], float)
+                p = np.asarray(rows, float).reshape(-1, 4)
                 rng, made = np.random.default_rng(seed), []
                 for _ in range(samples if len(p) >= 4 else 0):
                     four = p[rng.choice(len(p), 4, replace=False)]
                     h = _exact(four[:, :2], four[:, 2:])
                     if h is not None:
-                        made.append(h.ravel().tolist())
-                found.append(made)
+                        made.append(h.ravel())
+                found.append(np.concatenate(made) if made else np.zeros(0))
             yield pd.DataFrame({"camera_id": frame["camera_id"], "tried": found})
 
-    tried = settle(pools.mapInPandas(propose, f"camera_id {kind}, tried array<array<double>>").where(F.size("tried") > 0), "tried")
-    count = lambda r, p: _near(np.array([np.asarray(h, float) for h in r.tried]), p, limit).sum(axis=1)
-    counted = _summed(met(tried, marks, cameras), lambda r, p: np.pad(count(r, p).astype(float), (0, samples - len(r.tried))), kind, samples)
+    tried = settle(pools.mapInPandas(propose, f"camera_id {kind}, tried array<double>").where(F.size("tried") > 0), "tried")
+    count = lambda r, p: _near(np.asarray(r.tried, float), p, limit).sum(axis=1)
+    counted = _summed(met(tried, marks, cameras), lambda r, p: np.pad(count(r, p).astype(float), (0, samples - len(r.tried) // 9)), kind, samples)
     best = F.array_max(F.transform("sums", lambda n, i: F.struct(n.alias("n"), (-i).alias("i"))))
     chosen = counted.join(tried, "camera_id").withColumn("_best", best).where("_best.n >= 4")
-    kept = settle(chosen.select("camera_id", F.get("tried", -F.col("_best.i")).alias("keep"), F.lit(float(limit)).alias("limit")), "best")
+    kept = settle(chosen.select("camera_id", F.slice("tried", 1 - 9 * F.col("_best.i"), 9).alias("keep"), F.lit(float(limit)).alias("limit")), "best")
     found = _fitted(marks, lambda more: met(kept if more is None else kept.join(more, "camera_id"), marks, cameras))
     return points.select("camera_id").distinct().join(found, "camera_id", "left")
