@@ -47,6 +47,29 @@ def test_stragglers_that_only_meet_each_other(spark):
     assert near_rows(minhash.near_duplicate_query(spark.createDataFrame(list(texts.items()), SCHEMA))) == brute.near(texts, 3, 85)
 
 
+def test_only_those_with_more_partners_ask_again(spark, monkeypatch):
+    """Texts a little too far apart to be linked: in the last step stand only those that could not name all their partners,
+    and each stands there once for a bucket before it is dealt out."""
+    kept = []
+
+    def settle(df, name="table", real=minhash.settle):
+        found = real(df, name)
+        kept.extend([found] if name == "apart" else [])
+        return found
+
+    monkeypatch.setattr(minhash, "settle", settle)
+    texts = {}
+    for group, size in enumerate((5, 5, 12)):
+        for i in range(size):
+            own = [f"g{group}w{j}" for j in range(200)]
+            own[14 * i : 14 * i + 10] = [f"g{group}own{i}x{j}" for j in range(10)]
+            texts[100 * group + i] = " ".join(own)
+    got = near_rows(minhash.near_duplicate_query(spark.createDataFrame(list(texts.items()), SCHEMA)))
+    assert got == brute.near(texts, 3, 85) and {c for _, c in got.values()} == set(texts)
+    first, last = ([r.id for r in df.collect()] for df in kept)
+    assert {i // 100 for i in first} == {0, 1, 2} and {i // 100 for i in last} == {2} and len(last) < len(first)
+
+
 def test_texts_under_one_id(spark):
     """Rows of one id count as linked, the same way every time."""
     rows = [(1, brute.BODY), (1, brute.PASSAGE), (2, brute.BODY + " tail"), (3, brute.PASSAGE), (4, "something else altogether")]

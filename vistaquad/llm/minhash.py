@@ -6,12 +6,14 @@ link is needed only where it joins two components, so no step emits all pairs of
 
 1. each bucket's smallest id is compared with its members (as many pairs as rows);
 2. of buckets that still span components, each member outside the largest one proposes its best partners elsewhere;
-3. of buckets that still span components, every pair across components whose signatures agree well enough is judged on
-   full sets inside the bucket, until its components are joined.
+3. of buckets that still span components, each member that had more such partners than it proposed asks again: every pair
+   across components whose signatures agree well enough is judged on full sets inside the bucket, until its components are
+   joined. Members that had no more have had all their pairs judged.
 
 Signatures only rule pairs out, by a margin of MARGIN standard deviations; every link is confirmed on full sets.
-In 2 and 3 the members outside a bucket's largest component meet all its members, both dealt out in blocks of at most
-BLOCK, so no task holds an unbounded group, and a bucket with few stragglers costs little however many it holds.
+In 2 the members outside a bucket's largest component, in 3 those that ask again, meet all its members, both dealt out in
+blocks of at most BLOCK, so no task holds an unbounded group, and a bucket with few stragglers costs little however many it
+holds. What is known of a member is joined to it once, before it is dealt out.
 """
 
 import math
@@ -180,8 +182,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sides(frame: pd.DataFrame, count: int) -> tuple:
-    """Of one bucket's pair of blocks: ids, components, sizes and signatures, which rows are stragglers (those outside the
-    bucket's largest component), and which rows they meet. A straggler may stand in both."""
+    """Of one bucket's pair of blocks: ids, components, sizes and signatures, which rows are stragglers (those that look for
+    partners), and which rows they meet. A straggler may stand in both."""
     ids, sizes = (frame[c].to_numpy() for c in ("id", "n"))
     _, comps = np.unique(frame["component"].to_numpy(), return_inverse=True)
     sig = np.frombuffer(b"".join(frame["signature"]), "<u2").reshape(-1, count)
@@ -190,11 +192,12 @@ def _sides(frame: pd.DataFrame, count: int) -> tuple:
 
 
 def _proposer(count: int, cut: float, percent: int, best: int):
-    """For one bucket's pair of blocks: the pairs of each straggler with its `best` likeliest partners in other components."""
+    """For one bucket's pair of blocks: the pairs (a, b) of each straggler with its `best` likeliest partners in other
+    components; and a row with the bucket's band and value, and in a the id, of each that has more partners than that."""
 
     def run(key, frame):
         ids, comps, sizes, sig, a_side, b_side = _sides(frame, count)
-        out = []
+        out, more = [], []
         for i in a_side:
             to = b_side[comps[b_side] != comps[i]]
             to = to[100 * np.minimum(sizes[to], sizes[i]) >= percent * np.maximum(sizes[to], sizes[i])]
@@ -202,8 +205,11 @@ def _proposer(count: int, cut: float, percent: int, best: int):
             ok = np.flatnonzero(share >= cut)
             hit = ids[to[ok[np.argsort(-share[ok], kind="stable")[:best]]]]
             out.append(np.stack([np.minimum(hit, ids[i]), np.maximum(hit, ids[i])]))
+            if len(ok) > best:
+                more.append(ids[i])
         a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        return pd.DataFrame({"a": a, "b": b})
+        pairs = pd.DataFrame({"a": a, "b": b, "band": None, "value": None})
+        return pd.concat([pairs, pd.DataFrame({"a": more, "b": None, "band": key[0], "value": key[1]})]).astype({"a": "Int64", "b": "Int64", "band": "Int32", "value": "Int64"})
 
     return run
 
@@ -284,36 +290,47 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     reached = components(links)
 
     # 2 and 3. What the stars left apart; the smallest id has met all the others of its bucket.
-    def apart(among: DataFrame) -> DataFrame:
-        """The rows of among (band, value, id, n) in buckets that still span components, settled, with the number of
-        blocks of stragglers and of all members."""
-        named = settle(among.select(*bucket, "id", "n").join(reached, "id", "left").select(*bucket, "id", "n", F.coalesce("component", "id").alias("component")), "named")
-        by_component = named.groupBy(*bucket, "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-        held = by_component.groupBy(*bucket).agg(F.count("*").alias("k"), F.sum("c").alias("members"), F.sum("s").alias("size"), F.max(F.struct("c", "s", "component")).alias("main"))
+    def apart(among: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+        """The rows of among (band, value, id, n) in buckets that still span components, settled, with straggler and the
+        number of blocks of stragglers and of all members. Stragglers are the rows of asking (band, value, id), else those
+        outside a bucket's largest component; a bucket without any is left out."""
+        named = among.select(*bucket, "id", "n").join(reached, "id", "left").select(*bucket, "id", "n", F.coalesce("component", "id").alias("component"))
+        asks = F.lit(False) if asking is None else F.coalesce("asks", F.lit(False))
+        if asking is not None:
+            named = named.join(asking.withColumn("asks", F.lit(True)), [*bucket, "id"], "left")
+        named = settle(named.withColumn("asks", asks), "named")
+        by_component = named.groupBy(*bucket, "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.count_if("asks").alias("q"), F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0)).alias("t"))
+        held = by_component.groupBy(*bucket).agg(F.count("*").alias("k"), F.sum("c").alias("members"), F.sum("s").alias("size"), F.sum("q").alias("q"), F.sum("t").alias("t"), F.max(F.struct("c", "s", "component")).alias("main"))
         blocks = lambda c, s: F.ceil(F.greatest(c / F.lit(BLOCK), s / F.lit(BLOCK_SHINGLES))).cast("int")
         members, size, main = F.col("members"), F.col("size"), F.col("main")
-        open_ = held.where("k > 1").select(*bucket, "members", main["component"].alias("largest"), blocks(members - main["c"], size - main["s"]).alias("l_blocks"), blocks(members, size).alias("r_blocks"))
-        return settle(dealt(named, settle(open_, "open"), bucket, hot, n="members"), "apart")
-
-    def meetings(placed: DataFrame) -> DataFrame:
-        """A row for each pair of blocks (l of stragglers, r of all members) that a member takes part in."""
+        few = (members - main["c"], size - main["s"]) if asking is None else (F.col("q"), F.col("t"))
+        open_ = held.where((F.col("k") > 1) & (few[0] > 0)).select(*bucket, "members", main["component"].alias("largest"), blocks(*few).alias("l_blocks"), blocks(members, size).alias("r_blocks"))
+        found = dealt(named, settle(open_, "open"), bucket, hot, n="members")
+        return settle(found.withColumn("straggler", F.col("component") != F.col("largest") if asking is None else F.col("asks")).drop("asks", "largest"), "apart")
+
+    def meetings(placed: DataFrame, known: DataFrame) -> DataFrame:
+        """A row for each pair of blocks (l of stragglers, r of all members) that a member takes part in, with what is known
+        (id and more) of it."""
         at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        columns = [*bucket, "l", "r", "straggler", "id", "n", "component"]
-        one = placed.where("component <> largest").withColumns({"l": at("l_blocks"), "straggler": F.lit(True)}).withColumn("r", every("r_blocks"))
-        other = placed.withColumns({"r": at("r_blocks"), "straggler": F.lit(False)}).withColumn("l", every("l_blocks"))
-        return one.select(columns).union(other.select(columns)).join(sigs, "id")
+        every = lambda n, place: F.transform(F.sequence(F.lit(0), F.col(n) - 1), place)
+        place = lambda l, r, straggler: F.struct(l.alias("l"), r.alias("r"), F.lit(straggler).alias("straggler"))  # noqa: E731, E741
+        one, other = every("r_blocks", lambda r: place(at("l_blocks"), r, True)), every("l_blocks", lambda l: place(l, at("r_blocks"), False))  # noqa: E741
+        dealt_out = F.when(F.col("straggler"), F.concat(one, other)).otherwise(other)
+        met = placed.join(known, "id").withColumn("place", F.explode(dealt_out))
+        return met.select(*bucket, "place.*", "id", "n", "component", *(c for c in known.columns if c != "id"))
 
     group, count = [*bucket, "l", "r"], bands * rows
     left = apart(buckets.where("members > 2 and id <> pivot"))
-    pairs = meetings(left).drop("bands").groupBy(*group).applyInPandas(_proposer(count, cut, percent, 4), "a long, b long").distinct()
-    pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "proposed")
+    proposed = meetings(left, sigs.drop("bands")).groupBy(*group).applyInPandas(_proposer(count, cut, percent, 4), "a long, b long, band int, value long")
+    proposed = settle(proposed.distinct(), "proposed")
+    pairs = settle(proposed.where("band is null").select("a", "b").join(tested, ["a", "b"], "left_anti"), "proposed")
+    asking = proposed.where("band is not null").select(*bucket, F.col("a").alias("id"))
     new = settle(confirmed(*spread(pairs), texts, k, percent), "links")
     if not new.isEmpty():
         links = links.union(new)
         reached = components(links)
-        left = apart(left)  # components only grow, so no other bucket spans several
-    finished = meetings(left).join(texts, "id").groupBy(*group).applyInPandas(_finisher(count, cut, percent, k), "a long, b long")
+    # Components only grow, so no other bucket spans several; and every pair not judged yet has an end that asks again.
+    finished = meetings(apart(left, asking), sigs.join(texts, "id")).groupBy(*group).applyInPandas(_finisher(count, cut, percent, k), "a long, b long")
     new = settle(finished.distinct(), "links")
     if not new.isEmpty():
         reached = components(links.union(new))
