@@ -1,9 +1,10 @@
-"""Refinement by populations: every round, all candidates of all runs are valued over all marks in one Spark job.
+"""Refinement by populations: every round, all candidates of all runs are valued over all marks.
 
 A run is one camera's refinement under one list of levels; its state is a row of bounded size. Marks (quads and anchors)
 are settled once in blocks of at most BLOCK marks of one camera. In a round, blocks meet the candidates of their camera, a
 block's sums by candidate are worked out at once, and Spark adds them up by run and candidate; the states that follow are
-settled, so a lost executor repeats part of one round. A camera of many marks has many blocks, which are dealt out.
+settled, so a lost executor repeats part of one round. A camera of many marks has many blocks, which are dealt out. Where
+a camera has SLOT blocks or fewer, a few of its runs and all its blocks meet in one group, which takes all its rounds there.
 """
 
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from vistaquad.sources.shared import settle
 TURNS = 8  # of a level; each is a probe and a leap, so two rounds
 BLOCK = 2048  # marks of a block
 SLOT, HEAVY = 32, 2000  # blocks of a camera that meet its candidates in one place; cameras beyond that, at most
+TOGETHER = 8  # runs of a camera, about, that take their rounds in one group
 RUN_BYTES, BROADCAST_BYTES = 16_384, 1 << 26  # of a run's candidates at most; of all that are broadcast
 
 STATE = "level int, turn int, leaps boolean, x array<double>, value double, basis array<double>, bounds array<double>, candidates array<array<double>>"
@@ -28,9 +30,11 @@ STATE = "level int, turn int, leaps boolean, x array<double>, value double, basi
 
 @dataclass
 class Marks:
-    """Settled blocks, the slots of the cameras of many blocks (HEAVY rows at most), and how many parts joins are cut into."""
+    """Settled blocks, how many (n) each camera has, the slots of the cameras of many blocks (HEAVY rows at most), and how many
+    parts joins are cut into."""
 
     blocks: DataFrame
+    cameras: DataFrame
     slots: DataFrame
     parts: int
 
@@ -77,7 +81,7 @@ def marks_of(squares: DataFrame | None, anchors: DataFrame) -> Marks:
     total = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slot = max(SLOT, -(-total // HEAVY))
     slots = n.where(F.col("n") > slot).select("camera_id", F.ceil(F.col("n") / slot).alias("slots"))
-    return Marks(found, settle(slots, "slots"), max(parts, total // SLOT))
+    return Marks(found, n, settle(slots, "slots"), max(parts, total // SLOT))
 
 
 def square_values(params: np.ndarray, squares: np.ndarray, size: float, compat: bool = True) -> np.ndarray:
@@ -112,6 +116,16 @@ def anchor_values(params: np.ndarray, anchors: np.ndarray) -> np.ndarray:
         return np.sqrt(((moved[..., :2] / moved[..., 2:] - anchors[None, :, 2:]) ** 2).sum(axis=2)).sum(axis=1)
 
 
+def block_values(params: np.ndarray, weight: float, squares, anchors, size: float, compat: bool = True) -> np.ndarray:
+    """What one block adds to the objective under each row of parameters; infinite where that isn't a number."""
+    total = np.zeros(len(params))
+    if len(squares):
+        total += square_values(params, np.asarray(squares).reshape(-1, 4, 2), size, compat)
+    if len(anchors):
+        total += weight * anchor_values(params, np.asarray(anchors).reshape(-1, 4))
+    return np.where(np.isfinite(total), total, np.inf)
+
+
 def met(asked: DataFrame, marks: Marks, runs: int | None = None) -> DataFrame:
     """Every block with the rows of asked (camera_id and more) of its camera.
 
@@ -136,15 +150,7 @@ def objectives(asked: DataFrame, marks: Marks, by: list, size: float, compat: bo
 
     def valued(frames):
         for frame in frames:
-            sums = []
-            for r in frame.itertuples():
-                params = _listed(r.candidates)
-                total = np.zeros(len(params))
-                if len(r.squares):
-                    total += square_values(params, np.asarray(r.squares).reshape(-1, 4, 2), size, compat)
-                if len(r.anchors):
-                    total += r.weight * anchor_values(params, np.asarray(r.anchors).reshape(-1, 4))
-                sums.append(np.where(np.isfinite(total), total, np.inf))
+            sums = [block_values(_listed(r.candidates), r.weight, r.squares, r.anchors, size, compat) for r in frame.itertuples()]
             yield pd.DataFrame({**{k: frame[k] for k in by}, "values": sums})
 
     kinds = dict(asked.dtypes)
@@ -164,12 +170,47 @@ def _row(state: dict) -> dict:
     return state | {"x": state["x"].tolist(), "basis": state["basis"].ravel().tolist(), "bounds": None if state["bounds"] is None else state["bounds"].ravel().tolist(), "candidates": state["candidates"].tolist()}
 
 
+def _alone(runs: DataFrame, marks: Marks, size: float, by: list, turns: int, compat: bool) -> DataFrame:
+    """optimised for runs of cameras of SLOT blocks or fewer, each group of runs through all its rounds at once."""
+    kinds = dict(runs.dtypes)
+    names = [*by, "x", "value"]
+
+    def through(frame, blocks):
+        out = []
+        for r in frame.itertuples():
+            state = rules.begun(np.asarray(r.x, float), 0, r.stages)
+            while len(state["candidates"]):
+                weight = r.stages[state["level"]]["weight"]
+                values = np.zeros(len(state["candidates"]))
+                for b in blocks.itertuples():
+                    values = values + block_values(state["candidates"], np.nan if weight is None else weight, b.squares, b.anchors, size, compat)
+                state = rules.advanced(state, r.stages, values, turns)
+            out.append({k: getattr(r, k) for k in by} | {"x": state["x"].tolist(), "value": state["value"]})
+        return pd.DataFrame(out, columns=names)
+
+    groups = runs.groupBy("camera_id").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups"))
+    key = ["camera_id", "group"]
+    dealt = runs.join(groups, "camera_id", "left").withColumn("group", F.pmod(F.xxhash64(*by), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
+    blocks = marks.blocks.join(groups, "camera_id").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(*key, "squares", "anchors")
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in by), "x array<double>", "value double"])
+    return dealt.repartition(marks.parts, *key).groupBy(*key).cogroup(blocks.repartition(marks.parts, *key).groupBy(*key)).applyInPandas(through, schema)
+
+
 def optimised(runs: DataFrame, marks: Marks, size: float, by: list, turns: int = TURNS, compat: bool = True) -> DataFrame:
     """by, x (eight parameters) and value (the last level's objective) of each run of runs (by, x, stages).
 
     Each level has `turns` turns, and begins where the one before ended. Runs go on side by side; one with fewer levels
     is through earlier. A run without marks keeps its parameters, moved into its bounds. Methods and bounds must be known.
     """
+    large = settle(marks.cameras.where(F.col("n") > SLOT).select("camera_id"), "large")
+    small = _alone(runs.join(large, "camera_id", "left_anti"), marks, size, by, turns, compat)
+    if large.isEmpty():
+        return small
+    return small.unionByName(_in_rounds(runs.join(large, "camera_id", "left_semi"), marks, size, by, turns, compat))
+
+
+def _in_rounds(runs: DataFrame, marks: Marks, size: float, by: list, turns: int, compat: bool) -> DataFrame:
+    """optimised for runs of any cameras, a job for each round."""
     kinds = dict(runs.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in by), f"stages {STAGES}", STATE])
     names = [*by, "stages", *_row(rules.begun(np.ones(8), 0, [{"method": "Powell", "bounds": "none"}]))]
