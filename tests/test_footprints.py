@@ -37,6 +37,16 @@ def test_pairs_of_random_quads(spark):
     assert (120, 121) in want and footprints.overlapping(df.limit(0), 700, 500).count() == 0
 
 
+def test_pairs_are_judged_once(spark):
+    """No pair is shuffled after it was found, unless a camera has several footprints; those give a pair once, too."""
+    square = lambda x: [(x, 0.0), (x + 200, 0.0), (x + 200, 200.0), (x, 200.0)]
+    df = spark.createDataFrame([(1, square(0.0)), (2, square(50.0)), (3, square(100.0))], QUADS)
+    found = footprints.overlapping(df, 700, 500)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    pairs = [(1, 2), (1, 3), (2, 3)]
+    assert sorted(map(tuple, found.collect())) == pairs == sorted(map(tuple, footprints.overlapping(df.union(df), 700, 500).collect()))
+
+
 def test_a_horizon_has_no_footprint(spark):
     h = {"flat": [1, 0, 5, 0, 1, 7, 0, 0, 1], "tilted": [1, 0, 0, 0, 1, 0, -0.05, 0, 1], "none": None}
     rows = [(n, 10, 30) for n in h]

@@ -1,7 +1,7 @@
 """Views of any number of cameras: which overlap, found by a join over grid cells, and all of them merged in one pass.
 
 A footprint is the quad that an image's corners make under its homography, cut to the canvas by cells only. Views that
-share a cell are candidates; the separating axes of two convex quads decide. No pair is named and none is compared that
+share a cell are candidates, judged in the first they share; the separating axes of two convex quads decide. No pair is named and none is compared that
 shares no cell.
 """
 
@@ -25,16 +25,16 @@ def footprints(images: DataFrame, homographies: DataFrame) -> DataFrame:
     return rows.where((F.least(*w) > 0) | (F.greatest(*w) < 0)).select("camera_id", corners.alias("corners"))
 
 
-def _separated(one: str, other: str) -> Column:
-    """Whether a side of quad `one` has all of `other` strictly beyond it."""
+def _separated(one: list, other: list) -> Column:
+    """Whether a side of quad `one` has all of `other` strictly beyond it; quads are lists of four (x, y)."""
 
-    def apart(k: Column) -> Column:
-        p, q = F.get(one, k), F.get(one, F.pmod(k + 1, F.lit(4)))
-        along = lambda quad: F.transform(quad, lambda c: c["x"] * (q["y"] - p["y"]) + c["y"] * (p["x"] - q["x"]))
+    def apart(k: int) -> Column:
+        p, q = one[k], one[(k + 1) % 4]
+        along = lambda quad: [x * (q[1] - p[1]) + y * (p[0] - q[0]) for x, y in quad]
         a, b = along(one), along(other)
-        return (F.array_max(a) < F.array_min(b)) | (F.array_max(b) < F.array_min(a))
+        return (F.greatest(*a) < F.least(*b)) | (F.greatest(*b) < F.least(*a))
 
-    return F.exists(F.sequence(F.lit(0), F.lit(3)), apart)
+    return apart(0) | apart(1) | apart(2) | apart(3)
 
 
 def overlapping(quads: DataFrame, width: int, height: int, cell: int = CELL) -> DataFrame:
@@ -45,11 +45,17 @@ def overlapping(quads: DataFrame, width: int, height: int, cell: int = CELL) ->
     box = lambda f: (F.array_min(F.transform("corners", lambda p: p[f])), F.array_max(F.transform("corners", lambda p: p[f])))
     (x0, x1), (y0, y1) = box("x"), box("y")
     shown = quads.where((x1 >= 0) & (x0 <= width - 1) & (y1 >= 0) & (y0 <= height - 1)).select("camera_id", "corners")
-    cells = shown.withColumn("cy", F.explode(F.sequence(low("y", (height - 1) // cell), high("y", (height - 1) // cell)))).withColumn("cx", F.explode(F.sequence(low("x", (width - 1) // cell), high("x", (width - 1) // cell))))
-    one = cells.select(F.col("camera_id").alias("first"), F.col("corners").alias("a"), "cy", "cx")
-    other = cells.select(F.col("camera_id").alias("second"), F.col("corners").alias("b"), "cy", "cx")
-    met = one.join(other, ["cy", "cx"]).where(F.col("first") < F.col("second"))
-    return met.where(~_separated("a", "b") & ~_separated("b", "a")).select("first", "second").distinct()
+    lows = [low(f, (n - 1) // cell).alias(f"low_{f}") for f, n in (("y", height), ("x", width))]
+    highs = [high(f, (n - 1) // cell).alias(f"high_{f}") for f, n in (("y", height), ("x", width))]
+    flat = [F.get("corners", F.lit(k))[f].alias(f"{f}{k}") for k in range(4) for f in "xy"]
+    cells = shown.select("camera_id", *flat, *lows, *highs).withColumn("cy", F.explode(F.sequence("low_y", "high_y"))).withColumn("cx", F.explode(F.sequence("low_x", "high_x")))
+    named = lambda n: cells.select("cy", "cx", *(F.col(c).alias(f"{c}_{n}") for c in cells.columns if c not in ("cy", "cx")))
+    quad = lambda n: [(F.col(f"x{k}_{n}"), F.col(f"y{k}_{n}")) for k in range(4)]
+    once = (F.col("cy") == F.greatest("low_y_1", "low_y_2")) & (F.col("cx") == F.greatest("low_x_1", "low_x_2"))  # the first cell that both have
+    met = named(1).join(named(2), ["cy", "cx"]).where((F.col("camera_id_1") < F.col("camera_id_2")) & once)
+    found = met.where(~_separated(quad(1), quad(2)) & ~_separated(quad(2), quad(1))).select(F.col("camera_id_1").alias("first"), F.col("camera_id_2").alias("second"))
+    repeated = shown.groupBy("camera_id").count().where("count > 1")
+    return found if repeated.isEmpty() else found.distinct()
 
 
 def mosaic(pixels: DataFrame, channels: list, by: tuple = (), level: int = 10) -> DataFrame:
