@@ -142,3 +142,34 @@ def test_contamination_by_a_hot_passage(spark, monkeypatch):
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     want = con.sql(decontaminate.CONTAMINATION_SQL).select(*columns).fetchall()
     assert sorted(map(tuple, decontaminate.contamination_query(docs, items).select(columns).collect())) == sorted(want)
+
+
+def names_settled(monkeypatch):
+    names = []
+
+    def settle(df, name="table", real=minhash.settle):
+        names.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(minhash, "settle", settle)
+    return names
+
+
+def test_stars_take_one_round(spark, monkeypatch):
+    """Links that are stars after one round need no other to see it; chains and merged stars end as before."""
+    names = names_settled(monkeypatch)
+    star = [(1, b) for b in range(2, 30)] + [(100, b) for b in range(101, 110)] + [(7, 7)]
+    found = {(r.id, r.component) for r in minhash.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert found == {(b, a) for a, b in star if a != b} and names == ["edges"]
+    chain = [(i, i + 1) for i in range(40)] + [(50, 40), (50, 60), (61, 60), (70, 71), (71, 70)]
+    found = {r.id: r.component for r in minhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert found == {i: 0 for i in (*range(1, 41), 50, 60, 61)} | {71: 70}
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_steps_without_members_are_left_out(spark, monkeypatch):
+    """Copies that their bucket's smallest id joins: nothing is proposed, named again or split by hot keys."""
+    names = names_settled(monkeypatch)
+    texts = {10 * group + i: " ".join([*(f"g{group}w{j}" for j in range(100)), *["end"] * i]) for group in range(3) for i in range(3)}
+    assert near_rows(minhash.near_duplicate_query(spark.createDataFrame(list(texts.items()), SCHEMA))) == brute.near(texts, 3, 85)
+    assert names.count("edges") == 1 and names.count("apart") == 1 and "proposed" not in names

@@ -28,12 +28,21 @@ def hot_from(total: int) -> int:
     return max(HOT_LEAST, total // HOT_KEYS)
 
 
-def dealt(rows: DataFrame, keyed: DataFrame, key: list, least: int, how: str = "inner", n: str = "n") -> DataFrame:
+def hot_in(keyed: DataFrame, n: str = "n") -> int | None:
+    """hot_from of all the rows that keyed (a row for each key, n: its rows) stands for; None if no key has more than that."""
+    total, most = keyed.agg(F.sum(n), F.max(n)).first()
+    least = hot_from(total or 0)
+    return least if most is not None and most > least else None
+
+
+def dealt(rows: DataFrame, keyed: DataFrame, key: list, least: int | None, how: str = "inner", n: str = "n") -> DataFrame:
     """rows joined with keyed, which has one row for each key and in n how many of rows hold it (how: inner, left, left_semi).
 
     Hot keys, those of more than `least` rows, are joined by broadcast (see HOT_KEYS), so their rows stay where they are;
-    the others are shuffled by key. keyed is read twice: settle it first.
+    the others are shuffled by key. keyed is read twice: settle it first. With least None (no key is hot) all are shuffled.
     """
+    if least is None:
+        return rows.join(keyed, key, how)
     hot = F.broadcast(keyed.where(F.col(n) > least))
     cold = rows.join(hot.select(*key), key, "left_anti").join(keyed.where(F.col(n) <= least), key, how)
     return rows.join(hot, key, "left_semi" if how == "left_semi" else "inner").union(cold)

@@ -14,6 +14,9 @@ Signatures only rule pairs out, by a margin of MARGIN standard deviations; every
 In 2 the members outside a bucket's largest component, in 3 those that ask again, meet all its members, both dealt out in
 blocks of at most BLOCK, so no task holds an unbounded group, and a bucket with few stragglers costs little however many it
 holds. What is known of a member is joined to it once, before it is dealt out.
+
+The driver plans and schedules every exchange, so none is made for nothing: a step that nobody takes part in is left out,
+joins are split by hot keys only where there are some, and components grow from those that are known.
 """
 
 import math
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaquad.llm.common import WordHashes, dealt, hot_from, settle, shingle_hashes, space_words, utf8
+from vistaquad.llm.common import WordHashes, dealt, hot_from, hot_in, settle, shingle_hashes, space_words, utf8
 
 ROWS = 6  # hash minima in a band
 MARGIN = 4.5
@@ -131,33 +134,39 @@ def _confirmer(k: int, percent: int):
     return run
 
 
-def spread(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def spread(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """pairs (a, b), settled, with a block (by b) of the pairs of one a; and busy: of each a of more than BLOCK pairs, n (how
-    many) and blocks, of about BLOCK pairs. So no task has to hold all pairs of an id that very many others meet."""
+    many) and blocks, of about BLOCK pairs; None if there is none. So no task has to hold all pairs of an id that very many
+    others meet."""
     count = pairs.groupBy("a").agg(F.count("*").alias("n"))
     busy = settle(count.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "busy")
-    hot = hot_from(busy.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    total = busy.agg(F.sum("n")).first()[0]
+    if total is None:
+        return pairs.select("a", "b", F.lit(0).alias("block")), None
+    hot = hot_from(total)
     block = F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")
     return dealt(pairs.select("a", "b"), busy, ["a"], hot, "left").select("a", "b", block), busy
 
 
-def with_first(pairs: DataFrame, busy: DataFrame, rows: DataFrame) -> DataFrame:
+def with_first(pairs: DataFrame, busy: DataFrame | None, rows: DataFrame) -> DataFrame:
     """pairs (a, b, block) joined with what rows (a, more) hold of a, of which there is a copy for each block."""
+    if busy is None:
+        return pairs.join(rows, "a")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
     return pairs.join(rows.join(busy.select("a", "blocks"), "a", "left").select(*rows.columns, copies), ["a", "block"])
 
 
-def confirmed(pairs: DataFrame, busy: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, busy: DataFrame | None, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that hold on full sets. pairs, busy: see spread; texts: id, text."""
     one, other = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     return with_first(pairs.join(other, "b"), busy, one).select("a", "b", "ta", "tb").mapInArrow(_confirmer(k, percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b): id and component, its smallest id, for every id that has a link.
+    """Connected components of links (a, b), settled: id and component, its smallest id, for every id that has a link.
 
-    Large-star joins each node's larger neighbours to its smallest one, small-star its smaller ones; in turn, until the
-    links no longer change. Both aggregate before they shuffle, and each round is settled.
+    Large-star joins each node's larger neighbours to its smallest one, small-star its smaller ones; in turn, until nothing
+    but stars is left. Both aggregate before they shuffle, and each round is settled.
     """
 
     def star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -171,14 +180,13 @@ def components(links: DataFrame) -> DataFrame:
             return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
-    edges = settle(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     while True:
         edges = settle(star(star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
+        # Each link leads from the larger id to the smaller: stars, if nobody has two links down, or one down and one up.
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if not ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).agg(F.count_if(F.expr("down > 1 or down > 0 and up > 0"))).first()[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
 
 
 def _sides(frame: pd.DataFrame, count: int) -> tuple:
@@ -273,12 +281,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows_of = reps.select("id", "n", F.posexplode("bands").alias("band", "value"))
     bucket = ["band", "value"]
     shared = settle(rows_of.groupBy(*bucket).agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("pivot")).where("members > 1"), "shared")
-    hot = hot_from(shared.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
+    hot = hot_in(shared, "members")
     buckets = settle(dealt(rows_of, shared, bucket, hot, n="members").select(*bucket, "members", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
-    wanted = reps.select("id", "text_key").join(buckets.select("id").distinct(), "id", "left_semi")
+    sigs = settle(reps.select("id", "text_key", "signature", "bands").join(buckets.select("id").distinct(), "id", "left_semi"), "signatures")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text"), F.xxhash64(utf8(text_column)).alias("text_key"))
-    texts = settle(texts.join(wanted, ["id", "text_key"], "left_semi").select("id", "text").dropDuplicates(["id"]), "texts")
-    sigs = settle(reps.select("id", "signature", "bands").join(wanted, "id", "left_semi"), "signatures")
+    texts = settle(texts.join(sigs.select("id", "text_key"), ["id", "text_key"], "left_semi").select("id", "text").dropDuplicates(["id"]), "texts")
+    sigs = sigs.drop("text_key")
 
     # 1. Each bucket's smallest id against its members.
     fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
@@ -321,23 +329,23 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     group, count = [*bucket, "l", "r"], bands * rows
     left = apart(buckets.where("members > 2 and id <> pivot"))
-    proposed = meetings(left, sigs.drop("bands")).groupBy(*group).applyInPandas(_proposer(count, cut, percent, 4), "a long, b long, band int, value long")
-    proposed = settle(proposed.distinct(), "proposed")
-    pairs = settle(proposed.where("band is null").select("a", "b").join(tested, ["a", "b"], "left_anti"), "proposed")
-    asking = proposed.where("band is not null").select(*bucket, F.col("a").alias("id"))
-    new = settle(confirmed(*spread(pairs), texts, k, percent), "links")
-    if not new.isEmpty():
-        links = links.union(new)
-        reached = components(links)
-    # Components only grow, so no other bucket spans several; and every pair not judged yet has an end that asks again.
-    finished = meetings(apart(left, asking), sigs.join(texts, "id")).groupBy(*group).applyInPandas(_finisher(count, cut, percent, k), "a long, b long")
-    new = settle(finished.distinct(), "links")
-    if not new.isEmpty():
-        reached = components(links.union(new))
+    more = lambda new: components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new)) if not new.isEmpty() else reached
+    naming = asks = 0
+    if not left.isEmpty():
+        proposed = meetings(left, sigs.drop("bands")).groupBy(*group).applyInPandas(_proposer(count, cut, percent, 4), "a long, b long, band int, value long")
+        proposed = settle(proposed.distinct(), "proposed")
+        naming, asks = proposed.agg(F.count_if(F.col("band").isNull()), F.count_if(F.col("band").isNotNull())).first()
+    if naming:
+        pairs = settle(proposed.where("band is null").select("a", "b").join(tested, ["a", "b"], "left_anti"), "proposed")
+        reached = more(settle(confirmed(*spread(pairs), texts, k, percent), "links"))
+    if asks:
+        # Components only grow, so no other bucket spans several; and every pair not judged yet has an end that asks again.
+        asking = proposed.where("band is not null").select(*bucket, F.col("a").alias("id"))
+        finished = meetings(apart(left, asking), sigs.join(texts, "id")).groupBy(*group).applyInPandas(_finisher(count, cut, percent, k), "a long, b long")
+        reached = more(settle(finished.distinct(), "links"))
 
     by_rep = settle(classes.join(reached, F.col("rep") == F.col("id"), "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component")), "by_rep")
-    rows_in = by_rep.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    return dealt(signed.select("id", "n", "set_key"), by_rep, ["set_key"], hot_from(rows_in), "left", n="copies").select("id", "n", F.coalesce("component", "id").alias("component"))
+    return dealt(signed.select("id", "n", "set_key"), by_rep, ["set_key"], hot_in(by_rep, "copies"), "left", n="copies").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def near_duplicate_query(docs: DataFrame) -> DataFrame:
