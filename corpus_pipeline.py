@@ -16,7 +16,7 @@ from vistaquad.llm.toxicity import fit_toxicity, without_toxic
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

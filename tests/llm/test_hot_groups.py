@@ -5,6 +5,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from vistaquad.llm import common, exact, minhash, suffix
 
@@ -173,3 +174,36 @@ def test_steps_without_members_are_left_out(spark, monkeypatch):
     texts = {10 * group + i: " ".join([*(f"g{group}w{j}" for j in range(100)), *["end"] * i]) for group in range(3) for i in range(3)}
     assert near_rows(minhash.near_duplicate_query(spark.createDataFrame(list(texts.items()), SCHEMA))) == brute.near(texts, 3, 85)
     assert names.count("edges") == 1 and names.count("apart") == 1 and "proposed" not in names
+
+
+def test_rounds_of_stars_plan_few_exchanges(spark, monkeypatch):
+    """A round plans seven exchanges and four scans (eleven and twelve before), and repeated links and chains end right."""
+    plans = []
+
+    def settle(df, name="table", real=minhash.settle):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(minhash, "settle", settle)
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] * 2 + [(500 + i, 501 + i) for i in range(20)]
+    least = {i: i for link in links for i in link if link[0] != link[1]}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    settled = common.settle(spark.createDataFrame(links, "a long, b long"), "links")
+    found = {r.id: r.component for r in minhash.components(settled).collect()}
+    assert found == {i: least[i] for i in least if least[i] != i}
+    assert len(plans) > 1 and all(plan.count("Exchange hashpartitioning") <= 7 and plan.count("FileScan") <= 4 for plan in plans)
+
+
+def test_busy_ids_that_are_all_hot_shuffle_no_pair(spark):
+    """Pairs of ids of more than BLOCK pairs are told their block where they are; every pair has one, in range."""
+    pairs = spark.range(3 * minhash.BLOCK + 7).select((F.col("id") % 3).alias("a"), F.col("id").alias("b")).where("a < 2 or b < 50")
+    dealt, busy = minhash.spread(common.settle(pairs.union(pairs.selectExpr("a", "b + 10000")), "met"))
+    blocks = {r.a: r.blocks for r in busy.collect()}
+    rows = dealt.collect()
+    assert blocks == {0: 3, 1: 3} and len({(r.a, r.b) for r in rows}) == len(rows) == 2 * pairs.count()
+    assert all({r.block for r in rows if r.a == a} == set(range(blocks.get(a, 1))) for a in (0, 1, 2))
+    assert "Exchange hashpartitioning" not in dealt._jdf.queryExecution().executedPlan().toString()

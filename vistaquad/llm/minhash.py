@@ -145,6 +145,8 @@ def spread(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         return pairs.select("a", "b", F.lit(0).alias("block")), None
     hot = hot_from(total)
     block = F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")
+    if hot <= BLOCK:  # every busy id is hot, so they are few (see HOT_KEYS), and no pair is shuffled
+        return pairs.select("a", "b").join(F.broadcast(busy), "a", "left").select("a", "b", block), busy
     return dealt(pairs.select("a", "b"), busy, ["a"], hot, "left").select("a", "b", block), busy
 
 
@@ -166,25 +168,25 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b), settled: id and component, its smallest id, for every id that has a link.
 
     Large-star joins each node's larger neighbours to its smallest one, small-star its smaller ones; in turn, until nothing
-    but stars is left. Both aggregate before they shuffle, and each round is settled.
+    but stars is left. Both aggregate before they shuffle, and each round is settled. Small-star reads large-star twice, so
+    that has as few exchanges and scans as can be: both ways of a link come from one row, and links that it repeats are
+    left to small-star.
     """
 
     def star(edges: DataFrame, larger: bool) -> DataFrame:
+        both = lambda *ends: F.explode(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ends))).alias("e")
+        around = edges.select(both(("u", "v"), ("v", "u"))).select("e.*") if larger else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        joined = around.join(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
         if larger:
-            around = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
-        else:
-            around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = around.join(least, "u")
-        if larger:
-            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return joined.select(both(("v", "m"), ("u", "m"))).select("e.*").where("u <> v").distinct()
 
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     while True:
         edges = settle(star(star(edges, True), False), "edges")
         # Each link leads from the larger id to the smaller: stars, if nobody has two links down, or one down and one up.
-        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+        end = lambda name, down: F.struct(F.col(name).alias("id"), F.lit(down).alias("down"), F.lit(1 - down).alias("up"))
+        ends = edges.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).select("e.*")
         if not ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).agg(F.count_if(F.expr("down > 1 or down > 0 and up > 0"))).first()[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
