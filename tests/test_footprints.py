@@ -91,3 +91,20 @@ def test_three_cameras(spark):
     order = images.select("image_id", (-F.substring("image_id", 2, 1).cast("int")).alias("pos"))
     whole = calibrate.mosaic(seen, order).groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("x")).collect()
     assert {(r.g, r.n, r.x) for r in whole} == {(60, 1400, 0), (120, 1400, 35), (180, 2000, 70)}
+
+
+def test_pairs_are_dealt_out_and_compiled(spark):
+    """The join of pairs broadcasts nothing and has more than one task; the JVM compiles no method of over 8000 bytes."""
+    import re
+
+    rows = [(k, [(k % 7 + x, k % 5 + y) for x, y in ((0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0))]) for k in range(300)]  # all in one cell
+    found = footprints.overlapping(spark.createDataFrame(rows, QUADS).coalesce(1), 700, 500)
+    assert found.count() == 300 * 299 // 2 and found.select(F.spark_partition_id()).distinct().count() > 1
+    assert "BroadcastExchange" not in found._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = found.selectExpr("*")._jdf.queryExecution()
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(plan, "codegen"))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) <= 8000

@@ -1,17 +1,20 @@
 """Views of any number of cameras: which overlap, found by a join over grid cells, and all of them merged in one pass.
 
 A footprint is the quad that an image's corners make under its homography, cut to the canvas by cells only. Views that
-share a cell are candidates, judged in the first they share; the separating axes of two convex quads decide. No pair is named and none is compared that
-shares no cell.
+share a cell are candidates, judged in the first they share; the separating axes of two convex quads decide. No pair is
+named and none is compared that shares no cell.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaquad.functions.geometry import project
 from vistaquad.operators.raster import non_black
+from vistaquad.sources.shared import settle
 
 CELL = 64  # pixels of a grid cell's side
+LEAST_BLOCKS, PER_BLOCK = 4, 16_384  # that those of a cell are dealt into, at least; views, about, for each beyond that
+SLACK = 1.0  # pixels by which boxes may be apart and still be judged by their sides: what touches is told by those alone
 
 
 def footprints(images: DataFrame, homographies: DataFrame) -> DataFrame:
@@ -25,37 +28,67 @@ def footprints(images: DataFrame, homographies: DataFrame) -> DataFrame:
     return rows.where((F.least(*w) > 0) | (F.greatest(*w) < 0)).select("camera_id", corners.alias("corners"))
 
 
-def _separated(one: list, other: list) -> Column:
-    """Whether a side of quad `one` has all of `other` strictly beyond it; quads are lists of four (x, y)."""
+XY = [f"{f}{k}" for k in range(4) for f in "xy"]  # a quad as plain columns
 
-    def apart(k: int) -> Column:
-        p, q = one[k], one[(k + 1) % 4]
-        along = lambda quad: [x * (q[1] - p[1]) + y * (p[0] - q[0]) for x, y in quad]
-        a, b = along(one), along(other)
-        return (F.greatest(*a) < F.least(*b)) | (F.greatest(*b) < F.least(*a))
+# Formulas are SQL text below: one expression for Spark to take, not hundreds of calls, and small enough to be compiled.
 
-    return apart(0) | apart(1) | apart(2) | apart(3)
+
+def _listed(function: str, items) -> str:
+    return f"{function}({', '.join(items)})"
+
+
+def _along(k: int, side: str = "", quad: str = "") -> list:
+    """Where the corners of a quad lie along the normal of side k; side and quad are what column names end in."""
+    return [f"x{i}{quad} * nx{k}{side} + y{i}{quad} * ny{k}{side}" for i in range(4)]
+
+
+def _beyond(one: str, other: str) -> str:
+    """Whether a side of quad one has all of the other strictly beyond it, or all of it strictly behind quad one."""
+    return " or ".join(f"hi{k}{one} < {_listed('least', _along(k, one, other))} or {_listed('greatest', _along(k, one, other))} < lo{k}{one}" for k in range(4))
+
+
+def _sided(views: DataFrame, keys: list, end: str) -> DataFrame:
+    """views with the normal (nx, ny) of each side, how far the quad itself reaches along it (lo, hi) and its box; names,
+    but for those of keys, have end. Worked out once for each view, not for each pair."""
+    there = [f"coalesce({c}, 0D) as {c}" for c in XY]  # none is null, but Spark can't know it
+    normals = [n for k in range(4) for n in (f"y{(k + 1) % 4} - y{k} as nx{k}", f"x{k} - x{(k + 1) % 4} as ny{k}")]
+    reach = [f"{_listed(f, _along(k))} as {n}{k}" for k in range(4) for n, f in (("lo", "least"), ("hi", "greatest"))]
+    box = [f"{_listed(f, [f'{c}{k}' for k in range(4)])} {more} as {c}_{n}" for c in "xy" for n, f, more in (("min", "least", ""), ("max", "greatest", f"+ {SLACK}D"))]
+    kept = [c for c in views.columns if c not in XY]
+    rows = views.selectExpr(*kept, *there).selectExpr("*", *normals).selectExpr("*", *reach, *box)
+    return rows.toDF(*(c if c in keys else c + end for c in rows.columns))
 
 
 def overlapping(quads: DataFrame, width: int, height: int, cell: int = CELL) -> DataFrame:
     """first and second (camera_id, the smaller first) of every two footprints that touch or overlap, on the canvas at least
-    by their bounding boxes. quads: camera_id, corners (convex). One row for each pair; nulls and quads off the canvas have none."""
-    low = lambda f, most: F.least(F.greatest(F.floor(F.array_min(F.transform("corners", lambda p: p[f])) / cell), F.lit(0)), F.lit(most)).cast("int")
-    high = lambda f, most: F.least(F.greatest(F.floor(F.array_max(F.transform("corners", lambda p: p[f])) / cell), F.lit(0)), F.lit(most)).cast("int")
-    box = lambda f: (F.array_min(F.transform("corners", lambda p: p[f])), F.array_max(F.transform("corners", lambda p: p[f])))
-    (x0, x1), (y0, y1) = box("x"), box("y")
-    shown = quads.where((x1 >= 0) & (x0 <= width - 1) & (y1 >= 0) & (y0 <= height - 1)).select("camera_id", "corners")
-    lows = [low(f, (n - 1) // cell).alias(f"low_{f}") for f, n in (("y", height), ("x", width))]
-    highs = [high(f, (n - 1) // cell).alias(f"high_{f}") for f, n in (("y", height), ("x", width))]
-    flat = [F.get("corners", F.lit(k))[f].alias(f"{f}{k}") for k in range(4) for f in "xy"]
-    cells = shown.select("camera_id", *flat, *lows, *highs).withColumn("cy", F.explode(F.sequence("low_y", "high_y"))).withColumn("cx", F.explode(F.sequence("low_x", "high_x")))
-    named = lambda n: cells.select("cy", "cx", *(F.col(c).alias(f"{c}_{n}") for c in cells.columns if c not in ("cy", "cx")))
-    quad = lambda n: [(F.col(f"x{k}_{n}"), F.col(f"y{k}_{n}")) for k in range(4)]
-    once = (F.col("cy") == F.greatest("low_y_1", "low_y_2")) & (F.col("cx") == F.greatest("low_x_1", "low_x_2"))  # the first cell that both have
-    met = named(1).join(named(2), ["cy", "cx"]).where((F.col("camera_id_1") < F.col("camera_id_2")) & once)
-    found = met.where(~_separated(quad(1), quad(2)) & ~_separated(quad(2), quad(1))).select(F.col("camera_id_1").alias("first"), F.col("camera_id_2").alias("second"))
-    repeated = shown.groupBy("camera_id").count().where("count > 1")
-    return found if repeated.isEmpty() else found.distinct()
+    by their bounding boxes. quads: camera_id, corners (convex). One row for each pair; nulls and quads off the canvas have none.
+
+    Each pair meets in one place, the first cell that both have: either it is the first of one of them, its home, or it is
+    in the first row of cells of one and in the first column of the other. Those at home in a cell, and those in its first
+    column, are dealt into blocks, and the others of the cell are sent to each block: a full cell is spread over tasks.
+    """
+    spark = quads.sparkSession
+    flat = quads.where("corners is not null").selectExpr("camera_id", *(f"cast(get(corners, {k}).{f} as double) as {f}{k}" for k in range(4) for f in "xy"))
+    views = settle(flat, "views").dropna()  # else the corners are worked out anew wherever one is named
+    ends = {f"{n}_{c}": _listed(f, [f"{c}{k}" for k in range(4)]) for c in "yx" for n, f in (("low", "least"), ("high", "greatest"))}
+    shown = views.where(f"{ends['high_x']} >= 0 and {ends['low_x']} <= {width - 1} and {ends['high_y']} >= 0 and {ends['low_y']} <= {height - 1}")
+    total, most = shown.groupBy("camera_id").count().selectExpr("coalesce(sum(count), 0)", "coalesce(max(count), 0)").first()
+    blocks = max(LEAST_BLOCKS, total // PER_BLOCK)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    last = {"y": (height - 1) // cell, "x": (width - 1) // cell}
+    celled = [f"cast(least(greatest(floor({e} / {cell}), 0), {last[n[-1]]}) as int) as {n}" for n, e in ends.items()]
+    cells = shown.selectExpr("*", *celled).selectExpr("*", "explode(sequence(low_y, high_y)) as cy").selectExpr("*", "explode(sequence(low_x, high_x)) as cx", "cy = low_y as top")
+    cells = cells.selectExpr("cy", "cx", "top", "cx = low_x as left", "camera_id", *XY)
+    key = ["cy", "cx", "home", "block"]
+    dealt = cells.where("left").selectExpr("cy", "cx", "top as home", f"cast(pmod(xxhash64(camera_id), {blocks}) as int) as block", "camera_id", *XY)
+    met = "explode(if(top and not left, array(true, false), array(true))) as home"  # those at home, and those in the first column
+    sent = cells.selectExpr("cy", "cx", met, "camera_id", *XY, "top and left as both").selectExpr("*", f"explode(sequence(0, {blocks - 1})) as block")
+    one, two = (_sided(rows.repartition(parts, *key), key, end) for rows, end in ((sent, "_1"), (dealt, "_2")))
+    near = " and ".join(f"{c}_min{a} <= {c}_max{b}" for c in "xy" for a, b in (("_1", "_2"), ("_2", "_1")))
+    once = "(camera_id_1 < camera_id_2 or (not both_1 and camera_id_1 <> camera_id_2))"
+    found = one.join(two.hint("merge"), key).where(f"{once} and {near} and not ({_beyond('_1', '_2')}) and not ({_beyond('_2', '_1')})")
+    found = found.selectExpr("least(camera_id_1, camera_id_2) as first", "greatest(camera_id_1, camera_id_2) as second")
+    return found.distinct() if most > 1 else found
 
 
 def mosaic(pixels: DataFrame, channels: list, by: tuple = (), level: int = 10) -> DataFrame:
