@@ -4,7 +4,8 @@ A run is one camera's refinement under one list of levels; its state is a row of
 are settled once in blocks of at most BLOCK marks of one camera. In a round, blocks meet the candidates of their camera, a
 block's sums by candidate are worked out at once, and Spark adds them up by run and candidate; the states that follow are
 settled, so a lost executor repeats part of one round. A camera of many marks has many blocks, which are dealt out. Where
-a camera has SLOT blocks or fewer, a few of its runs and all its blocks meet in one group, which takes all its rounds there.
+a camera has SLOT blocks or fewer, a few of its runs and all its blocks meet in one group, with those of a few other such
+cameras, which takes all its rounds there.
 """
 
 from dataclasses import dataclass
@@ -22,7 +23,8 @@ from vistaquad.sources.shared import settle
 TURNS = 8  # of a level; each is a probe and a leap, so two rounds
 BLOCK = 2048  # marks of a block
 SLOT, HEAVY = 32, 2000  # blocks of a camera that meet its candidates in one place; cameras beyond that, at most
-TOGETHER = 8  # runs of a camera, about, that take their rounds in one group
+TOGETHER, BUCKET = 8, 16  # runs of a camera, about, that take their rounds side by side; cameras, about, of one group of rows
+CHUNK = 3840  # quads that are valued at once, where blocks are smaller
 RUN_BYTES, BROADCAST_BYTES = 16_384, 1 << 26  # of a run's candidates at most; of all that are broadcast
 
 STATE = "level int, turn int, leaps boolean, x array<double>, value double, basis array<double>, bounds array<double>, candidates array<array<double>>"
@@ -84,46 +86,118 @@ def marks_of(squares: DataFrame | None, anchors: DataFrame) -> Marks:
     return Marks(found, n, settle(slots, "slots"), max(parts, total // SLOT))
 
 
-def square_values(params: np.ndarray, squares: np.ndarray, size: float, compat: bool = True) -> np.ndarray:
-    """Sum of square metrics (see quads.metric) of n x 4 x 2 quads under each row of eight parameters. What turning a quad
-    about its first vertex gives is told by dot and cross products with its first side."""
-    h = np.column_stack([params, np.ones(len(params))]).reshape(-1, 1, 3, 3)
-    corners = np.concatenate([squares, np.ones((*squares.shape[:2], 1))], axis=2)[None]
-    moved = corners @ h[:, 0].transpose(0, 2, 1)[:, None]
-    w = moved[..., 2:]
-    with np.errstate(all="ignore"):
-        q = np.where(np.abs(w) > EPSILON, moved[..., :2] / w, 0.0).astype(np.float32).astype(float)
-        x, y = q[..., 0], q[..., 1]
-        first = np.where(y == y.min(axis=2, keepdims=True), x, np.inf).argmin(axis=2)  # the topmost, of equals the leftmost
-        q = np.take_along_axis(q, ((first[..., None] + np.arange(4)) % 4)[..., None], axis=2)
-        b, c, d = (q[:, :, i] - q[:, :, 0] for i in (1, 2, 3))
-        side = np.sqrt((b**2).sum(axis=2))
-        turn = np.where(side[..., None] > 0, b / np.where(side > 0, side, 1)[..., None], [1.0, 0.0])
-        along = lambda p: (p[..., 0] * turn[..., 0] + p[..., 1] * turn[..., 1], p[..., 1] * turn[..., 0] - p[..., 0] * turn[..., 1])
-        off = lambda p, x, y: np.sqrt((p[0] - x) ** 2 + (p[1] - y) ** 2)
-        if compat:
-            apart = off((side, 0.0), size, size) + off(along(c), size, 0.0) + size
-        else:
-            apart = off((side, 0.0), size, 0.0) + off(along(c), size, size) + off(along(d), 0.0, size)
-        return apart.sum(axis=1)
+def _moved(params: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """marks (k x 3 x n: k planes of x, y and 1) under each row of eight parameters, as k x 3 x rows x n."""
+    h = np.column_stack([params, np.ones(len(params))]).reshape(-1, 3, 3).transpose(1, 0, 2).reshape(-1, 3)
+    return (h @ marks).reshape(len(marks), 3, len(params), -1)
+
+
+def _planes(points: np.ndarray) -> np.ndarray:
+    """n x k x 2 numbers as k planes (see _moved)."""
+    return np.ascontiguousarray(np.concatenate([points, np.ones((*points.shape[:2], 1))], axis=2).transpose(1, 2, 0))
+
+
+def _topmost(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of four corners (the first axis) is the topmost, of equals the leftmost, of those the first."""
+    least = np.minimum(np.minimum(y[0], y[1]), np.minimum(y[2], y[3]))
+    across = np.where(y == least, x, np.inf)
+    if not np.isfinite(x).all():
+        return across.argmin(axis=0)
+    first, best = np.zeros(least.shape, np.int64), across[0]
+    for k in (1, 2, 3):
+        first[across[k] < best] = k
+        best = np.minimum(best, across[k])
+    return first
+
+
+def _under(params: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """n x 4 x 2 quads under each row of parameters, as 4 x 3 x (rows * n)."""
+    n = len(squares)
+    squares = np.repeat(squares, 2, axis=0) if n == 1 else squares  # a product with one column is rounded otherwise
+    return _moved(params, _planes(squares))[..., :n].reshape(4, 3, -1)
+
+
+def _metrics(moved: np.ndarray, size: float, compat: bool) -> np.ndarray:
+    """Square metric (see quads.metric) of each quad of moved (see _under). What turning a quad about its first vertex gives
+    is told by dot and cross products with its first side."""
+    w = np.ascontiguousarray(moved[:, 2])
+    near = ~(np.abs(w) > EPSILON)
+    some = near.any()
+    x, y = ((np.where(near, 0.0, moved[:, i] / w) if some else moved[:, i] / w).astype(np.float32).astype(float) for i in (0, 1))
+    first, every = _topmost(x, y), np.arange(x.shape[1])
+    corner = lambda k: ((first + k) & 3) * x.shape[1] + every  # noqa: E731 - its place among all numbers of x and y
+    x0, y0 = x.take(corner(0)), y.take(corner(0))
+    (bx, by), (cx, cy) = ((x.take(at) - x0, y.take(at) - y0) for at in map(corner, (1, 2)))
+    side = np.sqrt(bx * bx + by * by)
+    some = side > 0
+    length = np.where(some, side, 1)
+    tx, ty = np.where(some, bx / length, 1.0), np.where(some, by / length, 0.0)
+    off = lambda u, v: np.sqrt(u * u + v * v)
+    if compat:
+        return off(side - size, 0.0 - size) + off(cx * tx + cy * ty - size, cy * tx - cx * ty) + size
+    dx, dy = x.take(corner(3)) - x0, y.take(corner(3)) - y0
+    return off(side - size, 0.0) + off(cx * tx + cy * ty - size, cy * tx - cx * ty - size) + off(dx * tx + dy * ty, dy * tx - dx * ty - size)
 
 
 def anchor_values(params: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     """Sum of distances of n x 4 (source and target) under each row of parameters; not rounded to float."""
-    h = np.column_stack([params, np.ones(len(params))]).reshape(-1, 3, 3)
     with np.errstate(all="ignore"):
-        moved = np.column_stack([anchors[:, :2], np.ones(len(anchors))])[None] @ h.transpose(0, 2, 1)
-        return np.sqrt(((moved[..., :2] / moved[..., 2:] - anchors[None, :, 2:]) ** 2).sum(axis=2)).sum(axis=1)
+        x, y, w = _moved(params, _planes(anchors[:, None, :2]))[0]
+        x, y = x / w - anchors[:, 2], y / w - anchors[:, 3]
+        return np.sqrt(x * x + y * y).sum(axis=1)
+
+
+def blocks_values(asked: list, size: float, compat: bool = True) -> list:
+    """What each block adds to the objective, for asked (parameters, weight, squares, anchors), under each row of its
+    parameters; infinite where that isn't a number. weight is one for all rows or one for each.
+
+    Few rows and blocks of few squares are valued together, about CHUNK quads at once, whose numbers stay in the processor's
+    cache: each sum is that of the row and block alone, bit by bit.
+    """
+    totals = [np.zeros(len(params)) for params, *_ in asked]
+    pending: list = []
+
+    def settled() -> None:
+        apart = _metrics(np.concatenate([m for _, m in pending], axis=2) if len(pending) > 1 else pending[0][1], size, compat)
+        for total, m in pending:
+            total += apart[: m.shape[2]].reshape(len(total), -1).sum(axis=1)
+            apart = apart[m.shape[2] :]
+        pending.clear()
+
+    def sliced(params: np.ndarray, marks: int, most: int):
+        """Slices of the rows of params, so that no slice has more than most pairs of row and mark, but for one row alone."""
+        rows = max(1, most // marks)
+        return [slice(at, at + rows) for at in range(0, len(params), rows)]
+
+    with np.errstate(all="ignore"):
+        held = 0
+        for total, (params, _, squares, _) in zip(totals, asked, strict=True):
+            quads = np.asarray(squares).reshape(-1, 4, 2)
+            for rows in sliced(params, len(quads), CHUNK) if len(quads) else []:
+                moved = _under(params[rows], quads)
+                if pending and held + moved.shape[2] > CHUNK:
+                    settled()
+                    held = 0
+                pending.append((total[rows], moved))
+                held += moved.shape[2]
+        if pending:
+            settled()
+        for total, (params, weight, _, anchors) in zip(totals, asked, strict=True):
+            if len(anchors):
+                anchors = np.asarray(anchors).reshape(-1, 4)
+                total += weight * np.concatenate([anchor_values(params[rows], anchors) for rows in sliced(params, len(anchors), 4 * CHUNK)])
+    return [np.where(np.isfinite(total), total, np.inf) for total in totals]
+
+
+def square_values(params: np.ndarray, squares: np.ndarray, size: float, compat: bool = True) -> np.ndarray:
+    """Sum of square metrics (see quads.metric) of n x 4 x 2 quads under each row of eight parameters."""
+    with np.errstate(all="ignore"):
+        return _metrics(_under(params, squares), size, compat).reshape(len(params), -1).sum(axis=1)
 
 
-def block_values(params: np.ndarray, weight: float, squares, anchors, size: float, compat: bool = True) -> np.ndarray:
-    """What one block adds to the objective under each row of parameters; infinite where that isn't a number."""
-    total = np.zeros(len(params))
-    if len(squares):
-        total += square_values(params, np.asarray(squares).reshape(-1, 4, 2), size, compat)
-    if len(anchors):
-        total += weight * anchor_values(params, np.asarray(anchors).reshape(-1, 4))
-    return np.where(np.isfinite(total), total, np.inf)
+def block_values(params: np.ndarray, weight, squares, anchors, size: float, compat: bool = True) -> np.ndarray:
+    """blocks_values of one block."""
+    return blocks_values([(params, weight, squares, anchors)], size, compat)[0]
 
 
 def met(asked: DataFrame, marks: Marks, runs: int | None = None) -> DataFrame:
@@ -171,29 +245,48 @@ def _row(state: dict) -> dict:
 
 
 def _alone(runs: DataFrame, marks: Marks, size: float, by: list, turns: int, compat: bool) -> DataFrame:
-    """optimised for runs of cameras of SLOT blocks or fewer, each group of runs through all its rounds at once."""
+    """optimised for runs of cameras of SLOT blocks or fewer, some cameras' runs through all their rounds at once."""
     kinds = dict(runs.dtypes)
     names = [*by, "x", "value"]
 
     def through(frame, blocks):
-        out = []
-        for r in frame.itertuples():
-            state = rules.begun(np.asarray(r.x, float), 0, r.stages)
-            while len(state["candidates"]):
-                weight = r.stages[state["level"]]["weight"]
-                values = np.zeros(len(state["candidates"]))
-                for b in blocks.itertuples():
-                    values = values + block_values(state["candidates"], np.nan if weight is None else weight, b.squares, b.anchors, size, compat)
-                state = rules.advanced(state, r.stages, values, turns)
-            out.append({k: getattr(r, k) for k in by} | {"x": state["x"].tolist(), "value": state["value"]})
+        """All runs side by side: in a round, the candidates of a camera's runs meet each of its blocks in one call."""
+        kept: dict = {}
+        for b in blocks.itertuples():
+            kept.setdefault((b.camera_id, b.group), []).append((b.squares, b.anchors))
+        cameras = [(list(own.itertuples()), kept.get(key, [])) for key, own in frame.groupby(["camera_id", "group"], sort=False, dropna=False)]
+        states = [[rules.begun(np.asarray(r.x, float), 0, r.stages) for r in rows] for rows, _ in cameras]
+        while True:
+            going, asked = [], []
+            for c, (rows, own) in enumerate(cameras):
+                if active := [i for i, s in enumerate(states[c]) if len(s["candidates"])]:
+                    sizes = [len(states[c][i]["candidates"]) for i in active]
+                    params = np.concatenate([states[c][i]["candidates"] for i in active])
+                    weights = [rows[i].stages[states[c][i]["level"]]["weight"] for i in active]
+                    weight = np.repeat([np.nan if w is None else w for w in weights], sizes)
+                    going.append((c, active, sizes))
+                    asked += [(params, weight, squares, anchors) for squares, anchors in own]
+            if not going:
+                break
+            found = iter(blocks_values(asked, size, compat))
+            for c, active, sizes in going:
+                values = np.zeros(sum(sizes))
+                for _ in cameras[c][1]:
+                    values = values + next(found)
+                at = 0
+                for i, n in zip(active, sizes, strict=True):
+                    states[c][i] = rules.advanced(states[c][i], cameras[c][0][i].stages, values[at : at + n], turns)
+                    at += n
+        out = [{k: getattr(r, k) for k in by} | {"x": s["x"].tolist(), "value": s["value"]} for (rows, _), own in zip(cameras, states, strict=True) for r, s in zip(rows, own, strict=True)]
         return pd.DataFrame(out, columns=names)
 
-    groups = runs.groupBy("camera_id").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups"))
-    key = ["camera_id", "group"]
-    dealt = runs.join(groups, "camera_id", "left").withColumn("group", F.pmod(F.xxhash64(*by), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
-    blocks = marks.blocks.join(groups, "camera_id").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(*key, "squares", "anchors")
+    groups = settle(runs.groupBy("camera_id").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups")), "groups")
+    buckets = max(4 * marks.parts, groups.agg(F.coalesce(F.sum("groups"), F.lit(0))).first()[0] // BUCKET)
+    bucket = F.pmod(F.xxhash64("camera_id", "group"), F.lit(buckets)).alias("bucket")
+    dealt = runs.join(groups.hint("merge"), "camera_id", "left").withColumn("group", F.pmod(F.xxhash64(*by), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups").select("*", bucket)
+    blocks = marks.blocks.join(groups.hint("merge"), "camera_id").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("camera_id", "group", bucket, "squares", "anchors")
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in by), "x array<double>", "value double"])
-    return dealt.repartition(marks.parts, *key).groupBy(*key).cogroup(blocks.repartition(marks.parts, *key).groupBy(*key)).applyInPandas(through, schema)
+    return dealt.repartition(marks.parts, "bucket").groupBy("bucket").cogroup(blocks.repartition(marks.parts, "bucket").groupBy("bucket")).applyInPandas(through, schema)
 
 
 def optimised(runs: DataFrame, marks: Marks, size: float, by: list, turns: int = TURNS, compat: bool = True) -> DataFrame:

@@ -15,6 +15,8 @@ METHODS, MODES = ["Powell", "BFGS", "L-BFGS-B", "TNC"], ["none", *WIDTHS]
 FLOORS = np.array([1e-2, 1e-2, 1, 1e-2, 1e-2, 1, 1e-5, 1e-5])  # the least size of each parameter that counts as its scale
 PAIRS = np.array([(i, j) for i in range(8) for j in range(i + 1, 8)]).T
 THROWS = np.array([s * 10.0**-k for k in (0, 0.5, 1, 1.5, 2) for s in (1, -1)])
+SHARES, SOME = np.array([3, 2, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1, 0.05]), np.array([0.5, 0.25])  # of all moves at once, of the best few
+DAMPS, LENGTHS = (1e-9, 1e-6, 1e-4, 1e-2, 1), np.array([2, 1, 0.5, 0.2, 0.05])  # of Newton steps
 DIRECTIONS = 16  # the eight parameters' and the last moves
 
 
@@ -31,7 +33,7 @@ def bounds_of(params: np.ndarray, mode) -> np.ndarray | None:
 
 
 def _within(candidates: np.ndarray, bounds) -> np.ndarray:
-    return candidates if bounds is None else np.clip(candidates, bounds[:, 0], bounds[:, 1])
+    return candidates if bounds is None else np.minimum(np.maximum(candidates, bounds[:, 0]), bounds[:, 1])
 
 
 def probe(powell: bool, x: np.ndarray, basis: np.ndarray, bounds) -> np.ndarray:
@@ -49,13 +51,12 @@ def _newton_steps(values: np.ndarray, x: np.ndarray, unit: np.ndarray, bounds) -
     free = np.ones(8, bool) if bounds is None else ~(((x <= bounds[:, 0]) & (g > 0)) | ((x >= bounds[:, 1]) & (g < 0)))
     if not free.any():
         return []
-    w, q = np.linalg.eigh(curve[np.ix_(free, free)])
-    steps = []
-    for damp in (1e-9, 1e-6, 1e-4, 1e-2, 1):
-        step = np.zeros(8)
-        step[free] = -q @ ((q.T @ g[free]) / (np.abs(w) + damp * max(np.abs(w).max(), 1e-300)))
-        steps += [x + t * unit * step for t in (2, 1, 0.5, 0.2, 0.05)]
-    return steps
+    w, q = np.linalg.eigh(curve if free.all() else curve[free][:, free])
+    turned, w, back = q.T @ g[free], np.abs(w), -q
+    steps = np.zeros((len(DAMPS), 8))
+    for i, damp in enumerate(DAMPS):
+        steps[i, free] = back @ (turned / (w + damp * max(w.max(), 1e-300)))
+    return list((x + LENGTHS[None, :, None] * unit * steps[:, None]).reshape(-1, 8))
 
 
 def leap(powell: bool, x: np.ndarray, basis: np.ndarray, bounds, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +70,8 @@ def leap(powell: bool, x: np.ndarray, basis: np.ndarray, bounds, values: np.ndar
     t = np.where(drop > 0, THROWS[best], 0.0)[:, None]
     moves = t * basis
     sums = np.cumsum(moves[np.argsort(-np.where(np.isfinite(drop), drop, 0))], axis=0)
-    shares = [x + s * sums[-1] for s in (3, 2, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1, 0.05)] + [x + s * part for s in (0.5, 0.25) for part in sums[1:4]]
-    return _within(np.concatenate([x + sums, x + moves, np.array(shares)]), bounds), basis * np.where(t != 0, np.clip(3 * np.abs(t), 0.05, 3), 1 / 30)
+    parts = (SOME[:, None, None] * sums[None, 1:4]).reshape(-1, 8)
+    return _within(x + np.concatenate([sums, moves, SHARES[:, None] * sums[-1], parts]), bounds), basis * np.where(t != 0, np.clip(3 * np.abs(t), 0.05, 3), 1 / 30)
 
 
 def begun(x: np.ndarray, level: int, stages: list) -> dict:
