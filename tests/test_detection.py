@@ -208,3 +208,43 @@ def test_nothing_that_grows_with_images_is_broadcast(spark, tmp_path, name):
     rows, broadcasts = _broadcasts(spark, lambda: QUERIES[name](spark, str(tmp_path)).collect())
     assert len(rows) == {"q33_detect": 6 * 8, "q55_contour_tree": 6 * 3}[name]
     assert broadcasts == 0
+
+
+def test_runs_of_packed_images_equal_those_of_pixels(spark, monkeypatch):
+    """Bands of packed images give the runs and parts that windows over pixels give; images of three channels and tiny ones, too."""
+    rng = np.random.default_rng(21)
+    shots = [*pictures()[-4:], rng.integers(0, 255, (23, 31, 3)).astype(np.uint8), *(rng.integers(0, 255, (h, w)).astype(np.uint8) for h, w in ((1, 1), (1, 4), (2, 3), (3, 2), (5, 1)))]
+    images = spark.createDataFrame([row_of(f"i{k}", a) for k, a in enumerate(shots)], schema.IMAGES).cache()
+    named = ["image_id", "y", "a", "b", "dark"]
+    want = sorted(map(tuple, detect.dark_runs(detect.gray_pixels(images)).select(*named).collect()))
+    for band in (3, 64):
+        monkeypatch.setattr(detect, "BAND", band)
+        rooted = detect.rooted_runs(images)
+        assert sorted(map(tuple, rooted.select(*named).collect())) == want
+        assert "Exchange" not in rooted._jdf.queryExecution().toString()
+        parts = detect.parts(detect.dark_runs(detect.gray_pixels(images)), images.select("image_id", "height", "width")).select(*named, "part").collect()
+        assert sorted(map(tuple, detect.labelled_runs(images).select(*named, "part").collect())) == sorted(map(tuple, parts))
+
+
+def test_corners_refined_together():
+    """Each of many patches goes as far as it goes alone, and their pixels beyond the image are those of its border."""
+    rng = np.random.default_rng(22)
+    shot = np.kron(rng.choice([10, 240], (5, 6)), np.ones((9, 9))).astype(np.uint8)[:, :, None]
+    corners, reach = np.stack([rng.integers(0, 54, 40), rng.integers(0, 45, 40)], 1), np.arange(-detect.REACH, detect.REACH + 1)
+    patches = detect._patches(shot, corners, reach)
+    padded = np.pad(shot[:, :, 0], detect.REACH, mode="edge")
+    assert all((p == padded[y : y + len(reach), x : x + len(reach)]).all() for p, (x, y) in zip(patches, corners, strict=True))
+    together = detect.all_refined(patches)
+    assert (together == np.array([detect.refined(p) for p in patches])).all() and (together != 0).any()
+
+
+def test_pixels_of_pictures_are_packed_where_they_are_made(spark, tmp_path):
+    """Pictures are dealt out as suppliers, not as pixels, over more than one task."""
+    from vistaquad.plans import standins
+    from vistaquad.sources.images import pack
+
+    spark.range(40).selectExpr("id as s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    packed = pack(standins.pictures(spark, str(tmp_path)), ["v"])
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert packed.count() == 40 and standins.pictures(spark, str(tmp_path)).rdd.getNumPartitions() > 1

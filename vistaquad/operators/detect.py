@@ -1,9 +1,10 @@
 """Detection of calibration squares as Spark jobs: runs of dark pixels by windows, parts by joins of runs, borders and
 corners of one part or place at a time in small Python helpers, and filters as column expressions.
 
-No image is held whole: a helper gets the runs of a band of rows or of one dark part, or the pixels about one corner.
+An image lies packed in its row, and no pixel becomes one: a helper unpacks a band of rows, or the pixels about corners, or
+gets the runs of one dark part.
 
-Pixels, runs, links and sizes grow with the number of images, and their sizes on disk tell little of that in memory, so joins
+Runs, links and sizes grow with the number of images, and their sizes on disk tell little of that in memory, so joins
 between them are merged (see _merged): none of them goes through the driver to be broadcast.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vistaquad.functions import quads
 from vistaquad.operators.raster import blur, gray
-from vistaquad.sources.images import explode
+from vistaquad.sources.images import array_of, explode
 from vistaquad.sources.schema import QUAD
 from vistaquad.sources.shared import settle
 
@@ -29,6 +30,7 @@ BAND = 64  # rows of an image whose runs are merged in one task
 OUTER = -1  # the ground that reaches the border of the image
 HALF = 5  # of the window about a corner, which is also how far the corner may move
 REACH = 2 * HALF + 3  # pixels about a corner that its refinement can look at
+MOST_RUNS, SOME_SQUARES = 100_000, 512  # runs that a task holds before it hands them on; squares that are refined at once
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def components(links: DataFrame) -> DataFrame:
 def _joined(y: np.ndarray, a: np.ndarray, b: np.ndarray, dark: np.ndarray) -> np.ndarray:
     """For runs sorted by row and column, the first run of the connected part of each: touching runs of neighbouring rows
     are merged, later ones into earlier ones."""
-    first = list(range(len(y)))
+    first, (y, a, b, dark) = list(range(len(y))), (c.tolist() for c in (y, a, b, dark))
 
     def root(i: int) -> int:
         while first[i] != i:
@@ -89,7 +91,7 @@ def _joined(y: np.ndarray, a: np.ndarray, b: np.ndarray, dark: np.ndarray) -> np
             i = first[i]
         return i
 
-    begins = {int(row): i for i, row in reversed(list(enumerate(y)))}
+    begins = {row: i for i, row in reversed(list(enumerate(y)))}
     for row, i in begins.items():
         j = begins.get(row - 1)
         while j is not None and i < len(y) and j < len(y) and y[i] == row and y[j] == row - 1:
@@ -103,16 +105,79 @@ def _joined(y: np.ndarray, a: np.ndarray, b: np.ndarray, dark: np.ndarray) -> np
     return np.array([root(i) for i in range(len(y))], np.int64)
 
 
+def _roots(y: np.ndarray, a: np.ndarray, b: np.ndarray, dark: np.ndarray) -> np.ndarray:
+    """_joined for runs of both sides of the level."""
+    out = np.empty(len(y), np.int64)
+    for kind in (False, True):  # of one kind at a time: runs of the other side between them touch nothing
+        own = np.flatnonzero(dark == kind)
+        if len(own):
+            out[own] = own[_joined(y[own], a[own], b[own], dark[own].astype(int))]
+    return out
+
+
 def _banded(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["y", "a"], ignore_index=True)
-    # Of one kind at a time: runs of the other side between them touch nothing.
-    out = np.empty(len(frame), np.int64)
-    for kind in (False, True):
-        own = np.flatnonzero(frame["dark"].to_numpy() == kind)
-        if len(own):
-            rows = frame.iloc[own]
-            out[own] = own[_joined(*(rows[c].to_numpy() for c in ("y", "a", "b")), rows["dark"].to_numpy().astype(int))]
-    return frame.assign(root=frame["node"].to_numpy()[out]).drop(columns="band")
+    first = _roots(*(frame[c].to_numpy() for c in ("y", "a", "b", "dark")))
+    return frame.assign(root=frame["node"].to_numpy()[first]).drop(columns="band")
+
+
+def _gray(pixels: np.ndarray) -> np.ndarray:
+    """gray_pixels of some rows of a packed image."""
+    b, g, r = (pixels[:, :, min(i, pixels.shape[2] - 1)].astype(np.int64) for i in range(3))
+    return (b * 1868 + g * 9617 + r * 4899 + 8192) // 16384
+
+
+def _taps(n: int) -> tuple:
+    """For each of n places along an axis, the places of its neighbours before and after it, and of those beyond (see raster.taps)."""
+    at = np.arange(n)
+    near = lambda step: np.where((at + step >= 0) & (at + step < n), at + step, np.where((at - step >= 0) & (at - step < n), at - step, at))
+    far = lambda step: np.where((at + 2 * step >= 0) & (at + 2 * step < n), at + 2 * step, np.where((at + step >= 0) & (at + step < n), at, np.where((at - 2 * step >= 0) & (at - 2 * step < n), at - 2 * step, at)))
+    return near(-1), near(1), far(-1), far(1)
+
+
+def _dark(pixels: np.ndarray, y0: int, y1: int, level: int) -> np.ndarray:
+    """Which pixels of the rows y0 to y1 - 1 of a packed image are dark after blurring; only rows within two of them are read."""
+    low, high = max(0, y0 - 2), min(len(pixels), y1 + 2)
+    v = _gray(pixels[low:high])
+    before, after, before2, after2 = _taps(v.shape[1])
+    v = v * 6 + (v[:, before] + v[:, after]) * 4 + v[:, before2] + v[:, after2]
+    before, after, before2, after2 = (t[y0:y1] - low for t in _taps(len(pixels)))
+    v = v[y0 - low : y1 - low] * 6 + (v[before] + v[after]) * 4 + v[before2] + v[after2]
+    return (v + 128) // 256 <= level
+
+
+def rooted_runs(images: DataFrame, level: int = 140) -> DataFrame:
+    """dark_runs of packed images with node, the number of a run's first pixel, and root, that of the first run it is joined
+    with within its band of BAND rows. Images are worked through by bands, where they lie: no pixel becomes a row."""
+    band = BAND
+    columns = ["y", "a", "b", "dark", "node", "root"]
+
+    def run(frames):
+        for frame in frames:
+            out, n = [], 0
+            for r in frame.itertuples():
+                pixels = array_of(r)
+                for y0 in range(0, r.height if r.width else 0, band):
+                    dark = _dark(pixels, y0, min(y0 + band, r.height), level)
+                    begins = np.ones(dark.shape, bool)
+                    begins[:, 1:] = dark[:, 1:] != dark[:, :-1]
+                    (y, a), b = np.nonzero(begins), np.nonzero(np.roll(begins, -1, axis=1))[1]
+                    sides, y = dark[y, a], y + y0
+                    node = y * SIDE + a
+                    out.append((r.image_id, y, a, b, sides, node, node[_roots(y, a, b, sides)]))
+                    n += len(y)
+                    if n > MOST_RUNS:
+                        yield listed(out)
+                        out, n = [], 0
+            if out:
+                yield listed(out)
+
+    def listed(out: list) -> pd.DataFrame:
+        ids = np.repeat(np.array([o[0] for o in out], object), [len(o[1]) for o in out])
+        return pd.DataFrame({"image_id": ids, **{c: np.concatenate([o[k + 1] for o in out]) for k, c in enumerate(columns)}})
+
+    kind = dict(images.dtypes)["image_id"]
+    return images.mapInPandas(run, f"image_id {kind}, y int, a int, b int, dark boolean, node long, root long")
 
 
 def parts(runs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -124,7 +189,11 @@ def parts(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     named = runs.withColumn("node", F.col("y").cast("long") * SIDE + F.col("a")).withColumn("band", F.floor(F.col("y") / BAND))
     kinds = dict(named.dtypes)
-    rooted = settle(named.groupBy("image_id", "band").applyInPandas(_banded, ", ".join([*(f"{c} {kinds[c]}" for c in named.columns if c != "band"), "root long"])), "bands")
+    return _whole(settle(named.groupBy("image_id", "band").applyInPandas(_banded, ", ".join([*(f"{c} {kinds[c]}" for c in named.columns if c != "band"), "root long"])), "bands"), sizes)
+
+
+def _whole(rooted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """parts from settled runs that know their node, and the root that they have within their band."""
     lower = rooted.where(F.col("y") % BAND == 0)
     above = rooted.where(F.col("y") % BAND == BAND - 1).select("image_id", (F.col("y") + 1).alias("y"), "dark", F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("root").alias("v"))
     reach = F.col("dark").cast("int")
@@ -262,7 +331,7 @@ def labelled_runs(images: DataFrame, level: int = 140) -> DataFrame:
 
 
 def _labelled(images: DataFrame, level: int) -> DataFrame:
-    return settle(parts(settle(dark_runs(gray_pixels(images), level), "runs"), images.select("image_id", "height", "width")), "parts")
+    return settle(_whole(settle(rooted_runs(images, level), "bands"), images.select("image_id", "height", "width")), "parts")
 
 
 def polygons(images: DataFrame, level: int = 140) -> DataFrame:
@@ -278,61 +347,75 @@ def polygons(images: DataFrame, level: int = 140) -> DataFrame:
 
 def refined(patch: np.ndarray, half: int = HALF, rounds: int = 30, least: float = 0.001) -> np.ndarray:
     """How far from the middle of patch the place lies to which gradients stand at right angles; nothing beyond half."""
-    g, middle = patch.astype(float), patch.shape[0] // 2
-    at, offset = np.zeros(2), np.arange(-half, half + 1)
+    return all_refined(patch[None], half, rounds, least)[0]
+
+
+def all_refined(patches: np.ndarray, half: int = HALF, rounds: int = 30, least: float = 0.001) -> np.ndarray:
+    """refined for each of n patches; those that are through are left out of further rounds."""
+    g, middle = patches.astype(float), patches.shape[1] // 2
+    offset, span = np.arange(-half, half + 1), np.arange(2 * half + 4)
     weight = np.exp(-((offset / half) ** 2))
     weight = weight[:, None] * weight[None, :]
+    px, py = np.meshgrid(offset, offset)
+    total = lambda values: values.reshape(len(values), -1).sum(axis=1)
+    at, lost, going = np.zeros((len(g), 2)), np.zeros(len(g), bool), np.arange(len(g))
     for _ in range(rounds):
-        if np.abs(at).max() > half:
-            return np.zeros(2)
-        j, i = np.floor(at).astype(int)
-        b, a = at - (j, i)
+        beyond = np.abs(at[going]).max(axis=1) > half if len(going) else np.zeros(0, bool)
+        lost[going[beyond]] = True
+        going = going[~beyond]
+        if not len(going):
+            break
+        whole = np.floor(at[going])
+        (j, i), (b, a) = whole.astype(int).T, (at[going] - whole).T[:, :, None, None]
         low = middle - half - 1
-        w = g[i + low : i + low + 2 * half + 4, j + low : j + low + 2 * half + 4]
-        w = (w[:-1, :-1] * (1 - b) + w[:-1, 1:] * b) * (1 - a) + (w[1:, :-1] * (1 - b) + w[1:, 1:] * b) * a
-        gx, gy = (w[1:-1, 2:] - w[1:-1, :-2]) / 2, (w[2:, 1:-1] - w[:-2, 1:-1]) / 2
-        xx, xy, yy = (weight * gx * gx).sum(), (weight * gx * gy).sum(), (weight * gy * gy).sum()
+        w = g[going[:, None, None], (i[:, None] + low + span)[:, :, None], (j[:, None] + low + span)[:, None, :]]
+        w = (w[:, :-1, :-1] * (1 - b) + w[:, :-1, 1:] * b) * (1 - a) + (w[:, 1:, :-1] * (1 - b) + w[:, 1:, 1:] * b) * a
+        gx, gy = (w[:, 1:-1, 2:] - w[:, 1:-1, :-2]) / 2, (w[:, 2:, 1:-1] - w[:, :-2, 1:-1]) / 2
+        xx, xy, yy = total(weight * gx * gx), total(weight * gx * gy), total(weight * gy * gy)
+        bx, by = total(weight * (gx * gx * px + gx * gy * py)), total(weight * (gx * gy * px + gy * gy * py))
         det = xx * yy - xy * xy
-        if abs(det) <= 1e-12 * (xx + yy) ** 2:
-            break
-        px, py = np.meshgrid(offset, offset)
-        bx, by = (weight * (gx * gx * px + gx * gy * py)).sum(), (weight * (gx * gy * px + gy * gy * py)).sum()
-        move = np.array([yy * bx - xy * by, xx * by - xy * bx]) / det
-        at = at + move
-        if move @ move < least**2:
-            break
-    return at if np.abs(at).max() <= half else np.zeros(2)
+        some = ~(np.abs(det) <= 1e-12 * (xx + yy) ** 2)
+        going, det = going[some], det[some]
+        move = (np.stack([yy * bx - xy * by, xx * by - xy * bx])[:, some] / det).T
+        at[going] += move
+        going = going[~(move[:, 0] * move[:, 0] + move[:, 1] * move[:, 1] < least**2)]
+    return np.where((lost | ~(np.abs(at).max(axis=1, initial=0) <= half))[:, None], 0.0, at)
 
 
-def refined_corners(squares: DataFrame, pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+def refined_corners(squares: DataFrame, images: DataFrame) -> DataFrame:
     """squares (image_id, square_id, corners at whole pixels) with corners moved to where edges cross.
 
-    The pixels about each corner are generated and joined; beyond the image its border goes on.
+    The corners of an image meet it where it lies packed, and only the pixels about them are taken out; beyond the image its
+    border goes on.
     """
-    each = squares.select("image_id", "square_id", F.posexplode("corners").alias("pos", "p")).join(_merged(sizes), "image_id")
-    span, side = F.sequence(F.lit(-REACH), F.lit(REACH)), 2 * REACH + 1
-    spread = each.withColumn("i", F.explode(span)).withColumn("j", F.explode(span))
-    inside = lambda v, n: F.least(F.greatest(v.cast("int"), F.lit(0)), F.col(n) - 1)
-    placed = spread.select("image_id", "square_id", "pos", "p", ((F.col("i") + REACH) * side + F.col("j") + REACH).alias("k"), inside(F.col("p.y") + F.col("i"), "height").alias("y"), inside(F.col("p.x") + F.col("j"), "width").alias("x"))
-    values = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda c: c["v"])  # plain numbers: Python gets no object for each pixel
-    patches = placed.join(_merged(pixels), ["image_id", "y", "x"]).groupBy("image_id", "square_id", "pos").agg(F.first("p").alias("p"), values.alias("patch"))
+    kind = dict(squares.dtypes)["image_id"]
+    asked = squares.groupBy("image_id").agg(F.collect_list(F.struct("square_id", "corners")).alias("squares"))
+    reach = np.arange(-REACH, REACH + 1)
 
     def run(frames):
         for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                x, y = np.float32(refined(np.asarray(r.patch).reshape(side, side)) + [r.p["x"], r.p["y"]])
-                out.append((r.image_id, r.square_id, r.pos, float(x), float(y)))
-            yield pd.DataFrame(out, columns=["image_id", "square_id", "pos", "x", "y"])
+            rows = [(r, s["square_id"], np.array([(p["x"], p["y"]) for p in s["corners"]])) for r in frame.itertuples() for s in r.squares]
+            for k in range(0, len(rows), SOME_SQUARES):
+                some = rows[k : k + SOME_SQUARES]
+                at = np.concatenate([c for _, _, c in some])
+                patches = np.concatenate([_patches(array_of(r), c.astype(int), reach) for r, _, c in some])
+                moved = np.split(np.float32(all_refined(patches) + at), np.cumsum([len(c) for _, _, c in some])[:-1])
+                yield pd.DataFrame({"image_id": [r.image_id for r, _, _ in some], "square_id": [n for _, n, _ in some], "corners": [[{"x": float(x), "y": float(y)} for x, y in m] for m in moved]})
+
+    return images.join(_merged(asked), "image_id").mapInPandas(run, f"image_id {kind}, square_id int, corners {QUAD}")
+
 
-    moved = patches.mapInPandas(run, "image_id string, square_id int, pos int, x double, y double")
-    corners = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return moved.groupBy("image_id", "square_id").agg(corners.alias("corners"))
+def _patches(pixels: np.ndarray, corners: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The gray values about each corner (x, y) of a packed image."""
+    height, width, channels = pixels.shape
+    y, x = np.clip(corners[:, 1:] + reach, 0, height - 1), np.clip(corners[:, :1] + reach, 0, width - 1)
+    found = pixels[y[:, :, None], x[:, None, :]]
+    return _gray(found.reshape(-1, len(reach), channels)).reshape(len(corners), len(reach), len(reach))
 
 
 def squares(images: DataFrame, min_area: float = 2000, level: int = 140) -> DataFrame:
     """Squares of each image: convex, larger than min_area, not too long; corners in order, then refined on the gray image."""
     q = F.col("corners")
-    images = settle(images, "images")  # read four times
+    images = settle(images, "images")  # read three times
     found = polygons(images, level).where(quads.is_convex(q) & (quads.area(q) > min_area) & quads.aspect(q).between(0.6, 3))
-    return refined_corners(found.withColumn("corners", quads.sort_corners(q)), gray_pixels(images), images.select("image_id", "height", "width"))
+    return refined_corners(found.withColumn("corners", quads.sort_corners(q)), images)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,12 +90,15 @@ def explode(images: DataFrame) -> DataFrame:
 def pack(pixels: DataFrame, channels: list) -> DataFrame:
     """Pixel relation to packed images; a group is one image, which the raster tier holds whole anyhow. Gaps are black."""
 
-    def run(key, frame):
-        out = np.zeros((frame["y"].max() + 1, frame["x"].max() + 1, len(channels)), np.uint8)
-        out[frame["y"], frame["x"]] = frame[channels]
-        return pd.DataFrame([row_of(key[0], out)], columns=["image_id", "height", "width", "channels", "data"])
+    def run(key, table):
+        y, x, *values = (table.column(c).to_numpy() for c in ("y", "x", *channels))
+        out = np.zeros((y.max() + 1, x.max() + 1, len(channels)), np.uint8)
+        for i, v in enumerate(values):
+            out[y, x, i] = v
+        return pa.Table.from_pylist([dict(zip(names, row_of(key[0].as_py(), out), strict=True))], made)
 
-    return pixels.groupBy("image_id").applyInPandas(run, schema.IMAGES)
+    names, made = ["image_id", "height", "width", "channels", "data"], pa.schema([("image_id", pa.string()), *((n, pa.int32()) for n in ("height", "width", "channels")), ("data", pa.binary())])
+    return pixels.select("image_id", "y", "x", *channels).groupBy("image_id").applyInArrow(run, schema.IMAGES)
 
 
 def png(pixels: np.ndarray) -> bytes:
