@@ -45,8 +45,9 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A gray picture of 48 x 64 for each supplier: a bright field in a dark frame, and a dark square on it."""
     k, x, y = F.col("s_suppkey"), F.col("x"), F.col("y")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = read(spark, sf_dir, "supplier").select("s_suppkey", k.cast("string").alias("image_id")).repartition(parts, "image_id").sortWithinPartitions("image_id")  # few rows: their pixels stay where they are made
+    suppliers = read(spark, sf_dir, "supplier")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, suppliers.count() // 500)  # a task sorts 1.5 million pixels or so
+    rows = suppliers.select("s_suppkey", k.cast("string").alias("image_id")).repartition(parts, "image_id").sortWithinPartitions("image_id")  # few rows: their pixels stay where they are made
     grid = rows.select("s_suppkey", "image_id", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(63))))
     field = x.between(4, 59) & y.between(4, 43)
     left, top, size = 10 + k % 20, 8 + k % 7, 18 + k % 5
